@@ -1,4 +1,4 @@
-"""Exact averages and rounding.
+"""Exact averages and rounding, as SQL expressions.
 
 Two rounding rules live side by side in the data model:
 
@@ -8,69 +8,74 @@ Two rounding rules live side by side in the data model:
 
 Spark's own ``bround`` on doubles works on the shortest decimal text of the
 double, which differs on near ties, hence the explicit form below.
+
+Arguments and results are SQL text: one parsed expression costs a single call
+into the JVM where a tree of Column objects costs one per node.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Splits a double into two 26-bit halves (2^27 + 1).
-_SPLIT = 134217729.0
+_SPLIT = "134217729D"
 
 
-def exact_ratio(total: Column, count: Column, scale: int) -> Column:
+def exact_ratio(total: str, count: str, scale: int) -> str:
     """``total / count`` in wide decimals, rounded half up; null for an empty count."""
-    quotient = total.cast("decimal(24,10)") / F.nullif(count, F.lit(0)).cast("decimal(12,0)")
-    return F.round(quotient, scale).cast(f"decimal({12 + scale},{scale})")
+    quotient = f"cast({total} as decimal(24,10)) / cast(nullif({count}, 0) as decimal(12,0))"
+    return f"cast(round({quotient}, {scale}) as decimal({12 + scale},{scale}))"
 
 
-def exact_avg(value: Column, scale: int) -> Column:
-    """Half-up mean of an integer or decimal column."""
-    return exact_ratio(F.sum(value), F.count(value), scale)
+def exact_avg(value: str, scale: int) -> str:
+    """Half-up mean of an integer or decimal column (aggregate)."""
+    return exact_ratio(f"sum({value})", f"count({value})", scale)
 
 
-def round_even(value: Column, scale: int) -> Column:
-    """Round a double half to even on its exact binary value.
+def round_even(value: str, scale: int) -> str:
+    """Round a double column half to even on its exact binary value.
 
     ``value * 10**scale`` is taken together with the rounding error of that
     product (error-free multiplication), so a tie is only a tie when the double
-    really lies on the midpoint.  Give this a plain column: it is used several times.
+    really lies on the midpoint.  ``value`` has to be a column, not a formula:
+    it is used several times.
     """
-    value = value.cast("double")
     if scale == 0:
-        return F.rint(value)
-    factor = F.lit(float(10**scale))
-    product = value * factor
-    spread = value * F.lit(_SPLIT)
-    high = spread - (spread - value)
-    error = (high * factor - product) + (value - high) * factor
-    low = F.floor(product)
-    excess = (product - low.cast("double") - F.lit(0.5)) + error
-    up = (excess > 0) | ((excess == 0) & (F.pmod(low, F.lit(2)) == 1))
-    return (low + F.when(up, 1).otherwise(0)).cast("double") / factor
-
-
-def to_int_even(value: Column) -> Column:
+        return f"rint({value})"
+    factor = f"{10**scale}D"
+    product = f"({value} * {factor})"
+    spread = f"({value} * {_SPLIT})"
+    high = f"({spread} - ({spread} - {value}))"
+    error = f"(({high} * {factor} - {product}) + ({value} - {high}) * {factor})"
+    low = f"floor({product})"
+    excess = f"((({product} - cast({low} as double)) - 0.5D) + {error})"
+    up = f"({excess} > 0 or ({excess} = 0 and pmod({low}, 2) = 1))"
+    return f"cast({low} + case when {up} then 1 else 0 end as double) / {factor}"
+
+
+def to_int_even(value: str) -> str:
     """Nearest integer, ties to even."""
-    return F.rint(value.cast("double")).cast("bigint")
+    return f"cast(rint(cast({value} as double)) as bigint)"
 
 
-def clamp(value: Column, low, high) -> Column:
+def clamp(value: str, low, high) -> str:
     """Bound a value; null stays null."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+    return f"case when {value} is not null then least(greatest({value}, {low}), {high}) end"
+
+
+def to_number_5_2(value: str) -> str:
+    """Fit a double column into decimal(5,2)."""
+    fitted = f"case when {value} > 999.99D then 999.99D when {value} < -999.99D then -999.99D else %s end"
+    return f"cast({fitted % round_even(value, 2)} as decimal(5,2))"
 
 
-def to_number_5_2(value: Column) -> Column:
-    """Fit a double to two digits within +-999.99 (stored as decimal(5,2))."""
-    return round_even(clamp(value.cast("double"), -999.99, 999.99), 2).cast("decimal(5,2)")
+def to_number_10_6(value: str) -> str:
+    """Six digits of a double column as decimal(10,6)."""
+    return f"cast({round_even(value, 6)} as decimal(10,6))"
 
 
-def to_number_10_6(value: Column) -> Column:
-    """Six digits (stored as decimal(10,6))."""
-    return round_even(value, 6).cast("decimal(10,6)")
+def people(participants: str = "participants_cnt", chosen: str = "chosen_cnt") -> str:
+    """Number of people behind a statistics row."""
+    return f"coalesce({participants}, {chosen}, 0)"
 
 
-def has_people(participants: Column, chosen: Column) -> Column:
-    """True when the row stands for at least one person."""
-    return F.coalesce(participants, chosen, F.lit(0)) > 0
+# True when the row stands for at least one person.
+HAS_PEOPLE = f"{people()} > 0"

@@ -7,22 +7,22 @@ their length is bounded by those domains.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edurank.functions.numeric import exact_ratio, round_even
+from edurank.functions.numeric import exact_avg, round_even
 from edurank.operators.schools import with_place
 from edurank.sources.store import Tables
 
 COUNTERS = ("participants_cnt", "not_passed_cnt", "high_80_99_cnt", "score_100_cnt", "chosen_cnt")
 
 
-def shown_average(average: Column, *counters: Column) -> Column:
-    """A zero average without any positive counter stands for missing data."""
-    empty = F.lit(True)
-    for counter in counters:
-        empty = empty & (F.coalesce(counter, F.lit(0)) <= 0)
-    return F.when(~(empty & (average == 0)), average)
+# A zero average without any positive counter stands for missing data.
+SHOWN_AVERAGE = (
+    "case when avg_score = 0 and "
+    + " and ".join(f"coalesce({c}, 0) <= 0" for c in COUNTERS)
+    + " then null else avg_score end"
+)
 
 
 def _of(df: DataFrame, wanted: DataFrame | None) -> DataFrame:
@@ -97,7 +97,7 @@ def card_subject_rows(tables: Tables, wanted: DataFrame | None = None) -> DataFr
             "subject_name",
             "min_passing_score",
             *COUNTERS[:4],
-            shown_average(F.col("avg_score"), *map(F.col, COUNTERS)).alias("avg_score"),
+            F.expr(f"{SHOWN_AVERAGE} as avg_score"),
             "chosen_cnt",
         )
     )
@@ -105,7 +105,6 @@ def card_subject_rows(tables: Tables, wanted: DataFrame | None = None) -> DataFr
 
 def card_periods(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     """Totals per period over its subjects, with the plain mean of their averages."""
-    known = F.col("subject_id").isNotNull()
     totals = {
         "participants_total": "participants_cnt",
         "not_passed_total": "not_passed_cnt",
@@ -113,21 +112,17 @@ def card_periods(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
         "score_100_total": "score_100_cnt",
         "chosen_total": "chosen_cnt",
     }
+    known = "case when subject_id is not null then {} end"
+    mean = exact_avg(known.format("avg_score"), 12)
     return (
         card_subject_rows(tables, wanted)
-        .groupBy("school_id", "year", "kind")
+        .groupBy("school_id", "year", "kind", "graduates_total")
         .agg(
-            F.first("graduates_total").alias("graduates_total"),
-            F.count_if(known).alias("subjects_cnt"),
-            *(F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0)).alias(name) for name, c in totals.items()),
-            exact_ratio(
-                F.sum(F.when(known, F.col("avg_score"))), F.count(F.when(known, F.col("avg_score"))), 12
-            )
-            .cast("double")
-            .alias("_mean"),
+            F.expr("count(subject_id) as subjects_cnt"),
+            *(F.expr(f"coalesce(sum({known.format(c)}), 0) as {name}") for name, c in totals.items()),
+            F.expr(f"cast({mean} as double) as _mean"),
         )
-        .withColumn("avg_score_mean", round_even(F.col("_mean"), 2))
-        .drop("_mean")
+        .selectExpr("* except (_mean)", f"{round_even('_mean', 2)} as avg_score_mean")
     )
 
 
@@ -143,9 +138,8 @@ def school_timeline(tables: Tables, wanted: DataFrame | None = None) -> DataFram
     )
     by_period = (
         card_subject_rows(tables, wanted)
-        .groupBy("school_id", "year", "kind")
+        .groupBy("school_id", "year", "kind", "graduates_total")
         .agg(
-            F.first("graduates_total").alias("graduates_total"),
             F.array_sort(F.collect_list(F.when(F.col("subject_id").isNotNull(), subject))).alias("subjects"),
         )
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edurank.functions.numeric import exact_avg, exact_ratio, has_people
+from edurank.functions.numeric import HAS_PEOPLE, exact_avg, exact_ratio, people
 from edurank.plans.joins import join_few_keys
 from edurank.plans.params import SchoolFilters
 from edurank.sources.store import Tables
@@ -28,15 +28,15 @@ def periods(tables: Tables, filters: SchoolFilters | None = None, schools: DataF
 def period_summary(school_years: DataFrame) -> DataFrame:
     """Average graduates, latest year and number of years per school."""
     return school_years.groupBy("school_id").agg(
-        exact_avg(F.col("graduates_total"), 1).alias("avg_graduates"),
-        F.max("year").alias("last_year"),
-        F.count_distinct("year").alias("ege_years"),
+        F.expr(f"{exact_avg('graduates_total', 1)} as avg_graduates"),
+        F.expr("max(year) as last_year"),
+        F.expr("count(distinct year) as ege_years"),
     )
 
 
 def subject_rows(tables: Tables, school_years: DataFrame) -> DataFrame:
     """Subject statistics of the given school years that stand for people."""
-    stats = tables["ege_school_subject_stat"].where(has_people(F.col("participants_cnt"), F.col("chosen_cnt")))
+    stats = tables["ege_school_subject_stat"].where(HAS_PEOPLE)
     return stats.join(school_years.select("ege_school_year_id", "school_id"), "ege_school_year_id")
 
 
@@ -46,29 +46,29 @@ def school_subjects(rows: DataFrame) -> DataFrame:
     ``score_sum`` and ``score_cnt`` are kept because the mean over all rows of a
     school is not the mean of its subject means.
     """
-    people = F.coalesce("participants_cnt", "chosen_cnt", F.lit(0))
     return (
         rows.groupBy("school_id", "subject_id")
         .agg(
-            F.sum("avg_score").alias("score_sum"),
-            F.count("avg_score").alias("score_cnt"),
-            exact_avg(people, 2).alias("participants_avg"),
+            F.expr("sum(avg_score) as score_sum"),
+            F.expr("count(avg_score) as score_cnt"),
+            F.expr(f"{exact_avg(people(), 2)} as participants_avg"),
         )
-        .withColumn("avg_score", exact_ratio(F.col("score_sum"), F.col("score_cnt"), 2))
+        .selectExpr("*", f"{exact_ratio('score_sum', 'score_cnt', 2)} as avg_score")
     )
 
 
-def mean_score(score_sum: str = "score_sum", score_cnt: str = "score_cnt") -> Column:
-    """Mean over statistics rows from already summed parts (aggregate expression)."""
-    return exact_ratio(F.sum(score_sum), F.sum(score_cnt), 2)
+# Mean over statistics rows from already summed parts (aggregate).
+MEAN_SCORE = exact_ratio("sum(score_sum)", "sum(score_cnt)", 2)
 
 
-def reaches(score: Column, pass_mark: Column | None, min_avg_score: float | None) -> Column:
+def reaches(score: str, pass_mark: str | None, min_avg_score: float | None) -> str:
     """Score at or above the pass mark (none means 0) and the requested minimum."""
-    condition = F.lit(True) if pass_mark is None else score >= F.coalesce(pass_mark, F.lit(0))
+    conditions = []
+    if pass_mark is not None:
+        conditions.append(f"{score} >= coalesce({pass_mark}, 0)")
     if min_avg_score is not None:
-        condition = condition & (score >= F.lit(Decimal(str(min_avg_score))))
-    return condition
+        conditions.append(f"{score} >= {Decimal(str(min_avg_score)):f}BD")
+    return "(" + (" and ".join(conditions) or "true") + ")"
 
 
 def with_pass_marks(tables: Tables, subjects: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ names looked up for the returned rows alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edurank.functions.numeric import exact_ratio, round_even, to_int_even
+from edurank.functions.numeric import exact_avg, exact_ratio, round_even, to_int_even
 from edurank.operators import facts
 from edurank.operators.schools import narrows_schools, profile_names, schools_in_scope, with_place
 from edurank.plans.joins import join_few_keys
@@ -77,8 +77,8 @@ def scope_requirements(tables: Tables, filters: RatingFilters) -> DataFrame:
 def requirement_totals(requirements: DataFrame) -> DataFrame:
     """What a school has to offer for each program; depends on the program only."""
     return requirements.groupBy("program_id").agg(
-        F.count_if(F.col("role") == "required").alias("required_total"),
-        F.count_distinct(F.when(F.col("role") == "choice", F.col("weight"))).alias("choice_total"),
+        F.expr("count_if(role = 'required') as required_total"),
+        F.expr("count(distinct case when role = 'choice' then weight end) as choice_total"),
     )
 
 
@@ -88,71 +88,62 @@ def program_matches(subjects: DataFrame, requirements: DataFrame, filters: Ratin
     Only pairs with at least one satisfied subject appear; every other pair has
     zero in both figures and is accounted for by its absence.
     """
-    score = F.col("avg_score")
-    pass_mark = F.col("min_passing_score") if filters.enforce_subject_threshold else None
-    satisfied = facts.reaches(score, pass_mark, filters.min_avg_score)
-    hits = (
+    satisfied = facts.reaches(
+        "avg_score", "min_passing_score" if filters.enforce_subject_threshold else None, filters.min_avg_score
+    )
+    # required subjects form one row, each choice group another one
+    groups = (
         join_few_keys(
             subjects.select("school_id", "subject_id", "avg_score", "participants_avg"),
             requirements,
             ["subject_id"],
             F.col("school_id"),
         )
-        .where(F.coalesce(satisfied, F.lit(False)))
-        .withColumn("choice_group", F.when(F.col("role") == "choice", F.col("weight")))
-    )
-    # required subjects form one row, each choice group another one
-    groups = hits.groupBy("school_id", "program_id", "choice_group").agg(
-        F.count_if(F.col("role") == "required").alias("required_ok"),
-        F.min(F.when(F.col("role") == "required", F.col("participants_avg"))).alias("required_min"),
-        F.max(F.when(F.col("role") == "choice", F.col("participants_avg"))).alias("group_max"),
+        .where(satisfied)
+        .groupBy("school_id", "program_id", F.expr("case when role = 'choice' then weight end as choice_group"))
+        .agg(
+            F.expr("count_if(role = 'required') as required_ok"),
+            F.expr("min(case when role = 'required' then participants_avg end) as required_min"),
+            F.expr("max(case when role = 'choice' then participants_avg end) as group_max"),
+        )
     )
     pairs = groups.groupBy("school_id", "program_id").agg(
-        F.sum("required_ok").alias("required_ok"),
-        F.min("required_min").alias("required_min"),
-        F.count("choice_group").alias("choice_ok"),
-        F.min("group_max").alias("choice_min"),
+        F.expr("sum(required_ok) as required_ok"),
+        F.expr("min(required_min) as required_min"),
+        F.expr("count(choice_group) as choice_ok"),
+        F.expr("min(group_max) as choice_min"),
     )
     judged = join_few_keys(pairs, requirement_totals(requirements), ["program_id"], F.col("school_id"))
-    complete = (
-        (F.col("required_total") > 0)
-        & (F.col("required_ok") == F.col("required_total"))
-        & (F.col("choice_ok") == F.col("choice_total"))
-    )
-    return judged.select(
+    complete = "required_total > 0 and required_ok = required_total and choice_ok = choice_total"
+    return judged.selectExpr(
         "school_id",
         "program_id",
-        F.when(complete, F.least("required_min", "choice_min"))
-        .otherwise(0)
-        .cast("decimal(14,2)")
-        .alias("potential_applicants"),
-        exact_ratio(
-            F.col("required_ok") + F.col("choice_ok"), F.col("required_total") + F.col("choice_total"), 4
-        ).alias("threshold_share"),
+        f"cast(case when {complete} then least(required_min, choice_min) else 0 end as decimal(14,2)) "
+        "as potential_applicants",
+        f"{exact_ratio('(required_ok + choice_ok)', '(required_total + choice_total)', 4)} as threshold_share",
     )
 
 
 def program_summary(matches: DataFrame, requirements: DataFrame) -> DataFrame:
     """Admission figures per school over all programs of the scope."""
     total = requirements.select(F.count_distinct("program_id")).scalar()
-    matched = F.col("potential_applicants") > 0
+    best = "max(case when potential_applicants > 0 then threshold_share end)"
     return (
         matches.groupBy("school_id")
         .agg(
-            F.count_if(matched).alias("programs_matched"),
-            F.sum("potential_applicants").alias("potential_sum"),
-            F.coalesce(F.max(F.when(matched, F.col("threshold_share"))), F.max("threshold_share")).alias(
-                "program_threshold_share"
-            ),
+            F.expr("count_if(potential_applicants > 0) as programs_matched"),
+            F.expr("sum(potential_applicants) as potential_sum"),
+            F.expr(f"coalesce({best}, max(threshold_share)) as program_threshold_share"),
         )
         .withColumn("programs_total", total)
-        .withColumn("potential_applicants_avg", exact_ratio(F.col("potential_sum"), F.col("programs_total"), 2))
-        .drop("potential_sum")
+        .selectExpr(
+            "* except (potential_sum)",
+            f"{exact_ratio('potential_sum', 'programs_total', 2)} as potential_applicants_avg",
+        )
     )
 
 
-def program_label(code: Column, name: Column) -> Column:
-    return F.when(F.coalesce(code, F.lit("")) == "", name).otherwise(F.concat_ws(" ", code, name))
+PROGRAM_LABEL = "case when coalesce(code, '') = '' then program_name else concat(code, ' ', program_name) end"
 
 
 def matched_program_names(matches: DataFrame, programs: DataFrame) -> DataFrame:
@@ -160,7 +151,7 @@ def matched_program_names(matches: DataFrame, programs: DataFrame) -> DataFrame:
     return (
         matches.where(F.col("potential_applicants") > 0)
         .join(programs, "program_id")
-        .withColumn("label", program_label(F.col("code"), F.col("program_name")))
+        .selectExpr("*", f"{PROGRAM_LABEL} as label")
         .groupBy("school_id")
         .agg(
             F.expr("listagg(label, '; ') within group (order by program_name, program_id)").alias("matched_programs")
@@ -174,30 +165,26 @@ def matched_program_names(matches: DataFrame, programs: DataFrame) -> DataFrame:
 def school_figures(tables: Tables, subjects: DataFrame, filters: RatingFilters, scoring: DataFrame | None) -> DataFrame:
     """All score based figures of a school from one conditional aggregation."""
     marked = facts.with_pass_marks(tables, subjects)
-    scored = F.col("avg_score").isNotNull()
-    passed = scored & facts.reaches(F.col("avg_score"), F.col("min_passing_score"), filters.min_avg_score)
-    chosen = F.col("subject_id").isin(*filters.subject_ids) if filters.has_subjects else F.lit(False)
+    passed = f"avg_score is not null and {facts.reaches('avg_score', 'min_passing_score', filters.min_avg_score)}"
+    chosen = f"subject_id in ({', '.join(map(str, filters.subject_ids))})" if filters.has_subjects else "false"
+    counted = chosen
     if scoring is not None:
         marked = join_few_keys(
-            marked, scoring.withColumn("_scoring", F.lit(True)), ["subject_id"], F.col("school_id"), how="left"
+            marked, scoring.selectExpr("subject_id", "true as _scoring"), ["subject_id"], F.col("school_id"), how="left"
         )
-        counted = F.coalesce("_scoring", F.lit(False))
-    else:
-        counted = chosen
+        counted = "_scoring"
+    relevant = f"case when {counted} then avg_score end"
     return (
         marked.groupBy("school_id")
         .agg(
-            facts.mean_score().alias("avg_score_all"),
-            F.count("avg_score").alias("averaged"),
-            F.count_if(passed).alias("passed"),
-            F.count_if(chosen).alias("chosen_present"),
-            F.count_if(chosen & passed).alias("chosen_passed"),
-            F.sum(F.when(counted, F.col("avg_score"))).alias("_sum"),
-            F.count(F.when(counted, F.col("avg_score"))).alias("_cnt"),
+            F.expr(f"{facts.MEAN_SCORE} as avg_score_all"),
+            F.expr("count(avg_score) as averaged"),
+            F.expr(f"count_if({passed}) as passed"),
+            F.expr(f"count_if({chosen}) as chosen_present"),
+            F.expr(f"count_if({chosen} and {passed}) as chosen_passed"),
+            F.expr(f"{exact_avg(relevant, 2)} as admission_subject_avg"),
         )
-        .withColumn("admission_subject_avg", exact_ratio(F.col("_sum"), F.col("_cnt"), 2))
-        .withColumn("threshold_share_all", exact_ratio(F.col("passed"), F.col("averaged"), 4))
-        .drop("_sum", "_cnt")
+        .selectExpr("*", f"{exact_ratio('passed', 'averaged', 4)} as threshold_share_all")
     )
 
 
@@ -205,11 +192,11 @@ def _eligible(figures: DataFrame, filters: RatingFilters) -> DataFrame:
     """Chosen subjects present (and passed); without a scope, every averaged subject passed."""
     wanted = len(filters.subject_ids)
     if filters.has_subjects:
-        figures = figures.where(F.col("chosen_present") == wanted)
+        figures = figures.where(f"chosen_present = {wanted}")
         if filters.enforce_subject_threshold:
-            figures = figures.where(F.col("chosen_passed") == wanted)
+            figures = figures.where(f"chosen_passed = {wanted}")
     if filters.all_thresholds:
-        figures = figures.where((F.col("averaged") > 0) & (F.col("passed") == F.col("averaged")))
+        figures = figures.where("averaged > 0 and passed = averaged")
     return figures
 
 
@@ -235,101 +222,92 @@ def rating_candidates(tables: Tables, filters: RatingFilters) -> tuple[DataFrame
     rows = facts.period_summary(school_years).join(figures, "school_id", how)
     if filters.has_scope:
         matches = program_matches(subjects, requirements, filters)
-        rows = rows.join(program_summary(matches, requirements), "school_id", "left")
-        rows = rows.where(F.coalesce("potential_applicants_avg", F.lit(0)) > 0).withColumn(
-            "threshold_share", F.coalesce("program_threshold_share", F.lit(0)).cast("decimal(16,4)")
-        )
-        rows = rows.withColumn("avg_score_for_rating", F.col("admission_subject_avg"))
+        rows = rows.join(program_summary(matches, requirements), "school_id").where("potential_applicants_avg > 0")
+        scoped = [
+            "admission_subject_avg",
+            "admission_subject_avg as avg_score_for_rating",
+            "programs_total",
+            "programs_matched",
+            "potential_applicants_avg",
+            "program_threshold_share as threshold_share",
+        ]
     else:
-        rows = (
-            rows.withColumn("programs_total", F.lit(0))
-            .withColumn("programs_matched", F.lit(0))
-            .withColumn("potential_applicants_avg", F.lit(0).cast("decimal(14,2)"))
-            .withColumn("threshold_share", F.coalesce("threshold_share_all", F.lit(0)).cast("decimal(16,4)"))
-            .withColumn("admission_subject_avg", F.lit(None).cast("decimal(14,2)"))
-            .withColumn("avg_score_for_rating", F.col("avg_score_all"))
-        )
+        scoped = [
+            "cast(null as decimal(14,2)) as admission_subject_avg",
+            "avg_score_all as avg_score_for_rating",
+            "0L as programs_total",
+            "0L as programs_matched",
+            "cast(0 as decimal(14,2)) as potential_applicants_avg",
+            "cast(coalesce(threshold_share_all, 0) as decimal(16,4)) as threshold_share",
+        ]
+    rows = rows.selectExpr("school_id", "avg_graduates", "last_year", "ege_years", "avg_score_all", *scoped)
     if filters.min_graduates is not None:
-        rows = rows.where(F.coalesce("avg_graduates", F.lit(0)) >= filters.min_graduates)
+        rows = rows.where(f"coalesce(avg_graduates, 0) >= {int(filters.min_graduates)}")
     if filters.min_avg_score is not None:
-        rows = rows.where(
-            facts.reaches(F.coalesce("avg_score_for_rating", F.lit(0)), None, filters.min_avg_score)
-        )
+        rows = rows.where(facts.reaches("coalesce(avg_score_for_rating, 0)", None, filters.min_avg_score))
     rows = rows.join(schools.select("school_id", "full_name"), "school_id")
-    return (
-        rows.select(
-            "school_id",
-            "full_name",
-            "avg_graduates",
-            "last_year",
-            "ege_years",
-            "avg_score_all",
-            "admission_subject_avg",
-            "avg_score_for_rating",
-            F.coalesce("programs_total", F.lit(0)).alias("programs_total"),
-            F.coalesce("programs_matched", F.lit(0)).alias("programs_matched"),
-            "potential_applicants_avg",
-            "threshold_share",
-        ),
-        subjects if filters.has_scope else None,
-    )
+    return rows, (subjects if filters.has_scope else None)
 
 
 # --- scoring ---------------------------------------------------------------------------------
 
 
-def _share_of_max(value: str, top: Column) -> Column:
+def _share_of_max(value: str, top: str) -> str:
     """``value / max`` in exact numerics, zero for a non-positive maximum, as a double."""
-    exact = F.coalesce(F.col(value), F.lit(0)).cast("decimal(18,8)") / F.nullif(top, F.lit(0))
-    return F.when(top > 0, exact).otherwise(0).cast("double")
+    exact = f"cast(coalesce({value}, 0) as decimal(18,8)) / nullif({top}, 0)"
+    return f"cast(case when {top} > 0 then {exact} else 0 end as double)"
 
 
 def score_schools(candidates: DataFrame, filters: RatingFilters, weights: RatingWeights) -> DataFrame:
-    """Norms, weighted parts and the total score of every candidate."""
+    """Norms, weighted parts and the total score of every candidate.
+
+    The maxima are one row, read as a scalar subquery; a window over all schools
+    would put every school into one task.
+    """
     used = weights.effective(filters.has_scope)
-    peaks = candidates.select(
-        F.struct(
-            F.max(F.coalesce("avg_graduates", F.lit(0))).cast("decimal(11,1)").alias("graduates"),
-            F.max(F.coalesce("avg_score_for_rating", F.lit(0))).cast("decimal(8,2)").alias("score"),
-            F.max(F.coalesce("potential_applicants_avg", F.lit(0))).cast("decimal(12,2)").alias("potential"),
-        )
+    peaks = candidates.selectExpr(
+        "struct(cast(max(coalesce(avg_graduates, 0)) as decimal(11,1)) as graduates, "
+        "cast(max(coalesce(avg_score_for_rating, 0)) as decimal(8,2)) as score, "
+        "cast(max(coalesce(potential_applicants_avg, 0)) as decimal(12,2)) as potential)"
     ).scalar()
-    potential = _share_of_max("potential_applicants_avg", F.col("_peaks.potential"))
-    normed = candidates.withColumn("_peaks", peaks).select(
-        *candidates.columns,
-        _share_of_max("avg_graduates", F.col("_peaks.graduates")).alias("_g"),
-        _share_of_max("avg_score_for_rating", F.col("_peaks.score")).alias("_s"),
-        (potential if filters.has_scope else F.lit(0.0)).alias("_p"),
-        F.col("threshold_share").cast("double").alias("_t"),
+    potential = _share_of_max("potential_applicants_avg", "_peaks.potential") if filters.has_scope else "0D"
+    parts = (
+        candidates.withColumn("_peaks", peaks)
+        .selectExpr(
+            "* except (_peaks)",
+            f"{_share_of_max('avg_graduates', '_peaks.graduates')} as _g",
+            f"{_share_of_max('avg_score_for_rating', '_peaks.score')} as _s",
+            f"{potential} as _p",
+            "cast(threshold_share as double) as _t",
+        )
+        .selectExpr(
+            "*",
+            f"{used.graduates!r}D * _g as _pg",
+            f"{used.avg_score!r}D * _s as _ps",
+            f"{used.match_share!r}D * _p as _pp",
+            f"{used.threshold_share!r}D * _t as _pt",
+        )
+        .selectExpr("*", "_pg + _ps + _pp + _pt as _total")
     )
-    parts = normed.select(
-        "*",
-        (F.lit(used.graduates) * F.col("_g")).alias("_pg"),
-        (F.lit(used.avg_score) * F.col("_s")).alias("_ps"),
-        (F.lit(used.match_share) * F.col("_p")).alias("_pp"),
-        (F.lit(used.threshold_share) * F.col("_t")).alias("_pt"),
-    ).withColumn("_total", F.col("_pg") + F.col("_ps") + F.col("_pp") + F.col("_pt"))
-    potential_avg = F.col("potential_applicants_avg").cast("double") if filters.has_scope else F.lit(None)
     doubles = ("avg_graduates", "avg_score_all", "admission_subject_avg", "avg_score_for_rating")
-    return parts.select(
+    return parts.selectExpr(
         "school_id",
         "full_name",
         "last_year",
         "ege_years",
         "programs_total",
         "programs_matched",
-        *(F.col(name).cast("double").alias(name) for name in doubles),
-        potential_avg.cast("double").alias("potential_applicants_avg"),
-        F.col("_t").alias("threshold_share"),
-        round_even(F.col("_g"), 4).alias("norm_graduates"),
-        round_even(F.col("_s"), 4).alias("norm_avg_score"),
-        round_even(F.col("_p"), 4).alias("norm_potential_applicants"),
-        round_even(F.col("_p"), 4).alias("match_share"),
-        round_even(F.col("_pg"), 6).alias("score_part_graduates"),
-        round_even(F.col("_ps"), 6).alias("score_part_avg_score"),
-        round_even(F.col("_pp"), 6).alias("score_part_potential"),
-        round_even(F.col("_pt"), 6).alias("score_part_threshold"),
-        round_even(F.col("_total"), 6).alias("rating_score"),
+        *(f"cast({name} as double) as {name}" for name in doubles),
+        f"cast({'potential_applicants_avg' if filters.has_scope else 'null'} as double) as potential_applicants_avg",
+        "_t as threshold_share",
+        f"{round_even('_g', 4)} as norm_graduates",
+        f"{round_even('_s', 4)} as norm_avg_score",
+        f"{round_even('_p', 4)} as norm_potential_applicants",
+        f"{round_even('_pg', 6)} as score_part_graduates",
+        f"{round_even('_ps', 6)} as score_part_avg_score",
+        f"{round_even('_pp', 6)} as score_part_potential",
+        f"{round_even('_pt', 6)} as score_part_threshold",
+        f"{round_even('_total', 6)} as rating_score",
     )
 
 
@@ -366,8 +344,13 @@ def rate_schools(tables: Tables, filters: RatingFilters, weights: RatingWeights
     else:
         result = result.withColumn("matched_programs", F.lit(None).cast("string"))
     return (
-        result.withColumn("profile_names", F.coalesce("profile_names", F.lit("")))
-        .withColumn("matched_programs", F.coalesce("matched_programs", F.lit("")))
+        result.withColumns(
+            {
+                "profile_names": F.expr("coalesce(profile_names, '')"),
+                "matched_programs": F.expr("coalesce(matched_programs, '')"),
+                "match_share": F.col("norm_potential_applicants"),
+            }
+        )
         .select(*RATING_COLUMNS)
         .orderBy("rank_pos")
     )
@@ -380,47 +363,45 @@ PARTS = ("score_part_graduates", "score_part_avg_score", "score_part_potential",
 
 def rating_top_parts(ranked: DataFrame, top: int = 10) -> DataFrame:
     """Score parts of the best schools, their share of the school's total and of the best total."""
-    total = sum((F.coalesce(F.col(p), F.lit(0.0)) for p in PARTS[1:]), F.coalesce(F.col(PARTS[0]), F.lit(0.0)))
-    rows = ranked.where(F.col("rank_pos") <= top).select(
-        "rank_pos", F.col("full_name").alias("name"), *PARTS, total.alias("_total")
+    total = " + ".join(f"coalesce({p}, 0D)" for p in PARTS)
+    return (
+        ranked.where(F.col("rank_pos") <= top)
+        .selectExpr("rank_pos", "full_name as name", *PARTS, f"{total} as _total")
+        .selectExpr("* except (_total)", f"{round_even('_total', 6)} as score_total")
+        .selectExpr(
+            "*",
+            *(
+                f"case when score_total > 0 then {p} / nullif(score_total, 0) else 0D end as "
+                + p.replace("score_part", "share")
+                for p in PARTS
+            ),
+            # at most `top` rows in this window
+            "score_total / nullif(max(score_total) over (partition by 1), 0) as relative_to_top",
+        )
+        .orderBy("rank_pos")
     )
-    rows = rows.withColumn("score_total", round_even(F.col("_total"), 6)).drop("_total")
-    whole = Window.partitionBy(F.lit(1))  # at most `top` rows
-    rows = rows.withColumn("_peak", F.max("score_total").over(whole))
-    share = {p: F.when(F.col("score_total") > 0, F.col(p) / F.col("score_total")).otherwise(0.0) for p in PARTS}
-    return rows.select(
-        "rank_pos",
-        "name",
-        "score_total",
-        *PARTS,
-        *(share[p].alias(p.replace("score_part", "share")) for p in PARTS),
-        F.when(F.col("_peak") > 0, F.col("score_total") / F.col("_peak")).otherwise(0.0).alias("relative_to_top"),
-    ).orderBy("rank_pos")
 
 
 def rating_export(ranked: DataFrame, filters: RatingFilters) -> DataFrame:
     """Columns of the rating sheet; potential applicants only with a scope."""
     potential = (
-        [to_int_even(F.col("potential_applicants_avg")).alias("potential_applicants_avg")]
-        if filters.has_scope
-        else []
+        [f"{to_int_even('potential_applicants_avg')} as potential_applicants_avg"] if filters.has_scope else []
     )
-    with_pct = ranked.withColumn("_pct", F.col("threshold_share") * 100.0)
-    return with_pct.select(
+    return ranked.selectExpr("*", "threshold_share * 100D as _pct").selectExpr(
         "rank_pos",
         "school_id",
         "region_name",
         "municipality_name",
         "full_name",
         "profile_names",
-        to_int_even(F.col("avg_graduates")).alias("avg_graduates"),
+        f"{to_int_even('avg_graduates')} as avg_graduates",
         "avg_score_all",
         "ege_years",
         "last_year",
         "programs_total",
         "programs_matched",
         *potential,
-        round_even(F.col("_pct"), 2).alias("threshold_share_pct"),
+        f"{round_even('_pct', 2)} as threshold_share_pct",
         "rating_score",
         "matched_programs",
     )

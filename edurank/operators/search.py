@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edurank.functions.numeric import exact_ratio, has_people
+from edurank.functions.numeric import HAS_PEOPLE, exact_ratio
 from edurank.operators import facts
 from edurank.operators.schools import profile_names, schools_in_scope
 from edurank.plans.materialize import materialize
@@ -49,18 +49,16 @@ def matching_schools(tables: Tables, filters: SchoolFilters) -> DataFrame:
 def search_summary(tables: Tables, wanted: DataFrame | None) -> DataFrame:
     """Period and score summary over all years and kinds, whatever the filters say."""
     school_years = facts.periods(tables, None, wanted)
-    stats = tables["ege_school_subject_stat"].where(
-        F.col("avg_score").isNotNull() & has_people(F.col("participants_cnt"), F.col("chosen_cnt"))
-    )
+    stats = tables["ege_school_subject_stat"].where(f"avg_score is not null and {HAS_PEOPLE}")
     # per school year first: the school shuffle then carries one row per year
     per_year = stats.groupBy("ege_school_year_id").agg(
-        F.sum("avg_score").alias("_sum"), F.count("avg_score").alias("_cnt")
+        F.expr("sum(avg_score) as _sum"), F.expr("count(avg_score) as _cnt")
     )
     scores = (
         school_years.select("ege_school_year_id", "school_id")
         .join(per_year, "ege_school_year_id")
         .groupBy("school_id")
-        .agg(exact_ratio(F.sum("_sum"), F.sum("_cnt"), 2).alias("avg_score"))
+        .agg(F.expr(f"{exact_ratio('sum(_sum)', 'sum(_cnt)', 2)} as avg_score"))
     )
     return facts.period_summary(school_years).join(scores, "school_id", "left")
 
@@ -70,19 +68,19 @@ def describe(tables: Tables, schools: DataFrame, wanted: DataFrame | None) -> Da
     return (
         schools.join(profile_names(tables, wanted), "school_id", "left")
         .join(search_summary(tables, wanted), "school_id", "left")
-        .select(
+        .selectExpr(
             "school_id",
             "full_name",
-            F.lit(None).cast("string").alias("short_name"),
+            "cast(null as string) as short_name",
             "is_active",
             "region_id",
             "region_name",
             "municipality_id",
             "municipality_name",
-            F.coalesce("profile_names", F.lit("")).alias("profile_names"),
+            "coalesce(profile_names, '') as profile_names",
             "last_year",
             "ege_years",
-            F.coalesce("avg_graduates", F.lit(0)).cast("decimal(10,1)").alias("avg_graduates"),
+            "cast(coalesce(avg_graduates, 0) as decimal(10,1)) as avg_graduates",
             "avg_score",
         )
     )
@@ -111,16 +109,16 @@ def search_schools(tables: Tables, filters: SchoolFilters, page: Page | None = N
 
 def search_export(tables: Tables, filters: SchoolFilters) -> DataFrame:
     """Columns of the search sheet."""
-    return search_all(tables, filters).select(
+    return search_all(tables, filters).selectExpr(
         "school_id",
-        F.col("region_name").alias("region"),
-        F.col("municipality_name").alias("municipality"),
-        F.col("full_name").alias("school"),
+        "region_name as region",
+        "municipality_name as municipality",
+        "full_name as school",
         "short_name",
-        F.col("profile_names").alias("profiles"),
+        "profile_names as profiles",
         "is_active",
-        F.col("last_year").alias("ege_last_year"),
+        "last_year as ege_last_year",
         "ege_years",
-        F.col("avg_graduates").cast("double").alias("ege_avg_graduates"),
-        F.col("avg_score").cast("double").alias("ege_avg_score"),
+        "cast(avg_graduates as double) as ege_avg_graduates",
+        "cast(avg_score as double) as ege_avg_score",
     )

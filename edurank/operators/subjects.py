@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edurank.functions.numeric import clamp, exact_ratio, round_even
@@ -13,9 +13,8 @@ from edurank.sources.store import Tables
 GREEN_MARGIN = 5.0
 FLAT_DELTA = 0.2
 
-
-def _actual(kind: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(kind, F.lit("")))) == "actual"
+_IS_ACTUAL = "lower(trim(coalesce(kind, ''))) = 'actual'"
+_PEOPLE = "greatest(coalesce(participants_cnt, chosen_cnt, 0), 0)"
 
 
 def subject_year_stats(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
@@ -24,164 +23,129 @@ def subject_year_stats(tables: Tables, wanted: DataFrame | None = None) -> DataF
     The average is weighted by people; rows without people only count when there
     is no weighted row.
     """
-    people = F.greatest(F.coalesce("participants_cnt", "chosen_cnt", F.lit(0)), F.lit(0))
-    has_score = F.col("avg_score").isNotNull()
-
-    def total(column: str) -> Column:
-        return F.sum(F.greatest(F.coalesce(column, F.lit(0)), F.lit(0)))
-
+    scored_people = f"case when avg_score is not null then {_PEOPLE} end"
+    alone = f"avg_score is not null and {_PEOPLE} = 0"
+    weighted = exact_ratio(f"sum(avg_score * {_PEOPLE})", f"sum({scored_people})", 12)
+    plain = exact_ratio(f"sum(case when {alone} then avg_score end)", f"count_if({alone})", 12)
     return (
         card_subject_rows(tables, wanted)
-        .where(_actual(F.col("kind")) & (F.trim(F.coalesce("subject_name", F.lit(""))) != ""))
-        .withColumn("_people", people)
-        .groupBy("school_id", "subject_id", F.trim("subject_name").alias("subject_name"), "year")
+        .where(f"{_IS_ACTUAL} and trim(coalesce(subject_name, '')) <> ''")
+        .groupBy("school_id", "subject_id", F.expr("trim(subject_name) as subject_name"), "year")
         .agg(
-            F.max("min_passing_score").alias("min_passing_score"),
-            F.sum("_people").alias("participants"),
-            total("not_passed_cnt").alias("not_passed"),
-            total("high_80_99_cnt").alias("high_80_99"),
-            total("score_100_cnt").alias("score_100"),
-            exact_ratio(
-                F.sum(F.when(has_score, F.col("avg_score") * F.col("_people"))),
-                F.sum(F.when(has_score, F.col("_people"))),
-                12,
-            ).alias("_weighted"),
-            exact_ratio(
-                F.sum(F.when(has_score & (F.col("_people") == 0), F.col("avg_score"))),
-                F.count_if(has_score & (F.col("_people") == 0)),
-                12,
-            ).alias("_plain"),
+            F.expr("max(min_passing_score) as min_passing_score"),
+            F.expr(f"sum({_PEOPLE}) as participants"),
+            *(
+                F.expr(f"sum(greatest(coalesce({name}_cnt, 0), 0)) as {name}")
+                for name in ("not_passed", "high_80_99", "score_100")
+            ),
+            F.expr(f"cast(coalesce({weighted}, {plain}) as double) as _mean"),
         )
-        .withColumn("_mean", F.coalesce("_weighted", "_plain").cast("double"))
-        .withColumn("year_avg", round_even(F.col("_mean"), 2))
-        .drop("_weighted", "_plain", "_mean")
+        .selectExpr("* except (_mean)", f"{round_even('_mean', 2)} as year_avg")
     )
 
 
-def threshold_status(score: Column, pass_mark: Column) -> Column:
+def _status(score: str, pass_mark: str) -> str:
     """green with a margin above the pass mark, yellow at it, red below, na when unknown."""
     return (
-        F.when(score.isNull() | pass_mark.isNull(), "na")
-        .when(score >= pass_mark + GREEN_MARGIN, "green")
-        .when(score >= pass_mark, "yellow")
-        .otherwise("red")
+        f"case when {score} is null or {pass_mark} is null then 'na' "
+        f"when {score} >= {pass_mark} + {GREEN_MARGIN}D then 'green' when {score} >= {pass_mark} then 'yellow' "
+        "else 'red' end"
     )
 
 
-def _ratio(value: str, invert: bool = False) -> Column:
+def _ratio(value: str, invert: bool = False) -> str:
     """Place of a value between the school's smallest and largest one; 1 when they are equal."""
-    school = Window.partitionBy("school_id")
-    low, high, x = F.min(value).over(school), F.max(value).over(school), F.col(value)
-    place = F.when(high > low, (x - low) / F.nullif(high - low, F.lit(0.0))).otherwise(1.0)
-    place = clamp(place, 0.0, 1.0)
-    return F.when(x.isNotNull(), 1.0 - place if invert else place)
+    low, high = (f"{f}({value}) over (partition by school_id)" for f in ("min", "max"))
+    place = f"case when {high} > {low} then ({value} - {low}) / nullif({high} - {low}, 0D) else 1D end"
+    return f"case when {value} is not null then {'1D - ' if invert else ''}{place} end"
 
 
 def subject_heat(year_stats: DataFrame) -> DataFrame:
-    """Means over years per school and subject with their relative position in the school."""
-    counted = F.col("participants") > 0
+    """Means over years per school and subject with their relative position in the school.
 
-    def percent(part: str) -> Column:
-        share = F.col(part).cast("decimal(12,0)") * 100 / F.nullif(F.col("participants"), F.lit(0)).cast(
-            "decimal(12,0)"
-        )
-        return F.when(counted, share.cast("decimal(20,14)"))
+    Means are exact decimal sums, so they do not depend on the order of the rows.
+    """
 
-    def mean(value: Column) -> Column:
-        return (F.sum(value).cast("decimal(28,14)") / F.nullif(F.count(value), F.lit(0)).cast("decimal(6,0)")).cast(
-            "double"
-        )
+    def percent(part: str) -> str:
+        share = f"cast({part} as decimal(12,0)) * 100 / cast(nullif(participants, 0) as decimal(12,0))"
+        return f"case when participants > 0 then cast({share} as decimal(20,14)) end"
 
-    means = year_stats.groupBy("school_id", "subject_id", "subject_name").agg(
-        F.max("min_passing_score").cast("double").alias("min_passing_score"),
-        mean(F.when(counted, F.col("participants"))).alias("participants_cnt"),
-        mean(F.col("year_avg").cast("decimal(7,2)")).alias("avg_score"),
-        mean(percent("not_passed")).alias("not_passed_pct"),
-        mean(percent("high_80_99")).alias("high_80_99_pct"),
-        mean(percent("score_100")).alias("score_100_pct"),
-    )
-    rounded = means.select(
-        "school_id",
-        "subject_id",
-        "subject_name",
-        round_even(F.col("participants_cnt"), 1).alias("participants_cnt"),
-        *(
-            round_even(F.col(c), 2).alias(c)
-            for c in ("avg_score", "not_passed_pct", "high_80_99_pct", "score_100_pct")
-        ),
-        "min_passing_score",
-    )
+    def mean(value: str) -> str:
+        return f"cast(cast(sum({value}) as decimal(28,14)) / cast(nullif(count({value}), 0) as decimal(6,0)) as double)"
+
+    means = {
+        "participants_cnt": mean("case when participants > 0 then participants end"),
+        "avg_score": mean("cast(year_avg as decimal(7,2))"),
+        "not_passed_pct": mean(percent("not_passed")),
+        "high_80_99_pct": mean(percent("high_80_99")),
+        "score_100_pct": mean(percent("score_100")),
+    }
+    digits = {"participants_cnt": 1}
+    base = ["school_id", "subject_id", "subject_name", *means, "min_passing_score"]
     return (
-        rounded.withColumn("_delta", F.col("avg_score") - F.col("min_passing_score"))
-        .select(
-            *rounded.columns,
-            threshold_status(F.col("avg_score"), F.col("min_passing_score")).alias("threshold_status"),
-            clamp(F.col("avg_score"), 0.0, 100.0).alias("avg_score_pos"),
-            clamp(F.col("min_passing_score"), 0.0, 100.0).alias("min_score_pos"),
-            round_even(F.col("_delta"), 2).alias("threshold_delta"),
-            _ratio("avg_score").alias("avg_score_ratio"),
-            _ratio("participants_cnt").alias("participants_ratio"),
-            _ratio("not_passed_pct", invert=True).alias("not_passed_ratio"),
-            _ratio("high_80_99_pct").alias("high_80_99_ratio"),
-            _ratio("score_100_pct").alias("score_100_ratio"),
+        year_stats.groupBy("school_id", "subject_id", "subject_name")
+        .agg(
+            F.expr("cast(max(min_passing_score) as double) as min_passing_score"),
+            *(F.expr(f"{value} as {name}") for name, value in means.items()),
+        )
+        .selectExpr(*(f"{round_even(c, digits.get(c, 2))} as {c}" if c in means else c for c in base))
+        .selectExpr("*", "avg_score - min_passing_score as _delta")
+        .selectExpr(
+            *base,
+            f"{_status('avg_score', 'min_passing_score')} as threshold_status",
+            f"{clamp('avg_score', '0D', '100D')} as avg_score_pos",
+            f"{clamp('min_passing_score', '0D', '100D')} as min_score_pos",
+            f"{round_even('_delta', 2)} as threshold_delta",
+            # windows over the subjects of one school
+            f"{_ratio('avg_score')} as avg_score_ratio",
+            f"{_ratio('participants_cnt')} as participants_ratio",
+            f"{_ratio('not_passed_pct', invert=True)} as not_passed_ratio",
+            f"{_ratio('high_80_99_pct')} as high_80_99_ratio",
+            f"{_ratio('score_100_pct')} as score_100_ratio",
         )
     )
 
 
 def school_last_years(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     """First, latest and second latest actual year per school, subjects or not."""
-    years = tables["ege_school_year"].where(_actual(F.col("kind")))
+    years = tables["ege_school_year"].where(_IS_ACTUAL)
     if wanted is not None:
         years = years.join(wanted.select("school_id"), "school_id", "left_semi")
     # distinct years of a school: at most one per calendar year
-    known = F.sort_array(F.collect_set("year"), asc=False)
     return (
         years.groupBy("school_id")
-        .agg(known.alias("_years"))
-        .select(
+        .agg(F.expr("sort_array(collect_set(year), false) as _years"))
+        .selectExpr(
             "school_id",
-            F.element_at("_years", -1).alias("first_year"),
-            F.get("_years", F.lit(0)).alias("latest_year"),
-            F.get("_years", F.lit(1)).alias("prev_year"),
+            "element_at(_years, -1) as first_year",
+            "get(_years, 0) as latest_year",
+            "get(_years, 1) as prev_year",
         )
     )
 
 
 def subject_compare(year_stats: DataFrame, last_years: DataFrame) -> DataFrame:
     """Latest year against the school's previous year, per subject."""
-    year = F.col("year")
-    compared = (
+    return (
         year_stats.select("school_id", "subject_id", "subject_name", "year", "year_avg")
         .join(last_years, "school_id")
-        .where((year == F.col("latest_year")) | (year == F.col("prev_year")))
+        .where("year = latest_year or year = prev_year")
         .groupBy("school_id", "subject_id", "subject_name", "latest_year", "prev_year")
         .agg(
-            F.max(F.when(year == F.col("latest_year"), F.col("year_avg"))).alias("latest_score"),
-            F.max(F.when(year == F.col("prev_year"), F.col("year_avg"))).alias("prev_score"),
+            F.expr("max(case when year = latest_year then year_avg end) as latest_score"),
+            F.expr("max(case when year = prev_year then year_avg end) as prev_score"),
+        )
+        .where("latest_score is not null")
+        .selectExpr("*", "latest_score - prev_score as _delta")
+        .selectExpr("* except (_delta)", f"{round_even('_delta', 2)} as delta")
+        .selectExpr("*", "max(abs(delta)) over (partition by school_id) as _peak")
+        .selectExpr(
+            "* except (_peak)",
+            f"case when delta is null then 'na' when delta > {FLAT_DELTA}D then 'up' "
+            f"when delta < -{FLAT_DELTA}D then 'down' else 'flat' end as delta_status",
+            f"{clamp('latest_score', '0D', '100D')} as bar_width",
+            "case when delta is not null then coalesce(abs(delta) / nullif(_peak, 0D), 0D) end as delta_ratio",
         )
-        .where(F.col("latest_score").isNotNull())
-        .withColumn("_delta", F.col("latest_score") - F.col("prev_score"))
-        .withColumn("delta", round_even(F.col("_delta"), 2))
-    )
-    delta, peak = F.col("delta"), F.max(F.abs("delta")).over(Window.partitionBy("school_id"))
-    return compared.select(
-        "school_id",
-        "subject_id",
-        "subject_name",
-        "latest_year",
-        "prev_year",
-        "latest_score",
-        "prev_score",
-        "delta",
-        F.when(delta.isNull(), "na")
-        .when(delta > FLAT_DELTA, "up")
-        .when(delta < -FLAT_DELTA, "down")
-        .otherwise("flat")
-        .alias("delta_status"),
-        clamp(F.col("latest_score"), 0.0, 100.0).alias("bar_width"),
-        F.when(
-            delta.isNotNull(), F.when(peak > 0, F.abs(delta) / F.nullif(peak, F.lit(0.0))).otherwise(0.0)
-        ).alias("delta_ratio"),
     )
 
 

@@ -100,13 +100,11 @@ class TableStore:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns, order and types of the table; absent columns become null."""
-    present = set(df.columns)
-    return df.select(
-        *(
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in struct_type(table)
-        )
-    )
+    types = dict(df.dtypes)
+    wanted = [(f.name, f.dataType.simpleString()) for f in struct_type(table)]
+    if list(types.items()) == wanted:
+        return df
+    return df.selectExpr(*(f"cast({name if name in types else 'null'} as {kind}) as {name}" for name, kind in wanted))
 
 
 def next_id(df: DataFrame, key: str):

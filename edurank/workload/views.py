@@ -11,12 +11,29 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from edurank.sources.schema import SCHEMAS
 from edurank.sources.store import Tables, conform
 
-BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# Columns of the test tables (explicit, so that reading needs no inference job).
+BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+BASE_TABLES = tuple(BASE_SCHEMAS)
 
 _YEAR_ID = "o_custkey * 100 + (year(o_orderdate) - 1995) * 2 + case when o_orderstatus = 'O' then 1 else 0 end"
 _KIND = "case when o_orderstatus = 'O' then 'plan' else 'actual' end"
@@ -172,15 +189,16 @@ def with_views(sql: str, *names: str, ctes: Iterable[tuple[str, str]] = ()) -> s
     return "with " + ",\n".join(heads) + "\n" + sql
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a Spark DataFrame over the Parquet files."""
-    frames: dict[str, DataFrame] = {}
+def view(spark: SparkSession, sf_dir: str, name: str, frames: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One view as a Spark DataFrame over the Parquet files; ``frames`` keeps what was built."""
+    frames = {} if frames is None else frames
     for step in _closure([name]):
+        if step in frames:
+            continue
         needs, text = VIEWS[step]
         for needed in needs:
             if needed not in frames:
-                frames[needed] = spark.read.parquet(f"{sf_dir}/{needed}.parquet")
-        for needed in needs:
+                frames[needed] = spark.read.schema(BASE_SCHEMAS[needed]).parquet(f"{sf_dir}/{needed}.parquet")
             text = _replace_relation(text, needed)
         frames[step] = spark.sql(text.replace("{div}", "div"), **{n: frames[n] for n in needs})
     return frames[name]
@@ -197,6 +215,7 @@ class DomainTables(Tables):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark)
         self._sf_dir = sf_dir
+        self._views: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames and name in _MODEL:
@@ -205,19 +224,24 @@ class DomainTables(Tables):
 
     def _derive(self, name: str) -> DataFrame:
         source, renamed = _MODEL[name]
-        df = view(self.spark, self._sf_dir, source).withColumnsRenamed(renamed)
+        df = self.view(source).withColumnsRenamed(renamed)
         if name == "ege_school_subject_stat":
-            hundredths = F.col("avg_h").cast("decimal(9,0)")
-            df = df.withColumn("avg_score", hundredths * F.lit("0.01").cast("decimal(2,2)")).withColumn(
-                "ege_school_subject_stat_id", F.col("ege_school_year_id") * 20 + F.col("subject_id")
+            df = df.selectExpr(
+                "*",
+                "cast(avg_h as decimal(9,0)) * 0.01 as avg_score",
+                "ege_school_year_id * 20 + subject_id as ege_school_subject_stat_id",
             )
         if name == "program_ege_requirement":
-            df = df.withColumn("req_id", F.col("program_id") * 20 + F.col("subject_id"))
+            df = df.selectExpr("*", "program_id * 20 + subject_id as req_id")
         return conform(df, name)
 
+    def view(self, name: str) -> DataFrame:
+        return view(self.spark, self._sf_dir, name, self._views)
+
     def with_tables(self, changed):
         copy = DomainTables(self.spark, self._sf_dir)
         copy._frames = {**self._frames, **changed}
+        copy._views = self._views
         return copy
 
 
