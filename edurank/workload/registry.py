@@ -37,7 +37,7 @@ def publish(df: DataFrame) -> DataFrame:
     """Plain column types for comparison: whole numbers as bigint, decimals as double."""
 
     def plain(field: T.StructField):
-        column = F.col(field.name)
+        column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             return column.cast("bigint").alias(field.name)
         if isinstance(field.dataType, T.DecimalType):
