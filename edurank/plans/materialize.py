@@ -1,28 +1,39 @@
-"""Cutting lineage in storage every executor can reach."""
+"""Keeping intermediate results in storage every executor can reach."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "edurank-intermediate"
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+
+def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by the session; a scratch folder only on a local master."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="edurank-checkpoint-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        folder = tempfile.mkdtemp(prefix="edurank-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and keep the rows in reliable storage, so that several
-    consumers do not repeat the work and lost executors do not matter."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, write as Parquet to the shared folder and read back.
+
+    Several consumers then share one computation, lost executors do not matter,
+    readers take only the columns they need and joins see the real size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{FOLDER}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the shared folder once no result needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{FOLDER}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from edurank.workload import analytics_queries, quality_queries, run_queries  # noqa: F401
+from edurank.workload import analytics_queries, ingest_queries, quality_queries, run_queries  # noqa: F401
 from edurank.workload.registry import REGISTRY, run
 
 __all__ = ["REGISTRY", "run"]

@@ -63,6 +63,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "select cast(row_number() over (order by name) as bigint) as profile_id, name "
         "from (select distinct c_mktsegment as name from customer) segments",
     ),
+    "f_segment": (("customer",), "select c_custkey as school_id, lower(c_mktsegment) as segment from customer"),
     "f_profile_link": (
         ("customer", "f_profile"),
         "select c_custkey as school_id, p.profile_id from customer join f_profile p on p.name = c_mktsegment "
