@@ -8,6 +8,8 @@ names looked up for the returned rows alone.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,24 @@ def scope_requirements(tables: Tables, filters: RatingFilters) -> DataFrame:
     return result
 
 
+def by_school(rows: DataFrame) -> DataFrame:
+    """Spread over all shuffle partitions; a fixed number keeps small inputs of a growing join apart."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "school_id")
+
+
+def requirement_plans(requirements: DataFrame) -> DataFrame:
+    """Programs asking for the same subjects in the same roles share a plan.
+
+    ``plan_id`` is the lowest program of the plan, ``programs`` their number.  Schools
+    are judged once per plan, and there are far fewer plans than programs.
+    """
+    needs = requirements.groupBy("program_id").agg(
+        F.expr("array_sort(collect_list(struct(subject_id, role, weight))) as _needs")
+    )
+    plans = needs.groupBy("_needs").agg(F.expr("min(program_id) as plan_id"), F.expr("count(*) as programs"))
+    return needs.join(plans, "_needs").select("program_id", "plan_id", "programs")
+
+
 def requirement_totals(requirements: DataFrame) -> DataFrame:
     """What a school has to offer for each program; depends on the program only."""
     return requirements.groupBy("program_id").agg(
@@ -82,19 +102,26 @@ def requirement_totals(requirements: DataFrame) -> DataFrame:
     )
 
 
-def program_matches(subjects: DataFrame, requirements: DataFrame, filters: RatingFilters) -> DataFrame:
-    """Potential applicants and threshold share per school and program.
+def plan_matches(
+    subjects: DataFrame, requirements: DataFrame, plans: DataFrame, filters: RatingFilters
+) -> DataFrame:
+    """Potential applicants and threshold share per school and requirement plan.
 
     Only pairs with at least one satisfied subject appear; every other pair has
     zero in both figures and is accounted for by its absence.
+
+    A school has one row per subject here, so rows are spread by school before
+    they multiply: every grouping below then stays inside its partition.
     """
+    leading = plans.where("program_id = plan_id").select("program_id", "programs")
+    requirements = requirements.join(leading, "program_id", "left_semi")
     satisfied = facts.reaches(
         "avg_score", "min_passing_score" if filters.enforce_subject_threshold else None, filters.min_avg_score
     )
     # required subjects form one row, each choice group another one
     groups = (
         join_few_keys(
-            subjects.select("school_id", "subject_id", "avg_score", "participants_avg"),
+            by_school(subjects.select("school_id", "subject_id", "avg_score", "participants_avg")),
             requirements,
             ["subject_id"],
             F.col("school_id"),
@@ -113,26 +140,39 @@ def program_matches(subjects: DataFrame, requirements: DataFrame, filters: Ratin
         F.expr("count(choice_group) as choice_ok"),
         F.expr("min(group_max) as choice_min"),
     )
-    judged = join_few_keys(pairs, requirement_totals(requirements), ["program_id"], F.col("school_id"))
+    totals = requirement_totals(requirements).join(leading, "program_id")
+    judged = join_few_keys(pairs, totals, ["program_id"], F.col("school_id"))
     complete = "required_total > 0 and required_ok = required_total and choice_ok = choice_total"
     return judged.selectExpr(
         "school_id",
-        "program_id",
+        "program_id as plan_id",
+        "programs",
         f"cast(case when {complete} then least(required_min, choice_min) else 0 end as decimal(14,2)) "
         "as potential_applicants",
         f"{exact_ratio('(required_ok + choice_ok)', '(required_total + choice_total)', 4)} as threshold_share",
     )
 
 
-def program_summary(matches: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Admission figures per school over all programs of the scope."""
-    total = requirements.select(F.count_distinct("program_id")).scalar()
+def program_matches(
+    subjects: DataFrame, requirements: DataFrame, plans: DataFrame, filters: RatingFilters
+) -> DataFrame:
+    """Potential applicants and threshold share per school and program (pairs with a hit)."""
+    judged = plan_matches(subjects, requirements, plans, filters).drop("programs")
+    members = plans.select("program_id", "plan_id")
+    return join_few_keys(judged, members, ["plan_id"], F.col("school_id")).select(
+        "school_id", "program_id", "potential_applicants", "threshold_share"
+    )
+
+
+def program_summary(matches: DataFrame, plans: DataFrame) -> DataFrame:
+    """Admission figures per school over all programs of the scope, from plan matches."""
+    total = plans.select(F.count(F.lit(1))).scalar()
     best = "max(case when potential_applicants > 0 then threshold_share end)"
     return (
         matches.groupBy("school_id")
         .agg(
-            F.expr("count_if(potential_applicants > 0) as programs_matched"),
-            F.expr("sum(potential_applicants) as potential_sum"),
+            F.expr("coalesce(sum(if(potential_applicants > 0, programs, 0)), 0) as programs_matched"),
+            F.expr("sum(potential_applicants * programs) as potential_sum"),
             F.expr(f"coalesce({best}, max(threshold_share)) as program_threshold_share"),
         )
         .withColumn("programs_total", total)
@@ -200,19 +240,26 @@ def _eligible(figures: DataFrame, filters: RatingFilters) -> DataFrame:
     return figures
 
 
-def rating_candidates(tables: Tables, filters: RatingFilters) -> tuple[DataFrame, DataFrame | None]:
-    """Schools that take part in the rating with their figures, before scoring.
+@dataclass(frozen=True)
+class Candidates:
+    """Schools that take part in a rating; with a scope also what their matches come from."""
 
-    Also returns the school x subject table when the scope needs it again.
-    """
+    rows: DataFrame
+    subjects: DataFrame | None = None
+    requirements: DataFrame | None = None
+    plans: DataFrame | None = None
+
+
+def rating_candidates(tables: Tables, filters: RatingFilters) -> Candidates:
+    """Schools that take part in the rating with their figures, before scoring."""
     schools = schools_in_scope(tables, filters)
     wanted = schools if narrows_schools(filters) else None
     school_years = facts.periods(tables, filters, wanted)
     subjects = facts.school_subjects(facts.subject_rows(tables, school_years))
-    scoring = requirements = None
+    scoring = requirements = plans = None
     if filters.has_scope:
         subjects = materialize(subjects)
-        requirements = scope_requirements(tables, filters)
+        requirements = materialize(scope_requirements(tables, filters))
         if not filters.has_subjects:
             scoring = requirements.select("subject_id").distinct()
 
@@ -221,8 +268,9 @@ def rating_candidates(tables: Tables, filters: RatingFilters) -> tuple[DataFrame
     how = "inner" if filters.has_subjects or filters.all_thresholds else "left"
     rows = facts.period_summary(school_years).join(figures, "school_id", how)
     if filters.has_scope:
-        matches = program_matches(subjects, requirements, filters)
-        rows = rows.join(program_summary(matches, requirements), "school_id").where("potential_applicants_avg > 0")
+        plans = materialize(requirement_plans(requirements))
+        matches = plan_matches(subjects, requirements, plans, filters)
+        rows = rows.join(program_summary(matches, plans), "school_id").where("potential_applicants_avg > 0")
         scoped = [
             "admission_subject_avg",
             "admission_subject_avg as avg_score_for_rating",
@@ -246,7 +294,7 @@ def rating_candidates(tables: Tables, filters: RatingFilters) -> tuple[DataFrame
     if filters.min_avg_score is not None:
         rows = rows.where(facts.reaches("coalesce(avg_score_for_rating, 0)", None, filters.min_avg_score))
     rows = rows.join(schools.select("school_id", "full_name"), "school_id")
-    return rows, (subjects if filters.has_scope else None)
+    return Candidates(rows, subjects if filters.has_scope else None, requirements, plans)
 
 
 # --- scoring ---------------------------------------------------------------------------------
@@ -327,8 +375,8 @@ def rank_top(scored: DataFrame, limit: int) -> DataFrame:
 def rate_schools(tables: Tables, filters: RatingFilters, weights: RatingWeights | None = None) -> DataFrame:
     """Ranked schools, best first."""
     weights = weights or RatingWeights()
-    candidates, subjects = rating_candidates(tables, filters)
-    candidates = materialize(candidates)
+    found = rating_candidates(tables, filters)
+    candidates = materialize(found.rows)
     # at most row_limit rows from here on
     best = materialize(rank_top(score_schools(candidates, filters, weights), filters.row_limit))
     ids = F.broadcast(best.select("school_id"))
@@ -337,8 +385,8 @@ def rate_schools(tables: Tables, filters: RatingFilters, weights: RatingWeights
         F.broadcast(profile_names(tables, ids)), "school_id", "left"
     )
     if filters.has_programs:
-        wanted = subjects.join(ids, "school_id", "left_semi")
-        matches = program_matches(wanted, scope_requirements(tables, filters), filters)
+        wanted = found.subjects.join(ids, "school_id", "left_semi")
+        matches = program_matches(wanted, found.requirements, found.plans, filters)
         names = matched_program_names(matches, selected_programs(tables, filters))
         result = result.join(F.broadcast(names), "school_id", "left")
     else:

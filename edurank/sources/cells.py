@@ -50,24 +50,30 @@ def has_words(column: Column, *words: str) -> Column:
 
 
 def header_rows(cells: DataFrame, scan_rows: int) -> DataFrame:
-    """First row naming municipality, education and school or organisation; row 0 otherwise."""
+    """First of the leading rows that names municipality, education and school or organisation.
+
+    Only leading rows are read; sheets that do not appear have their header in row 0.
+    """
     value = F.lower("value")
-    signs = (
-        cells.groupBy(*SHEET, "row_idx")
+    return (
+        cells.where(F.col("row_idx") < scan_rows)
+        .groupBy(*SHEET, "row_idx")
         .agg(
             F.bool_or(value.contains("муницип")).alias("_m"),
             F.bool_or(value.contains("образоват")).alias("_e"),
             F.bool_or(value.contains("школ") | value.contains("организац")).alias("_s"),
         )
-        .withColumn("_hit", F.expr(f"if(_m and _e and _s and row_idx < {scan_rows}, row_idx, null)"))
+        .where("_m and _e and _s")
+        .groupBy(*SHEET)
+        .agg(F.expr("min(row_idx) as header_row"))
     )
-    return signs.groupBy(*SHEET).agg(F.expr("coalesce(min(_hit), 0) as header_row"))
 
 
 def sheet_columns(cells: DataFrame, headers: DataFrame, levels: int) -> DataFrame:
     """One row per used column with its header cells ``l0 ..`` and its last filled row."""
     return (
-        cells.join(headers, SHEET)
+        cells.join(headers, SHEET, "left")
+        .withColumn("header_row", F.expr("coalesce(header_row, 0)"))
         .where("row_idx >= header_row")
         .groupBy(*SHEET, "header_row", "col_idx")
         .agg(

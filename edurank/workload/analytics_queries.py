@@ -128,7 +128,9 @@ def _threshold_share(tables):
 
 
 def _scope_matches(tables):
-    return rating.program_matches(_subjects(tables, _SCOPE), rating.scope_requirements(tables, _SCOPE), _SCOPE)
+    requirements = rating.scope_requirements(tables, _SCOPE)
+    plans = rating.requirement_plans(requirements)
+    return rating.program_matches(_subjects(tables, _SCOPE), requirements, plans, _SCOPE)
 
 
 @register(
@@ -155,7 +157,10 @@ def _program_match(tables):
     ),
 )
 def _program_summary(tables):
-    summary = rating.program_summary(_scope_matches(tables), rating.scope_requirements(tables, _SCOPE))
+    requirements = rating.scope_requirements(tables, _SCOPE)
+    plans = rating.requirement_plans(requirements)
+    matches = rating.plan_matches(_subjects(tables, _SCOPE), requirements, plans, _SCOPE)
+    summary = rating.program_summary(matches, plans)
     return summary.withColumnRenamed("program_threshold_share", "threshold_share")
 
 

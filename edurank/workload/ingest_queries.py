@@ -126,6 +126,19 @@ def _exam_tables(tables):
     )
 
 
+def _cells(tables) -> DataFrame:
+    """The staged cells as they would lie in storage."""
+    return tables.stored("exam_cells", lambda t: materialize(exam_cells(t)))
+
+
+def _loaded_exams(tables):
+    def load(t):
+        cells = _cells(t)
+        return exam.load_exam_stats(_exam_tables(t), cells, _settings(cells))
+
+    return tables.stored("exam_load", load)
+
+
 def _settings(cells: DataFrame) -> DataFrame:
     plan = exam.sheet_settings(cells.where("sheet like 'plan%'"), "план")
     return plan.unionByName(exam.sheet_settings(cells.where("sheet like 'actual%'"), "Фактические данные"))
@@ -138,7 +151,7 @@ def _settings(cells: DataFrame) -> DataFrame:
     ),
 )
 def _headers(tables):
-    return header_rows(exam_cells(tables), 60)
+    return header_rows(_cells(tables), 60)
 
 
 _TITLE_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(text.SUBJECTS, 1))
@@ -166,7 +179,7 @@ _TITLE_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(text.SUBJECTS, 1
     ),
 )
 def _columns(tables):
-    cells = materialize(exam_cells(tables))
+    cells = _cells(tables)
     plan = exam_columns(cells.where("sheet like 'plan%'"), "plan")
     return plan.unionByName(exam_columns(cells.where("sheet like 'actual%'"), "actual"))
 
@@ -185,7 +198,7 @@ def _columns(tables):
     ),
 )
 def _long_rows(tables):
-    cells = materialize(exam_cells(tables).where("sheet like 'actual%'"))
+    cells = _cells(tables).where("sheet like 'actual%'")
     rows = exam.row_figures(subject_cells(cells, exam_columns(cells, "actual")))
     return rows.drop("chosen_cnt")
 
@@ -224,8 +237,7 @@ def _wide_long(tables):
     ),
 )
 def _match_ladder(tables):
-    cells = materialize(exam_cells(tables))
-    plan = exam.load_exam_stats(_exam_tables(tables), cells, _settings(cells))
+    plan = _loaded_exams(tables)
     return plan.reports["rows"].select(*SHEET, "row_idx", "school_id", "status", "graduates_total")
 
 
@@ -240,8 +252,7 @@ def _match_ladder(tables):
     ),
 )
 def _load_years(tables):
-    cells = materialize(exam_cells(tables))
-    plan = exam.load_exam_stats(_exam_tables(tables), cells, _settings(cells))
+    plan = _loaded_exams(tables)
     return plan.tables["ege_school_year"].drop("ege_school_year_id")
 
 
@@ -269,8 +280,7 @@ _LOADED = (
     ),
 )
 def _load_stats(tables):
-    cells = materialize(exam_cells(tables))
-    plan = exam.load_exam_stats(_exam_tables(tables), cells, _settings(cells))
+    plan = _loaded_exams(tables)
     years = plan.tables["ege_school_year"].select("ege_school_year_id", "school_id", "year", "kind")
     stats = plan.tables["ege_school_subject_stat"].drop("ege_school_subject_stat_id")
     return stats.join(years, "ege_school_year_id").drop("ege_school_year_id")
@@ -428,7 +438,7 @@ _LISTED = (
     ),
 )
 def _directory_schools(tables):
-    plan = directory.load_school_directory(_empty_directory(tables), materialize(directory_cells(tables)))
+    plan = _loaded_directory(tables)
     places = plan.tables["municipality"].selectExpr("municipality_id", "region_id", "name as municipality").join(
         plan.tables["region"].selectExpr("region_id", "name as region"), "region_id"
     )
@@ -436,6 +446,13 @@ def _directory_schools(tables):
     return schools.select("region", "municipality", "full_name", "is_active")
 
 
+def _loaded_directory(tables):
+    return tables.stored(
+        "directory_load",
+        lambda t: directory.load_school_directory(_empty_directory(t), materialize(directory_cells(t))),
+    )
+
+
 def _empty_directory(tables):
     return tables.with_tables({name: tables[name].limit(0) for name in _DIRECTORY_TABLES})
 
@@ -450,7 +467,7 @@ def _empty_directory(tables):
     ),
 )
 def _directory_profiles(tables):
-    plan = directory.load_school_directory(_empty_directory(tables), materialize(directory_cells(tables)))
+    plan = _loaded_directory(tables)
     loaded = plan.tables
     places = loaded["municipality"].selectExpr("municipality_id", "region_id", "name as municipality").join(
         loaded["region"].selectExpr("region_id", "name as region"), "region_id"
@@ -549,6 +566,10 @@ _PROGRAM_VIEWS = ("f_program", "f_requirement")
 
 
 def _loaded_programs(tables):
+    return tables.stored("program_load", _load_programs)
+
+
+def _load_programs(tables):
     empty = tables.with_tables(
         {
             name: tables[name].limit(0)

@@ -24,12 +24,16 @@ _PAGE = Page(1, 20)
 
 def logged(tables):
     """Tables after saving one search (request 1) and one rating (request 2, run 1)."""
+    return tables.stored("run_log", _log)
+
+
+def _log(tables):
     found = materialize(search.search_page(tables, _SEARCH, _PAGE))
     total = search.matching_schools(tables, _SEARCH).count()
     tables = runs.save_search(tables, _SEARCH, found, total, _PAGE, "analyst", NOW).plan.preview(tables)
     ranked = materialize(rating.rate_schools(tables, _FILTERS, _WEIGHTS))
     saved = runs.save_rating(tables, _FILTERS, _WEIGHTS, ranked, "analyst", NOW)
-    return saved.plan.preview(tables)
+    return tables.with_tables({name: materialize(df) for name, df in saved.plan.tables.items()})
 
 
 def _rated_sql(select: str) -> str:

@@ -210,6 +210,9 @@ def _replace_relation(text: str, name: str) -> str:
     return re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
 
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
 class DomainTables(Tables):
     """Model tables over a test data folder, each derived on first use."""
 
@@ -236,6 +239,13 @@ class DomainTables(Tables):
             df = df.selectExpr("*", "program_id * 20 + subject_id as req_id")
         return conform(df, name)
 
+    def stored(self, name: str, build):
+        """A result several queries start from (such as a saved run), made once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self._sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = build(self)
+        return _STORED[key]
+
     def view(self, name: str) -> DataFrame:
         return view(self.spark, self._sf_dir, name, self._views)
 
