@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edurank.llm import contamination, linededup, packing, simhash, toxicity
+from edurank.llm import contamination, linededup, packing, passages, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_set_similarity_line_dedup": linededup.query,
     "op3_convolutional_toxicity": toxicity.query,
     "op6_positional_decontamination": contamination.query,
     "op8_binary_packing": packing.query,
+    "op9_phrase_automata_substring_dedup": passages.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_set_similarity_line_dedup": linededup.ORACLE,
     "op6_positional_decontamination": contamination.ORACLE,
+    "op9_phrase_automata_substring_dedup": passages.ORACLE,
 }
