@@ -8,6 +8,7 @@ sequence crosses documents and none needs padding.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from edurank.llm.common import table
 
 MAX_LENGTH = 2048
 END_ID = 1
-# Distinct words whose ids a task remembers at once.
-REMEMBERED = 400_000
+# Distinct words of one kind whose ids a task remembers at once.
+REMEMBERED = 500_000
 # Sequence ids: bucket, task and place, so that equal lengths are next to each other.
 _TASK_BITS, _PLACE_BITS = 26, 33
 
@@ -32,58 +33,84 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def units(text: str) -> list[str]:
-    """Parts of a text whose token ids do not depend on each other; joined they are the text.
+class _Words(dict):
+    """Token ids of a word, found on first use; the owner forgets all when too many are held."""
 
-    A cut lies before a blank that a visible character follows, and around a
-    line break between visible characters: byte-level pieces never span those.
-    Other white space stays with the part before it.
-    """
-    out, before = [""], ""
-    for n, line in enumerate(text.split("\n")):
-        if n and line and before and not line[0].isspace() and not before[-1].isspace():
-            out += ("\n", "")
-        elif n:
-            out[-1] += "\n"
-        words = line.split(" ")
-        out[-1] += words[0]
-        if words == line.split():
-            out += [" " + word for word in words[1:]]
-        else:
-            for word in words[1:]:
-                if word and not word[0].isspace():
-                    out.append(" " + word)
-                else:
-                    out[-1] += " " + word
-        before = line
-    return out
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids = self.find(word)
+        return ids
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    A text that repeats most of its words costs a look-up per word; the
-    tokenizer sees each word of a task once, until ``REMEMBERED`` are held.
+    Byte-level pieces never span a cut before a blank that a visible character
+    follows, nor a cut around a line break between visible characters.  Between
+    these cuts texts repeat most of their words, which are looked up; the
+    tokenizer sees the others, and all parts with other white space.
     """
 
+    # Marks that may end a word and always form a piece of their own.
+    _MARKS = ".,;:!?*#$%&|)]"
+    # Letters in this range are letters to every version of the character tables.
+    _LAST_LETTER = "\u024f"
+
     def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {"": b""}
+        self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ((self.blank, _),) = self.spelled.pre_tokenize_str(" ")
+        self.pieces = _Words(self._piece)
+        self.first = _Words(lambda word: self._word("", word))
+        self.later = _Words(lambda word: self._word(" ", word))
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():  # visible ASCII is spelled as itself
+            mapped = piece.replace(" ", self.blank)
+        else:
+            ((mapped, _),) = self.spelled.pre_tokenize_str(piece)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+    def _word(self, before: str, word: str) -> bytes:
+        core = word.rstrip(self._MARKS)
+        if core.isalpha() and max(core) <= self._LAST_LETTER:
+            tail = word[len(core) :]
+            return self.pieces[before + core] + (self.pieces[tail] if tail else b"")
+        return self._plain(before + word)
 
     def __call__(self, text: str) -> bytes:
-        parts = units(text)
-        known = self.known
-        new = [x for x in dict.fromkeys(parts) if x not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = list(dict.fromkeys(x for x in parts if x))
-            for x, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(code.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in parts])
+        out: list[bytes] = []
+        held, before = "", ""
+        for n, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            apart = words == line.split()
+            if n and apart and before and not before[-1].isspace():
+                out += (self._plain(held), self.first["\n"])
+                held = ""
+            elif n:
+                held += "\n"
+            if apart and not held:
+                out.append(self.first[words[0]])
+                out += map(self.later.__getitem__, words[1:])
+            else:
+                for place, word in enumerate(words):
+                    if place and word and not word[0].isspace():
+                        out.append(self._plain(held))
+                        held = ""
+                    held += " " * (place > 0) + word
+            before = line
+        out.append(self._plain(held))
+        return b"".join(out)
 
 
 def binary_pieces(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
