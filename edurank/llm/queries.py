@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edurank.llm import contamination, linededup, packing, passages, simhash, toxicity
+from edurank.llm import contamination, linededup, neighbours, packing, passages, ppm, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_partial_matching_lm": ppm.query,
     "op2_set_similarity_line_dedup": linededup.query,
     "op3_convolutional_toxicity": toxicity.query,
+    "op5_vantage_point_neighbours": neighbours.query,
     "op6_positional_decontamination": contamination.query,
+    "op7_gated_attention_quality": quality.query,
     "op8_binary_packing": packing.query,
     "op9_phrase_automata_substring_dedup": passages.query,
     "op10_simhash_near_dedup": simhash.query,
@@ -19,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_set_similarity_line_dedup": linededup.ORACLE,
+    "op5_vantage_point_neighbours": neighbours.ORACLE,
     "op6_positional_decontamination": contamination.ORACLE,
     "op9_phrase_automata_substring_dedup": passages.ORACLE,
 }
