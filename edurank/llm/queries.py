@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edurank.llm import contamination, linededup, neighbours, packing, passages, ppm, quality, simhash, toxicity
+from edurank.llm import chat, contamination, linededup, neighbours, packing, passages, ppm, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_partial_matching_lm": ppm.query,
     "op2_set_similarity_line_dedup": linededup.query,
     "op3_convolutional_toxicity": toxicity.query,
+    "op4_markov_chat_format": chat.query,
     "op5_vantage_point_neighbours": neighbours.query,
     "op6_positional_decontamination": contamination.query,
     "op7_gated_attention_quality": quality.query,
