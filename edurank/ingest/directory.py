@@ -12,7 +12,6 @@ from edurank.plans.change import ChangePlan
 from edurank.plans.materialize import materialize
 from edurank.plans.ordered import forward_fill
 from edurank.sources.cells import (
-    DIRECTORY_SCAN_ROWS,
     SHEET,
     body_rows,
     flat_columns,
@@ -36,7 +35,7 @@ FALLBACKS = {
 
 def directory_layout(cells: DataFrame) -> DataFrame:
     """Column roles per sheet by exact heading, else by word parts; sheets without both names are left out."""
-    columns = flat_columns(cells, header_rows(cells, DIRECTORY_SCAN_ROWS))
+    columns = flat_columns(cells, header_rows(cells))
     heading = F.col("heading")
 
     def first(condition: Column) -> Column:
@@ -214,6 +213,7 @@ def load_school_directory(tables: Tables, cells: DataFrame) -> ChangePlan:
             "school_profile_link": all_links,
         },
         {"rows": rows, "school_ids": school_ids, "counts": counts},
+        base=tables.version,
     )
 
 

@@ -160,6 +160,7 @@ def load_programs(tables: Tables, cells: DataFrame, create_missing: bool = False
             ),
         },
         {"programs": programs.select("institute", "code", "name"), "requirements": merged},
+        base=tables.version,
     )
 
 
@@ -182,7 +183,7 @@ def update_min_scores(tables: Tables, scores: DataFrame) -> ChangePlan:
     errors = check_min_scores(scores)
     current = tables["ege_subject"]
     if not errors.isEmpty():
-        return ChangePlan({}, {"errors": errors})
+        return ChangePlan({}, {"errors": errors}, base=tables.version)
     wanted = scores.selectExpr(
         "cast(subject_id as bigint) as subject_id",
         "name",
@@ -198,5 +199,6 @@ def update_min_scores(tables: Tables, scores: DataFrame) -> ChangePlan:
         by_name.selectExpr("'updated_by_name' as action")
     ).unionByName(new.selectExpr("'inserted' as action"))
     return ChangePlan(
-        {"ege_subject": conform(updated, "ege_subject")}, {"errors": errors, "actions": counts.groupBy("action").count()}
+        {"ege_subject": conform(updated, "ege_subject")}, {"errors": errors, "actions": counts.groupBy("action").count()},
+        base=tables.version,
     )

@@ -178,7 +178,7 @@ def merge_duplicate_schools(
         ),
     }
     changed = {name: conform(df, name) for name, df in changed.items()}
-    return ChangePlan(changed, {"merge_map": ids, "year_map": year_ids, "admission_map": admission_ids})
+    return ChangePlan(changed, {"merge_map": ids, "year_map": year_ids, "admission_map": admission_ids}, base=tables.version)
 
 
 def remaining_duplicates(tables: Tables, plan: ChangePlan) -> DataFrame:

@@ -91,7 +91,7 @@ def delete_region(tables: Tables, name: str) -> ChangePlan | None:
         tables["analytics_request"], orphan_requests(left), ["request_id"]
     )
     changed = {name: df.select(*struct_type(name).fieldNames()) for name, df in changed.items()}
-    return ChangePlan(changed, scope)
+    return ChangePlan(changed, scope, base=tables.version)
 
 
 def deleted_counts(tables: Tables, plan: ChangePlan) -> DataFrame:
@@ -107,4 +107,4 @@ def deleted_counts(tables: Tables, plan: ChangePlan) -> DataFrame:
 
 def clear_analytics(tables: Tables) -> ChangePlan:
     """Plan that empties the ten run tables (new rows then start at 1 again)."""
-    return ChangePlan({name: tables.spark.createDataFrame([], struct_type(name)) for name in RUN_TABLES})
+    return ChangePlan({name: tables.spark.createDataFrame([], struct_type(name)) for name in RUN_TABLES}, base=tables.version)

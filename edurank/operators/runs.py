@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from edurank.functions.numeric import round_even, to_number_5_2, to_number_10_6
 from edurank.operators.schools import with_place
 from edurank.plans.change import ChangePlan
+from edurank.plans.materialize import materialize
 from edurank.plans.params import (
     Page,
     RatingFilters,
@@ -25,7 +26,7 @@ from edurank.plans.params import (
     guess_year_basis,
 )
 from edurank.sources.schema import FILTER_COLUMNS, struct_type
-from edurank.sources.store import Tables, assign_ids, conform, insert_absent, upsert
+from edurank.sources.store import Tables, assign_ids, conform, upsert
 
 # Metric catalog (code, name, category, unit, description) and run labels.
 METRICS = (
@@ -135,8 +136,8 @@ def _new_filters(tables: Tables, request_id: int, filters: SchoolFilters) -> Dat
     return _typed(tables, "analytics_request_filter", rows)
 
 
-def _added(tables: Tables, table: str, rows: DataFrame) -> DataFrame:
-    return tables[table].unionByName(conform(rows, table))
+def _conformed(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {table: conform(df, table) for table, df in rows.items()}
 
 
 def _author(name: str | None) -> str | None:
@@ -186,17 +187,13 @@ def save_search(
         .selectExpr("school_id", f"{to_number_5_2('_score')} as match_score")
         .withColumns({"request_id": F.lit(request_id), "selected_at": F.lit(now)})
     )
-    kept = insert_absent(tables["analytics_school_selection"], selection, ["request_id", "school_id"])
-    changed = {
-        "analytics_request": _added(
-            tables, "analytics_request", _typed(tables, "analytics_request", [request])
-        ),
-        "analytics_request_filter": _added(
-            tables, "analytics_request_filter", _new_filters(tables, request_id, filters)
-        ),
-        "analytics_school_selection": _added(tables, "analytics_school_selection", kept),
+    added = {
+        "analytics_request": _typed(tables, "analytics_request", [request]),
+        "analytics_request_filter": _new_filters(tables, request_id, filters),
+        # the request is new, so none of its schools is stored yet
+        "analytics_school_selection": selection.dropDuplicates(["school_id"]),
     }
-    return SavedRun(request_id, None, ChangePlan(changed))
+    return SavedRun(request_id, None, ChangePlan({}, appended=_conformed(added), base=tables.version))
 
 
 def metric_value_rows(ranked: DataFrame, weights: RatingWeights, has_scope: bool) -> DataFrame:
@@ -257,11 +254,15 @@ def save_rating(
     created_by: str | None = None,
     now: datetime | None = None,
 ) -> SavedRun | None:
-    """Log a rating (``ranked``: the limited result of ``rate_schools``) in ten tables."""
+    """Log a rating (``ranked``: the result of ``rate_schools``) in ten tables.
+
+    All but the metric catalog only grow: request and run are new, so none of
+    their rows can be stored yet.  ``clamped`` counts figures beyond the stored width.
+    """
+    ranked = materialize(ranked.where("school_id is not null and rank_pos is not null"))
     if ranked.isEmpty():
         return None
     now = now or datetime.now(timezone.utc)
-    ranked = ranked.where("school_id is not null and rank_pos is not null")
     first = ranked.where("last_year is not null").orderBy("rank_pos").select("last_year").first()
     year_basis = guess_year_basis(filters.year, first and first[0])
     request_id = _next(tables, "analytics_request", "request_id")
@@ -274,7 +275,7 @@ def save_rating(
             "year": filters.year,
             "enforce_subject_threshold": bool(filters.enforce_subject_threshold),
             "weights": {code: round(share, 6) for code, share in metric_weights(weights).items()},
-            "limit": int(filters.limit),
+            "limit": filters.limit,
         }
     )
     request = {
@@ -325,37 +326,26 @@ def save_rating(
     cards = card_documents(ranked, has_scope).withColumns({**stamped, "generated_at": F.lit(now)})
     cards = assign_ids(cards, tables["analytics_school_card"], "card_id", ["run_id", "school_id"])
 
-    def merged(table: str, rows: DataFrame, keys: list[str]) -> DataFrame:
-        rows = conform(rows, table)
-        return upsert(tables[table], rows, keys, [c for c in rows.columns if c not in keys])
-
-    changed = {
-        "analytics_request": _added(
-            tables, "analytics_request", _typed(tables, "analytics_request", [request])
-        ),
-        "analytics_request_filter": _added(
-            tables, "analytics_request_filter", _new_filters(tables, request_id, filters)
-        ),
-        "analytics_rating_run": _added(
-            tables, "analytics_rating_run", _typed(tables, "analytics_rating_run", [run])
-        ),
-        "analytics_metric": merged("analytics_metric", _typed(tables, "analytics_metric", metrics), ["metric_code"]),
-        "analytics_run_metric": merged(
-            "analytics_run_metric", _typed(tables, "analytics_run_metric", run_metrics), ["run_id", "metric_code"]
-        ),
-        "analytics_school_selection": merged("analytics_school_selection", selection, ["request_id", "school_id"]),
-        "analytics_run_school": _added(
-            tables,
-            "analytics_run_school",
-            insert_absent(tables["analytics_run_school"], members, ["run_id", "school_id"]),
-        ),
-        "analytics_school_rating": merged("analytics_school_rating", ratings, ["run_id", "school_id"]),
-        "analytics_school_metric_value": merged(
-            "analytics_school_metric_value", values, ["run_id", "school_id", "metric_code"]
-        ),
-        "analytics_school_card": merged("analytics_school_card", cards, ["run_id", "school_id"]),
+    catalog = upsert(
+        tables["analytics_metric"],
+        conform(_typed(tables, "analytics_metric", metrics), "analytics_metric"),
+        ["metric_code"],
+        [c for c in struct_type("analytics_metric").fieldNames() if c != "metric_code"],
+    )
+    added = {
+        "analytics_request": _typed(tables, "analytics_request", [request]),
+        "analytics_request_filter": _new_filters(tables, request_id, filters),
+        "analytics_rating_run": _typed(tables, "analytics_rating_run", [run]),
+        "analytics_run_metric": _typed(tables, "analytics_run_metric", run_metrics),
+        "analytics_school_selection": selection,
+        "analytics_run_school": members,
+        "analytics_school_rating": ratings,
+        "analytics_school_metric_value": values,
+        "analytics_school_card": cards,
     }
-    return SavedRun(request_id, run_id, ChangePlan(changed))
+    wide = ranked.selectExpr("count_if(abs(avg_graduates) > 999.99D) as clamped")
+    plan = ChangePlan({"analytics_metric": catalog}, {"clamped": wide}, _conformed(added), tables.version)
+    return SavedRun(request_id, run_id, plan)
 
 
 # --- reading the log -------------------------------------------------------------------------
@@ -374,12 +364,12 @@ def _filter_summary(tables: Tables) -> DataFrame:
     )
 
 
-def calc_history(tables: Tables, limit: int = 200) -> DataFrame:
+def calc_history(tables: Tables, limit: int | None = None) -> DataFrame:
     """Requests with their runs, latest first."""
     runs = tables["analytics_rating_run"].select(
         "request_id", "run_id", "calculated_at", "calculated_by", "run_name", "algorithm_version"
     )
-    return (
+    found = (
         tables["analytics_request"]
         .join(runs, "request_id", "left")
         .join(_counted(tables["analytics_school_selection"], "request_id", "selected_cnt"), "request_id", "left")
@@ -403,16 +393,16 @@ def calc_history(tables: Tables, limit: int = 200) -> DataFrame:
             "coalesce(rated_cnt, 0) as rated_cnt",
         )
         .orderBy(F.expr("coalesce(calculated_at, created_at)").desc(), F.desc("request_id"), F.desc("run_id"))
-        .limit(bounded(int(limit), 1, 1000))
     )
+    return found if limit is None else found.limit(max(1, int(limit)))
 
 
-def rating_runs(tables: Tables, limit: int = 200) -> DataFrame:
+def rating_runs(tables: Tables, limit: int | None = None) -> DataFrame:
     """Runs with the number of rated schools and of reports, latest first."""
     requests = tables["analytics_request"].selectExpr(
         "request_id", "request_name", "created_by as request_created_by", "year_basis", "notes"
     )
-    return (
+    found = (
         tables["analytics_rating_run"]
         .join(requests, "request_id")
         .join(_counted(tables["analytics_school_rating"], "run_id", "rated_cnt"), "run_id", "left")
@@ -433,22 +423,22 @@ def rating_runs(tables: Tables, limit: int = 200) -> DataFrame:
             "coalesce(reports_cnt, 0) as reports_cnt",
         )
         .orderBy(F.desc("calculated_at"), F.desc("run_id"))
-        .limit(bounded(int(limit), 1, 1000))
     )
+    return found if limit is None else found.limit(max(1, int(limit)))
 
 
-def run_schools(tables: Tables, run_id: int, limit: int = 2000) -> DataFrame:
+def run_schools(tables: Tables, run_id: int, limit: int | None = None) -> DataFrame:
     """Members of a run by rank; unranked ones last."""
     members = tables["analytics_run_school"].where(F.col("run_id") == run_id).select("run_id", "school_id")
     ranks = tables["analytics_school_rating"].where(F.col("run_id") == run_id)
     schools = tables["school"].join(members.select("school_id"), "school_id", "left_semi")
-    return (
+    found = (
         members.join(with_place(tables, schools), "school_id")
         .join(ranks.select("school_id", "rank_pos", "total_score"), "school_id", "left")
         .select("school_id", "full_name", "municipality_name", "region_name", "rank_pos", "total_score")
         .orderBy(F.asc_nulls_last("rank_pos"), "full_name", "school_id")
-        .limit(bounded(int(limit), 1, 5000))
     )
+    return found if limit is None else found.limit(max(1, int(limit)))
 
 
 # --- reports ---------------------------------------------------------------------------------
@@ -543,15 +533,15 @@ def create_reports(
         assign_ids(rows, tables["analytics_school_report"], "report_id", ["run_id", "school_id"]),
         "analytics_school_report",
     )
-    return fresh, ChangePlan({"analytics_school_report": _added(tables, "analytics_school_report", fresh)})
+    return fresh, ChangePlan({}, appended={"analytics_school_report": fresh}, base=tables.version)
 
 
-def report_archive(tables: Tables, limit: int = 300) -> DataFrame:
+def report_archive(tables: Tables, limit: int | None = None) -> DataFrame:
     """Reports with school, place and rank, latest first."""
     reports = tables["analytics_school_report"].drop("report_payload")
     schools = with_place(tables, tables["school"].join(reports.select("school_id"), "school_id", "left_semi"))
     ranks = tables["analytics_school_rating"].select("run_id", "school_id", "rank_pos")
-    return (
+    found = (
         reports.join(schools, "school_id")
         .join(ranks, ["run_id", "school_id"], "left")
         .select(
@@ -567,8 +557,8 @@ def report_archive(tables: Tables, limit: int = 300) -> DataFrame:
             "region_name",
         )
         .orderBy(F.desc("generated_at"), F.desc("report_id"))
-        .limit(bounded(int(limit), 1, 2000))
     )
+    return found if limit is None else found.limit(max(1, int(limit)))
 
 
 def report_payload(tables: Tables, report_id: int) -> DataFrame:

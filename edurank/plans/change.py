@@ -7,27 +7,35 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from edurank.sources.store import Tables, TableStore
+from edurank.sources.store import Tables, TableStore, conform
 
 
 @dataclass(frozen=True)
 class ChangePlan:
-    """New contents of the changed tables, with reports a dry run can show.
+    """New contents of the changed tables and rows to add to others, with reports a dry run can show.
 
-    ``reports`` are DataFrames such as unmatched rows, samples or counts.
+    ``reports`` are DataFrames such as unmatched rows, samples or counts; ``base``
+    is the version of the store the plan was made from.
     """
 
     tables: Mapping[str, DataFrame]
     reports: Mapping[str, DataFrame] = field(default_factory=dict)
+    appended: Mapping[str, DataFrame] = field(default_factory=dict)
+    base: int | None = None
+
+    def changed(self, tables: Tables) -> dict[str, DataFrame]:
+        """Contents after the change of every table it touches."""
+        grown = {name: tables[name].unionByName(conform(df, name)) for name, df in self.appended.items()}
+        return {**self.tables, **grown}
 
     def preview(self, tables: Tables) -> Tables:
         """The state after the change, without writing anything."""
-        return tables.with_tables(self.tables)
+        return tables.with_tables(self.changed(tables))
 
     def row_counts(self, tables: Tables) -> dict[str, tuple[int, int]]:
         """Rows before and after per changed table."""
-        return {name: (tables[name].count(), df.count()) for name, df in self.tables.items()}
+        return {name: (tables[name].count(), df.count()) for name, df in self.changed(tables).items()}
 
-    def apply(self, store: TableStore) -> None:
-        """Write every changed table in one commit."""
-        store.commit(self.tables)
+    def apply(self, store: TableStore) -> int:
+        """Write all of it in one commit; returns the new version."""
+        return store.commit(self.tables, appended=self.appended, base=self.base)

@@ -1,9 +1,15 @@
-"""Table storage: explicit schemas, whole-table versions, one commit for many tables.
-
-A commit writes every changed table to a fresh folder and then one small
-manifest naming the current folder of each table.  Readers follow the newest
-manifest, so a table that is being read is never overwritten and a failed job
-leaves the old state in place.  Works on any Hadoop file system.
+"""Table storage: explicit schemas, versions made of folders, one commit for many tables.
+
+A commit writes new rows to fresh folders and then one small manifest naming the
+current folders of each table: one folder after a rewrite, one more after an
+append.  Readers follow the newest manifest, so a table that is being read is
+never overwritten and a failed job leaves the old state in place.
+
+A commit is based on the manifest its tables were loaded from.  If others have
+committed since, it goes on only when they changed none of its tables; otherwise
+it fails and nothing is lost.  The manifest is created without overwriting, which
+is atomic on HDFS and local disks; an object store needs a file system that
+honours it (conditional put).
 """
 
 from __future__ import annotations
@@ -22,10 +28,14 @@ ID_BUCKETS = 1024
 
 
 class Tables(Mapping):
-    """Named DataFrames; a table that was never given is empty but typed."""
+    """Named DataFrames; a table that was never given is empty but typed.
+
+    ``version`` is the number of the manifest they were loaded from, if any.
+    """
 
-    def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame] | None = None, version: int | None = None):
         self.spark = spark
+        self.version = version
         self._frames = dict(frames or {})
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -42,7 +52,11 @@ class Tables(Mapping):
         return len(SCHEMAS)
 
     def with_tables(self, changed: Mapping[str, DataFrame]) -> Tables:
-        return Tables(self.spark, {**self._frames, **changed})
+        return Tables(self.spark, {**self._frames, **changed}, self.version)
+
+
+class CommitConflict(RuntimeError):
+    """Another commit changed the same tables since they were loaded."""
 
 
 class TableStore:
@@ -56,46 +70,85 @@ class TableStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[str]:
+    def version(self) -> int:
+        """Number of the newest manifest; 0 for an empty store."""
         path, fs = self._path("_manifest")
         if not fs.exists(path):
-            return []
+            return 0
         names = (status.getPath().getName() for status in fs.listStatus(path))
-        return sorted(n for n in names if n.endswith(".json"))
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
 
-    def manifest(self) -> dict[str, str]:
-        """table -> folder of its current version."""
-        names = self._manifests()
-        if not names:
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        """table -> its folders in a version, by default the newest."""
+        version = self.version() if version is None else version
+        if not version:
             return {}
-        text = self.spark.read.text(f"{self.root}/_manifest/{names[-1]}", wholetext=True).first()[0]
+        text = self.spark.read.text(f"{self.root}/_manifest/{version:012d}.json", wholetext=True).first()[0]
         return json.loads(text)
 
     def load(self) -> Tables:
+        version = self.version()
         frames = {
-            name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
-            for name, folder in self.manifest().items()
+            name: self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.root}/{folder}" for folder in folders))
+            for name, folders in self.manifest(version).items()
         }
-        return Tables(self.spark, frames)
-
-    def commit(self, changed: Mapping[str, DataFrame], partition_by: Mapping[str, Sequence[str]] | None = None):
-        """Write the given tables and make them current together."""
-        current = self.manifest()
+        return Tables(self.spark, frames, version)
+
+    def commit(
+        self,
+        changed: Mapping[str, DataFrame],
+        partition_by: Mapping[str, Sequence[str]] | None = None,
+        appended: Mapping[str, DataFrame] | None = None,
+        base: int | None = None,
+    ) -> int:
+        """Write tables anew, or only add rows to them, and make them current together.
+
+        ``base`` is the version the change was computed from, by default the
+        newest one when the commit begins.  Appends bear appends of others.
+        """
+        base = self.version() if base is None else base
         token = uuid.uuid4().hex
-        for name, df in changed.items():
-            folder = f"{name}/{token}"
+
+        def written(name: str, df: DataFrame) -> str:
+            folder = f"{name}/{token}-{'new' if name in changed else 'more'}"
             writer = conform(df, name).write.mode("errorifexists")
             for columns in filter(None, [(partition_by or {}).get(name)]):
                 writer = writer.partitionBy(*columns)
             writer.parquet(f"{self.root}/{folder}")
-            current[name] = folder
-        number = len(self._manifests()) + 1
+            return folder
+
+        rewritten = {name: written(name, df) for name, df in changed.items()}
+        added = {name: written(name, df) for name, df in (appended or {}).items()}
+        start = self.manifest(base)
+        while True:
+            number = self.version()
+            current = self.manifest(number)
+            for name in (*rewritten, *added):
+                before, now = start.get(name, []), current.get(name, [])
+                only_grown = name in added and now[: len(before)] == before
+                if now != before and not only_grown:
+                    raise CommitConflict(f"{name} was changed since version {base}")
+            for name, folder in rewritten.items():
+                current[name] = [folder]
+            for name, folder in added.items():
+                current[name] = [*current.get(name, []), folder]
+            if self._create(number + 1, json.dumps(current)):
+                return number + 1
+
+    def _create(self, number: int, text: str) -> bool:
+        """Write a manifest; False when another writer took its number."""
         path, fs = self._path("_manifest", f"{number:012d}.json")
-        stream = fs.create(path, False)  # fails when another writer took this number
         try:
-            stream.write(bytearray(json.dumps(current), "utf-8"))
+            stream = fs.create(path, False)
+        except Exception:
+            if fs.exists(path):
+                return False
+            raise
+        try:
+            stream.write(bytearray(text, "utf-8"))
         finally:
             stream.close()
+        return True
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -165,7 +218,7 @@ def insert_absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
 
 def delete_by_key(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The target without the rows whose key is in ``doomed``."""
-    return target.join(doomed.select(*keys), list(keys), "left_anti")
+    return target.join(doomed.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def upsert_with_ids(

@@ -97,7 +97,7 @@ def test_save_and_delete(spark, small, tmp_path):
     ranked = rating.rate_schools(small, filters, weights)
     saved = runs.save_rating(small, filters, weights, ranked, " me ", datetime(2024, 1, 1, tzinfo=timezone.utc))
     tables = saved.plan.preview(small)
-    assert (saved.request_id, saved.run_id, len(saved.plan.tables)) == (1, 1, 10)
+    assert (saved.request_id, saved.run_id, len(saved.plan.changed(small))) == (1, 1, 10)
     metrics = {r.metric_code: (r.weight, r.is_primary) for r in tables["analytics_run_metric"].collect()}
     assert metrics["avg_score_all"] == (4, True) and metrics["threshold_share"] == (1, False)
     fresh, plan = runs.create_reports(tables, 1, "me", report_format="pdf")

@@ -6,7 +6,7 @@ from edurank.plans.ordered import forward_fill
 from edurank.plans.paging import page_rows, with_row_number
 from edurank.plans.params import Page, RatingFilters, RatingWeights, guess_year_basis, normalize_query
 from edurank.sources.schema import struct_type
-from edurank.sources.store import Tables, TableStore, assign_ids, delete_by_key, insert_absent, upsert, upsert_with_ids
+from edurank.sources.store import CommitConflict, Tables, TableStore, assign_ids, delete_by_key, insert_absent, upsert, upsert_with_ids
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -14,7 +14,7 @@ def test_salted_join_equals_broadcast_join(spark, how):
     fact = spark.range(500).selectExpr("id", "if(id % 3 = 0, 0, id % 7) as k")
     dim = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c")], "k bigint, v string")
     plain = join_few_keys(fact, dim, ["k"], F.col("id"), how)
-    salted = join_few_keys(fact, dim, ["k"], F.col("id"), how, row_limit=1, salts=5)
+    salted = join_few_keys(fact, dim, ["k"], F.col("id"), how, limit_bytes=0, salts=5)
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.select(*plain.columns).collect()))
 
 
@@ -42,11 +42,12 @@ def test_parameters():
     assert RatingWeights(-1, 1, 0, 1).normalized() == RatingWeights(0, 0.5, 0, 0.5)
     unscoped = RatingWeights().effective(has_scope=False)
     assert unscoped.match_share == 0 and abs(unscoped.graduates + unscoped.avg_score + unscoped.threshold_share - 1) < 1e-12
-    assert RatingFilters(limit=1).row_limit == 10 and RatingFilters(limit=9999).row_limit == 2000
+    assert [RatingFilters(limit=n).validated().limit for n in (1, 9999, None)] == [10, 2000, 300] and RatingFilters().limit is None
     checked = RatingFilters(min_graduates=-3, min_avg_score=300).validated()
     assert (checked.min_graduates, checked.min_avg_score) == (0, 100)
     assert normalize_query("  Ёлка   %А ") == "елка %а"
-    assert Page(9, 10).clamped(35) == Page(4, 10) and Page(1, 500).limit == 200
+    assert Page(9, 10).clamped(35) == Page(4, 10) and Page(1, 500).limit == 500
+    assert Page(0, 500).validated() == Page(1, 200) and Page(1, 2).validated().limit == 5
     assert guess_year_basis(None, 1990) == 2000 and guess_year_basis(2020, 2015) == 2020
 
 
@@ -79,3 +80,46 @@ def test_store_round_trip(spark, tmp_path):
     assert sorted(map(tuple, store.load()["region"].collect())) == [(1, "A"), (2, "B")]
     assert tables["region"].count() == 1  # the old version stays readable
     assert len(Tables(spark)) == 26
+
+
+def test_commits_do_not_lose_updates(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    one, two = (spark.createDataFrame([(i, n)], struct_type("region")) for i, n in ((1, "A"), (2, "B")))
+    first = store.commit({"region": one})
+    institute = spark.createDataFrame([(7, "I")], struct_type("institute"))
+    store.commit({"region": one.unionByName(two)}, base=first)
+    # another table was changed in between: both changes stay
+    store.commit({"institute": institute}, base=first)
+    assert store.load()["region"].count() == 2 and store.load()["institute"].count() == 1
+    with pytest.raises(CommitConflict):
+        store.commit({"region": two}, base=first)
+    assert store.load()["region"].count() == 2
+
+
+def test_appends_write_only_new_files(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    base = store.commit({"region": spark.createDataFrame([(1, "A")], struct_type("region"))})
+    for i in (2, 3):  # appends bear each other
+        store.commit({}, appended={"region": spark.createDataFrame([(i, "x")], struct_type("region"))}, base=base)
+    assert sorted(r.region_id for r in store.load()["region"].collect()) == [1, 2, 3]
+    folders = store.manifest()["region"]
+    assert len(folders) == 3 and folders[:1] == store.manifest(base)["region"]
+    with pytest.raises(CommitConflict):
+        store.commit({"region": spark.createDataFrame([], struct_type("region"))}, base=base)
+
+
+def test_forward_fill_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, None), ("s", 3, None)], "k string, o int, v string")
+    got = sorted((r.o, r.v) for r in forward_fill(df, ["k"], "o", ["v"], block=1).collect())
+    assert got == [(1, "a"), (2, "a"), (3, None)]
+
+
+def test_ratings_of_more_schools_than_a_page(spark):
+    from edurank.operators.rating import rank_schools
+
+    scored = spark.range(5000).selectExpr(
+        "id as school_id", "'n' as full_name", "cast(id % 7 as double) as rating_score", "1D as avg_score_for_rating", "1D as avg_graduates"
+    )
+    ranked = {r.rank_pos: r.school_id for r in rank_schools(scored).collect()}
+    assert len(ranked) == 5000 and ranked[1] == 6 and ranked[5000] == 4998 - 4998 % 7
+    assert rank_schools(scored, 12).count() == 12
