@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edurank.functions.numeric import exact_avg, exact_ratio, round_even, to_int_even
@@ -18,6 +18,7 @@ from edurank.operators import facts
 from edurank.operators.schools import narrows_schools, profile_names, schools_in_scope, with_place
 from edurank.plans.joins import join_few_keys
 from edurank.plans.materialize import materialize
+from edurank.plans.paging import with_row_number
 from edurank.plans.params import RatingFilters, RatingWeights
 from edurank.sources.store import Tables
 
@@ -359,8 +360,8 @@ def score_schools(candidates: DataFrame, filters: RatingFilters, weights: Rating
     )
 
 
-def rank_top(scored: DataFrame, limit: int) -> DataFrame:
-    """Best ``limit`` schools with their place.  The rank window sees at most ``limit`` rows."""
+def rank_schools(scored: DataFrame, limit: int | None = None) -> DataFrame:
+    """Schools with their place, the best ``limit`` of them if given; no task sees all rows."""
     order = (
         F.col("rating_score").desc(),
         F.coalesce("avg_score_for_rating", F.lit(0.0)).desc(),
@@ -368,8 +369,8 @@ def rank_top(scored: DataFrame, limit: int) -> DataFrame:
         F.lower("full_name").asc(),
         F.col("school_id").asc(),
     )
-    best = scored.orderBy(*order).limit(limit)
-    return best.withColumn("rank_pos", F.row_number().over(Window.orderBy(*order)))
+    ranked = with_row_number(scored, order, "rank_pos")
+    return ranked if limit is None else ranked.where(F.col("rank_pos") <= limit)
 
 
 def rate_schools(tables: Tables, filters: RatingFilters, weights: RatingWeights | None = None) -> DataFrame:
@@ -377,18 +378,15 @@ def rate_schools(tables: Tables, filters: RatingFilters, weights: RatingWeights
     weights = weights or RatingWeights()
     found = rating_candidates(tables, filters)
     candidates = materialize(found.rows)
-    # at most row_limit rows from here on
-    best = materialize(rank_top(score_schools(candidates, filters, weights), filters.row_limit))
-    ids = F.broadcast(best.select("school_id"))
+    best = rank_schools(score_schools(candidates, filters, weights), filters.limit)
+    ids = best.select("school_id")
     places = with_place(tables, tables["school"].join(ids, "school_id", "left_semi")).drop("full_name")
-    result = best.join(F.broadcast(places), "school_id").join(
-        F.broadcast(profile_names(tables, ids)), "school_id", "left"
-    )
+    result = best.join(places, "school_id").join(profile_names(tables, ids), "school_id", "left")
     if filters.has_programs:
         wanted = found.subjects.join(ids, "school_id", "left_semi")
         matches = program_matches(wanted, found.requirements, found.plans, filters)
         names = matched_program_names(matches, selected_programs(tables, filters))
-        result = result.join(F.broadcast(names), "school_id", "left")
+        result = result.join(names, "school_id", "left")
     else:
         result = result.withColumn("matched_programs", F.lit(None).cast("string"))
     return (

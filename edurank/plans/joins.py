@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a narrow dimension that are safe to copy to every executor.
-BROADCAST_ROW_LIMIT = 200_000
+from edurank.plans.materialize import materialize
+
+# Bytes of a written dimension that are safe to copy to every executor.
+BROADCAST_BYTES = 16 << 20
 # Slices a hot key is cut into when the small side is too big to broadcast.
 DEFAULT_SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """Checked size: looks at no more than ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files a frame of :func:`materialize` reads."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 def join_few_keys(
@@ -24,16 +26,18 @@ def join_few_keys(
     on: Sequence[str],
     spread_by: Column,
     how: str = "inner",
-    row_limit: int = BROADCAST_ROW_LIMIT,
+    limit_bytes: int = BROADCAST_BYTES,
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Inner or left join of a large table to a dimension on a key with few values.
 
     A plain shuffle join would send the whole table to as many tasks as there
-    are key values.  A dimension within ``row_limit`` is broadcast; a larger one
-    is repeated once per salt and the fact rows are spread over the salts.
+    are key values.  The dimension is written once and broadcast if its files are
+    within ``limit_bytes``; a larger one is repeated once per salt and the fact
+    rows are spread over the salts.
     """
-    if fits_broadcast(dim, row_limit):
+    dim = materialize(dim)
+    if stored_bytes(dim) <= limit_bytes:
         return fact.join(F.broadcast(dim), list(on), how)
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))

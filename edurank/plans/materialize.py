@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "edurank-intermediate"
+# How often the intermediate tables were dropped; what was kept before is gone.
+_dropped = 0
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a scratch folder only on a local master."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by the session; a scratch folder only where none is named, on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder and folder.startswith("file:/tmp/") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{folder} is a folder of one machine; set spark.checkpoint.dir to a shared one")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -21,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def generation() -> int:
+    """Changes when :func:`drop_intermediate` makes results kept so far unreadable."""
+    return _dropped
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, write as Parquet to the shared folder and read back.
 
@@ -35,5 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete all intermediate tables of the shared folder once no result needs them."""
+    global _dropped
+    _dropped += 1
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{FOLDER}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ import re
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
 
-# Request limits and defaults.
+# Limits and defaults of a request that came from a form; see ``validated``.
 RATING_LIMIT = {"min": 10, "max": 2000, "default": 300}
 PER_PAGE = {"min": 5, "max": 200, "default": 20}
 YEAR_RANGE = (2000, 2100)
@@ -57,28 +57,24 @@ class SchoolFilters:
 
 @dataclass(frozen=True)
 class RatingFilters(SchoolFilters):
-    """Search filters plus admission scope and result limits."""
+    """Search filters plus admission scope; ``limit`` keeps the best schools only, None keeps all."""
 
     institute_ids: tuple[int, ...] = ()
     program_ids: tuple[int, ...] = ()
     min_graduates: int | None = None
     min_avg_score: float | None = None
     enforce_subject_threshold: bool = True
-    limit: int = RATING_LIMIT["default"]
+    limit: int | None = None
 
     def validated(self) -> RatingFilters:
-        """The same request with every number inside its allowed range."""
+        """The request as a form may send it: every number in its allowed range, the number of schools too."""
         return replace(
             self,
-            limit=bounded(int(self.limit), RATING_LIMIT["min"], RATING_LIMIT["max"]),
+            limit=bounded(self.limit, RATING_LIMIT["min"], RATING_LIMIT["max"], RATING_LIMIT["default"]),
             min_graduates=bounded(self.min_graduates, 0),
             min_avg_score=bounded(self.min_avg_score, *SCORE_RANGE),
         )
 
-    @property
-    def row_limit(self) -> int:
-        return bounded(int(self.limit), RATING_LIMIT["min"], RATING_LIMIT["max"])
-
     @property
     def has_subjects(self) -> bool:
         return bool(self.subject_ids)
@@ -125,9 +121,13 @@ class Page:
     number: int = 1
     size: int = PER_PAGE["default"]
 
+    def validated(self) -> Page:
+        """The page as a form may ask for it."""
+        return replace(self, number=max(1, self.number), size=bounded(self.size, PER_PAGE["min"], PER_PAGE["max"]))
+
     @property
     def limit(self) -> int:
-        return bounded(int(self.size), 1, PER_PAGE["max"])
+        return max(1, int(self.size))
 
     @property
     def offset(self) -> int:

@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edurank.functions import text
+from edurank.plans.joins import join_few_keys
 
 CELL_SCHEMA = "file string, sheet string, row_idx int, col_idx int, value string"
 SHEET = ["file", "sheet"]
 
-# Rows searched for the header.
-EXAM_SCAN_ROWS = 60
-DIRECTORY_SCAN_ROWS = 50
-
 # Word parts that reveal the metric of a column, first match wins.
 METRIC_WORDS = (
     ("participants_cnt", (("принял", "участ"),)),
@@ -49,14 +46,15 @@ def has_words(column: Column, *words: str) -> Column:
     return reduce(lambda a, b: a & b, (column.contains(w) for w in words))
 
 
-def header_rows(cells: DataFrame, scan_rows: int) -> DataFrame:
-    """First of the leading rows that names municipality, education and school or organisation.
+def header_rows(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
+    """First row, of the leading ``scan_rows`` if given, that names municipality, education and school or organisation.
 
-    Only leading rows are read; sheets that do not appear have their header in row 0.
+    Only cells with one of the words are grouped; sheets that do not appear have their header in row 0.
     """
     value = F.lower("value")
+    leading = cells if scan_rows is None else cells.where(F.col("row_idx") < scan_rows)
     return (
-        cells.where(F.col("row_idx") < scan_rows)
+        leading.where(value.rlike("муницип|образоват|школ|организац"))
         .groupBy(*SHEET, "row_idx")
         .agg(
             F.bool_or(value.contains("муницип")).alias("_m"),
@@ -72,7 +70,7 @@ def header_rows(cells: DataFrame, scan_rows: int) -> DataFrame:
 def sheet_columns(cells: DataFrame, headers: DataFrame, levels: int) -> DataFrame:
     """One row per used column with its header cells ``l0 ..`` and its last filled row."""
     return (
-        cells.join(headers, SHEET, "left")
+        join_few_keys(cells, headers, SHEET, F.col("row_idx"), "left")
         .withColumn("header_row", F.expr("coalesce(header_row, 0)"))
         .where("row_idx >= header_row")
         .groupBy(*SHEET, "header_row", "col_idx")
@@ -120,7 +118,7 @@ def exam_columns(cells: DataFrame, kind: str) -> DataFrame:
     col_idx, subject, metric.  Of several columns for the same figure the last counts.
     """
     depths = (2, 1) if kind == "plan" else (3, 2)
-    columns = sheet_columns(cells, header_rows(cells, EXAM_SCAN_ROWS), max(depths))
+    columns = sheet_columns(cells, header_rows(cells), max(depths))
     variants = None
     for place, depth in enumerate(depths):
         if depth == 1:
@@ -171,7 +169,7 @@ def exam_columns(cells: DataFrame, kind: str) -> DataFrame:
 def body_rows(cells: DataFrame, layout: DataFrame, roles: dict[str, str]) -> DataFrame:
     """One row per body row with the cells of the given roles (name -> layout column)."""
     return (
-        cells.join(layout.select(*SHEET, "first_row", *roles.values()), SHEET)
+        join_few_keys(cells, layout.select(*SHEET, "first_row", *roles.values()), SHEET, F.col("row_idx"))
         .where("row_idx >= first_row")
         .groupBy(*SHEET, "row_idx")
         .agg(*(F.expr(f"max(if(col_idx = {column}, value, null)) as {name}") for name, column in roles.items()))
@@ -181,7 +179,12 @@ def body_rows(cells: DataFrame, layout: DataFrame, roles: dict[str, str]) -> Dat
 def subject_cells(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Long form of the subject columns: file, sheet, row, subject, metric, value."""
     return (
-        cells.join(columns.select(*SHEET, "first_row", "col_idx", "subject", "metric"), [*SHEET, "col_idx"])
+        join_few_keys(
+            cells,
+            columns.select(*SHEET, "first_row", "col_idx", "subject", "metric"),
+            [*SHEET, "col_idx"],
+            F.col("row_idx"),
+        )
         .where("row_idx >= first_row")
         .select(*SHEET, "row_idx", "subject", "metric", "value")
     )
