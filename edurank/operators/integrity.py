@@ -4,76 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edurank.sources.schema import CHECKS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS
+from edurank.sources.schema import CHECKS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, struct_type
 from edurank.sources.store import Tables
 
 
-def _report(rows: DataFrame, table: str, rule, key_columns: Iterable[str], count: str) -> DataFrame:
-    key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_columns))
-    return rows.select(
-        F.lit(table).alias("table_name"),
-        (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"),
-        key.alias("row_key"),
-        F.expr(f"cast({count} as bigint)").alias("row_count"),
-    )
-
-
-def repeated_keys(tables: Tables, table: str, columns: tuple[str, ...], rule: str) -> DataFrame:
-    """Keys that occur more than once; a key with a null part never collides."""
-    rows = tables[table]
-    known = rows.dropna(subset=list(columns))
-    repeated = known.groupBy(*columns).agg(F.expr("count(*) as _n")).where("_n > 1")
-    return _report(repeated, table, rule, columns, "_n")
-
+def _key(columns: Iterable[str]) -> Column:
+    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
-def lost_references(tables: Tables, table: str, column: str, parent: str, parent_column: str) -> DataFrame:
-    """Values without a parent row, with the number of rows that carry them."""
-    values = tables[table].where(F.col(column).isNotNull()).groupBy(column).agg(F.expr("count(*) as _n"))
-    known = tables[parent].select(F.col(parent_column).alias(column))
-    lost = values.join(known, column, "left_anti")
-    return _report(lost, table, f"fk:{column}", [column], "_n")
-
-
-def broken_checks(tables: Tables, table: str) -> DataFrame:
-    """Rows breaking value rules, all rules of the table in one scan."""
-    unknown_passes = ", ".join(
-        f"if(coalesce(({condition}), true), null, 'check:{name}')" for name, condition in CHECKS[table].items()
-    )
-    keys = PRIMARY_KEYS[table]
-    rows = tables[table].selectExpr(*keys, f"explode(array_compact(array({unknown_passes}))) as _rule")
-    return _report(rows, table, F.col("_rule"), keys, "1")
 
+def _claim(table: str, rule: str, role: str, key: Column, when: Column | bool = True) -> Column:
+    """What a row says about a rule: it holds a key, uses a reference, offers the parent, or breaks the rule."""
+    claim = F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(role).alias("role"), key.alias("row_key"))
+    return F.when(F.lit(when) if isinstance(when, bool) else when, claim)
 
-def one_primary_metric(tables: Tables) -> DataFrame:
-    """Runs with more than one primary metric."""
-    primary = tables["analytics_run_metric"].where("is_primary").groupBy("run_id").agg(F.expr("count(*) as _n"))
-    return _report(primary.where("_n > 1"), "analytics_run_metric", "one_primary_metric", ["run_id"], "_n")
 
+def _all_given(columns: Iterable[str]) -> Column:
+    return reduce(and_, (F.col(c).isNotNull() for c in columns))
 
-def repeated_filters(tables: Tables) -> DataFrame:
-    """Filter items given twice in a request (missing ids count as equal)."""
-    columns = [c for c in tables["analytics_request_filter"].columns if c not in ("filter_id", "min_score")]
-    repeated = tables["analytics_request_filter"].groupBy(*columns).agg(F.expr("count(*) as _n")).where("_n > 1")
-    return _report(repeated, "analytics_request_filter", "unique:item", columns, "_n")
 
-
-def check_integrity(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
-    """All violations of the given tables (default: every table)."""
-    parts: list[DataFrame] = []
-    for table in names or SCHEMAS:
-        parts.append(repeated_keys(tables, table, PRIMARY_KEYS[table], "primary_key"))
+def table_claims(table: str, checked: Iterable[str]) -> list[Column]:
+    """Claims of one row of ``table``: its own rules if it is checked, and what rules of checked tables need of it."""
+    claims: list[Column] = []
+    if table in checked:
+        primary = PRIMARY_KEYS[table]
+        claims.append(_claim(table, "primary_key", "held", _key(primary), _all_given(primary)))
         for columns in UNIQUE_KEYS.get(table, ()):
-            parts.append(repeated_keys(tables, table, columns, f"unique:{','.join(columns)}"))
+            claims.append(_claim(table, f"unique:{','.join(columns)}", "held", _key(columns), _all_given(columns)))
         for fk in FOREIGN_KEYS.get(table, ()):
-            parts.append(lost_references(tables, table, fk.column, fk.parent, fk.parent_column))
-        if table in CHECKS:
-            parts.append(broken_checks(tables, table))
+            claims.append(_claim(table, f"fk:{fk.column}", "used", _key([fk.column]), F.col(fk.column).isNotNull()))
+        for name, condition in CHECKS.get(table, {}).items():
+            broken = ~F.coalesce(F.expr(condition), F.lit(True))
+            claims.append(_claim(table, f"check:{name}", "broken", _key(primary), broken))
         if table == "analytics_run_metric":
-            parts.append(one_primary_metric(tables))
+            claims.append(_claim(table, "one_primary_metric", "held", _key(["run_id"]), F.col("is_primary")))
         if table == "analytics_request_filter":
-            parts.append(repeated_filters(tables))
-    return reduce(DataFrame.unionByName, parts)
+            # missing ids count as equal
+            item = [c for c in struct_type(table).fieldNames() if c not in ("filter_id", "min_score")]
+            claims.append(_claim(table, "unique:item", "held", _key(item)))
+    for child in checked:
+        for fk in FOREIGN_KEYS.get(child, ()):
+            if fk.parent == table:
+                claims.append(_claim(child, f"fk:{fk.column}", "offered", _key([fk.parent_column])))
+    return claims
+
+
+def check_integrity(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
+    """All violations of the given tables (default: every table): table, rule, key and number of rows.
+
+    Each table is read once; a row becomes its claims, and one aggregation over
+    the claims of all tables finds repeated keys, references without a parent and
+    broken checks.  A key with a null part never collides.
+    """
+    checked = list(names or SCHEMAS)
+    parts = []
+    for table in SCHEMAS:
+        claims = table_claims(table, checked)
+        if claims:
+            parts.append(tables[table].select(F.inline(F.array_compact(F.array(*claims)))))
+    found = reduce(DataFrame.unionByName, parts)
+
+    def number(role: str) -> Column:
+        return F.count_if(F.col("role") == role)
+
+    counted = found.groupBy("table_name", "rule", "row_key").agg(
+        number("held").alias("held"), number("used").alias("used"), number("offered").alias("offered"), number("broken").alias("broken")
+    )
+    lost = F.when(F.col("offered") == 0, F.col("used")).otherwise(0)
+    repeated = F.when(F.col("held") > 1, F.col("held")).otherwise(0)
+    return counted.select("table_name", "rule", "row_key", (repeated + lost + F.col("broken")).alias("row_count")).where("row_count > 0")

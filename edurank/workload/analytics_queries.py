@@ -20,8 +20,8 @@ from edurank.workload.registry import register
 from edurank.workload.views import with_views
 
 RATINGS: dict[str, tuple[RatingFilters, RatingWeights]] = {
-    "rate_default": (RatingFilters(enforce_subject_threshold=False, limit=2000), RatingWeights()),
-    "rate_thresholds_all": (RatingFilters(limit=2000), RatingWeights()),
+    "rate_default": (RatingFilters(enforce_subject_threshold=False), RatingWeights()),
+    "rate_thresholds_all": (RatingFilters(), RatingWeights()),
     "rate_region_year_kind": (
         RatingFilters(region_id=2, year=1999, kind="actual", enforce_subject_threshold=False),
         RatingWeights(0.4, 0.3, 0.2, 0.3),
@@ -30,14 +30,14 @@ RATINGS: dict[str, tuple[RatingFilters, RatingWeights]] = {
         RatingFilters(q="  МБОУ сош № 1", profile_ids=(1, 4), enforce_subject_threshold=False),
         RatingWeights(),
     ),
-    "rate_subjects_enforced": (RatingFilters(subject_ids=(1, 2, 3), limit=2000), RatingWeights()),
+    "rate_subjects_enforced": (RatingFilters(subject_ids=(1, 2, 3)), RatingWeights()),
     "rate_subjects_relaxed": (
-        RatingFilters(subject_ids=(1, 2), enforce_subject_threshold=False, limit=2000),
+        RatingFilters(subject_ids=(1, 2), enforce_subject_threshold=False),
         RatingWeights(),
     ),
-    "rate_program_scope": (RatingFilters(institute_ids=(1, 2, 3), limit=2000), RatingWeights()),
+    "rate_program_scope": (RatingFilters(institute_ids=(1, 2, 3)), RatingWeights()),
     "rate_institute_and_subjects": (
-        RatingFilters(institute_ids=(2, 5), subject_ids=(3, 4), limit=2000),
+        RatingFilters(institute_ids=(2, 5), subject_ids=(3, 4)),
         RatingWeights(),
     ),
     "rate_min_filters": (
@@ -101,7 +101,7 @@ def _subjects(tables, filters=_ALL):
 @register(
     "school_subject_avg",
     rating_part_sql(
-        f"select school_id, subject_id, {scaled('avg_h', 2)} as avg_score from ss where avg_h is not null", _ALL, "ss"
+        f"select school_id, subject_id, {scaled('avg_h', 2)} as avg_score from school_subject where avg_h is not null", _ALL, "school_subject"
     ),
 )
 def _subject_avg(tables):
@@ -110,7 +110,7 @@ def _subject_avg(tables):
 
 @register(
     "school_subject_capacity",
-    rating_part_sql(f"select school_id, subject_id, {scaled('size_h', 2)} as participants_avg from ss", _ALL, "ss"),
+    rating_part_sql(f"select school_id, subject_id, {scaled('size_h', 2)} as participants_avg from school_subject", _ALL, "school_subject"),
 )
 def _subject_capacity(tables):
     return _subjects(tables).select("school_id", "subject_id", "participants_avg")
@@ -137,9 +137,9 @@ def _scope_matches(tables):
     "program_school_match",
     rating_part_sql(
         f"select school_id, program_id, {scaled('potential_h', 2)} as potential_applicants, "
-        f"{scaled('share', 4)} as threshold_share from matches where share > 0",
+        f"{scaled('share', 4)} as threshold_share from applicants where share > 0",
         _SCOPE,
-        "matches",
+        "applicants",
     ),
 )
 def _program_match(tables):
@@ -151,9 +151,9 @@ def _program_match(tables):
     rating_part_sql(
         "select school_id, programs_total, programs_matched, "
         f"{scaled('potential_h', 2)} as potential_applicants_avg, {scaled('share', 4)} as threshold_share "
-        "from summary where share > 0",
+        "from chances where share > 0",
         _SCOPE,
-        "summary",
+        "chances",
     ),
 )
 def _program_summary(tables):

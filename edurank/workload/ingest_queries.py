@@ -151,7 +151,7 @@ def _settings(cells: DataFrame) -> DataFrame:
     ),
 )
 def _headers(tables):
-    return header_rows(_cells(tables), 60)
+    return header_rows(_cells(tables))
 
 
 _TITLE_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(text.SUBJECTS, 1))

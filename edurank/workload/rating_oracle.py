@@ -1,12 +1,15 @@
-"""The rating written out plainly for the checking engine.
+"""The rating stated by its rules for the checking engine.
 
-Unlike the Spark job this compares every eligible school with every program of
-the scope, so it also proves that working from hits alone loses nothing.
+A school is described by lists of subjects (present, averaged, passed), a program
+by the list of subjects it needs and its lists of alternatives; the rules are
+predicates on these lists.  Every qualified school meets every program, so this
+also proves that working from hits alone loses nothing.  Weights and flags are
+worked out here from the raw request.
 """
 
 from __future__ import annotations
 
-from edurank.plans.params import RatingFilters, RatingWeights, normalize_query
+from edurank.plans.params import RatingFilters, RatingWeights
 from edurank.workload.oracle_text import half_up, ids, round_even, scaled
 from edurank.workload.views import with_views
 
@@ -28,8 +31,9 @@ NAME_NORM = "lower(replace(replace(regexp_replace(coalesce(full_name, ''), '\\s+
 
 def school_condition(f) -> str:
     parts = []
-    if normalize_query(f.q):
-        parts.append(f"{NAME_NORM} like '%{normalize_query(f.q)}%'")
+    sought = " ".join(f.q.split()).lower().replace("ё", "е")
+    if sought:
+        parts.append(f"{NAME_NORM} like '%{sought}%'")
     if f.region_id is not None:
         parts.append(f"r.region_id = {f.region_id}")
     if f.municipality_id is not None:
@@ -51,198 +55,190 @@ PROFILE_NAMES = (
 )
 
 
-def rating_ctes(f: RatingFilters, weights: RatingWeights) -> list[tuple[str, str]]:
-    year = " and ".join(
-        ([f"yr = {f.year}"] if f.year is not None else []) + ([f"kind = '{f.kind}'"] if f.kind else [])
-    )
-    min_h = None if f.min_avg_score is None else int(round(f.min_avg_score * 100))
-    above_min = "true" if min_h is None else f"avg_h >= {min_h}"
-    marked = f"(avg_h >= 100 * coalesce(min_passing_score, 0) and {above_min})"
-    satisfied = f"(avg_h >= 100 * coalesce(pr.min_passing_score, 0) and {above_min})"
-    if not f.enforce_subject_threshold:
-        satisfied = above_min
-    wanted = len(f.subject_ids)
-    eligible = "true"
-    if f.has_subjects:
-        eligible = f"school_id in (select school_id from ss where subject_id in {ids(f.subject_ids)} group by 1 having count(*) = {wanted})"
-        if f.enforce_subject_threshold:
-            eligible += (
-                f" and school_id in (select school_id from ss left join f_subject using (subject_id) "
-                f"where subject_id in {ids(f.subject_ids)} and {marked} group by 1 having count(*) = {wanted})"
-            )
-    if f.all_thresholds:
-        eligible = (
-            "school_id in (select school_id from ss left join f_subject using (subject_id) where avg_h is not null "
-            f"group by 1 having count(*) filter (where not {marked}) = 0)"
-        )
-    scope = ["is_active"]
-    if f.institute_ids:
-        scope.append(f"institute_id in {ids(f.institute_ids)}")
-    if f.program_ids:
-        scope.append(f"program_id in {ids(f.program_ids)}")
-    if f.has_programs:
-        programs = f"select program_id, code, name from f_program where {' and '.join(scope)}"
+def _listed(values) -> str:
+    return "[" + ", ".join(f"{v}::bigint" for v in values) + "]"
+
+
+def _program_ctes(f: RatingFilters) -> list[tuple[str, str]]:
+    """Offered programs and what each asks for: ``needs`` and ``options``, lists of subjects."""
+    by_program = bool(f.institute_ids or f.program_ids)
+    asked = []
+    if by_program:
+        rules = ["is_active", *([f"institute_id in {ids(f.institute_ids)}"] if f.institute_ids else [])]
+        rules += [f"program_id in {ids(f.program_ids)}"] if f.program_ids else []
+        offered = f"select program_id, code, name from f_program where {' and '.join(rules)}"
+        asked.append("select program_id, subject_id, role, weight from f_requirement semi join offered using (program_id)")
     else:
-        programs = f"select 0 as program_id, null as code, 'selected_subjects' as name where {str(f.has_subjects).lower()}"
-    branches = []
-    if f.has_programs:
-        branches.append(
-            "select program_id, subject_id, role, weight, min_passing_score from programs "
-            "join f_requirement using (program_id) left join f_subject using (subject_id)"
-        )
-    if f.has_subjects:
-        unless = (
-            "and not exists (select 1 from f_requirement q where q.program_id = p.program_id "
-            "and q.subject_id = s.subject_id and q.role = 'required')"
-            if f.has_programs
-            else ""
-        )
-        branches.append(
-            "select p.program_id, s.subject_id, 'required' as role, cast(null as int) as weight, s.min_passing_score from programs p "
-            f"join f_subject s on s.subject_id in {ids(f.subject_ids)} {unless}"
+        offered = f"select 0 as program_id, null as code, 'selected_subjects' as name where {'true' if f.subject_ids else 'false'}"
+    if f.subject_ids:
+        everywhere = (
+            f"select program_id, subject_id from offered, (select subject_id from f_subject where subject_id in {ids(f.subject_ids)})"
         )
-    requirements = " union all ".join(branches) or (
-        "select 0 as program_id, 0 as subject_id, '' as role, 0 as weight, 0 as min_passing_score where false"
-    )
-    scoring = (
-        f"select subject_id from f_subject where subject_id in {ids(f.subject_ids)}"
-        if f.has_subjects
-        else "select distinct subject_id from reqs"
-    )
-    rating_score = "admission_h" if f.has_scope else "all_h"
-    keep = ["true"]
-    if f.has_scope:
-        keep.append("coalesce(potential_h, 0) > 0")
+        if by_program:
+            everywhere += " except select program_id, subject_id from f_requirement where role = 'required'"
+        asked.append(f"select program_id, subject_id, 'required' as role, null as weight from ({everywhere})")
+    return [
+        ("offered", offered),
+        ("asked", " union all ".join(asked) or "select 0 as program_id, 0 as subject_id, '' as role, 0 as weight where false"),
+        (
+            "alternatives",
+            "select program_id, list(subjects) as options from (select program_id, list(subject_id) as subjects from asked "
+            "where role = 'choice' and weight is not null group by program_id, weight) group by program_id",
+        ),
+        (
+            "wishes",
+            "select program_id, coalesce(list(subject_id) filter (where role = 'required'), []) as needs, "
+            "coalesce(any_value(options), []) as options from asked left join alternatives using (program_id) group by program_id",
+        ),
+    ]
+
+
+def rating_ctes(f: RatingFilters, weights: RatingWeights) -> list[tuple[str, str]]:
+    scope = bool(f.subject_ids or f.institute_ids or f.program_ids)
+    least_h = None if f.min_avg_score is None else int(round(f.min_avg_score * 100))
+    high = "avg_h is not null" if least_h is None else f"coalesce(avg_h >= {least_h}, false)"
+    reached = f"({high} and avg_h >= 100 * coalesce(min_passing_score, 0))"
+    if f.enforce_subject_threshold:
+        fits = reached
+    else:
+        fits = "true" if least_h is None else high
+    wanted = _listed(f.subject_ids)
+    rules = []
+    if f.subject_ids:
+        rules.append(f"list_has_all({'passed' if f.enforce_subject_threshold else 'present'}, {wanted})")
+        rules.append(f"list_has_all(present, {wanted})")
+    elif f.enforce_subject_threshold and not scope:
+        rules.append("len(averaged) > 0 and len(passed) = len(averaged)")
+    when = [f"yr = {f.year}"] if f.year is not None else []
+    when += [f"kind = '{f.kind}'"] if f.kind else []
+    rated_h = "admission_h" if scope else "all_h"
+    stays = ["coalesce(potential_h, 0) > 0"] if scope else []
     if f.min_graduates is not None:
-        keep.append(f"coalesce(graduates_t, 0) >= {10 * f.min_graduates}")
-    if min_h is not None:
-        keep.append(f"coalesce({rating_score}, 0) >= {min_h}")
-    w = weights.effective(f.has_scope)
+        stays.append(f"coalesce(graduates_t, 0) >= {10 * f.min_graduates}")
+    if least_h is not None:
+        stays.append(f"coalesce({rated_h}, 0) >= {least_h}")
+    counted = f"subject_id in {ids(f.subject_ids)}" if f.subject_ids else "subject_id in (select subject_id from asked)"
+    raw = [weights.graduates, weights.avg_score, weights.match_share if scope else 0.0, weights.threshold_share]
+    positive = ", ".join(f"greatest({float(w)!r}::double, 0e0) as w{i}" for i, w in enumerate(raw))
 
-    def norm(value: str) -> str:
-        value = f"cast(coalesce({value}, 0) as double)"
-        return f"case when max({value}) over () > 0 then {value} / max({value}) over () else 0e0 end"
+    def of_top(value: str) -> str:
+        own = f"cast(coalesce(remaining.{value}, 0) as double)"
+        return f"case when peak.{value} > 0 then {own} / peak.{value} else 0e0 end"
 
     return [
-        ("base", PLACED.format(condition=school_condition(f))),
-        ("periods", f"select * from f_year where school_id in (select school_id from base) and {year or 'true'}"),
+        ("places", PLACED.format(condition=school_condition(f))),
+        ("kept_years", f"select * from f_year semi join places using (school_id) where {' and '.join(when) or 'true'}"),
         (
-            "facts",
-            "select school_id, subject_id, avg_h, coalesce(participants_cnt, chosen_cnt, 0) as people "
-            "from periods join f_stat using (ege_school_year_id) where coalesce(participants_cnt, chosen_cnt, 0) > 0",
+            "answers",
+            "select school_id, subject_id, avg_h, coalesce(participants_cnt, chosen_cnt) as people from kept_years "
+            "join f_stat using (ege_school_year_id) where coalesce(participants_cnt, chosen_cnt) > 0",
         ),
         (
-            "ss",
+            "school_subject",
             f"select school_id, subject_id, {half_up('sum(avg_h)', 'count(avg_h)')} as avg_h, "
-            f"{half_up('sum(people)', 'count(*)', 2)} as size_h from facts group by 1, 2",
+            f"{half_up('sum(people)', 'count(*)', 2)} as size_h from answers group by school_id, subject_id",
         ),
         (
-            "shares",
-            "select school_id, "
-            + half_up(f"count(*) filter (where {marked})", "count(*)", 4)
-            + " as share_all from ss left join f_subject using (subject_id) where avg_h is not null group by 1",
-        ),
-        ("eligible", f"select * from base where {eligible}"),
-        ("programs", programs),
-        ("reqs", requirements),
-        ("scoring", scoring),
-        (
-            "admission",
-            f"select school_id, {half_up('sum(avg_h)', 'count(avg_h)')} as admission_h from ss "
-            "where subject_id in (select subject_id from scoring) and avg_h is not null group by 1",
+            "profile_of_school",
+            "select school_id, list(subject_id) as present, "
+            "coalesce(list(subject_id) filter (where avg_h is not null), []) as averaged, "
+            f"coalesce(list(subject_id) filter (where {reached}), []) as passed, "
+            f"coalesce(list(subject_id) filter (where {fits}), []) as suited, map(list(subject_id), list(size_h)) as sizes "
+            "from school_subject left join f_subject using (subject_id) group by school_id",
         ),
         (
-            "pairs",
-            "select e.school_id, pr.program_id, pr.role, pr.weight, x.size_h, "
-            f"coalesce(x.subject_id is not null and {satisfied}, false) as ok from eligible e cross join reqs pr "
-            "left join ss x on x.school_id = e.school_id and x.subject_id = pr.subject_id",
+            "shares",
+            f"select school_id, {half_up('len(passed)', 'len(averaged)', 4)} as share_all from profile_of_school where len(averaged) > 0",
         ),
         (
-            "judged",
-            "select school_id, program_id, count(*) filter (where role = 'required') as req_total, "
-            "count(*) filter (where role = 'required' and ok) as req_ok, "
-            "min(size_h) filter (where role = 'required' and ok) as req_min, "
-            "count(distinct weight) filter (where role = 'choice') as ch_total, "
-            "count(distinct weight) filter (where role = 'choice' and ok) as ch_ok from pairs group by 1, 2",
+            "qualified",
+            "select places.*, suited, sizes from places left join profile_of_school using (school_id) "
+            f"where {' and '.join(rules) or 'true'}",
         ),
+        *_program_ctes(f),
         (
-            "choices",
-            "select school_id, program_id, min(best) as ch_min from (select school_id, program_id, weight, "
-            "max(size_h) as best from pairs where role = 'choice' and ok group by 1, 2, 3) c group by 1, 2",
+            "verdicts",
+            "select school_id, program_id, needs, options, sizes, suited, "
+            "len(list_intersect(needs, suited)) as needs_met, "
+            "len(list_filter(options, lambda o: list_has_any(o, suited))) as options_met "
+            "from (select * replace (coalesce(suited, []) as suited) from qualified), wishes",
         ),
         (
-            "matches",
-            "select school_id, program_id, case when req_total = 0 or req_ok <> req_total or ch_ok <> ch_total then 0 "
-            "when ch_total = 0 then coalesce(req_min, 0) else least(coalesce(req_min, 0), coalesce(ch_min, 0)) end "
-            f"as potential_h, coalesce({half_up('req_ok + ch_ok', 'req_total + ch_total', 4)}, 0) as share "
-            "from judged left join choices using (school_id, program_id)",
+            "applicants",
+            f"select school_id, program_id, coalesce({half_up('needs_met + options_met', 'len(needs) + len(options)', 4)}, 0) as share, "
+            "case when len(needs) > 0 and needs_met = len(needs) and options_met = len(options) then list_min(list_concat("
+            "list_transform(needs, lambda s: map_extract_value(sizes, s)), list_transform(options, lambda o: "
+            "list_max(list_transform(list_intersect(o, suited), lambda s: map_extract_value(sizes, s)))))) else 0 end as potential_h "
+            "from verdicts",
         ),
         (
-            "summary",
-            "select school_id, count(*) as programs_total, count(*) filter (where potential_h > 0) as programs_matched, "
+            "chances",
+            "select school_id, count(*) as programs_total, count_if(potential_h > 0) as programs_matched, "
             f"{half_up('sum(potential_h)', 'count(*)')} as potential_h, "
-            "coalesce(max(share) filter (where potential_h > 0), max(share), 0) as share from matches group by 1",
+            "case when max(potential_h) > 0 then max(share) filter (where potential_h > 0) else max(share) end as share "
+            "from applicants group by school_id",
         ),
         (
             "matched",
-            "select school_id, string_agg(case when code is null or code = '' then name else code || ' ' || name end, "
-            "'; ' order by name, program_id) as matched_programs from matches join programs using (program_id) "
-            f"where potential_h > 0 and {str(f.has_programs).lower()} group by 1",
-        ),
-        (
-            "period_agg",
-            f"select school_id, {half_up('sum(graduates_total)', 'count(graduates_total)', 1)} as graduates_t, "
-            "max(yr) as last_year, count(distinct yr) as ege_years from periods group by 1",
+            "select school_id, string_agg(concat_ws(' ', nullif(code, ''), name), '; ' order by name, program_id) as matched_programs "
+            f"from applicants join offered using (program_id) where potential_h > 0 and {'true' if f.institute_ids or f.program_ids else 'false'} "
+            "group by school_id",
         ),
         (
-            "score_agg",
-            f"select school_id, {half_up('sum(avg_h)', 'count(avg_h)')} as all_h from facts where avg_h is not null group by 1",
+            "figures",
+            "select * from qualified join (select school_id, "
+            f"{half_up('sum(graduates_total)', 'count(graduates_total)', 1)} as graduates_t, "
+            "max(yr) as last_year, count(distinct yr) as ege_years from kept_years group by school_id) using (school_id) "
+            f"left join (select school_id, {half_up('sum(avg_h)', 'count(avg_h)')} as all_h from answers where avg_h is not null "
+            "group by school_id) using (school_id) "
+            f"left join (select school_id, {half_up('sum(avg_h)', 'count(avg_h)')} as admission_h from school_subject "
+            f"where avg_h is not null and {counted} group by school_id) using (school_id) "
+            "left join chances using (school_id) left join shares using (school_id)",
         ),
-        ("names", PROFILE_NAMES),
+        ("remaining", f"select * from figures where {' and '.join(stays) or 'true'}"),
         (
-            "joined",
-            f"select *, {norm('graduates_t')} as n_g, {norm(rating_score)} as n_s, "
-            + (norm("potential_h") if f.has_scope else "0e0")
-            + " as n_p, "
-            + scaled("coalesce(share, 0)" if f.has_scope else "coalesce(share_all, 0)", 4)
-            + " as n_t from eligible join period_agg using (school_id) left join score_agg using (school_id) "
-            "left join admission using (school_id) left join summary using (school_id) "
-            "left join shares using (school_id) left join matched using (school_id) "
-            f"left join names using (school_id) where {' and '.join(keep)}",
+            "peak",
+            f"select max(coalesce(graduates_t, 0)) as graduates_t, max(coalesce({rated_h}, 0)) as {rated_h}, "
+            "max(coalesce(potential_h, 0)) as potential_h from remaining",
         ),
+        ("importance", f"select w0 / t as w_g, w1 / t as w_s, w2 / t as w_p, w3 / t as w_t from (select *, list_aggregate([w0, w1, w2, w3], 'fsum') as t from (select {positive}))"),
         (
-            "scored",
-            f"select *, {w.graduates!r}::double * n_g as p_g, {w.avg_score!r}::double * n_s as p_s, "
-            f"{w.match_share!r}::double * n_p as p_p, {w.threshold_share!r}::double * n_t as p_t from joined",
+            "normed",
+            f"select remaining.*, {of_top('graduates_t')} as n_g, {of_top(rated_h)} as n_s, "
+            + (of_top("potential_h") if scope else "0e0")
+            + f" as n_p, {scaled('coalesce(share, 0)' if scope else 'coalesce(share_all, 0)', 4)} as n_t from remaining, peak",
         ),
-        ("totals", f"select *, {round_even('p_g + p_s + p_p + p_t', 6)} as rating_score from scored"),
+        ("weighed", "select normed.*, w_g * n_g as p_g, w_s * n_s as p_s, w_p * n_p as p_p, w_t * n_t as p_t from normed, importance"),
         (
-            "ranked",
+            "ordered",
             "select *, row_number() over (order by rating_score desc, "
-            f"coalesce({rating_score}, 0) desc, coalesce(graduates_t, 0) desc, lower(full_name), school_id) as rank_pos "
-            "from totals",
+            f"coalesce({rated_h}, 0) desc, coalesce(graduates_t, 0) desc, lower(full_name), school_id) as rank_pos "
+            f"from (select *, {round_even('p_g + p_s + p_p + p_t', 6)} as rating_score from weighed)",
         ),
+        ("profiles", PROFILE_NAMES),
+        ("ranked", "select * from ordered left join matched using (school_id) left join profiles using (school_id)"),
     ]
 
 
 def rating_select(f: RatingFilters) -> str:
-    potential = scaled("potential_h", 2) if f.has_scope else "cast(null as double)"
-    admission = scaled("admission_h", 2) if f.has_scope else "cast(null as double)"
-    for_rating = admission if f.has_scope else scaled("all_h", 2)
+    scope = bool(f.subject_ids or f.institute_ids or f.program_ids)
+    potential = scaled("potential_h", 2) if scope else "cast(null as double)"
+    admission = scaled("admission_h", 2) if scope else "cast(null as double)"
+    for_rating = admission if scope else scaled("all_h", 2)
     return (
         "select rank_pos, school_id, full_name, is_active, region_id, region_name, municipality_id, "
         "municipality_name, coalesce(profile_names, '') as profile_names, "
         f"{scaled('graduates_t', 1)} as avg_graduates, cast(last_year as bigint) as last_year, ege_years, "
         f"{scaled('all_h', 2)} as avg_score_all, {admission} as admission_subject_avg, "
         f"{for_rating} as avg_score_for_rating, "
-        + ("programs_total, programs_matched, " if f.has_scope else "0::bigint as programs_total, 0::bigint as programs_matched, ")
+        + ("programs_total, programs_matched, " if scope else "0::bigint as programs_total, 0::bigint as programs_matched, ")
         + f"{potential} as potential_applicants_avg, n_t as threshold_share, "
         "coalesce(matched_programs, '') as matched_programs, "
         f"{round_even('n_g', 4)} as norm_graduates, {round_even('n_s', 4)} as norm_avg_score, "
         f"{round_even('n_p', 4)} as norm_potential_applicants, {round_even('n_p', 4)} as match_share, "
         f"{round_even('p_g', 6)} as score_part_graduates, {round_even('p_s', 6)} as score_part_avg_score, "
         f"{round_even('p_p', 6)} as score_part_potential, {round_even('p_t', 6)} as score_part_threshold, "
-        f"rating_score from ranked where rank_pos <= {f.row_limit}"
+        "rating_score from ranked" + ("" if f.limit is None else f" where rank_pos <= {f.limit}")
     )
 
 

@@ -33,7 +33,7 @@ def _log(tables):
     tables = runs.save_search(tables, _SEARCH, found, total, _PAGE, "analyst", NOW).plan.preview(tables)
     ranked = materialize(rating.rate_schools(tables, _FILTERS, _WEIGHTS))
     saved = runs.save_rating(tables, _FILTERS, _WEIGHTS, ranked, "analyst", NOW)
-    return tables.with_tables({name: materialize(df) for name, df in saved.plan.tables.items()})
+    return tables.with_tables({name: materialize(df) for name, df in saved.plan.changed(tables).items()})
 
 
 def _rated_sql(select: str) -> str:
@@ -184,7 +184,7 @@ def _report_flattened(tables):
 def _archive(tables):
     tables = logged(tables)
     _, plan = runs.create_reports(tables, 1, "analyst", "standard", "xlsx", now=NOW)
-    archive = runs.report_archive(plan.preview(tables), limit=2000)
+    archive = runs.report_archive(plan.preview(tables))
     return archive.select(
         "school_id", "rank_pos", "full_name", "municipality_name", "region_name", "report_type", "report_format"
     )

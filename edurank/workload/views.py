@@ -12,6 +12,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from edurank.plans.materialize import generation
 from edurank.sources.schema import SCHEMAS
 from edurank.sources.store import Tables, conform
 
@@ -210,7 +211,7 @@ def _replace_relation(text: str, name: str) -> str:
     return re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
 
 
-_STORED: dict[tuple[str, str, str], object] = {}
+_STORED: dict[tuple[str, str, str, int], object] = {}
 
 
 class DomainTables(Tables):
@@ -240,8 +241,8 @@ class DomainTables(Tables):
         return conform(df, name)
 
     def stored(self, name: str, build):
-        """A result several queries start from (such as a saved run), made once per session and folder."""
-        key = (self.spark.sparkContext.applicationId, self._sf_dir, name)
+        """A result several queries start from (such as a saved run), made once per session and folder; again when its files were dropped."""
+        key = (self.spark.sparkContext.applicationId, self._sf_dir, name, generation())
         if key not in _STORED:
             _STORED[key] = build(self)
         return _STORED[key]
