@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from edurank.operators import card, facts, options, rating, search, subjects
@@ -224,9 +226,8 @@ def _programs_nested(tables):
 )
 def _years_kinds(tables):
     lists = options.filter_options(tables)
-    return lists["years"].join(lists["kinds"]).join(
-        tables["ege_school_year"].select("year", "kind").distinct(), ["year", "kind"], "left_semi"
-    )
+    known = tables["ege_school_year"].select("year", "kind").distinct()
+    return known.join(lists["years"], "year", "left_semi").join(lists["kinds"], "kind", "left_semi").select("year", "kind")
 
 
 @register(
@@ -350,48 +351,142 @@ def _card_header(tables):
     )
 
 
-@register("school_timeline")
+_SHOWN = (
+    "case when avg_h = 0 and coalesce(participants_cnt, 0) <= 0 and coalesce(not_passed_cnt, 0) <= 0 "
+    "and coalesce(high_80_99_cnt, 0) <= 0 and coalesce(score_100_cnt, 0) <= 0 and coalesce(chosen_cnt, 0) <= 0 "
+    "then null else avg_h end"
+)
+
+# Nested documents are compared as one text per list, numbers in whole units.
+_COUNTS = ("participants_cnt", "not_passed_cnt", "high_80_99_cnt", "score_100_cnt")
+_SUBJECT_TEXT = "concat_ws(':', s.name, subject_id, " + ", ".join(
+    f"coalesce(cast({c} as varchar), '-')" for c in ("cast(min_passing_score as int)", *_COUNTS, _SHOWN, "chosen_cnt")
+) + ")"
+_TIMELINE_CTES = [
+    (
+        "period_text",
+        "select school_id, yr, y.kind, concat_ws('/', yr, y.kind, coalesce(cast(graduates_total as varchar), '-'), "
+        f"coalesce(string_agg({_SUBJECT_TEXT}, ',' order by s.name, subject_id) filter (where subject_id is not null), '')) as line "
+        "from f_year y left join f_stat t using (ege_school_year_id) left join f_subject s using (subject_id) "
+        "group by school_id, yr, y.kind, graduates_total",
+    ),
+    ("timeline", "select school_id, string_agg(line, ';' order by yr desc, kind desc) as ege_timeline from period_text group by school_id"),
+]
+
+
+def _item_text(*values: str):
+    return F.concat_ws(":", *(F.coalesce(F.expr(f"cast({v} as string)"), F.lit("-")) for v in values))
+
+
+def _timeline_text(column: str = "ege_timeline"):
+    hundredths = "cast(round(x.avg_score * 100) as bigint)"
+    values = ["x.subject_name", "x.subject_id", "cast(x.min_passing_score as int)", *(f"x.{c}" for c in _COUNTS), hundredths, "x.chosen_cnt"]
+    subject = "concat_ws(':', " + ", ".join(f"coalesce(cast({v} as string), '-')" for v in values) + ")"
+    period = (
+        "concat_ws('/', p.year, p.kind, coalesce(cast(p.graduates_total as string), '-'), "
+        f"array_join(transform(p.subjects, x -> {subject}), ','))"
+    )
+    return F.expr(f"array_join(transform({column}, p -> {period}), ';')")
+
+
+@register(
+    "school_timeline",
+    with_views("select * from timeline", "f_year", "f_stat", "f_subject", ctes=_TIMELINE_CTES),
+)
 def _timeline(tables):
-    return card.school_timeline(tables).withColumn("ege_timeline", F.to_json("ege_timeline"))
+    return card.school_timeline(tables).withColumn("ege_timeline", _timeline_text())
+
+
+def _list_sql(source: str, order: str, *values: str) -> str:
+    item = "concat_ws(':', " + ", ".join(f"coalesce(cast({v} as varchar), '-')" for v in values) + ")"
+    return f"select school_id, string_agg({item}, ';' order by {order}) as items from {source} group by school_id"
+
+
+def _list_text(column: str, *fields: str):
+    item = "concat_ws(':', " + ", ".join(f"coalesce(cast(x.{f} as string), '-')" for f in fields) + ")"
+    return F.expr(f"array_join(transform({column}, x -> {item}), ';')").alias(column)
 
 
 @register(
     "school_cards",
     with_views(
-        "select school_id, full_name, coalesce(n_periods, 0) as periods, coalesce(n_rows, 0) as subject_rows, "
-        "coalesce(n_adm, 0) as admissions, coalesce(n_ev, 0) as event_years, coalesce(n_keys, 0) as keys "
-        "from f_school left join (select school_id, count(*) as n_periods from f_year group by 1) using (school_id) "
-        "left join (select school_id, count(*) as n_rows from f_year join f_stat using (ege_school_year_id) group by 1) "
-        "using (school_id) left join (select school_id, count(*) as n_adm from f_admission group by 1) using (school_id) "
-        "left join (select school_id, count(distinct year(event_date)) as n_ev from f_event group by 1) using (school_id) "
-        "left join (select school_id, count(*) as n_keys from f_external_key group by 1) using (school_id)",
+        "select school_id, full_name, coalesce(ege_timeline, '') as ege_timeline, coalesce(a.items, '') as admission_stats, "
+        "coalesce(e.items, '') as prof_events, coalesce(k.items, '') as external_keys "
+        "from f_school left join timeline using (school_id) left join ("
+        + _list_sql("f_admission", "yr desc", "yr", "applicants_cnt", "enrolled_cnt")
+        + ") a using (school_id) left join ("
+        + _list_sql(
+            "(select school_id, year(event_date) as yr, count(*) as n, sum(coverage_cnt) as c from f_event group by all)",
+            "yr desc",
+            "yr",
+            "n",
+            "c",
+        )
+        + ") e using (school_id) left join ("
+        + _list_sql("f_external_key", "source_name, external_key", "source_name", "external_key", "normalized_name")
+        + ") k using (school_id)",
         "f_school",
         "f_year",
         "f_stat",
+        "f_subject",
         "f_admission",
         "f_event",
         "f_external_key",
+        ctes=_TIMELINE_CTES,
     ),
 )
 def _cards(tables):
-    nested = card.school_cards(tables)
-    rows = F.aggregate("ege_timeline", F.lit(0), lambda acc, p: acc + F.size(p["subjects"]))
-    return nested.select(
+    return card.school_cards(tables).select(
         "school_id",
         "full_name",
-        F.size("ege_timeline").alias("periods"),
-        rows.alias("subject_rows"),
-        F.size("admission_stats").alias("admissions"),
-        F.size("prof_events").alias("event_years"),
-        F.size("external_keys").alias("keys"),
+        _timeline_text().alias("ege_timeline"),
+        _list_text("admission_stats", "year", "applicants_cnt", "enrolled_cnt"),
+        _list_text("prof_events", "year", "events_cnt", "coverage_cnt"),
+        _list_text("external_keys", "source_name", "external_key", "normalized_name"),
     )
 
 
-_SHOWN = (
-    "case when avg_h = 0 and coalesce(participants_cnt, 0) <= 0 and coalesce(not_passed_cnt, 0) <= 0 "
-    "and coalesce(high_80_99_cnt, 0) <= 0 and coalesce(score_100_cnt, 0) <= 0 and coalesce(chosen_cnt, 0) <= 0 "
-    "then null else avg_h end"
+@register(
+    "card_export_sheets",
+    with_views(
+        "select 'profiles' as sheet, school_id, name as item, null::bigint as number from f_profile_link join f_profile using (profile_id) "
+        "union all select 'external_keys', school_id, source_name || ':' || external_key, null from f_external_key "
+        "union all select 'admission', school_id, cast(yr as varchar), applicants_cnt from f_admission "
+        "union all select 'prof_events', school_id, cast(year(event_date) as varchar), count(*) from f_event "
+        "semi join f_school using (school_id) group by school_id, year(event_date) "
+        "union all select 'ege_subjects', school_id, concat_ws(':', yr, y.kind, s.name), t.chosen_cnt from f_year y "
+        "left join f_stat t using (ege_school_year_id) left join f_subject s using (subject_id) "
+        "union all select 'ege_periods', school_id, concat_ws(':', yr, y.kind), graduates_total from f_year y "
+        "union all select 'school', s.school_id, m.name || ':' || full_name, m.region_id from f_school s join f_municipality m using (municipality_id)",
+        "f_school",
+        "f_municipality",
+        "f_profile",
+        "f_profile_link",
+        "f_external_key",
+        "f_admission",
+        "f_event",
+        "f_year",
+        "f_stat",
+        "f_subject",
+    ),
 )
+def _card_export(tables):
+    sheets = card.school_card_export(tables)
+    items = {
+        "profiles": ("profile_name", "cast(null as bigint)"),
+        "external_keys": ("concat(source_name, ':', external_key)", "cast(null as bigint)"),
+        "admission": ("cast(year as string)", "applicants_cnt"),
+        "prof_events": ("cast(year as string)", "events_cnt"),
+        "ege_subjects": ("concat_ws(':', year, kind, subject_name)", "chosen_cnt"),
+        "ege_periods": ("concat_ws(':', year, kind)", "graduates_total"),
+        "school": ("concat(municipality_name, ':', school_name)", "region_id"),
+    }
+    parts = [
+        sheets[name].selectExpr(f"'{name}' as sheet", "school_id", f"{item} as item", f"cast({number} as bigint) as number")
+        for name, (item, number) in items.items()
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
 
 
 @register(

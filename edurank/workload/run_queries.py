@@ -11,9 +11,10 @@ from edurank.plans.materialize import materialize
 from edurank.plans.params import Page, SchoolFilters
 from edurank.sources.exports import cell_safe, flatten
 from edurank.workload.analytics_queries import RATINGS
-from edurank.workload.oracle_text import round_even
-from edurank.workload.rating_oracle import rating_sql
+from edurank.workload.oracle_text import ids, round_even
+from edurank.workload.rating_oracle import RATING_VIEWS, rating_ctes, rating_select
 from edurank.workload.registry import register
+from edurank.workload.views import with_views
 
 NOW = datetime(2024, 5, 1, 12, 0, tzinfo=timezone.utc)
 LOGGED = "rate_program_scope"
@@ -36,8 +37,9 @@ def _log(tables):
     return tables.with_tables({name: materialize(df) for name, df in saved.plan.changed(tables).items()})
 
 
-def _rated_sql(select: str) -> str:
-    head, rated = rating_sql(_FILTERS, _WEIGHTS).rsplit("\nselect ", 1)
+def _rated_sql(select: str, *more: str) -> str:
+    """A statement over ``rated``, the rating that was saved, and ``more`` views."""
+    head, rated = with_views(rating_select(_FILTERS), *RATING_VIEWS, *more, ctes=rating_ctes(_FILTERS, _WEIGHTS)).rsplit("\nselect ", 1)
     return f"{head}, rated as (select {rated}) {select}"
 
 
@@ -97,23 +99,28 @@ def _selection(tables):
 
 @register(
     "run_filters_weights",
-    "select 'filter' as part, 'institute' as name, v::bigint as value, false as flag "
-    f"from (values {', '.join(f'({i})' for i in _FILTERS.institute_ids)}) t(v) "
-    "where exists (select 1 from customer) union all "
-    + " union all ".join(
-        f"select 'weight', '{code}', {weight}::bigint, {str(primary).lower()} where exists (select 1 from orders)"
-        for code, weight, primary in runs.run_metric_rows(_WEIGHTS)
+    _rated_sql(
+        "select 'filter' as part, name, institute_id::bigint as value, false as flag, "
+        f"(select count(*) from f_program p where p.institute_id = i.institute_id) as rows_behind from f_institute i where institute_id in {ids(_FILTERS.institute_ids)} "
+        "union all select 'weight', code, weight, weight = max(weight) over (), (select count(*) from rated) from "
+        "(select code, greatest(1, least(10, cast(round_even(10 * w / (fsum(w) over ()), 0) as bigint))) as weight from (values "
+        + ", ".join(f"('{code}', {w!r}::double)" for code, w in zip(runs.METRIC_CODES, (_WEIGHTS.graduates, _WEIGHTS.avg_score, _WEIGHTS.match_share, _WEIGHTS.threshold_share), strict=True))
+        + ") t(code, w))",
+        "f_institute",
     ),
 )
 def _filters_weights(tables):
-    sheets = runs.run_export(logged(tables), 1)
-    filters = sheets["filters"].selectExpr(
-        "'filter' as part", "filter_type as name", "institute_id as value", "false as flag"
+    log = logged(tables)
+    sheets = runs.run_export(log, 1)
+    behind = tables["study_program"].groupBy("institute_id").agg(F.count("*").alias("rows_behind"))
+    filters = (
+        sheets["filters"].select("institute_id").join(tables["institute"].select("institute_id", "name"), "institute_id").join(behind, "institute_id")
     )
-    weights = sheets["weights"].selectExpr(
-        "'weight' as part", "metric_code as name", "cast(weight as bigint) as value", "is_primary as flag"
+    values = log["analytics_school_metric_value"].groupBy("metric_code").agg(F.count("*").alias("rows_behind"))
+    weights = sheets["weights"].join(values, "metric_code")
+    return filters.selectExpr("'filter' as part", "name", "institute_id as value", "false as flag", "rows_behind").unionByName(
+        weights.selectExpr("'weight' as part", "metric_code as name", "cast(weight as bigint) as value", "is_primary as flag", "rows_behind")
     )
-    return filters.unionByName(weights)
 
 
 @register(
@@ -146,10 +153,60 @@ def _rating_runs(tables):
     return listed.select("run_id", "request_id", "stage", "year_basis", "rated_cnt", "reports_cnt")
 
 
-@register("report_payloads")
+# fields of the stored document: (path in the document, statement for the checking engine)
+_DOCUMENT = {
+    "run.run_id": "'1'",
+    "run.request_name": f"'{runs.RATING_REQUEST_NAME}'",
+    "run.algorithm_version": "'v1'",
+    "school.full_name": "full_name",
+    "school.region_name": "region_name",
+    "school.municipality_name": "municipality_name",
+    "card.school_info.profile_names": "profile_names",
+    "card.conclusions.matched_programs": "matched_programs",
+    "generated_by": "'analyst'",
+}
+_DOCUMENT_NUMBERS = {
+    "run.year_basis": "max(last_year) filter (where rank_pos = 1) over ()",
+    "rating.rank_pos": "rank_pos",
+    "rating.total_score": "rating_score",
+    "rating.students_cnt": "round_even(avg_graduates, 0)",
+    "rating.ege_avg_all": "avg_score_for_rating",
+    "card.ege_summary.avg_graduates": round_even("avg_graduates", 2),
+    "card.ege_summary.avg_score_all": "avg_score_all",
+    "card.ege_summary.avg_score_metric": "avg_score_for_rating",
+    "card.ege_summary.ege_years": "ege_years",
+    "card.ege_summary.last_year": "last_year",
+    "card.conclusions.programs_total": "programs_total",
+    "card.conclusions.programs_matched": "programs_matched",
+    "card.conclusions.rating_score": round_even("rating_score", 6),
+    "card.conclusions.threshold_share": round_even("threshold_share", 6),
+}
+for (_name, (_raw, _norm)), (_code, _share) in zip(_RAW_NORM.items(), _SHARES.items(), strict=True):
+    _DOCUMENT_NUMBERS[f"metrics.{_code}.raw_value"] = round_even(_raw, 2)
+    _DOCUMENT_NUMBERS[f"metrics.{_code}.norm_value"] = round_even(_norm, 6)
+    _DOCUMENT_NUMBERS[f"metrics.{_code}.weighted_value"] = round_even(f"{_norm} * {_share!r}::double", 6)
+
+
+@register(
+    "report_payloads",
+    _rated_sql(
+        "select school_id, 'detailed' as report_type, 'json' as report_format, "
+        + ", ".join(f'{sql} as "{path}"' for path, sql in _DOCUMENT.items())
+        + ", "
+        + ", ".join(f'cast({sql} as double) as "{path}"' for path, sql in _DOCUMENT_NUMBERS.items())
+        + " from rated"
+    ),
+)
 def _report_payloads(tables):
     fresh, _ = runs.create_reports(logged(tables), 1, "analyst", "detailed", "json", now=NOW)
-    return fresh.select("run_id", "school_id", "report_type", "report_format", "report_payload")
+    field = {path: F.get_json_object("report_payload", f"$.{path}") for path in (*_DOCUMENT, *_DOCUMENT_NUMBERS)}
+    return fresh.select(
+        "school_id",
+        "report_type",
+        "report_format",
+        *(field[path].alias(path) for path in _DOCUMENT),
+        *(field[path].cast("double").alias(path) for path in _DOCUMENT_NUMBERS),
+    )
 
 
 @register(
