@@ -50,6 +50,8 @@ def search_summary(tables: Tables, wanted: DataFrame | None) -> DataFrame:
     """Period and score summary over all years and kinds, whatever the filters say."""
     school_years = facts.periods(tables, None, wanted)
     stats = tables["ege_school_subject_stat"].where(f"avg_score is not null and {HAS_PEOPLE}")
+    if wanted is not None:
+        stats = stats.join(school_years.select("ege_school_year_id"), "ege_school_year_id", "left_semi")
     # per school year first: the school shuffle then carries one row per year
     per_year = stats.groupBy("ege_school_year_id").agg(
         F.expr("sum(avg_score) as _sum"), F.expr("count(avg_score) as _cnt")

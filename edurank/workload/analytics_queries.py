@@ -327,6 +327,20 @@ def _search_total(tables):
     return search.matching_schools(tables, _PAGED).agg(F.count(F.lit(1)).alias("total"))
 
 
+def _search_export_sql() -> str:
+    head, select = _search_sql(SEARCHES["search_place_period"]).rsplit("\nselect ", 1)
+    return (
+        f"{head}, found as (select {select}) select school_id, region_name as region, municipality_name as municipality, "
+        "full_name as school, short_name, profile_names as profiles, is_active, last_year as ege_last_year, ege_years, "
+        "avg_graduates as ege_avg_graduates, avg_score as ege_avg_score from found"
+    )
+
+
+@register("search_export", _search_export_sql())
+def _search_export(tables):
+    return search.search_export(tables, SEARCHES["search_place_period"])
+
+
 # --- cards ---------------------------------------------------------------------------------
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from edurank.functions import text
 from edurank.ingest import directory, exam, programs
+from edurank.operators.schools import with_place
 from edurank.plans.materialize import materialize
 from edurank.plans.ordered import forward_fill
 from edurank.sources import seeds
-from edurank.sources.cells import SHEET, exam_columns, header_rows, subject_cells, wide_to_long
+from edurank.sources.cells import SHEET, drop_empty, exam_columns, header_rows, subject_cells, wide_to_long
 from edurank.workload.oracle_text import half_up
 from edurank.workload.registry import register
 from edurank.workload.views import with_views
@@ -359,15 +360,17 @@ def _aggregate(tables):
 @register(
     "region_resolution",
     with_views(
-        "select 'directories_' || r.name || '_' || yr as region, r.name as region_name from f_region r, "
-        "(select distinct yr from f_year) y",
+        "select distinct 'directories_' || r.name || '_' || yr as region, r.name as region_name from f_year "
+        "join f_school using (school_id) join f_municipality m using (municipality_id) join f_region r on r.region_id = m.region_id",
         "f_region",
+        "f_municipality",
+        "f_school",
         "f_year",
     ),
 )
 def _region_resolution(tables):
-    years = tables["ege_school_year"].select("year").distinct()
-    names = tables["region"].join(years, how="inner").selectExpr("concat('directories_', name, '_', year) as region")
+    years = with_place(tables).join(tables["ege_school_year"].select("school_id", "year"), "school_id")
+    names = years.selectExpr("concat('directories_', region_name, '_', year) as region").distinct()
     return exam.resolve_regions(tables, names)
 
 
@@ -632,3 +635,13 @@ def _min_scores(tables):
         )
     )
     return programs.update_min_scores(tables, scores).tables["ege_subject"]
+
+
+@register(
+    "wide_without_empty",
+    with_views("select school_id, graduates_total from f_year where yr < 1998", "f_year"),
+)
+def _wide_without_empty(tables):
+    early = "if(year < 1998, {0}, null) as {0}"
+    wide = tables["ege_school_year"].selectExpr(early.format("school_id"), early.format("graduates_total"), "cast(null as string) as remark")
+    return drop_empty(wide)

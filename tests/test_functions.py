@@ -77,6 +77,9 @@ CASES = [
     (text.is_primorsky, "Край Приморский", True),
     (text.program_subject, "информатика и икт", "ИКТ"),
     (text.strip_outer_quotes, "«'a b'»", "a b"),
+    (text.strip_outer_quotes, "« \"a\" b »", "a\" b"),
+    (text.strip_outer_quotes, "«\"A", "\"A"),
+    (text.strip_outer_quotes, "'A»", "A"),
 ]
 
 
