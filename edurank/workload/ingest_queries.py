@@ -645,3 +645,45 @@ def _wide_without_empty(tables):
     early = "if(year < 1998, {0}, null) as {0}"
     wide = tables["ege_school_year"].selectExpr(early.format("school_id"), early.format("graduates_total"), "cast(null as string) as remark")
     return drop_empty(wide)
+
+
+# Every fourth school keeps its row as it is; the others lose the spelling of the municipality, the municipality, or the name.
+_STEPS = [
+    (
+        "known",
+        "select s.school_id, m.region_id, case when m.region_id = 0 then 'Приморский край' else r.name end as region_name, "
+        "count(*) over pair as n_pair, min(s.school_id) over pair as pair_id, "
+        "count(*) over alone as n_alone, min(s.school_id) over alone as alone_id from f_school s "
+        "join f_municipality m using (municipality_id) join f_region r on r.region_id = m.region_id "
+        "window pair as (partition by municipality_id, s.school_id % 20), alone as (partition by m.region_id, s.school_id % 20)",
+    ),
+    (
+        "steps",
+        "select school_id as row_id, region_name, case school_id % 4 when 0 then pair_id "
+        "when 1 then case when n_pair = 1 then pair_id when region_id = 0 or n_alone = 1 then alone_id end "
+        "when 2 then case when region_id = 0 or n_alone = 1 then alone_id end end as school_id from known",
+    ),
+]
+
+
+@register(
+    "exam_match_steps",
+    with_views(
+        "select row_id, region_name, school_id, case when school_id is not null then 'matched' when row_id % 4 = 3 then 'not_found' "
+        "else 'ambiguous' end as status from steps",
+        "f_region",
+        "f_municipality",
+        "f_school",
+        ctes=_STEPS,
+    ),
+)
+def _match_steps(tables):
+    named = tables["region"].withColumn("name", F.when(F.col("region_id") == 0, "Приморский край").otherwise(F.col("name")))
+    changed = tables.with_tables({"region": named})
+    rows = with_place(changed).selectExpr(
+        "school_id as row_id",
+        "region_name",
+        "case school_id % 4 when 1 then lower(municipality_name) when 2 then 'Нигде' else municipality_name end as municipality",
+        "if(school_id % 4 = 3, 'Лицей № 777', full_name) as school",
+    )
+    return exam.match_schools(changed, rows).select("row_id", "region_name", "school_id", "status")
