@@ -6,12 +6,13 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from edurank.operators import rating, regions, runs, search
+from edurank.operators import merging, rating, regions, runs, search
 from edurank.plans.materialize import materialize
 from edurank.plans.params import Page, SchoolFilters
 from edurank.sources.exports import cell_safe, flatten
 from edurank.workload.analytics_queries import RATINGS
 from edurank.workload.oracle_text import ids, round_even
+from edurank.workload.quality_queries import DUPLICATE_CTES
 from edurank.workload.rating_oracle import RATING_VIEWS, rating_ctes, rating_select
 from edurank.workload.registry import register
 from edurank.workload.views import with_views
@@ -265,3 +266,51 @@ def _orphans(tables):
     lost = tables["analytics_school_rating"].groupBy("run_id").agg(F.expr("count(*) as lost_ratings"))
     orphans = regions.orphan_runs(tables.with_tables(emptied)).select("run_id")
     return orphans.join(lost, "run_id")
+
+
+# --- the log after a deletion and a merge --------------------------------------------------------
+
+_PER_SCHOOL = {
+    "analytics_run_school": 1,
+    "analytics_school_card": 1,
+    "analytics_school_metric_value": len(runs.METRIC_CODES),
+    "analytics_school_rating": 1,
+    "analytics_school_selection": 1,
+}
+
+
+@register(
+    "delete_region_runs",
+    _rated_sql(
+        " union all ".join(
+            f"select '{table}' as table_name, {n} * count(*) as deleted from rated where region_id = 2"
+            for table, n in _PER_SCHOOL.items()
+        )
+    ),
+)
+def _delete_region_runs(tables):
+    log = logged(tables)
+    name = tables["region"].where("region_id = 2").first()["name"]
+    counts = regions.deleted_counts(log, regions.delete_region(log, name))
+    return counts.where("table_name like 'analytics%' and deleted > 0")
+
+
+@register(
+    "merge_run_log",
+    _rated_sql(
+        "".join(f", {name} as ({sql})" for name, sql in DUPLICATE_CTES)
+        + " select 'analytics_run_school' as table_name, school_id, count(*) as rows_left from "
+        "(select distinct coalesce(new_id, school_id) as school_id from rated left join map on old_id = school_id) group by school_id "
+        "union all select 'analytics_school_metric_value', school_id, 4 * count(*) from "
+        "(select distinct coalesce(new_id, school_id) as school_id from rated left join map on old_id = school_id) group by school_id "
+        "union all select 'analytics_school_rating', school_id, 1 from rated where school_id not in (select old_id from map)"
+    ),
+)
+def _merge_run_log(tables):
+    log = logged(tables)
+    merged = merging.merge_duplicate_schools(log).preview(log)
+    parts = [
+        merged[table].where("run_id = 1").groupBy("school_id").agg(F.count("*").alias("rows_left")).withColumn("table_name", F.lit(table))
+        for table in ("analytics_run_school", "analytics_school_metric_value", "analytics_school_rating")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("table_name", "school_id", "rows_left")
