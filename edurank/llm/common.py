@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edurank.plans.materialize import materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -67,3 +69,38 @@ def portions(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
         held += size
     if len(sizes) > start:
         yield start, len(sizes)
+
+
+# Bits of the table that rules ids out, at most: 8 MB in rows of 64 bits.
+MOST_BITS = 1 << 26
+
+
+def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` with a column ``maybe``: false only for rows whose key is not in ``ids`` (one column).
+
+    A table of bits by hash, of bounded size, is sent to all tasks; rows it rules
+    out need not be shuffled for a join with what belongs to the ids.
+    """
+    bits = 1 << 16
+    while bits < min(MOST_BITS, 8 * ids.count()):
+        bits *= 2
+
+    def spot(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits))
+
+    name = ids.columns[0]
+    known = ids.select(F.shiftright(spot(F.col(name)), 6).alias("_cell"), (spot(F.col(name)) % 64).cast("int").alias("_bit"))
+    cells = known.groupBy("_cell").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    joined = df.withColumn("_spot", spot(F.col(key))).join(
+        F.broadcast(cells), F.shiftright(F.col("_spot"), 6) == F.col("_cell"), "left"
+    )
+    return joined.select(*df.columns, F.expr("coalesce(shiftright(_bits, cast(_spot % 64 as int)) & 1, 0) = 1").alias("maybe"))
+
+
+def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids`` (one column); a null key is in it if ``ids`` has a null."""
+    gone = materialize(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct())
+    whole = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"))
+    marked = maybe_among(whole, "_key", gone)
+    doubtful = marked.where("maybe").join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where("not maybe").select("_row.*").unionByName(doubtful.select("_row.*"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edurank.llm.common import ascii_lower, table
+from edurank.llm.common import ascii_lower, table, without_ids
 from edurank.plans.joins import join_few_keys
 from edurank.plans.materialize import materialize
 
@@ -184,8 +184,7 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose document is not contaminated; rows with one id go together."""
-    gone = contamination(docs, items, doc_id, text).where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]), "left_anti")
+    return without_ids(docs, doc_id, contamination(docs, items, doc_id, text).where("contaminated").select("doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import encoded, fold, portions, table
+from edurank.llm.common import encoded, fold, portions, table, without_ids
 from edurank.llm.training import balanced_weight, labelled_sample
 
 FOLDS, HELD = 5, 0
@@ -286,8 +286,7 @@ def score_toxicity(
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows of ``docs`` that are not rejected; rows with one id go together."""
     scored = score_toxicity(docs, labels, doc_id=doc_id, text=text, lang=lang)
-    gone = scored.where("rejected").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]), "left_anti")
+    return without_ids(docs, doc_id, scored.where("rejected").select("doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
