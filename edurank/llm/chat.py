@@ -31,7 +31,7 @@ ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)
 FOLDS, HELD_OUT = 5, 0
 # Pieces in a block, blocks in a block of the next level, pieces in a task's group.
-BLOCK, FAN, GROUP = 64, 64, 4_096
+BLOCK, FAN, GROUP = 64, 64, 1_024
 # Speaker names before a colon or in brackets, by the kind of marker.
 MARKERS = {"system": 1, "instruction": 1, "user": 2, "human": 2, "q": 2, "assistant": 3, "bot": 3, "a": 3}
 _MARKER = re.compile(r"\s*(?:\[(\w+)\]|<\|(\w+)\|>|#+\s*(\w+)\s*:|(\w+)\s*:)\s*", re.ASCII)
@@ -183,7 +183,7 @@ def _matrices(frame: pd.DataFrame) -> list[np.ndarray]:
 def _borders(blocks: DataFrame, conv_type: str) -> DataFrame:
     """(conv, block, before, last): the states at the borders of every block on the best way."""
     level = materialize(blocks)
-    levels = [level]
+    lower_levels = []
     while level.groupBy("conv").count().where("count > 1").limit(1).count():
 
         def up(frame: pd.DataFrame) -> pd.DataFrame:
@@ -191,16 +191,16 @@ def _borders(blocks: DataFrame, conv_type: str) -> DataFrame:
             row = frame.iloc[0]
             return pd.DataFrame({"conv": [row["conv"]], "block": [row["parent"]], "matrix": [_product(_matrices(frame)).tobytes()]})
 
-        parents = level.withColumn("parent", F.floor(F.col("block") / FAN))
-        alone = parents.withColumn("n", F.lit(1)).groupBy("conv", "parent").agg(F.count("*").alias("n"))
-        many = parents.join(alone.where("n > 1").drop("n"), ["conv", "parent"], "left_semi")
-        single = parents.join(alone.where("n = 1").drop("n"), ["conv", "parent"], "left_semi")
+        placed = level.withColumn("parent", F.floor(F.col("block") / FAN))
+        siblings = placed.groupBy("conv", "parent").agg(F.count("*").alias("n"))
+        lower = materialize(placed.join(siblings, ["conv", "parent"]))
+        lower_levels.append(lower)
         level = materialize(
-            many.groupBy("conv", "parent")
+            lower.where("n > 1")
+            .groupBy("conv", "parent")
             .applyInPandas(up, f"conv {conv_type}, block bigint, matrix binary")
-            .unionByName(single.select("conv", F.col("parent").alias("block"), "matrix"))
+            .unionByName(lower.where("n = 1").select("conv", F.col("parent").alias("block"), "matrix"))
         )
-        levels.append(level)
 
     def top(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -209,7 +209,7 @@ def _borders(blocks: DataFrame, conv_type: str) -> DataFrame:
 
     schema = f"conv {conv_type}, block bigint, before int, last int"
     known = level.mapInPandas(top, schema)
-    for lower in reversed(levels[:-1]):
+    for lower in reversed(lower_levels):
 
         def down(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("block")
@@ -217,9 +217,10 @@ def _borders(blocks: DataFrame, conv_type: str) -> DataFrame:
             before = [int(frame["before"].iloc[0]), *last[:-1]]
             return pd.DataFrame({"conv": frame["conv"], "block": frame["block"], "before": before, "last": last})
 
-        children = lower.withColumn("parent", F.floor(F.col("block") / FAN))
-        above = known.withColumnRenamed("block", "parent")
-        known = children.join(above, ["conv", "parent"]).groupBy("conv", "parent").applyInPandas(down, schema)
+        children = lower.join(known.withColumnRenamed("block", "parent"), ["conv", "parent"])
+        # a block without siblings has the borders of its parent
+        alone = children.where("n = 1").select("conv", "block", "before", "last")
+        known = children.where("n > 1").groupBy("conv", "parent").applyInPandas(down, schema).unionByName(alone)
     return known
 
 
