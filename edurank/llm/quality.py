@@ -158,7 +158,13 @@ class Model:
 def train(texts: list[bytes], label: np.ndarray) -> Model:
     """Log loss with balanced classes, Adam."""
     hasher, rng = RangeHasher(9), np.random.default_rng(3)
-    features, first = passage_features(texts, hasher)
+    parts, firsts, done = [], [], 0
+    for a, b in portions([len(t) for t in texts], PORTION):
+        part, own = passage_features(texts[a:b], hasher)
+        parts.append(part.astype(np.float32))
+        firsts.append(own + done)
+        done += len(part)
+    features, first = np.concatenate(parts), np.concatenate(firsts)
     ends = np.append(first[1:], len(features))
     model = Model.fresh(features)
     weight = np.where(label < 1, balanced_weight(1 - label), 1.0)
