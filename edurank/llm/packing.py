@@ -22,7 +22,7 @@ from edurank.llm.common import table
 MAX_LENGTH = 2048
 END_ID = 1
 # Distinct words of one kind whose ids a task remembers at once.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 # Sequence ids: bucket, task and place, so that equal lengths are next to each other.
 _TASK_BITS, _PLACE_BITS = 26, 33
 
