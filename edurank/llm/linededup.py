@@ -3,13 +3,15 @@
 The words of a line form a set, ordered by rarity.  Similar sets share a word
 among the rarest few of each (prefix filter), at places that leave room for the
 needed overlap (positional filter), and are about equally large (length filter);
-a bitmap of each set bounds the overlap once more before the Jaccard similarity
+a bitmap of each set (the parity of its words by hash) bounds the overlap once more before the Jaccard similarity
 of the words themselves is verified.  A line goes if an earlier line matches it.
 
-Lines are ordered by document id and place.  Equal sets are one node of the join.
-Each node is first compared with the first holder of each of its prefix words;
-only nodes that match none of those meet all earlier candidates, so groups of
-near copies cost a comparison per node instead of all pairs.
+Lines are ordered by document id and place, and equal sets are one node of the
+join.  Per prefix word every node is first verified with its nearest earlier
+holder that passes the filters; the nodes that had such a holder and failed, and
+only they, meet all their candidates.  So a group of near copies costs a comparison per node
+instead of all pairs.  Documents are read for verification and for the result
+only where a bit table of the wanted ids does not rule them out.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import ascii_lower, encoded, portions, table
+from edurank.llm.common import ascii_lower, encoded, maybe_among, portions, shares, table, text_bytes
 from edurank.llm.hashing import RangeHasher, mixed, word_ranges
 from edurank.plans.materialize import materialize
 
@@ -31,7 +34,7 @@ SIMILARITY = 80
 # Counters of the rarity estimate and rows they are sent in.
 COUNTERS, SLICES = 1 << 20, 64
 # Bytes of text worked on at once.
-PORTION = 2 << 20
+PORTION = 1 << 20
 
 
 class LineSets:
@@ -49,6 +52,7 @@ class LineSets:
     def ordered(self, texts: list[bytes], counts: np.ndarray | None) -> dict[str, np.ndarray]:
         """Distinct words of each line, the rarest first, and the start and size of each line that has words."""
         word, line = self.words(texts)
+        every = word
         key = word >> np.uint64(24)
         if counts is not None:
             key |= np.minimum(counts[(word >> np.uint64(44)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
@@ -61,7 +65,7 @@ class LineSets:
         size = np.diff(np.append(first, len(line)))
         lines_before = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
         text = np.searchsorted(lines_before, line[first], side="right") - 1
-        return {"word": word, "first": first, "size": size, "text": text, "line": line[first] - lines_before[text]}
+        return {"all": every, "word": word, "first": first, "size": size, "text": text, "line": line[first] - lines_before[text]}
 
 
 def set_marks(sets: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,112 +78,233 @@ def _with_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return kept.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Estimated number of occurrences of words, by the highest bits of their hash; a table of fixed size."""
+def sets_and_counts(rows: DataFrame) -> DataFrame:
+    """(set, mark, doc_id, line) of every line with words, and (slice, counts) of each task's word counts."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
     each = COUNTERS // SLICES
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, total = LineSets(), np.zeros(COUNTERS, np.int64)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, total, id_type = LineSets(), np.zeros(COUNTERS, np.int64), None
+        names = ["set", "mark", "doc_id", "line", "slice", "counts"]
         for batch in batches:
-            texts = encoded(batch.column("text"))
+            texts, ids = encoded(batch.column("text")), batch.column("doc_id")
+            id_type = ids.type
             for a, b in portions([len(t) for t in texts], PORTION):
-                word, _ = sets.words(texts[a:b])
-                total += np.bincount((word >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        parts = total.astype("<u4" if total.max() < 1 << 32 else "<u8").reshape(SLICES, each)
-        wide = [x.astype("<u8").tobytes() for x in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(wide, pa.binary())], ["slice", "counts"])
+                found = sets.ordered(texts[a:b], None)
+                total += np.bincount((found["all"] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                one, two = set_marks(found)
+                own = [pa.array(one), pa.array(two), ids.take(pa.array(found["text"] + a)), pa.array(found["line"].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(one), pa.int32()), pa.nulls(len(one), pa.binary())], names)
+        if id_type is not None:
+            parts = [x.astype("<u8").tobytes() for x in total.reshape(SLICES, each)]
+            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), id_type, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    return rows.mapInArrow(run, f"set bigint, mark bigint, doc_id {kind}, line int, slice int, counts binary")
+
+
+def rarity(found: DataFrame) -> np.ndarray:
+    """Estimated number of occurrences of words, by the highest bits of their hash; a table of fixed size."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<u8") for x in frame["counts"])
         return pd.DataFrame({"slice": frame["slice"].iloc[:1], "counts": [total.tobytes()]})
 
-    slices = rows.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
-    out = np.zeros((SLICES, each), np.uint64)
+    slices = found.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint64)
     for row in slices.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], "<u8")
     return out.ravel()
 
 
-def line_sets(rows: DataFrame) -> DataFrame:
-    """(set, mark, doc_id, line) of every line with words."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+# Rows a task holds before it reports them, and bytes of text whose rows share a bucket.
+HELD = 400_000
+BUCKET = 8 << 20
+# Bits of the table of words that the second round asks for.
+WORD_BITS = 1 << 23
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = LineSets()
-        for batch in batches:
-            texts, ids = encoded(batch.column("text")), batch.column("doc_id")
-            for a, b in portions([len(t) for t in texts], PORTION):
-                found = sets.ordered(texts[a:b], None)
-                one, two = set_marks(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), ids.take(pa.array(found["text"] + a)), pa.array(found["line"].astype(np.int32))],
-                    ["set", "mark", "doc_id", "line"],
-                )
+_FIELDS = {"word": "<u8", "set": "<u8", "bits": "<u8", "line": "<u4", "size": "<u4", "place": "<u4"}
 
-    return rows.mapInArrow(run, f"set bigint, mark bigint, doc_id {kind}, line int")
 
+def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, buckets: int, words: np.ndarray | None = None) -> DataFrame:
+    """Postings of the rarest words of every line that can match another set, packed by bucket of the word.
 
-def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int) -> DataFrame:
-    """(word, place, size, set, bits, doc_id, line) of the rarest words of every line that can match another set."""
+    A row holds arrays of word, set, bitmap, line, size and place, and the document
+    ids.  ``words`` is a bit table that leaves out words nobody asks for.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = rows.sparkSession.sparkContext.broadcast(counts)
-    names = ["word", "place", "size", "set", "bits", "doc_id", "line"]
+    sent = rows.sparkSession.sparkContext.broadcast((counts, words))
+    names = ["bucket", *_FIELDS, "ids"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = LineSets()
+        sets, (known, asked) = LineSets(), sent.value
+        held: list[tuple[dict[str, np.ndarray], pa.Array]] = []
+
+        def packed() -> pa.RecordBatch:
+            fields = {f: np.concatenate([x[f] for x, _ in held]) for f in _FIELDS}
+            ids = pa.concat_arrays([x for _, x in held])
+            bucket = word_bucket(fields["word"], buckets)
+            order = np.lexsort((fields["word"], bucket))
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) > 0)))
+            ends = np.append(starts[1:], len(order))
+            columns = [pa.array(bucket[order[starts]].astype(np.int32))]
+            for f, form in _FIELDS.items():
+                values = fields[f][order].astype(form)
+                columns.append(pa.array([values[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), ids.take(pa.array(order))))
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
             texts, ids = encoded(batch.column("text")), batch.column("doc_id")
             for a, b in portions([len(t) for t in texts], PORTION):
-                found = sets.ordered(texts[a:b], sent.value)
-                one, _ = set_marks(found)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (found["word"] & np.uint64(63)), found["first"]) if len(one) else one
+                found = sets.ordered(texts[a:b], known)
+                if not len(found["size"]):
+                    continue
+                own, _ = set_marks(found)
+                # Common words cancel out: no more bits differ than words do, also of long lines.
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (found["word"] & np.uint64(63)), found["first"])
                 size = found["size"]
                 # A smaller set cannot reach the similarity with any other.
                 prefix = np.where((size + 1) * similarity <= size * 100, size - -(-size * similarity // 100) + 1, 0)
                 row = np.repeat(np.arange(len(size)), prefix)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found["word"][found["first"][row] + place].view(np.int64)),
-                        pa.array(place.astype(np.int32)),
-                        pa.array(size[row].astype(np.int32)),
-                        pa.array(one[row]),
-                        pa.array(bits[row].view(np.int64)),
-                        ids.take(pa.array(found["text"][row] + a)),
-                        pa.array(found["line"][row].astype(np.int32)),
-                    ],
-                    names,
-                )
-
-    return rows.mapInArrow(run, f"word bigint, place int, size int, set bigint, bits bigint, doc_id {kind}, line int")
-
-
-def _may_match(x: str, y: str, similarity: int) -> Column:
+                word = found["word"][found["first"][row] + place]
+                if asked is not None:
+                    use = np.flatnonzero(asked[(word % np.uint64(WORD_BITS)).astype(np.int64)])
+                    row, place, word = row[use], place[use], word[use]
+                if not len(row):
+                    continue
+                fields = {"word": word, "set": own.view(np.uint64)[row], "bits": bits[row], "line": found["line"][row], "size": size[row], "place": place}
+                held.append((fields, ids.take(pa.array(found["text"][row] + a))))
+                if sum(len(x["word"]) for x, _ in held) >= HELD:
+                    yield packed()
+        if held:
+            yield packed()
+
+    arrays = ", ".join(f"{f} binary" for f in _FIELDS)
+    return rows.mapInArrow(run, f"bucket int, {arrays}, ids array<{kind}>")
+
+
+def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    return ((word >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _may_match(x: dict[str, np.ndarray], y: dict[str, np.ndarray], similarity: int) -> np.ndarray:
     """Length, positional and bitmap filter of two postings of one word."""
-    both = f"({x}.size + {y}.size)"
-    need = f"ceil({similarity} * {both} / {100 + similarity}D)"
-    return F.expr(
-        f"100 * least({x}.size, {y}.size) >= {similarity} * greatest({x}.size, {y}.size)"
-        f" and least({x}.size - {x}.place, {y}.size - {y}.place) >= {need}"
-        f" and {both} - bit_count({x}.bits ^ {y}.bits) >= 2 * {need}"
-    )
+    both = x["size"] + y["size"]
+    need = -(-similarity * both // (100 + similarity))
+    fits = 100 * np.minimum(x["size"], y["size"]) >= similarity * np.maximum(x["size"], y["size"])
+    fits &= np.minimum(x["size"] - x["place"], y["size"] - y["place"]) >= need
+    return fits & (both - np.bitwise_count(x["bits"] ^ y["bits"]).astype(np.int64) >= 2 * need)
+
+
+class Holders:
+    """The postings of a bucket ordered by word and line, the first line of each set under a word."""
+
+    def __init__(self, group: pa.Table) -> None:
+        fields = {f: np.concatenate([np.frombuffer(x, form) for x in group.column(f).to_pylist()]) for f, form in _FIELDS.items()}
+        ids = group.column("ids").combine_chunks().flatten()
+        rows = pa.table({"word": fields["word"], "id": ids, "line": fields["line"]})
+        order = pc.sort_indices(rows, [("word", "ascending"), ("id", "ascending"), ("line", "ascending")]).to_numpy()
+        word, own = fields["word"][order], fields["set"][order]
+        again = np.lexsort((np.arange(len(order)), own, word))
+        new = np.ones(len(order), bool)
+        new[again[1:]] = (word[again[1:]] != word[again[:-1]]) | (own[again[1:]] != own[again[:-1]])
+        order = order[new]
+        self.fields = {f: x[order] if x.dtype.itemsize == 8 else x[order].astype(np.int64) for f, x in fields.items()}
+        self.ids = ids.take(pa.array(order))
+
+    def at(self, rows: np.ndarray) -> dict[str, np.ndarray]:
+        return {f: x[rows] for f, x in self.fields.items()}
+
+    def lines(self, rows: np.ndarray) -> pa.StructArray:
+        line = pa.array(self.fields["line"][rows].astype(np.int32))
+        return pa.StructArray.from_arrays([self.ids.take(pa.array(rows)), line], ["doc_id", "line"])
+
+    def nearest(self, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+        """(x, y): for each row that has one, the nearest earlier row of the same word that may match it."""
+        word = self.fields["word"]
+        out = np.full(len(word), -1)
+        open_, back = np.arange(len(word)), 0
+        while len(open_):
+            back += 1
+            open_ = open_[open_ >= back]
+            open_ = open_[word[open_ - back] == word[open_]]
+            fits = _may_match(self.at(open_ - back), self.at(open_), similarity)
+            out[open_[fits]] = open_[fits] - back
+            open_ = open_[~fits]
+        y = np.flatnonzero(out >= 0)
+        return out[y], y
+
+    def earlier(self, y: int, similarity: int) -> np.ndarray:
+        """All earlier rows of the same word that may match a row."""
+        x = np.arange(np.searchsorted(self.fields["word"], self.fields["word"][y]), y)
+        return x[_may_match(self.at(x), self.at(np.array([y])), similarity)]
+
+
+def _end_type(postings: DataFrame) -> str:
+    return f"struct<doc_id: {postings.schema['ids'].dataType.elementType.simpleString()}, line: int>"
+
+
+def _first_pairs(postings: DataFrame, similarity: int) -> DataFrame:
+    """(word, x, y): the nearest earlier candidate of every line under each of its prefix words."""
+
+    def run(group: pa.Table) -> pa.Table:
+        held = Holders(group)
+        x, y = held.nearest(similarity)
+        return pa.table({"word": held.fields["word"][y].view(np.int64), "x": held.lines(x), "y": held.lines(y)})
+
+    end = _end_type(postings)
+    return postings.groupBy("bucket").applyInArrow(run, f"word bigint, x {end}, y {end}")
+
+
+def _other_pairs(failed: DataFrame, postings: DataFrame, buckets: int, similarity: int) -> DataFrame:
+    """(x, y): all earlier candidates of the lines ``failed`` (word, y) under these words."""
+    end = _end_type(postings)
+
+    def run(asked: pa.Table, group: pa.Table) -> pa.Table:
+        xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if not len(asked) or not len(group):
+            none = pa.array([], pa.struct([("doc_id", group.schema.field("ids").type.value_type), ("line", pa.int32())]))
+            return pa.table({"x": none, "y": none})
+        held = Holders(group)
+        places = {k: n for n, k in enumerate(zip(held.fields["word"].tolist(), held.ids.to_pylist(), held.fields["line"].tolist(), strict=True))}
+        for word, y in zip(asked.column("word").to_numpy().view(np.uint64).tolist(), asked.column("y").to_pylist(), strict=True):
+            row = places[word, y["doc_id"], y["line"]]
+            x = held.earlier(row, similarity)
+            xs.append(x)
+            ys.append(np.full(len(x), row))
+        return pa.table({"x": held.lines(np.concatenate(xs)), "y": held.lines(np.concatenate(ys))})
+
+    asked = failed.select(F.pmod(F.shiftrightunsigned("word", 20), F.lit(buckets)).cast("int").alias("bucket"), "word", "y")
+    return asked.groupBy("bucket").cogroup(postings.groupBy("bucket")).applyInArrow(run, f"x {end}, y {end}")
+
+
+def _word_bits(failed: DataFrame) -> np.ndarray:
+    """Bit table of the words of ``failed``; a fixed number of cells passes the driver."""
+    spot = failed.select(F.expr(f"cast(word & {WORD_BITS - 1} as bigint)").alias("spot"))
+    cells = spot.groupBy(F.shiftright("spot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+    frame = cells.toPandas()
+    out = np.zeros(WORD_BITS // 64, np.uint64)
+    out[frame["cell"].to_numpy(np.int64)] = frame["bits"].to_numpy(np.int64).view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    """(y) of the pairs (x, y) of first lines whose words have the similarity."""
-    pairs = materialize(pairs.distinct())
+    """(y) of the pairs (x, y) of lines whose words have the similarity."""
     ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
-    wanted = ends.groupBy(F.col("at.doc_id").alias("wanted_id")).agg(F.collect_set("at.line").alias("lines"))
+    wanted = materialize(ends.groupBy(F.col("at.doc_id").alias("wanted_id")).agg(F.collect_set("at.line").alias("lines")))
     words = F.expr("array_distinct(filter(split(line_text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''))")
-    spoken = (
-        rows.join(wanted, rows["doc_id"] == wanted["wanted_id"])
+    near = maybe_among(rows, "doc_id", wanted.select("wanted_id")).where("maybe").select("doc_id", "text")
+    spoken = materialize(
+        near.join(wanted, near["doc_id"] == wanted["wanted_id"])
         .select("doc_id", "lines", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
         .where(F.array_contains("lines", F.col("line")))
         .select(F.struct("doc_id", "line").alias("at"), ascii_lower(F.col("line_text")).alias("line_text"))
         .select("at", words.alias("words"))
         .dropDuplicates(["at"])
     )
-    spoken = materialize(spoken)
     left = spoken.select(F.col("at").alias("x"), F.col("words").alias("xs"))
     right = spoken.select(F.col("at").alias("y"), F.col("words").alias("ys"))
     common = F.size(F.array_intersect("xs", "ys"))
@@ -191,35 +316,21 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """(doc_id, line) of every line that an earlier line matches; lines are numbered from 0."""
     rows = _with_rows(docs, doc_id, text)
     at = F.struct("doc_id", "line")
-    sets = materialize(line_sets(rows))
+    found = materialize(sets_and_counts(rows))
+    sets = found.where("slice is null").select("set", "mark", "doc_id", "line")
     firsts = sets.groupBy("set", "mark").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     copies = sets.join(firsts.where("n > 1"), ["set", "mark"]).where(at > F.col("first")).select(at.alias("at"))
 
-    spread = prefix_postings(rows, rarity(rows), similarity).repartition("word")
-    nodes = spread.groupBy("word", "place", "size", "set", "bits").agg(F.min(at).alias("at"))
-    by_word = Window.partitionBy("word")
-    shared = (
-        nodes.withColumn("holders", F.count("*").over(by_word))
-        .where("holders > 1")
-        .withColumn("lead", F.first(F.struct("at", "size", "place", "bits")).over(by_word.orderBy("at")))
-    )
-    postings = materialize(shared.drop("holders"))
-    lead = postings.select(
-        F.struct("size", "place", "bits").alias("y"), F.col("lead").alias("x"), "at"
-    ).where(F.col("x.at") < F.col("at"))
-    close = lead.where(_may_match("x", "y", similarity)).select(F.col("x.at").alias("x"), F.col("at").alias("y"))
-    matched = materialize(_verified(close, rows, similarity))
-
-    later = postings.join(matched, postings["at"] == matched["y"], "left_anti").alias("y")
-    earlier = postings.drop("lead").alias("x")
-    rest = (
-        later.join(earlier, (F.col("x.word") == F.col("y.word")) & (F.col("x.at") < F.col("y.at")) & _may_match("x", "y", similarity))
-        .where(F.col("y.lead.at") != F.col("x.at"))
-        .select(F.col("x.at").alias("x"), F.col("y.at").alias("y"))
-    )
-    more = _verified(rest, rows, similarity)
-    near = matched.unionByName(more).select(F.col("y").alias("at"))
-    return copies.unionByName(near).distinct().select("at.doc_id", "at.line")
+    counts, buckets = rarity(found), shares(text_bytes(rows, "text"), BUCKET)
+    pairs = materialize(_first_pairs(prefix_postings(rows, counts, similarity, buckets), similarity))
+    near = matched = materialize(_verified(pairs.select("x", "y").distinct(), rows, similarity))
+    failed = materialize(pairs.select("word", "y").join(matched, "y", "left_anti"))
+    if not failed.isEmpty():
+        asked = prefix_postings(rows, counts, similarity, buckets, _word_bits(failed))
+        others = _other_pairs(failed, asked, buckets, similarity).distinct()
+        rest = materialize(others.join(pairs.select("x", "y").distinct(), ["x", "y"], "left_anti"))
+        near = near.unionByName(_verified(rest, rows, similarity))
+    return copies.unionByName(near.select(F.col("y").alias("at"))).distinct().select("at.doc_id", "at.line")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
@@ -233,17 +344,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     and do not remove each other's equal places.  Rows with a null id take no
     part and stay as they are, a null text stays null with no line.
     """
-    gone = removed_lines(docs, doc_id, text, similarity).groupBy(F.col("doc_id").alias("gone_id")).agg(
-        F.collect_set("line").alias("gone_lines")
+    gone = materialize(
+        removed_lines(docs, doc_id, text, similarity)
+        .groupBy(F.col("doc_id").alias("gone_id"))
+        .agg(F.collect_set("line").alias("gone_lines"))
     )
-    joined = docs.join(gone, docs[doc_id] == gone["gone_id"], "left")
-    lines = F.split(docs[text], "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains(gone["gone_lines"], i))
-    changed = F.when(gone["gone_lines"].isNull(), docs[text]).otherwise(F.array_join(left, "\n"))
-    count = F.when(docs[text].isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    removed = F.when(gone["gone_lines"].isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("bigint")
-    columns = [changed.alias(text) if c == text else docs[c] for c in docs.columns]
-    return joined.select(*columns, count.alias("n_lines"), removed.alias("n_removed"))
+    marked = maybe_among(docs.select(F.struct(*docs.columns).alias("_own"), F.col(doc_id).alias("_id")), "_id", gone.select("gone_id"))
+    touched = marked.where("maybe").join(gone, F.col("_id") == F.col("gone_id"), "left").select("_own", "gone_lines")
+    others = marked.where("not maybe").select("_own", F.lit(None).cast(gone.schema["gone_lines"].dataType).alias("gone_lines"))
+    lines = F.split(f"_own.`{text}`", "\n")
+    left = F.filter(lines, lambda _, i: ~F.array_contains("gone_lines", i))
+    own = F.col(f"_own.`{text}`")
+    changed = F.when(F.col("gone_lines").isNull(), own).otherwise(F.array_join(left, "\n"))
+    count = F.when(own.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    removed = F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("bigint")
+    columns = [(changed if c == text else F.col(f"_own.`{c}`")).alias(c) for c in docs.columns]
+    return touched.unionByName(others).select(*columns, count.alias("n_lines"), removed.alias("n_removed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
