@@ -103,10 +103,10 @@ def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return joined.select(*df.columns, F.expr("coalesce(shiftright(_bits, cast(_spot % 64 as int)) & 1, 0) = 1").alias("maybe"))
 
 
-def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``ids`` (one column); a null key is in it if ``ids`` has a null."""
-    gone = materialize(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct())
-    whole = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"))
+def without_keys(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``gone`` (one column); a row with a null key stays."""
+    gone = materialize(gone.select(F.col(gone.columns[0]).alias("_gone")).where("_gone is not null").distinct())
+    whole = df.select(F.struct(*df.columns).alias("_row"), key.alias("_key"))
     marked = maybe_among(whole, "_key", gone)
-    doubtful = marked.where("maybe").join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    doubtful = marked.where("maybe").join(gone, F.col("_key") == F.col("_gone"), "left_anti")
     return marked.where("not maybe").select("_row.*").unionByName(doubtful.select("_row.*"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edurank.llm.common import ascii_lower, table, without_ids
+from edurank.llm.common import ascii_lower, table, without_keys
 from edurank.plans.joins import join_few_keys
 from edurank.plans.materialize import materialize
 
@@ -140,6 +140,16 @@ def proximity_matches(index: PositionalIndex, item_terms: DataFrame, reach: int)
     )
 
 
+def item_matches(
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int
+) -> tuple[PositionalIndex, DataFrame, DataFrame]:
+    """Index of the documents, terms of the items, and matches (row, item, start, length)."""
+    spelled = materialize(item_words(items, item_id, item_text))
+    index = build_index(docs, spelled, doc_id, text)
+    item_terms = materialize(spelled.join(index.terms, "word").select("item", "item_id", "ipos", "term", "n", "size"))
+    return index, item_terms, materialize(phrase_matches(index, item_terms, window))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -155,10 +165,7 @@ def contamination(
     with one id count once; items without an id hit words but are not listed.
     Without items or documents nothing is hit.  Other columns are not read.
     """
-    spelled = materialize(item_words(items, item_id, item_text))
-    index = build_index(docs, spelled, doc_id, text)
-    item_terms = materialize(spelled.join(index.terms, "word").select("item", "item_id", "ipos", "term", "n", "size"))
-    matches = materialize(phrase_matches(index, item_terms, window))
+    index, item_terms, matches = item_matches(docs, items, doc_id, text, item_id, item_text, window)
     hit = (
         matches.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos"))
         .distinct()
@@ -182,9 +189,13 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document is not contaminated; rows with one id go together."""
-    return without_ids(docs, doc_id, contamination(docs, items, doc_id, text).where("contaminated").select("doc_id"))
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text is not contaminated, whatever their ids; the index knows a row by the hash of its text."""
+    key = F.unhex(F.sha2(F.col(text).cast("string"), 256))
+    hashed = docs.select(key.alias("key"), F.col(text).alias("text"))
+    index, _, matches = item_matches(hashed, items, "key", "text", item_id, item_text, WINDOW)
+    hit = index.rows.join(matches.select("row").distinct(), "row", "left_semi")
+    return without_keys(docs, key, hit.select("doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

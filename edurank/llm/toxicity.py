@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import encoded, fold, portions, table, without_ids
+from edurank.llm.common import encoded, fold, portions, table
 from edurank.llm.training import balanced_weight, labelled_sample
 
 FOLDS, HELD = 5, 0
@@ -236,6 +236,14 @@ def fit(
     return learnt
 
 
+def judged(model: Model | None, texts: list[bytes], langs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Score and threshold of every text; zero and one half without a model."""
+    if model is None:
+        return np.zeros(len(texts)), np.full(len(texts), 0.5)
+    cuts = [model.thresholds.get("" if x is None else str(x), 0.5) for x in langs]
+    return model.scores(texts), np.array(cuts, np.float64)
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -261,13 +269,7 @@ def score_toxicity(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column("text"))
-            known = sent.value
-            if known is None:
-                score, cuts = np.zeros(len(texts)), np.full(len(texts), 0.5)
-            else:
-                score = known.scores(texts)
-                cuts = np.array([known.thresholds.get(x or "", 0.5) for x in batch.column("lang").to_pylist()], np.float64)
+            score, cuts = judged(sent.value, encoded(batch.column("text")), batch.column("lang").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(cuts, pa.float64())], ["doc_id", "score", "threshold"]
             )
@@ -284,9 +286,18 @@ def score_toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows of ``docs`` that are not rejected; rows with one id go together."""
-    scored = score_toxicity(docs, labels, doc_id=doc_id, text=text, lang=lang)
-    return without_ids(docs, doc_id, scored.where("rejected").select("doc_id"))
+    """Rows of ``docs`` that are not rejected; every row is judged by its own text, whatever its id."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id=doc_id, text=text, lang=lang))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = encoded(batch.column(text))
+            langs = batch.column(lang).to_pylist() if lang in batch.schema.names else [None] * len(texts)
+            for a, b in portions([len(t) for t in texts], PORTION):
+                score, cuts = judged(sent.value, texts[a:b], langs[a:b])
+                yield batch.slice(a, b - a).filter(pa.array(score < cuts))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
