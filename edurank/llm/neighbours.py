@@ -26,8 +26,10 @@ SHARD = 4_096
 LEAF = 128
 # Queries that one task puts to one tree.
 QUERIES = 8_192
-# Candidates kept beyond the neighbours, for ties.
-SPARE = 44
+# Numbers held at once when inner products are added in order.
+HELD = 1 << 21
+# Rounding of a matrix product, as a share of the product of the lengths per component.
+ROUNDING = 1e-15
 
 
 def usable(vector: Column) -> Column:
@@ -90,29 +92,47 @@ class VantageTree:
                 distance = to_vantage[:, above]
                 bound[:, n] = np.maximum(np.maximum(distance - high, low - distance), 0).max(axis=1)
         turn = np.argsort(bound, axis=1, kind="stable")
-        kept = k + SPARE
-        best = np.full((len(queries), kept), -np.inf)
-        place = np.zeros((len(queries), kept), np.int64)
+        best = np.full((len(queries), k), -np.inf)
+        near = np.zeros((len(queries), k), self.ids.dtype)
         square = (queries**2).sum(axis=1) + self.length**2
+        slack = ROUNDING * (queries.shape[1] + 1) * square
         for step in range(len(self.leaves)):
             leaf = turn[:, step]
-            worst = np.sqrt(np.maximum(0, square - 2 * best[:, k]))
+            worst = np.sqrt(np.maximum(0, square - 2 * best[:, -1] + 1e-12 * square))
             open_ = bound[np.arange(len(queries)), leaf] * factor <= worst * (1 + 1e-9) + 1e-9
             for n in np.unique(leaf[open_]):
-                rows = np.flatnonzero(open_ & (leaf == n))
-                a, b = self.leaves[n][:2]
-                both = np.concatenate((best[rows], queries[rows] @ self.points[a:b].T), axis=1)
-                at = np.concatenate((place[rows], np.broadcast_to(np.arange(a, b), (len(rows), b - a))), axis=1)
-                top = np.argsort(-both, axis=1, kind="stable")[:, :kept]
-                best[rows], place[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(at, top, 1)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q in range(len(queries)):
-            rows = place[q][np.isfinite(best[q])]
-            rows = rows[self.ids[rows] != own[q]]
-            score = inner_products(self.points[rows], queries[q])
-            top = np.lexsort((self.ids[rows], -score))[:k]
-            found.append((np.full(len(top), q), self.ids[rows[top]], score[top]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                self._meet(n, np.flatnonzero(open_ & (leaf == n)), queries, own, slack, best, near)
+        row, place = np.nonzero(np.isfinite(best))
+        return row, near[row, place], best[row, place]
+
+    def _meet(
+        self, leaf: int, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, slack: np.ndarray, best: np.ndarray, near: np.ndarray
+    ) -> None:
+        """Bring the points of a leaf into the best of the queries ``rows``, ordered by (inner product, smaller id).
+
+        The matrix product only rules out points below the worst place beyond its
+        rounding; all others, however many tie, are compared by the exact order.
+        """
+        k = best.shape[1]
+        a, b = self.leaves[leaf][:2]
+        about = np.where(self.ids[a:b] == own[rows, None], -np.inf, queries[rows] @ self.points[a:b].T)
+        both = np.concatenate((best[rows], about), axis=1)
+        least = np.partition(both, both.shape[1] - k, axis=1)[:, -k]
+        q, p = np.nonzero((about >= (least - slack[rows])[:, None]) & (about > -np.inf))
+        if not len(q):
+            return
+        each = max(1, HELD // queries.shape[1])
+        score = np.concatenate(
+            [inner_products(self.points[a + p[i : i + each]], queries[rows[q[i : i + each]]]) for i in range(0, len(q), each)]
+        )
+        met = np.unique(q)
+        q = np.concatenate((np.repeat(met, k), q))
+        ids = np.concatenate((near[rows[met]].ravel(), self.ids[a + p]))
+        score = np.concatenate((best[rows[met]].ravel(), score))
+        order = np.lexsort((ids, -score, q))
+        starts = np.searchsorted(q[order], met)
+        first = order[starts[:, None] + np.arange(k)]
+        best[rows[met]], near[rows[met]] = score[first], ids[first]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -131,7 +151,7 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of ``vectors`` for each row of ``queries``.
 
     The score is the inner product in double precision; ties go to the smaller
-    id; rows of the query's own id are no candidates.  Null ids and unusable
+    id, however many tie; rows of the query's own id are no candidates.  Null ids and unusable
     vectors take no part, vectors of another length are not compared.  Of equal
     vectors only the ``k + 1`` smallest ids can be a neighbour, so no more of
     them enter a tree.  Queries that repeat an id and vector count once.
