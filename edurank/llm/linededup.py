@@ -6,8 +6,9 @@ needed overlap (positional filter), and are about equally large (length filter);
 a bitmap of each set (the parity of its words by hash) bounds the overlap once more before the Jaccard similarity
 of the words themselves is verified.  A line goes if an earlier line matches it.
 
-Lines are ordered by document id and place, and equal sets are one node of the
-join.  Per prefix word every node is first verified with its nearest earlier
+Lines are ordered by document id and place, those without an id last by a hash of
+their text, and equal sets are one node of the join.  A row is known by its id and
+this hash, so rows that share an id do not lose each other's lines.  Per prefix word every node is first verified with its nearest earlier
 holder that passes the filters; the nodes that had such a holder and failed, and
 only they, meet all their candidates.  So a group of near copies costs a comparison per node
 instead of all pairs.  Documents are read for verification and for the result
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edurank.llm.common import ascii_lower, encoded, maybe_among, portions, shares, table, text_bytes
@@ -74,18 +75,23 @@ def set_marks(sets: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    kept = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    return kept.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """(doc_id, own, text) of the rows with a text; ``own`` is a hash of it."""
+    kept = docs.where(F.col(text).isNotNull())
+    return kept.select(F.col(doc_id).alias("doc_id"), _own(text).alias("own"), F.col(text).cast("string").alias("text"))
+
+
+def _own(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def sets_and_counts(rows: DataFrame) -> DataFrame:
-    """(set, mark, doc_id, line) of every line with words, and (slice, counts) of each task's word counts."""
+    """(set, mark, doc_id, own, line) of every line with words, and (slice, counts) of each task's word counts."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     each = COUNTERS // SLICES
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, total, id_type = LineSets(), np.zeros(COUNTERS, np.int64), None
-        names = ["set", "mark", "doc_id", "line", "slice", "counts"]
+        names = ["set", "mark", "doc_id", "own", "line", "slice", "counts"]
         for batch in batches:
             texts, ids = encoded(batch.column("text")), batch.column("doc_id")
             id_type = ids.type
@@ -93,14 +99,15 @@ def sets_and_counts(rows: DataFrame) -> DataFrame:
                 found = sets.ordered(texts[a:b], None)
                 total += np.bincount((found["all"] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
                 one, two = set_marks(found)
-                own = [pa.array(one), pa.array(two), ids.take(pa.array(found["text"] + a)), pa.array(found["line"].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(one), pa.int32()), pa.nulls(len(one), pa.binary())], names)
+                text = pa.array(found["text"] + a)
+                lines = [pa.array(one), pa.array(two), ids.take(text), batch.column("own").take(text), pa.array(found["line"].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(one), pa.int32()), pa.nulls(len(one), pa.binary())], names)
         if id_type is not None:
             parts = [x.astype("<u8").tobytes() for x in total.reshape(SLICES, each)]
-            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), id_type, pa.int32())]
+            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return rows.mapInArrow(run, f"set bigint, mark bigint, doc_id {kind}, line int, slice int, counts binary")
+    return rows.mapInArrow(run, f"set bigint, mark bigint, doc_id {kind}, own bigint, line int, slice int, counts binary")
 
 
 def rarity(found: DataFrame) -> np.ndarray:
@@ -123,13 +130,13 @@ BUCKET = 8 << 20
 # Bits of the table of words that the second round asks for.
 WORD_BITS = 1 << 23
 
-_FIELDS = {"word": "<u8", "set": "<u8", "bits": "<u8", "line": "<u4", "size": "<u4", "place": "<u4"}
+_FIELDS = {"word": "<u8", "set": "<u8", "bits": "<u8", "own": "<u8", "line": "<u4", "size": "<u4", "place": "<u4"}
 
 
 def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, buckets: int, words: np.ndarray | None = None) -> DataFrame:
     """Postings of the rarest words of every line that can match another set, packed by bucket of the word.
 
-    A row holds arrays of word, set, bitmap, line, size and place, and the document
+    A row holds arrays of word, set, bitmap, own, line, size and place, and the document
     ids.  ``words`` is a bit table that leaves out words nobody asks for.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -161,7 +168,7 @@ def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, bucket
                 found = sets.ordered(texts[a:b], known)
                 if not len(found["size"]):
                     continue
-                own, _ = set_marks(found)
+                marks, _ = set_marks(found)
                 # Common words cancel out: no more bits differ than words do, also of long lines.
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (found["word"] & np.uint64(63)), found["first"])
                 size = found["size"]
@@ -175,8 +182,11 @@ def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, bucket
                     row, place, word = row[use], place[use], word[use]
                 if not len(row):
                     continue
-                fields = {"word": word, "set": own.view(np.uint64)[row], "bits": bits[row], "line": found["line"][row], "size": size[row], "place": place}
-                held.append((fields, ids.take(pa.array(found["text"][row] + a))))
+                text = found["text"][row] + a
+                own = batch.column("own").to_numpy(zero_copy_only=False).view(np.uint64)[text]
+                fields = {"word": word, "set": marks.view(np.uint64)[row], "bits": bits[row], "own": own}
+                fields |= {"line": found["line"][row], "size": size[row], "place": place}
+                held.append((fields, ids.take(pa.array(text))))
                 if sum(len(x["word"]) for x, _ in held) >= HELD:
                     yield packed()
         if held:
@@ -195,6 +205,7 @@ def _may_match(x: dict[str, np.ndarray], y: dict[str, np.ndarray], similarity: i
     both = x["size"] + y["size"]
     need = -(-similarity * both // (100 + similarity))
     fits = 100 * np.minimum(x["size"], y["size"]) >= similarity * np.maximum(x["size"], y["size"])
+    fits &= x["rank"] != y["rank"]
     fits &= np.minimum(x["size"] - x["place"], y["size"] - y["place"]) >= need
     return fits & (both - np.bitwise_count(x["bits"] ^ y["bits"]).astype(np.int64) >= 2 * need)
 
@@ -205,14 +216,21 @@ class Holders:
     def __init__(self, group: pa.Table) -> None:
         fields = {f: np.concatenate([np.frombuffer(x, form) for x in group.column(f).to_pylist()]) for f, form in _FIELDS.items()}
         ids = group.column("ids").combine_chunks().flatten()
-        rows = pa.table({"word": fields["word"], "id": ids, "line": fields["line"]})
-        order = pc.sort_indices(rows, [("word", "ascending"), ("id", "ascending"), ("line", "ascending")]).to_numpy()
+        # Without an id the text's hash orders the rows; rows of one id have equal places.
+        key = np.where(ids.is_null().to_numpy(zero_copy_only=False), fields["own"].view(np.int64), 0)
+        rows = pa.table({"word": fields["word"], "id": ids, "key": key, "line": fields["line"], "own": fields["own"].view(np.int64)})
+        order = pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names], null_placement="at_end").to_numpy()
+        number = pc.fill_null(ids.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        step = np.zeros(len(order), bool)
+        for x in (fields["word"][order], number[order], key[order], fields["line"][order]):
+            step[1:] |= x[1:] != x[:-1]
+        rank = np.cumsum(step)
         word, own = fields["word"][order], fields["set"][order]
         again = np.lexsort((np.arange(len(order)), own, word))
         new = np.ones(len(order), bool)
         new[again[1:]] = (word[again[1:]] != word[again[:-1]]) | (own[again[1:]] != own[again[:-1]])
-        order = order[new]
-        self.fields = {f: x[order] if x.dtype.itemsize == 8 else x[order].astype(np.int64) for f, x in fields.items()}
+        order, rank = order[new], rank[new]
+        self.fields = {f: x[order] if x.dtype.itemsize == 8 else x[order].astype(np.int64) for f, x in fields.items()} | {"rank": rank}
         self.ids = ids.take(pa.array(order))
 
     def at(self, rows: np.ndarray) -> dict[str, np.ndarray]:
@@ -220,7 +238,8 @@ class Holders:
 
     def lines(self, rows: np.ndarray) -> pa.StructArray:
         line = pa.array(self.fields["line"][rows].astype(np.int32))
-        return pa.StructArray.from_arrays([self.ids.take(pa.array(rows)), line], ["doc_id", "line"])
+        own = pa.array(self.fields["own"][rows].view(np.int64))
+        return pa.StructArray.from_arrays([self.ids.take(pa.array(rows)), own, line], ["doc_id", "own", "line"])
 
     def nearest(self, similarity: int) -> tuple[np.ndarray, np.ndarray]:
         """(x, y): for each row that has one, the nearest earlier row of the same word that may match it."""
@@ -244,7 +263,7 @@ class Holders:
 
 
 def _end_type(postings: DataFrame) -> str:
-    return f"struct<doc_id: {postings.schema['ids'].dataType.elementType.simpleString()}, line: int>"
+    return f"struct<doc_id: {postings.schema['ids'].dataType.elementType.simpleString()}, own: bigint, line: int>"
 
 
 def _first_pairs(postings: DataFrame, similarity: int) -> DataFrame:
@@ -266,12 +285,13 @@ def _other_pairs(failed: DataFrame, postings: DataFrame, buckets: int, similarit
     def run(asked: pa.Table, group: pa.Table) -> pa.Table:
         xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if not len(asked) or not len(group):
-            none = pa.array([], pa.struct([("doc_id", group.schema.field("ids").type.value_type), ("line", pa.int32())]))
+            none = pa.array([], pa.struct([("doc_id", group.schema.field("ids").type.value_type), ("own", pa.int64()), ("line", pa.int32())]))
             return pa.table({"x": none, "y": none})
         held = Holders(group)
-        places = {k: n for n, k in enumerate(zip(held.fields["word"].tolist(), held.ids.to_pylist(), held.fields["line"].tolist(), strict=True))}
+        columns = (held.fields["word"].tolist(), held.ids.to_pylist(), held.fields["own"].view(np.int64).tolist(), held.fields["line"].tolist())
+        places = {k: n for n, k in enumerate(zip(*columns, strict=True))}
         for word, y in zip(asked.column("word").to_numpy().view(np.uint64).tolist(), asked.column("y").to_pylist(), strict=True):
-            row = places[word, y["doc_id"], y["line"]]
+            row = places[word, y["doc_id"], y["own"], y["line"]]
             x = held.earlier(row, similarity)
             xs.append(x)
             ys.append(np.full(len(x), row))
@@ -294,14 +314,14 @@ def _word_bits(failed: DataFrame) -> np.ndarray:
 def _verified(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     """(y) of the pairs (x, y) of lines whose words have the similarity."""
     ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
-    wanted = materialize(ends.groupBy(F.col("at.doc_id").alias("wanted_id")).agg(F.collect_set("at.line").alias("lines")))
+    wanted = materialize(ends.groupBy(F.col("at.doc_id").alias("wanted_id"), F.col("at.own").alias("wanted_own")).agg(F.collect_set("at.line").alias("lines")))
     words = F.expr("array_distinct(filter(split(line_text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''))")
-    near = maybe_among(rows, "doc_id", wanted.select("wanted_id")).where("maybe").select("doc_id", "text")
+    near = maybe_among(rows, "own", wanted.select("wanted_own")).where("maybe").select("doc_id", "own", "text")
     spoken = materialize(
-        near.join(wanted, near["doc_id"] == wanted["wanted_id"])
-        .select("doc_id", "lines", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
+        near.join(wanted, (F.col("own") == F.col("wanted_own")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+        .select("doc_id", "own", "lines", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
         .where(F.array_contains("lines", F.col("line")))
-        .select(F.struct("doc_id", "line").alias("at"), ascii_lower(F.col("line_text")).alias("line_text"))
+        .select(F.struct("doc_id", "own", "line").alias("at"), ascii_lower(F.col("line_text")).alias("line_text"))
         .select("at", words.alias("words"))
         .dropDuplicates(["at"])
     )
@@ -313,13 +333,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, line) of every line that an earlier line matches; lines are numbered from 0."""
+    """(doc_id, own, line) of every line that an earlier line matches; lines are numbered from 0, ``own`` is the text's hash."""
     rows = _with_rows(docs, doc_id, text)
-    at = F.struct("doc_id", "line")
+    at = F.struct("doc_id", "own", "line")
+    nameless = F.col("doc_id").isNull()
+    order = F.struct(nameless, F.col("doc_id"), F.when(nameless, F.col("own")).otherwise(0), F.col("line"))
     found = materialize(sets_and_counts(rows))
-    sets = found.where("slice is null").select("set", "mark", "doc_id", "line")
-    firsts = sets.groupBy("set", "mark").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    copies = sets.join(firsts.where("n > 1"), ["set", "mark"]).where(at > F.col("first")).select(at.alias("at"))
+    sets = found.where("slice is null").select("set", "mark", at.alias("at"), order.alias("order"), "own")
+    firsts = sets.groupBy("set", "mark").agg(F.min(F.struct("order", "own", "at")).alias("first"), F.count("*").alias("n"))
+    again = sets.join(firsts.where("n > 1"), ["set", "mark"])
+    copies = again.where(F.col("order") > F.col("first.order")).select("at")
+    # Equal places of rows that share an id: they go if the first of them is matched.
+    twins = again.where((F.col("order") == F.col("first.order")) & (F.col("own") != F.col("first.own")))
+    twins = twins.select(F.col("first.at").alias("y"), "at")
 
     counts, buckets = rarity(found), shares(text_bytes(rows, "text"), BUCKET)
     pairs = materialize(_first_pairs(prefix_postings(rows, counts, similarity, buckets), similarity))
@@ -330,7 +356,20 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         others = _other_pairs(failed, asked, buckets, similarity).distinct()
         rest = materialize(others.join(pairs.select("x", "y").distinct(), ["x", "y"], "left_anti"))
         near = near.unionByName(_verified(rest, rows, similarity))
-    return copies.unionByName(near.select(F.col("y").alias("at"))).distinct().select("at.doc_id", "at.line")
+    gone = copies.unionByName(near.select(F.col("y").alias("at"))).unionByName(twins.join(near.distinct(), "y").select("at"))
+    return gone.distinct().select("at.doc_id", "at.own", "at.line")
+
+
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """``rows`` (_own, _id, _mark) and ``_again``: without an id, and not the first of its text."""
+    named = rows.withColumn("_again", F.lit(False))
+    without = rows.where("_id is null")
+    if without.isEmpty():
+        return named
+    numbered = materialize(without.withColumn("_n", F.monotonically_increasing_id()))
+    leads = numbered.groupBy("_mark").agg(F.min("_n").alias("_lead")).select("_lead")
+    nameless = numbered.join(leads, F.col("_n") == F.col("_lead"), "left")
+    return named.where("_id is not null").unionByName(nameless.select("_own", "_id", "_mark", F.col("_lead").isNull().alias("_again")))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
@@ -341,25 +380,31 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     removed or not, has a Jaccard similarity of at least ``similarity`` per cent;
     lines without words stay.  Lines before it are those of smaller ids and the
     earlier ones of its own document; rows that repeat an id are one document
-    and do not remove each other's equal places.  Rows with a null id take no
-    part and stay as they are, a null text stays null with no line.
+    and do not remove each other's equal places.  Rows with a null id come last,
+    each as a document of its own, so of equal ones the first keeps its lines;
+    a null text stays null with no line.
     """
     gone = materialize(
         removed_lines(docs, doc_id, text, similarity)
-        .groupBy(F.col("doc_id").alias("gone_id"))
+        .groupBy(F.col("doc_id").alias("gone_id"), F.col("own").alias("gone_own"))
         .agg(F.collect_set("line").alias("gone_lines"))
     )
-    marked = maybe_among(docs.select(F.struct(*docs.columns).alias("_own"), F.col(doc_id).alias("_id")), "_id", gone.select("gone_id"))
-    touched = marked.where("maybe").join(gone, F.col("_id") == F.col("gone_id"), "left").select("_own", "gone_lines")
-    others = marked.where("not maybe").select("_own", F.lit(None).cast(gone.schema["gone_lines"].dataType).alias("gone_lines"))
+    whole = docs.select(F.struct(*docs.columns).alias("_own"), F.col(doc_id).alias("_id"), _own(text).alias("_mark"))
+    marked = maybe_among(_with_repeats(whole), "_mark", gone.select("gone_own"))
+    same = (F.col("_mark") == F.col("gone_own")) & F.col("_id").eqNullSafe(F.col("gone_id"))
+    touched = marked.where("maybe").join(gone, same, "left").select("_own", "_again", "gone_lines")
+    others = marked.where("not maybe").select("_own", "_again", F.lit(None).cast(gone.schema["gone_lines"].dataType).alias("gone_lines"))
     lines = F.split(f"_own.`{text}`", "\n")
+    spoken = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
+    worded = F.when(F.col("_again") & F.col(f"_own.`{text}`").isNotNull(), spoken).otherwise(F.col("gone_lines"))
     left = F.filter(lines, lambda _, i: ~F.array_contains("gone_lines", i))
     own = F.col(f"_own.`{text}`")
     changed = F.when(F.col("gone_lines").isNull(), own).otherwise(F.array_join(left, "\n"))
     count = F.when(own.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     removed = F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("bigint")
     columns = [(changed if c == text else F.col(f"_own.`{c}`")).alias(c) for c in docs.columns]
-    return touched.unionByName(others).select(*columns, count.alias("n_lines"), removed.alias("n_removed"))
+    judged = touched.unionByName(others).select("_own", worded.alias("gone_lines"))
+    return judged.select(*columns, count.alias("n_lines"), removed.alias("n_removed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

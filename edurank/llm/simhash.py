@@ -201,21 +201,25 @@ def near_duplicates(
 def keep_one(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS
 ) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+    """``docs`` with one row of each component: that of the smallest id, a null id last.
 
-    Repeated rows of that document stay once; rows without an id cannot be named
-    and stay.
+    Rows are known by id and a hash of the text: of rows that share the smallest
+    id the one with the smallest hash stays, and of equal rows one.
     """
+    own = F.xxhash64(F.col(text).cast("string"))
+    key = F.struct(F.col(doc_id).isNull().alias("nameless"), F.col(doc_id).alias("kept_id"), own.alias("kept_own"))
     firsts = materialize(
-        near_duplicates(docs, doc_id, text, shingle, bits)
+        near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", shingle, bits)
         .where("doc_id = component_id")
-        .groupBy(F.col("doc_id").alias("kept_id"))
+        .groupBy("doc_id")
         .count()
+        .select("doc_id.kept_id", "doc_id.kept_own", "count")
     )
-    single, repeated = firsts.where("count = 1"), firsts.where("count > 1")
-    once = docs.join(single, docs[doc_id] == single["kept_id"], "left_semi")
-    again = docs.join(repeated, docs[doc_id] == repeated["kept_id"], "left_semi").dropDuplicates([doc_id, text])
-    return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), own.alias("_own"))
+    same = (F.col("_own") == F.col("kept_own")) & F.col("_id").eqNullSafe(F.col("kept_id"))
+    once = whole.join(firsts.where("count = 1"), same, "left_semi")
+    again = whole.join(firsts.where("count > 1"), same, "left_semi").dropDuplicates(["_id", "_text"])
+    return once.select("_row.*").unionByName(again.select("_row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
