@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from edurank.llm.common import encoded, fold, portions, table
 from edurank.llm.hashing import RangeHasher, word_ranges
-from edurank.llm.toxicity import best_cut, sigmoid
-from edurank.llm.training import balanced_weight, labelled_sample
+from edurank.llm.toxicity import sigmoid
+from edurank.llm.training import balanced_weight, cut_of_all, labelled_sample, score_counts
 
 FOLDS, HELD = 3, 1
 SAMPLE_ROWS = 6_000
@@ -154,6 +154,9 @@ class Model:
             parts.append(self.forward(features, first)["logit"] + self.offset)
         return np.concatenate(parts)
 
+    def poorness(self, texts: list[bytes]) -> np.ndarray:
+        return -self.logits(texts, RangeHasher(9))
+
 
 def train(texts: list[bytes], label: np.ndarray) -> Model:
     """Log loss with balanced classes, Adam."""
@@ -197,9 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     truth = (sample["label"] > 0).to_numpy().astype(np.float64)
     aside = np.arange(len(texts)) % CALIBRATION == 0
     model = train([t for t, out in zip(texts, aside, strict=True) if not out], truth[~aside])
-    logit = model.logits([t for t, out in zip(texts, aside, strict=True) if out], RangeHasher(9))
+    used = sample["labelled_id"][~aside].tolist()
     # One half is the best cut for the rarer, poor documents.
-    model.offset = best_cut(-logit, 1 - truth[aside])
+    model.offset = cut_of_all(score_counts(docs, labels, label, FOLDS, HELD, used, model.poorness, doc_id, text, low=True))
     return model
 
 

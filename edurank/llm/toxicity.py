@@ -15,13 +15,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edurank.llm.common import encoded, fold, portions, table
-from edurank.llm.training import balanced_weight, labelled_sample
+from edurank.llm.training import balanced_weight, cut_of_all, cuts_by_language, labelled_sample, score_counts
 
 FOLDS, HELD = 5, 0
 SAMPLE_ROWS = 6_000
@@ -34,9 +33,8 @@ STEMS = (3, 4, 5, 6)
 STEPS = 900
 BATCH = 32
 RATE = 0.05
-# Share of the sample that calibrates the thresholds.
+# Share of the sample that is not learnt from; with all labelled rows beyond the sample it calibrates the thresholds.
 CALIBRATION = 5
-FEWEST_FOR_THRESHOLD = 10
 # Bytes of text scored at once.
 PORTION = 4 << 20
 
@@ -196,19 +194,6 @@ def train(texts: list[bytes], label: np.ndarray) -> Model:
     return model
 
 
-def best_cut(logit: np.ndarray, label: np.ndarray) -> float:
-    """Logit that gives the best F1; among equals the middle of the widest gap between neighbours."""
-    if label.sum() < FEWEST_FOR_THRESHOLD or label.all():
-        return 0.0
-    order = np.argsort(logit)
-    ranked, truth = logit[order], label[order]
-    caught = truth.sum() - np.cumsum(truth)[:-1]
-    f1 = 2 * caught / (np.arange(len(ranked) - 1, 0, -1) + truth.sum())
-    gaps = np.where(f1 >= f1.max() - 1e-12, np.diff(ranked), -1)
-    at = int(gaps.argmax())
-    return float(ranked[at] + ranked[at + 1]) / 2
-
-
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -218,7 +203,7 @@ def fit(
     lang: str = "lang",
     rows: int = SAMPLE_ROWS,
 ) -> Model | None:
-    """Model of at most ``rows`` labelled documents; None without rows of both classes."""
+    """Model of at most ``rows`` labelled documents, thresholds of all others; None without rows of both classes."""
     sample = labelled_sample(docs, labels, label, FOLDS, HELD, rows, doc_id, text, lang)
     if sample["label"].nunique() < 2:
         return None
@@ -226,13 +211,12 @@ def fit(
     truth = (sample["label"] > 0).to_numpy().astype(np.float32)
     aside = np.arange(len(texts)) % CALIBRATION == 0
     learnt = train([t for t, out in zip(texts, aside, strict=True) if not out], truth[~aside])
-    parts = [t for t, out in zip(texts, aside, strict=True) if out]
-    logit = np.concatenate([learnt.logits(parts[a:b]) for a, b in portions([len(t) for t in parts], PORTION)])
+    used = sample["labelled_id"][~aside].tolist()
+    counts = score_counts(docs, labels, label, FOLDS, HELD, used, learnt.logits, doc_id, text, lang)
     # One half is the best cut over all languages.
-    shift = best_cut(logit, truth[aside])
+    shift = cut_of_all(counts)
     learnt.offset -= shift
-    for name, group in pd.Series(np.arange(len(logit))).groupby(sample["lang"].fillna("")[aside].to_numpy()):
-        learnt.thresholds[str(name)] = float(sigmoid(best_cut(logit[group.to_numpy()] - shift, truth[aside][group.to_numpy()])))
+    learnt.thresholds = {name: float(sigmoid(cut - shift)) for name, cut in cuts_by_language(counts).items()}
     return learnt
 
 

@@ -234,3 +234,38 @@ def test_odd_transcripts(spark):
     assert got[1, 0].rendered == "<|user|>\nhi" and got[1, 1].rendered == "" and got[1, 2].role is None
     assert got[1, 70].rendered.startswith("<|assistant|>\nyes?\nmore")
     assert chat.parse(talks.limit(0), chat.fit(talks.limit(0))).count() == 0
+
+
+def test_thresholds_use_all_labelled_rows(spark):
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(1500):
+        # A minority language whose toxic texts look calmer than those of the others.
+        lang, toxic = ("xx" if i % 12 == 0 else "en"), int(rng.random() < 0.3)
+        w = [f"word{rng.randrange(90)}" for _ in range(25)] + ["awfulness"] * (toxic or rng.random() < 0.2)
+        docs.append((i, " ".join(w + ["scheusal"] * (toxic and rng.random() < 0.6)), lang))
+        labels.append((i, toxic, 1 - toxic))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    given = spark.createDataFrame(labels, "doc_id bigint, toxic int, quality int")
+    model = toxicity.fit(table, given, rows=150)
+    sample = toxicity.labelled_sample(table, given, "toxic", toxicity.FOLDS, toxicity.HELD, 150)
+    used = set(sample["labelled_id"][np.arange(len(sample)) % toxicity.CALIBRATION != 0].tolist())
+    rest = [(t, lang, labels[i][1]) for i, t, lang in docs if i not in used and zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD]
+    assert set(model.thresholds) == {"en", "xx"}
+
+    def f1(logit, truth, cut):
+        said = logit >= cut
+        return 2 * (said & truth).sum() / max(1, said.sum() + truth.sum())
+
+    for lang in ("en", "xx"):
+        own = [(t, y) for t, x, y in rest if x == lang]
+        logit, truth = model.logits([t.encode() for t, _ in own]), np.array([y > 0 for _, y in own])
+        assert truth.sum() >= 10
+        cut = math.log(model.thresholds[lang] / (1 - model.thresholds[lang]))
+        assert f1(logit, truth, cut) > max(f1(logit, truth, c) for c in logit) - 0.03
+    good = quality.fit(table, given, rows=150)
+    sample = quality.labelled_sample(table, given, "quality", quality.FOLDS, quality.HELD, 150)
+    used = set(sample["labelled_id"][np.arange(len(sample)) % quality.CALIBRATION != 0].tolist())
+    own = [(t, labels[i][1]) for i, t, _ in docs if i not in used and zlib.crc32(str(i).encode()) % quality.FOLDS != quality.HELD]
+    logit, truth = -good.logits([t.encode() for t, _ in own], quality.RangeHasher(9)), np.array([y > 0 for _, y in own])
+    assert f1(logit, truth, 0.0) > max(f1(logit, truth, c) for c in logit) - 0.03
