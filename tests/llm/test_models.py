@@ -251,7 +251,8 @@ def test_thresholds_use_all_labelled_rows(spark):
     sample = toxicity.labelled_sample(table, given, "toxic", toxicity.FOLDS, toxicity.HELD, 150)
     used = set(sample["labelled_id"][np.arange(len(sample)) % toxicity.CALIBRATION != 0].tolist())
     rest = [(t, lang, labels[i][1]) for i, t, lang in docs if i not in used and zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD]
-    assert set(model.thresholds) == {"en", "xx"}
+    # The sample alone has too few toxic rows of it for a threshold other than one half.
+    assert set(model.thresholds) == {"en", "xx"} and model.thresholds["xx"] != 0.5
 
     def f1(logit, truth, cut):
         said = logit >= cut
