@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edurank.llm import chat, contamination, linededup, neighbours, packing, passages, ppm, quality, simhash, toxicity
+from edurank.llm import (
+    chat, contamination, infill, linededup, manifest, neighbours, packing, passages, ppm, quality, simhash, tokens, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_partial_matching_lm": ppm.query,
@@ -19,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_binary_packing": packing.query,
     "op9_phrase_automata_substring_dedup": passages.query,
     "op10_simhash_near_dedup": simhash.query,
+    "op11_token_counts": tokens.query,
+    "op12_merkle_manifest": manifest.query,
+    "op13_fill_in_middle": infill.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +31,6 @@ ORACLES: dict[str, str] = {
     "op5_vantage_point_neighbours": neighbours.ORACLE,
     "op6_positional_decontamination": contamination.ORACLE,
     "op9_phrase_automata_substring_dedup": passages.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
+    "op13_fill_in_middle": infill.ORACLE,
 }
