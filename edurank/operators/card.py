@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from edurank.functions.numeric import exact_avg, round_even
 from edurank.operators.schools import with_place
+from edurank.plans.joins import join_few_keys
 from edurank.sources.store import Tables
 
 COUNTERS = ("participants_cnt", "not_passed_cnt", "high_80_99_cnt", "score_100_cnt", "chosen_cnt")
@@ -33,7 +34,7 @@ def card_header(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     """School, place and ordered profile names."""
     links = _of(tables["school_profile_link"], wanted)
     profiles = (
-        links.join(tables["school_profile"], "profile_id")
+        join_few_keys(links, tables["school_profile"], ["profile_id"], F.col("school_id"))
         .groupBy("school_id")
         .agg(F.array_sort(F.collect_list("name")).alias("profiles"))
     )
@@ -84,10 +85,9 @@ def prof_events_by_year(tables: Tables, wanted: DataFrame | None = None) -> Data
 def card_subject_rows(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     """Period and subject rows; a period without subjects keeps one row of nulls."""
     subjects = tables["ege_subject"].withColumnRenamed("name", "subject_name")
+    stats = _of(tables["ege_school_year"], wanted).join(tables["ege_school_subject_stat"], "ege_school_year_id", "left")
     return (
-        _of(tables["ege_school_year"], wanted)
-        .join(tables["ege_school_subject_stat"], "ege_school_year_id", "left")
-        .join(subjects, "subject_id", "left")
+        join_few_keys(stats, subjects, ["subject_id"], F.col("ege_school_year_id"), how="left")
         .select(
             "school_id",
             "year",

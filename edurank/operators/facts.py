@@ -13,16 +13,19 @@ from edurank.plans.params import SchoolFilters
 from edurank.sources.store import Tables
 
 
-def periods(tables: Tables, filters: SchoolFilters | None = None, schools: DataFrame | None = None) -> DataFrame:
-    """School years of the wanted year and kind, for the wanted schools."""
-    years = tables["ege_school_year"]
+def _narrowed(rows: DataFrame, filters: SchoolFilters | None, schools: DataFrame | None) -> DataFrame:
     if filters is not None and filters.year is not None:
-        years = years.where(F.col("year") == filters.year)
+        rows = rows.where(F.col("year") == filters.year)
     if filters is not None and filters.kind:
-        years = years.where(F.col("kind") == filters.kind)
+        rows = rows.where(F.col("kind") == filters.kind)
     if schools is not None:
-        years = years.join(schools.select("school_id"), "school_id", "left_semi")
-    return years
+        rows = rows.join(schools.select("school_id"), "school_id", "left_semi")
+    return rows
+
+
+def periods(tables: Tables, filters: SchoolFilters | None = None, schools: DataFrame | None = None) -> DataFrame:
+    """School years of the wanted year and kind, for the wanted schools."""
+    return _narrowed(tables["ege_school_year"], filters, schools)
 
 
 def period_summary(school_years: DataFrame) -> DataFrame:
@@ -40,6 +43,13 @@ def subject_rows(tables: Tables, school_years: DataFrame) -> DataFrame:
     return stats.join(school_years.select("ege_school_year_id", "school_id"), "ege_school_year_id")
 
 
+def scoped_subject_rows(tables: Tables, filters: SchoolFilters | None = None, schools: DataFrame | None = None) -> DataFrame:
+    """Subject statistics that stand for people, of the wanted school years; from the widened ones where there are any."""
+    if tables.subject_facts is None:
+        return subject_rows(tables, periods(tables, filters, schools))
+    return _narrowed(tables.subject_facts.where(HAS_PEOPLE), filters, schools)
+
+
 def school_subjects(rows: DataFrame) -> DataFrame:
     """One row per school and subject: presence, exact mean score and mean size.
 

@@ -8,13 +8,14 @@ names looked up for the returned rows alone.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edurank.functions.numeric import exact_avg, exact_ratio, round_even, to_int_even
-from edurank.operators import facts
+from edurank.operators import division, facts
 from edurank.operators.schools import narrows_schools, profile_names, schools_in_scope, with_place
 from edurank.plans.joins import join_few_keys
 from edurank.plans.materialize import materialize
@@ -77,109 +78,88 @@ def scope_requirements(tables: Tables, filters: RatingFilters) -> DataFrame:
     return result
 
 
-def by_school(rows: DataFrame) -> DataFrame:
-    """Spread over all shuffle partitions; a fixed number keeps small inputs of a growing join apart."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "school_id")
+@dataclass(frozen=True)
+class ProgramScope:
+    """Programs of a rating as plans of subject masks."""
 
+    numbers: tuple[int, ...]
+    plans: DataFrame
+    members: DataFrame
 
-def requirement_plans(requirements: DataFrame) -> DataFrame:
-    """Programs asking for the same subjects in the same roles share a plan.
+    @property
+    def total(self) -> int:
+        """Programs that ask for anything, as a one-value subquery."""
+        return self.plans.select(F.coalesce(F.sum("programs"), F.lit(0))).scalar()
 
-    ``plan_id`` is the lowest program of the plan, ``programs`` their number.  Schools
-    are judged once per plan, and there are far fewer plans than programs.
-    """
-    needs = requirements.groupBy("program_id").agg(
-        F.expr("array_sort(collect_list(struct(subject_id, role, weight))) as _needs")
-    )
-    plans = needs.groupBy("_needs").agg(F.expr("min(program_id) as plan_id"), F.expr("count(*) as programs"))
-    return needs.join(plans, "_needs").select("program_id", "plan_id", "programs")
 
+def program_scope(tables: Tables, filters: RatingFilters) -> ProgramScope:
+    requirements = materialize(scope_requirements(tables, filters))
+    numbers = division.subject_numbers(requirements)
+    plans, members = division.requirement_plans(requirements, numbers)
+    return ProgramScope(numbers, materialize(plans), members)
 
-def requirement_totals(requirements: DataFrame) -> DataFrame:
-    """What a school has to offer for each program; depends on the program only."""
-    return requirements.groupBy("program_id").agg(
-        F.expr("count_if(role = 'required') as required_total"),
-        F.expr("count(distinct case when role = 'choice' then weight end) as choice_total"),
-    )
 
+def school_sets(tables: Tables, subjects: DataFrame, filters: RatingFilters, numbers: Sequence[int]) -> DataFrame:
+    """Per school the mask of subjects that count for admission, and the people behind each."""
+    return facts.with_pass_marks(tables, subjects).groupBy("school_id").agg(*_set_aggregates(filters, numbers))
 
-def plan_matches(
-    subjects: DataFrame, requirements: DataFrame, plans: DataFrame, filters: RatingFilters
-) -> DataFrame:
+
+def _admits(filters: RatingFilters) -> str:
+    return facts.reaches("avg_score", "min_passing_score" if filters.enforce_subject_threshold else None, filters.min_avg_score)
+
+
+def _set_aggregates(filters: RatingFilters, numbers: Sequence[int]) -> list[Column]:
+    number, admits = division.number_of("subject_id", numbers), f"coalesce({_admits(filters)}, false)"
+    counted = f"{admits} and {number} >= 0"
+    return [
+        F.expr(f"{division.set_aggregate(number, admits, division.words(numbers))} as reached"),
+        F.expr(f"map_from_entries(collect_list(if({counted}, struct({number}, participants_avg), null))) as people"),
+    ]
+
+
+def plan_matches(sets: DataFrame, scope: ProgramScope) -> DataFrame:
     """Potential applicants and threshold share per school and requirement plan.
 
     Only pairs with at least one satisfied subject appear; every other pair has
     zero in both figures and is accounted for by its absence.
-
-    A school has one row per subject here, so rows are spread by school before
-    they multiply: every grouping below then stays inside its partition.
     """
-    leading = plans.where("program_id = plan_id").select("program_id", "programs")
-    requirements = requirements.join(leading, "program_id", "left_semi")
-    satisfied = facts.reaches(
-        "avg_score", "min_passing_score" if filters.enforce_subject_threshold else None, filters.min_avg_score
-    )
-    # required subjects form one row, each choice group another one
-    groups = (
-        join_few_keys(
-            by_school(subjects.select("school_id", "subject_id", "avg_score", "participants_avg")),
-            requirements,
-            ["subject_id"],
-            F.col("school_id"),
-        )
-        .where(satisfied)
-        .groupBy("school_id", "program_id", F.expr("case when role = 'choice' then weight end as choice_group"))
-        .agg(
-            F.expr("count_if(role = 'required') as required_ok"),
-            F.expr("min(case when role = 'required' then participants_avg end) as required_min"),
-            F.expr("max(case when role = 'choice' then participants_avg end) as group_max"),
-        )
-    )
-    pairs = groups.groupBy("school_id", "program_id").agg(
-        F.expr("sum(required_ok) as required_ok"),
-        F.expr("min(required_min) as required_min"),
-        F.expr("count(choice_group) as choice_ok"),
-        F.expr("min(group_max) as choice_min"),
-    )
-    totals = requirement_totals(requirements).join(leading, "program_id")
-    judged = join_few_keys(pairs, totals, ["program_id"], F.col("school_id"))
-    complete = "required_total > 0 and required_ok = required_total and choice_ok = choice_total"
-    return judged.selectExpr(
-        "school_id",
-        "program_id as plan_id",
-        "programs",
-        f"cast(case when {complete} then least(required_min, choice_min) else 0 end as decimal(14,2)) "
-        "as potential_applicants",
-        f"{exact_ratio('(required_ok + choice_ok)', '(required_total + choice_total)', 4)} as threshold_share",
-    )
+    return division.divided(sets, division.judged_plans(sets, scope.plans, scope.numbers))
 
 
-def program_matches(
-    subjects: DataFrame, requirements: DataFrame, plans: DataFrame, filters: RatingFilters
-) -> DataFrame:
+def program_matches(sets: DataFrame, scope: ProgramScope) -> DataFrame:
     """Potential applicants and threshold share per school and program (pairs with a hit)."""
-    judged = plan_matches(subjects, requirements, plans, filters).drop("programs")
-    members = plans.select("program_id", "plan_id")
-    return join_few_keys(judged, members, ["plan_id"], F.col("school_id")).select(
+    judged = plan_matches(sets, scope).drop("programs")
+    return join_few_keys(judged, scope.members, ["plan_id"], F.col("school_id")).select(
         "school_id", "program_id", "potential_applicants", "threshold_share"
     )
 
 
-def program_summary(matches: DataFrame, plans: DataFrame) -> DataFrame:
-    """Admission figures per school over all programs of the scope, from plan matches."""
-    total = plans.select(F.count(F.lit(1))).scalar()
-    best = "max(case when potential_applicants > 0 then threshold_share end)"
+def program_summary(sets: DataFrame, scope: ProgramScope, judged: DataFrame | None = None) -> DataFrame:
+    """Admission figures per school over all programs of the scope.
+
+    What depends on the set of subjects alone is summed per set; only plans that
+    a school completes are worked out for the school.
+    """
+    judged = division.judged_plans(sets, scope.plans, scope.numbers) if judged is None else judged
+    per_set = judged.groupBy("reached").agg(
+        F.expr("coalesce(sum(if(complete, programs, 0)), 0) as programs_matched"),
+        F.expr("coalesce(max(case when complete then threshold_share end), max(threshold_share)) as program_threshold_share"),
+    )
+    drawn = (
+        division.divided(sets, judged.where("complete"))
+        .groupBy("school_id")
+        .agg(F.expr("sum(potential_applicants * programs) as potential_sum"))
+    )
     return (
-        matches.groupBy("school_id")
-        .agg(
-            F.expr("coalesce(sum(if(potential_applicants > 0, programs, 0)), 0) as programs_matched"),
-            F.expr("sum(potential_applicants * programs) as potential_sum"),
-            F.expr(f"coalesce({best}, max(threshold_share)) as program_threshold_share"),
-        )
-        .withColumn("programs_total", total)
+        join_few_keys(sets.select("school_id", "reached"), per_set, ["reached"], F.col("school_id"))
+        .join(drawn, "school_id", "left")
+        .withColumn("programs_total", scope.total)
         .selectExpr(
-            "* except (potential_sum)",
-            f"{exact_ratio('potential_sum', 'programs_total', 2)} as potential_applicants_avg",
+            "school_id",
+            "programs_matched",
+            "program_threshold_share",
+            "programs_total",
+            f"{exact_ratio('coalesce(potential_sum, 0)', 'programs_total', 2)} as potential_applicants_avg",
         )
     )
 
@@ -187,11 +167,10 @@ def program_summary(matches: DataFrame, plans: DataFrame) -> DataFrame:
 PROGRAM_LABEL = "case when coalesce(code, '') = '' then program_name else concat(code, ' ', program_name) end"
 
 
-def matched_program_names(matches: DataFrame, programs: DataFrame) -> DataFrame:
-    """Names of the matched programs per school, in name order."""
+def matched_program_names(matches: DataFrame) -> DataFrame:
+    """Names of the matched programs per school, in name order; ``matches`` carry code and program_name."""
     return (
         matches.where(F.col("potential_applicants") > 0)
-        .join(programs, "program_id")
         .selectExpr("*", f"{PROGRAM_LABEL} as label")
         .groupBy("school_id")
         .agg(
@@ -203,17 +182,19 @@ def matched_program_names(matches: DataFrame, programs: DataFrame) -> DataFrame:
 # --- school figures --------------------------------------------------------------------------
 
 
-def school_figures(tables: Tables, subjects: DataFrame, filters: RatingFilters, scoring: DataFrame | None) -> DataFrame:
-    """All score based figures of a school from one conditional aggregation."""
+def school_figures(
+    tables: Tables, subjects: DataFrame, filters: RatingFilters, numbers: Sequence[int] | None = None
+) -> DataFrame:
+    """All score based figures of a school from one conditional aggregation.
+
+    ``numbers`` are the subjects of a program scope: they make the school's set
+    and, where no subjects are chosen, the admission average.
+    """
     marked = facts.with_pass_marks(tables, subjects)
     passed = f"avg_score is not null and {facts.reaches('avg_score', 'min_passing_score', filters.min_avg_score)}"
-    chosen = f"subject_id in ({', '.join(map(str, filters.subject_ids))})" if filters.has_subjects else "false"
-    counted = chosen
-    if scoring is not None:
-        marked = join_few_keys(
-            marked, scoring.selectExpr("subject_id", "true as _scoring"), ["subject_id"], F.col("school_id"), how="left"
-        )
-        counted = "_scoring"
+    counted = chosen = f"subject_id in ({', '.join(map(str, filters.subject_ids))})" if filters.has_subjects else "false"
+    if numbers is not None and not filters.has_subjects:
+        counted = f"{division.number_of('subject_id', numbers)} >= 0"
     relevant = f"case when {counted} then avg_score end"
     return (
         marked.groupBy("school_id")
@@ -223,7 +204,10 @@ def school_figures(tables: Tables, subjects: DataFrame, filters: RatingFilters,
             F.expr(f"count_if({passed}) as passed"),
             F.expr(f"count_if({chosen}) as chosen_present"),
             F.expr(f"count_if({chosen} and {passed}) as chosen_passed"),
+            F.expr(f"count_if({chosen} and {_admits(filters)}) as chosen_admitted"),
+            F.expr(f"min(case when {chosen} then participants_avg end) as chosen_people"),
             F.expr(f"{exact_avg(relevant, 2)} as admission_subject_avg"),
+            *([] if numbers is None else _set_aggregates(filters, numbers)),
         )
         .selectExpr("*", f"{exact_ratio('passed', 'averaged', 4)} as threshold_share_all")
     )
@@ -243,12 +227,12 @@ def _eligible(figures: DataFrame, filters: RatingFilters) -> DataFrame:
 
 @dataclass(frozen=True)
 class Candidates:
-    """Schools that take part in a rating; with a scope also what their matches come from."""
+    """Schools that take part in a rating; with programs also their sets and the scope."""
 
     rows: DataFrame
-    subjects: DataFrame | None = None
-    requirements: DataFrame | None = None
-    plans: DataFrame | None = None
+    sets: DataFrame | None = None
+    scope: ProgramScope | None = None
+    judged: DataFrame | None = None
 
 
 def rating_candidates(tables: Tables, filters: RatingFilters) -> Candidates:
@@ -256,22 +240,29 @@ def rating_candidates(tables: Tables, filters: RatingFilters) -> Candidates:
     schools = schools_in_scope(tables, filters)
     wanted = schools if narrows_schools(filters) else None
     school_years = facts.periods(tables, filters, wanted)
-    subjects = facts.school_subjects(facts.subject_rows(tables, school_years))
-    scoring = requirements = plans = None
-    if filters.has_scope:
-        subjects = materialize(subjects)
-        requirements = materialize(scope_requirements(tables, filters))
-        if not filters.has_subjects:
-            scoring = requirements.select("subject_id").distinct()
-
-    figures = _eligible(school_figures(tables, subjects, filters, scoring), filters)
+    subjects = facts.school_subjects(facts.scoped_subject_rows(tables, filters, wanted))
+    scope = program_scope(tables, filters) if filters.has_programs else None
+    figures = _eligible(school_figures(tables, subjects, filters, scope and scope.numbers), filters)
     # subject conditions need a figures row; otherwise a school without results stays
     how = "inner" if filters.has_subjects or filters.all_thresholds else "left"
     rows = facts.period_summary(school_years).join(figures, "school_id", how)
+    sets = judged = None
     if filters.has_scope:
-        plans = materialize(requirement_plans(requirements))
-        matches = plan_matches(subjects, requirements, plans, filters)
-        rows = rows.join(program_summary(matches, plans), "school_id").where("potential_applicants_avg > 0")
+        if scope is not None:
+            rows = materialize(rows)
+            sets = rows.where("reached is not null").select("school_id", "reached", "people")
+            judged = division.judged_plans(sets, scope.plans, scope.numbers)
+            rows = rows.drop("reached", "people").join(program_summary(sets, scope, judged), "school_id")
+        else:
+            # The chosen subjects are one program, and all of them were found: it is met whole or not at all.
+            rows = rows.where(f"chosen_admitted = {len(filters.subject_ids)}").selectExpr(
+                "*",
+                "1L as programs_total",
+                "1L as programs_matched",
+                "cast(chosen_people as decimal(14,2)) as potential_applicants_avg",
+                "cast(1 as decimal(16,4)) as program_threshold_share",
+            )
+        rows = rows.where("potential_applicants_avg > 0")
         scoped = [
             "admission_subject_avg",
             "admission_subject_avg as avg_score_for_rating",
@@ -295,7 +286,7 @@ def rating_candidates(tables: Tables, filters: RatingFilters) -> Candidates:
     if filters.min_avg_score is not None:
         rows = rows.where(facts.reaches("coalesce(avg_score_for_rating, 0)", None, filters.min_avg_score))
     rows = rows.join(schools.select("school_id", "full_name"), "school_id")
-    return Candidates(rows, subjects if filters.has_scope else None, requirements, plans)
+    return Candidates(rows, sets, scope, judged)
 
 
 # --- scoring ---------------------------------------------------------------------------------
@@ -383,9 +374,10 @@ def rate_schools(tables: Tables, filters: RatingFilters, weights: RatingWeights
     places = with_place(tables, tables["school"].join(ids, "school_id", "left_semi")).drop("full_name")
     result = best.join(places, "school_id").join(profile_names(tables, ids), "school_id", "left")
     if filters.has_programs:
-        wanted = found.subjects.join(ids, "school_id", "left_semi")
-        matches = program_matches(wanted, found.requirements, found.plans, filters)
-        names = matched_program_names(matches, selected_programs(tables, filters))
+        wanted = found.sets.join(ids, "school_id", "left_semi")
+        matched = division.divided(wanted, found.judged.where("complete"))
+        programs = found.scope.members.join(selected_programs(tables, filters), "program_id")
+        names = matched_program_names(join_few_keys(matched, programs, ["plan_id"], F.col("school_id")))
         result = result.join(names, "school_id", "left")
     else:
         result = result.withColumn("matched_programs", F.lit(None).cast("string"))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edurank.plans.joins import join_few_keys
 from edurank.plans.params import SchoolFilters, normalize_query
 from edurank.sources.store import Tables
 
@@ -31,7 +32,8 @@ def with_place(tables: Tables, schools: DataFrame | None = None) -> DataFrame:
     municipality = tables["municipality"].withColumnRenamed("name", "municipality_name")
     region = tables["region"].withColumnRenamed("name", "region_name")
     schools = tables["school"] if schools is None else schools
-    return schools.join(municipality, "municipality_id").join(region, "region_id")
+    places = municipality.join(region, "region_id")
+    return join_few_keys(schools, places, ["municipality_id"], F.col("school_id"))
 
 
 def schools_in_scope(tables: Tables, filters: SchoolFilters) -> DataFrame:
@@ -67,7 +69,7 @@ def profile_names(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     if wanted is not None:
         links = links.join(wanted.select("school_id"), "school_id", "left_semi")
     return (
-        links.join(tables["school_profile"], "profile_id")
+        join_few_keys(links, tables["school_profile"], ["profile_id"], F.col("school_id"))
         .groupBy("school_id")
         .agg(F.expr("listagg(name, ', ') within group (order by name)").alias("profile_names"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edurank.functions.numeric import HAS_PEOPLE, exact_ratio
-from edurank.operators import facts
+from edurank.operators import division, facts
 from edurank.operators.schools import profile_names, schools_in_scope
 from edurank.plans.materialize import materialize
 from edurank.plans.paging import page_rows
@@ -25,13 +25,14 @@ class SearchResult:
 
 def schools_with_subjects(tables: Tables, filters: SchoolFilters) -> DataFrame:
     """Schools with one school year that lists every wanted subject, whatever its counts."""
-    wanted = len(filters.subject_ids)
+    count = division.words(filters.subject_ids)
+    found = division.set_aggregate(division.number_of("subject_id", filters.subject_ids), "true", count)
     complete = (
         tables["ege_school_subject_stat"]
         .where(F.col("subject_id").isin(*filters.subject_ids))
         .groupBy("ege_school_year_id")
-        .agg(F.count_distinct("subject_id").alias("_found"))
-        .where(F.col("_found") == wanted)
+        .agg(F.expr(f"{found} as _found"))
+        .where(f"{division.common('_found', '_found', count)} = {len(filters.subject_ids)}")
     )
     return facts.periods(tables, filters).join(complete, "ege_school_year_id", "left_semi").select("school_id")
 

@@ -30,9 +30,12 @@ ID_BUCKETS = 1024
 class Tables(Mapping):
     """Named DataFrames; a table that was never given is empty but typed.
 
-    ``version`` is the number of the manifest they were loaded from, if any.
+    ``version`` is the number of the manifest they were loaded from, if any;
+    ``subject_facts`` are statistics widened by their school year, where a layout has them.
     """
 
+    subject_facts: DataFrame | None = None
+
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame] | None = None, version: int | None = None):
         self.spark = spark
         self.version = version

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
-from edurank.operators import card, facts, options, rating, search, subjects
+from edurank.operators import card, division, facts, options, rating, search, subjects
+from edurank.plans.joins import join_few_keys
+from edurank.plans.materialize import FOLDER, materialize, shared_folder
 from edurank.plans.params import Page, RatingFilters, RatingWeights, SchoolFilters
+from edurank.sources.colocated import colocate
 from edurank.workload.oracle_text import half_up, ids, round_even, scaled
 from edurank.workload.rating_oracle import (
     NAME_NORM,
@@ -48,11 +52,23 @@ RATINGS: dict[str, tuple[RatingFilters, RatingWeights]] = {
     ),
 }
 
+
+
+def laid_out(tables):
+    """The domain tables with their facts bucketed by school, laid out once per session."""
+    return tables.stored("colocated", _lay_out)
+
+
+def _lay_out(tables):
+    name = f"facts_{uuid.uuid4().hex}"
+    return colocate(tables, name, location=f"{shared_folder(tables.spark)}/{FOLDER}/{name}")
+
+
 for _name, (_filters, _weights) in RATINGS.items():
 
     @register(_name, rating_sql(_filters, _weights))
     def _rating(tables, filters=_filters, weights=_weights):
-        return rating.rate_schools(tables, filters, weights)
+        return rating.rate_schools(laid_out(tables), filters, weights)
 
 
 _SCOPE = RATINGS["rate_program_scope"][0]
@@ -97,7 +113,7 @@ def _rating_export(tables):
 
 
 def _subjects(tables, filters=_ALL):
-    return facts.school_subjects(facts.subject_rows(tables, facts.periods(tables, filters)))
+    return facts.school_subjects(facts.scoped_subject_rows(tables, filters))
 
 
 @register(
@@ -123,16 +139,15 @@ def _subject_capacity(tables):
     rating_part_sql(f"select school_id, {scaled('share_all', 4)} as threshold_share from shares", _ALL, "shares"),
 )
 def _threshold_share(tables):
-    figures = rating.school_figures(tables, _subjects(tables), _ALL, None)
+    figures = rating.school_figures(tables, _subjects(tables), _ALL)
     return figures.where(F.col("averaged") > 0).select(
         "school_id", F.col("threshold_share_all").alias("threshold_share")
     )
 
 
-def _scope_matches(tables):
-    requirements = rating.scope_requirements(tables, _SCOPE)
-    plans = rating.requirement_plans(requirements)
-    return rating.program_matches(_subjects(tables, _SCOPE), requirements, plans, _SCOPE)
+def _scope_sets(tables):
+    scope = rating.program_scope(tables, _SCOPE)
+    return materialize(rating.school_sets(tables, _subjects(tables, _SCOPE), _SCOPE, scope.numbers)), scope
 
 
 @register(
@@ -145,7 +160,7 @@ def _scope_matches(tables):
     ),
 )
 def _program_match(tables):
-    return _scope_matches(tables)
+    return rating.program_matches(*_scope_sets(tables))
 
 
 @register(
@@ -159,16 +174,36 @@ def _program_match(tables):
     ),
 )
 def _program_summary(tables):
-    requirements = rating.scope_requirements(tables, _SCOPE)
-    plans = rating.requirement_plans(requirements)
-    matches = rating.plan_matches(_subjects(tables, _SCOPE), requirements, plans, _SCOPE)
-    summary = rating.program_summary(matches, plans)
+    summary = rating.program_summary(*_scope_sets(tables))
     return summary.withColumnRenamed("program_threshold_share", "threshold_share")
 
 
 @register("matched_programs", rating_part_sql("select * from matched", _SCOPE, "matched"))
 def _matched(tables):
-    return rating.matched_program_names(_scope_matches(tables), rating.selected_programs(tables, _SCOPE))
+    matches = rating.program_matches(*_scope_sets(tables))
+    return rating.matched_program_names(matches.join(rating.selected_programs(tables, _SCOPE), "program_id"))
+
+
+_EVERY = RatingFilters(institute_ids=tuple(range(1, 13)))
+
+
+@register(
+    "division_masks",
+    rating_part_sql(
+        "select school_id, program_id, needs_met as required_ok, options_met as choice_ok, "
+        "len(needs) > 0 and list_has_all(suited, needs) and options_met = len(options) as complete "
+        "from verdicts where needs_met + options_met > 0",
+        _EVERY,
+        "verdicts",
+    ),
+)
+def _division_masks(tables):
+    scope = rating.program_scope(tables, _EVERY)
+    sets = materialize(rating.school_sets(tables, _subjects(tables, _EVERY), _EVERY, scope.numbers))
+    judged = division.judged_plans(sets, scope.plans, scope.numbers).select("reached", "plan_id", "required_ok", "choice_ok", "complete")
+    programs = join_few_keys(judged, scope.members, ["plan_id"], F.xxhash64("reached"))
+    met = join_few_keys(sets.select("school_id", "reached"), programs, ["reached"], F.col("school_id"))
+    return met.select("school_id", "program_id", "required_ok", "choice_ok", "complete")
 
 
 # --- options -------------------------------------------------------------------------------

@@ -36,5 +36,5 @@ def test_query_equals_oracle(spark, con, name):
     assert result["ok"], result["note"]
 
 
-def test_every_query_has_a_statement_or_is_nested_output():
-    assert {n for n, q in REGISTRY.items() if q.oracle is None} == {"school_timeline", "report_payloads"}
+def test_every_query_has_a_statement():
+    assert not [n for n, q in REGISTRY.items() if q.oracle is None]
