@@ -1,79 +1,186 @@
-"""Integrity rules as a report: every broken key, reference and value rule."""
+"""Integrity rules as a report: every broken key, reference and value rule.
+
+A row becomes its claims: keys it holds, references it uses, the parent key it
+offers, rules it breaks.  A claim carries the number of its rule and a typed key,
+whole numbers and texts apart, so that no two keys are taken for one; text is
+made for the violations alone.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-from operator import and_
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from edurank.plans.change import ChangePlan
+from edurank.plans.joins import BROADCAST_BYTES, stored_bytes
+from edurank.plans.materialize import materialize
 from edurank.sources.schema import CHECKS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, struct_type
 from edurank.sources.store import Tables
 
+HELD, USED, OFFERED, BROKEN = range(4)
+KEY = ("rule_id", "nums", "texts")
 
-def _key(columns: Iterable[str]) -> Column:
-    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule of a table: the columns of its key, and when a row takes part or breaks it."""
 
-def _claim(table: str, rule: str, role: str, key: Column, when: Column | bool = True) -> Column:
-    """What a row says about a rule: it holds a key, uses a reference, offers the parent, or breaks the rule."""
-    claim = F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(role).alias("role"), key.alias("row_key"))
-    return F.when(F.lit(when) if isinstance(when, bool) else when, claim)
+    table: str
+    name: str
+    columns: tuple[str, ...]
+    role: int
+    given: str = "true"
+    parent: tuple[str, str] | None = None
 
 
-def _all_given(columns: Iterable[str]) -> Column:
-    return reduce(and_, (F.col(c).isNotNull() for c in columns))
+def _all_given(columns: Iterable[str]) -> str:
+    return " and ".join(f"{c} is not null" for c in columns)
 
 
-def table_claims(table: str, checked: Iterable[str]) -> list[Column]:
-    """Claims of one row of ``table``: its own rules if it is checked, and what rules of checked tables need of it."""
-    claims: list[Column] = []
-    if table in checked:
+@cache
+def all_rules() -> tuple[Rule, ...]:
+    """Every rule of the schema; claims name them by their place."""
+    found = []
+    for table in SCHEMAS:
         primary = PRIMARY_KEYS[table]
-        claims.append(_claim(table, "primary_key", "held", _key(primary), _all_given(primary)))
+        found.append(Rule(table, "primary_key", primary, HELD, _all_given(primary)))
         for columns in UNIQUE_KEYS.get(table, ()):
-            claims.append(_claim(table, f"unique:{','.join(columns)}", "held", _key(columns), _all_given(columns)))
+            found.append(Rule(table, f"unique:{','.join(columns)}", columns, HELD, _all_given(columns)))
         for fk in FOREIGN_KEYS.get(table, ()):
-            claims.append(_claim(table, f"fk:{fk.column}", "used", _key([fk.column]), F.col(fk.column).isNotNull()))
+            found.append(Rule(table, f"fk:{fk.column}", (fk.column,), USED, f"{fk.column} is not null", (fk.parent, fk.parent_column)))
         for name, condition in CHECKS.get(table, {}).items():
-            broken = ~F.coalesce(F.expr(condition), F.lit(True))
-            claims.append(_claim(table, f"check:{name}", "broken", _key(primary), broken))
+            found.append(Rule(table, f"check:{name}", primary, BROKEN, f"not coalesce(({condition}), true)"))
         if table == "analytics_run_metric":
-            claims.append(_claim(table, "one_primary_metric", "held", _key(["run_id"]), F.col("is_primary")))
+            found.append(Rule(table, "one_primary_metric", ("run_id",), HELD, "is_primary"))
         if table == "analytics_request_filter":
             # missing ids count as equal
             item = [c for c in struct_type(table).fieldNames() if c not in ("filter_id", "min_score")]
-            claims.append(_claim(table, "unique:item", "held", _key(item)))
-    for child in checked:
-        for fk in FOREIGN_KEYS.get(child, ()):
-            if fk.parent == table:
-                claims.append(_claim(child, f"fk:{fk.column}", "offered", _key([fk.parent_column])))
-    return claims
+            found.append(Rule(table, "unique:item", tuple(item), HELD))
+    return tuple(found)
+
+
+def _slots(table: str, columns: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Columns of a key that are whole numbers, and those that are texts."""
+    texts = [c for c in columns if isinstance(struct_type(table)[c].dataType, T.StringType)]
+    return [c for c in columns if c not in texts], texts
+
+
+def _claim(rule_id: int, role: int, table: str, columns: Iterable[str], given: str) -> Column:
+    nums, texts = _slots(table, columns)
+    claim = F.struct(
+        F.lit(rule_id).alias("rule_id"),
+        F.lit(role).alias("role"),
+        F.array(*(F.col(c).cast("bigint") for c in nums)).cast("array<bigint>").alias("nums"),
+        F.array(*map(F.col, texts)).cast("array<string>").alias("texts"),
+    )
+    return F.when(F.expr(given), claim)
+
+
+def _claims(rows: DataFrame, table: str, rules: Iterable[int], roles: Iterable[int]) -> DataFrame | None:
+    """(rule_id, role, nums, texts) of the rows, for some rules and roles; None where there is nothing to say."""
+    found = []
+    for i in rules:
+        rule = all_rules()[i]
+        if rule.table == table and rule.role in roles:
+            found.append(_claim(i, rule.role, table, rule.columns, rule.given))
+        if rule.parent and rule.parent[0] == table and OFFERED in roles:
+            found.append(_claim(i, OFFERED, table, [rule.parent[1]], "true"))
+    return rows.select(F.inline(F.array_compact(F.array(*found)))) if found else None
+
+
+def _union(parts: Iterable[DataFrame | None]) -> DataFrame | None:
+    kept = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, kept) if kept else None
+
+
+def _counted(claims: DataFrame) -> DataFrame:
+    """Rows per key and role; sums up within a task before anything is sent."""
+    number = [F.count_if(F.col("role") == r).alias(n) for r, n in ((HELD, "held"), (USED, "used"), (OFFERED, "offered"), (BROKEN, "broken"))]
+    return claims.groupBy(*KEY).agg(*number)
+
+
+def _key_text(rule: Rule) -> Column:
+    nums, texts = _slots(rule.table, rule.columns)
+    parts = (F.get("nums", F.lit(nums.index(c))) if c in nums else F.get("texts", F.lit(texts.index(c))) for c in rule.columns)
+    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+
+
+def _violations(counted: DataFrame, rules: Iterable[int]) -> DataFrame:
+    """Keys held twice, used without a parent or broken, with their number of rows."""
+    lost = F.when(F.col("offered") == 0, F.col("used")).otherwise(0)
+    repeated = F.when(F.col("held") > 1, F.col("held")).otherwise(0)
+    broken = counted.withColumn("row_count", repeated + lost + F.col("broken")).where("row_count > 0")
+
+    def told(value) -> Column:
+        return reduce(lambda chain, i: chain.when(F.col("rule_id") == i, value(all_rules()[i])), rules, F.when(F.lit(False), F.lit("")))
+
+    rules = list(rules)
+    return broken.select(
+        told(lambda r: F.lit(r.table)).alias("table_name"), told(lambda r: F.lit(r.name)).alias("rule"), told(_key_text).alias("row_key"), "row_count"
+    )
 
 
 def check_integrity(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
     """All violations of the given tables (default: every table): table, rule, key and number of rows.
 
-    Each table is read once; a row becomes its claims, and one aggregation over
-    the claims of all tables finds repeated keys, references without a parent and
-    broken checks.  A key with a null part never collides.
+    Each table is read once; one aggregation over the claims of all tables finds
+    repeated keys, references without a parent and broken checks.  A key with a
+    null part never collides.
     """
-    checked = list(names or SCHEMAS)
-    parts = []
-    for table in SCHEMAS:
-        claims = table_claims(table, checked)
-        if claims:
-            parts.append(tables[table].select(F.inline(F.array_compact(F.array(*claims)))))
-    found = reduce(DataFrame.unionByName, parts)
+    checked = set(names or SCHEMAS)
+    rules = [i for i, r in enumerate(all_rules()) if r.table in checked]
+    found = _union(_claims(tables[t], t, rules, (HELD, USED, OFFERED, BROKEN)) for t in SCHEMAS)
+    return _violations(_counted(found), rules)
 
-    def number(role: str) -> Column:
-        return F.count_if(F.col("role") == role)
 
-    counted = found.groupBy("table_name", "rule", "row_key").agg(
-        number("held").alias("held"), number("used").alias("used"), number("offered").alias("offered"), number("broken").alias("broken")
-    )
-    lost = F.when(F.col("offered") == 0, F.col("used")).otherwise(0)
-    repeated = F.when(F.col("held") > 1, F.col("held")).otherwise(0)
-    return counted.select("table_name", "rule", "row_key", (repeated + lost + F.col("broken")).alias("row_count")).where("row_count > 0")
+# --- integrity of a change -------------------------------------------------------------------
+
+
+def changed_rows(tables: Tables, plan: ChangePlan) -> Mapping[str, tuple[DataFrame, DataFrame]]:
+    """Rows of every changed table that may differ: as they were, and as they will be.
+
+    Where the plan names the keys it touched, rows are found by them; of other
+    tables the rows that are not on both sides, by all their columns.
+    """
+    found = {}
+    for name, df in plan.appended.items():
+        found[name] = (tables[name].limit(0), df)
+    for name, after in plan.tables.items():
+        before = tables[name]
+        if name in plan.touched:
+            key, ids = plan.touched[name]
+            ids = materialize(ids.select(F.col(ids.columns[0]).alias(key)).distinct())
+            small = F.broadcast(ids) if stored_bytes(ids) <= BROADCAST_BYTES else ids
+            found[name] = (before.join(small, key, "left_semi"), after.join(small, key, "left_semi"))
+        else:
+            found[name] = (before.exceptAll(after), after.exceptAll(before))
+    return found
+
+
+def check_change(tables: Tables, plan: ChangePlan) -> DataFrame:
+    """Violations that the rows of a change take part in once it is made.
+
+    That is the full check of the new state, restricted to the keys that changed
+    rows hold, use or break, and to references to the parents they were.  Claims
+    about other keys are dropped where they are read, and tables that no such key
+    can be in are not read at all.
+    """
+    changes = changed_rows(tables, plan)
+    after = plan.preview(tables)
+    rules = [i for i, r in enumerate(all_rules()) if r.table in changes or (r.parent and r.parent[0] in changes)]
+    own = _union(_claims(new, t, rules, (HELD, USED, BROKEN)) for t, (_, new) in changes.items())
+    lost = _union(_claims(old, t, rules, (OFFERED,)) for t, (old, _) in changes.items())
+    own = materialize(own)
+    wanted = own.select(*KEY)
+    wanted = materialize((wanted if lost is None else wanted.unionByName(lost.select(*KEY))).distinct())
+    claims = _union(_claims(after[t], t, rules, (HELD, USED, OFFERED)) for t in SCHEMAS)
+    if stored_bytes(wanted) <= BROADCAST_BYTES:
+        counted = _counted(claims.join(F.broadcast(wanted), list(KEY), "left_semi").unionByName(own.where(F.col("role") == BROKEN)))
+    else:
+        counted = _counted(claims.unionByName(own.where(F.col("role") == BROKEN))).join(wanted, list(KEY), "left_semi")
+    return _violations(counted, rules)

@@ -8,7 +8,7 @@ the unique place while they are copied; ``preserve_keys`` keeps them instead.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,7 +178,19 @@ def merge_duplicate_schools(
         ),
     }
     changed = {name: conform(df, name) for name, df in changed.items()}
-    return ChangePlan(changed, {"merge_map": ids, "year_map": year_ids, "admission_map": admission_ids}, base=tables.version)
+    reports = {"merge_map": ids, "year_map": year_ids, "admission_map": admission_ids}
+    return ChangePlan(changed, reports, base=tables.version, touched=_touched(changed, ids, year_ids, admission_ids))
+
+
+def _touched(changed: Mapping[str, DataFrame], ids: DataFrame, years: DataFrame, admissions: DataFrame) -> dict[str, tuple[str, DataFrame]]:
+    """Schools, school years and admission rows that were moved or moved to, per table."""
+
+    def either(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array(*pairs.columns)).alias("id")).distinct()
+
+    others = {"ege_school_subject_stat": ("ege_school_year_id", either(years)), "school_admission_detail": ("adm_stat_id", either(admissions))}
+    schools = ("school_id", either(ids))
+    return {name: others.get(name, schools) for name in changed}
 
 
 def remaining_duplicates(tables: Tables, plan: ChangePlan) -> DataFrame:

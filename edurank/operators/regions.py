@@ -75,6 +75,10 @@ def delete_region(tables: Tables, name: str) -> ChangePlan | None:
     changed["school_admission_detail"] = delete_by_key(
         tables["school_admission_detail"], scope["school_admission_stat"], ["adm_stat_id"]
     )
+    touched = {table: ("school_id", schools) for table in SCHOOL_TABLES}
+    touched["ege_school_subject_stat"] = ("ege_school_year_id", scope["ege_school_year"])
+    touched["school_admission_detail"] = ("adm_stat_id", scope["school_admission_stat"])
+    touched["municipality"] = ("municipality_id", municipalities)
     filters = tables["analytics_request_filter"].where(~F.col("region_id").eqNullSafe(region_id))
     filters = delete_by_key(filters, municipalities, ["municipality_id"])
     changed["analytics_request_filter"] = delete_by_key(filters, schools, ["school_id"])
@@ -91,7 +95,7 @@ def delete_region(tables: Tables, name: str) -> ChangePlan | None:
         tables["analytics_request"], orphan_requests(left), ["request_id"]
     )
     changed = {name: df.select(*struct_type(name).fieldNames()) for name, df in changed.items()}
-    return ChangePlan(changed, scope, base=tables.version)
+    return ChangePlan(changed, scope, base=tables.version, touched=touched)
 
 
 def deleted_counts(tables: Tables, plan: ChangePlan) -> DataFrame:
