@@ -147,15 +147,17 @@ def changed_rows(tables: Tables, plan: ChangePlan) -> Mapping[str, tuple[DataFra
     Where the plan names the keys it touched, rows are found by them; of other
     tables the rows that are not on both sides, by all their columns.
     """
-    found = {}
+    found, kept = {}, {}
     for name, df in plan.appended.items():
         found[name] = (tables[name].limit(0), df)
     for name, after in plan.tables.items():
         before = tables[name]
         if name in plan.touched:
             key, ids = plan.touched[name]
-            ids = materialize(ids.select(F.col(ids.columns[0]).alias(key)).distinct())
-            small = F.broadcast(ids) if stored_bytes(ids) <= BROADCAST_BYTES else ids
+            if id(ids) not in kept:  # many tables share their keys
+                kept[id(ids)] = materialize(ids.select(F.col(ids.columns[0]).alias(key)).distinct())
+            own = kept[id(ids)].toDF(key)
+            small = F.broadcast(own) if stored_bytes(kept[id(ids)]) <= BROADCAST_BYTES else own
             found[name] = (before.join(small, key, "left_semi"), after.join(small, key, "left_semi"))
         else:
             found[name] = (before.exceptAll(after), after.exceptAll(before))
