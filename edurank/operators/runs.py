@@ -7,6 +7,7 @@ written before the plan is applied to a store.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -25,8 +26,8 @@ from edurank.plans.params import (
     bounded,
     guess_year_basis,
 )
-from edurank.sources.schema import FILTER_COLUMNS, struct_type
-from edurank.sources.store import Tables, assign_ids, conform, upsert
+from edurank.sources.schema import FILTER_COLUMNS, PRIMARY_KEYS, struct_type
+from edurank.sources.store import CommitConflict, Tables, TableStore, assign_ids, conform, upsert
 
 # Metric catalog (code, name, category, unit, description) and run labels.
 METRICS = (
@@ -144,6 +145,25 @@ def _author(name: str | None) -> str | None:
     return (name or "").strip() or None
 
 
+def _numbered(added: dict[str, DataFrame]) -> tuple[str, ...]:
+    """Tables among ``added`` whose rows carry a key of their own."""
+    return tuple(t for t in added if len(PRIMARY_KEYS[t]) == 1)
+
+
+def save_on_newest(store: TableStore, make: Callable[[Tables], SavedRun | None], attempts: int = 20) -> SavedRun | None:
+    """Save what ``make`` plans on the newest tables; it plans again when others took its keys meanwhile."""
+    for left in reversed(range(attempts)):
+        saved = make(store.load())
+        try:
+            if saved is not None:
+                saved.plan.apply(store)
+            return saved
+        except CommitConflict:
+            if not left:
+                raise
+    raise ValueError("at least one attempt is needed")
+
+
 # --- saving ----------------------------------------------------------------------------------
 
 
@@ -193,7 +213,7 @@ def save_search(
         # the request is new, so none of its schools is stored yet
         "analytics_school_selection": selection.dropDuplicates(["school_id"]),
     }
-    return SavedRun(request_id, None, ChangePlan({}, appended=_conformed(added), base=tables.version))
+    return SavedRun(request_id, None, ChangePlan({}, appended=_conformed(added), base=tables.version, numbered=_numbered(added)))
 
 
 def metric_value_rows(ranked: DataFrame, weights: RatingWeights, has_scope: bool) -> DataFrame:
@@ -326,12 +346,12 @@ def save_rating(
     cards = card_documents(ranked, has_scope).withColumns({**stamped, "generated_at": F.lit(now)})
     cards = assign_ids(cards, tables["analytics_school_card"], "card_id", ["run_id", "school_id"])
 
-    catalog = upsert(
-        tables["analytics_metric"],
-        conform(_typed(tables, "analytics_metric", metrics), "analytics_metric"),
-        ["metric_code"],
-        [c for c in struct_type("analytics_metric").fieldNames() if c != "metric_code"],
-    )
+    # The catalog is written only when it does not hold these metrics yet: two ratings need not conflict over it.
+    wanted = conform(_typed(tables, "analytics_metric", metrics), "analytics_metric")
+    others = [c for c in wanted.columns if c != "metric_code"]
+    changed = {}
+    if not wanted.exceptAll(tables["analytics_metric"]).isEmpty():
+        changed["analytics_metric"] = upsert(tables["analytics_metric"], wanted, ["metric_code"], others)
     added = {
         "analytics_request": _typed(tables, "analytics_request", [request]),
         "analytics_request_filter": _new_filters(tables, request_id, filters),
@@ -344,7 +364,7 @@ def save_rating(
         "analytics_school_card": cards,
     }
     wide = ranked.selectExpr("count_if(abs(avg_graduates) > 999.99D) as clamped")
-    plan = ChangePlan({"analytics_metric": catalog}, {"clamped": wide}, _conformed(added), tables.version)
+    plan = ChangePlan(changed, {"clamped": wide}, _conformed(added), tables.version, numbered=_numbered(added))
     return SavedRun(request_id, run_id, plan)
 
 
@@ -533,7 +553,9 @@ def create_reports(
         assign_ids(rows, tables["analytics_school_report"], "report_id", ["run_id", "school_id"]),
         "analytics_school_report",
     )
-    return fresh, ChangePlan({}, appended={"analytics_school_report": fresh}, base=tables.version)
+    return fresh, ChangePlan(
+        {}, appended={"analytics_school_report": fresh}, base=tables.version, numbered=("analytics_school_report",)
+    )
 
 
 def report_archive(tables: Tables, limit: int | None = None) -> DataFrame:

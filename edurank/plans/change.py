@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -24,7 +24,7 @@ class ChangePlan:
     ``reports`` are DataFrames such as unmatched rows, samples or counts; ``base``
     is the version of the store the plan was made from.  ``touched`` names, for a
     table, a column and a frame of its values: rows with any other value stay as
-    they are.
+    they are.  ``numbered`` are the tables whose added rows have new keys.
     """
 
     tables: Mapping[str, DataFrame]
@@ -32,6 +32,7 @@ class ChangePlan:
     appended: Mapping[str, DataFrame] = field(default_factory=dict)
     base: int | None = None
     touched: Mapping[str, tuple[str, DataFrame]] = field(default_factory=dict)
+    numbered: Collection[str] = ()
 
     def changed(self, tables: Tables) -> dict[str, DataFrame]:
         """Contents after the change of every table it touches."""
@@ -61,4 +62,4 @@ class ChangePlan:
 
     def apply(self, store: TableStore) -> int:
         """Write all of it in one commit; returns the new version."""
-        return store.commit(self.tables, appended=self.appended, base=self.base)
+        return store.commit(self.tables, appended=self.appended, base=self.base, numbered=self.numbered)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -175,11 +175,17 @@ class PartitionedStore:
         counts = [F.coalesce(F.col(f"{side}.n"), F.lit(0)).alias(name) for side, name in (("old", "rows_before"), ("new", "rows_after"))]
         return changed.select("table_name", REGION, YEAR, *counts).collect()
 
-    def commit(self, changed: Mapping[str, DataFrame], appended: Mapping[str, DataFrame] | None = None, base: int | None = None) -> list:
+    def commit(
+        self,
+        changed: Mapping[str, DataFrame],
+        appended: Mapping[str, DataFrame] | None = None,
+        base: int | None = None,
+        numbered: Collection[str] = (),
+    ) -> list:
         """Make the tables hold ``changed`` and add ``appended``; returns the partitions that were touched.
 
-        The interface of :meth:`TableStore.commit`; ``base`` is not looked at, as
-        there is one writer.
+        The interface of :meth:`TableStore.commit`; ``base`` and ``numbered`` are
+        not looked at, as there is one writer.
         """
         now = self.load()
         grown = {name: now[name].unionByName(conform(df, name)) for name, df in (appended or {}).items()}

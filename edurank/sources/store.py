@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,11 +103,13 @@ class TableStore:
         partition_by: Mapping[str, Sequence[str]] | None = None,
         appended: Mapping[str, DataFrame] | None = None,
         base: int | None = None,
+        numbered: Collection[str] = (),
     ) -> int:
         """Write tables anew, or only add rows to them, and make them current together.
 
         ``base`` is the version the change was computed from, by default the
-        newest one when the commit begins.  Appends bear appends of others.
+        newest one when the commit begins.  Appends bear appends of others, but
+        not for tables that are ``numbered``: their new keys follow those of the base.
         """
         base = self.version() if base is None else base
         token = uuid.uuid4().hex
@@ -128,7 +130,7 @@ class TableStore:
             current = self.manifest(number)
             for name in (*rewritten, *added):
                 before, now = start.get(name, []), current.get(name, [])
-                only_grown = name in added and now[: len(before)] == before
+                only_grown = name in added and name not in numbered and now[: len(before)] == before
                 if now != before and not only_grown:
                     raise CommitConflict(f"{name} was changed since version {base}")
             for name, folder in rewritten.items():

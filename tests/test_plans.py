@@ -108,6 +108,45 @@ def test_appends_write_only_new_files(spark, tmp_path):
         store.commit({"region": spark.createDataFrame([], struct_type("region"))}, base=base)
 
 
+def test_saves_at_the_same_time_get_keys_of_their_own(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from edurank.operators import runs
+    from edurank.plans.params import Page, SchoolFilters
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.commit({"region": spark.createDataFrame([(1, "A")], struct_type("region"))})
+    shown = "school_id bigint, full_name string, last_year int, avg_score double"
+    pages = {who: spark.createDataFrame([(i, f"S{i}", 2020, 50.0) for i in ids], shown) for who, ids in (("a", (1, 2)), ("b", (2, 3)))}
+
+    def saving(who, between=lambda: None):
+        def make(tables):
+            saved = runs.save_search(tables, SchoolFilters(q=who, region_id=1), pages[who], 2, Page(1, 20), who, datetime(2024, 1, 1, tzinfo=timezone.utc))
+            between()
+            return saved
+
+        return make
+
+    # b saves between a's planning and a's commit: planned keys are taken, the plan conflicts
+    late = saving("a")(store.load())
+    assert runs.save_on_newest(store, saving("b")).request_id == late.request_id == 1
+    with pytest.raises(CommitConflict):
+        late.plan.apply(store)
+    # saved on the newest tables, with b coming between once more
+    more = [saving("b")]
+
+    def once():
+        if more:
+            runs.save_on_newest(store, more.pop())
+
+    assert runs.save_on_newest(store, saving("a", once)).request_id == 3
+    tables = store.load()
+    assert sorted((r.request_id, r.created_by) for r in tables["analytics_request"].collect()) == [(1, "b"), (2, "b"), (3, "a")]
+    chosen = sorted((r.request_id, r.school_id) for r in tables["analytics_school_selection"].collect())
+    assert chosen == [(1, 2), (1, 3), (2, 2), (2, 3), (3, 1), (3, 2)]
+    assert sorted(r.filter_id for r in tables["analytics_request_filter"].collect()) == [1, 2, 3]
+
+
 def test_forward_fill_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 1, "a"), (None, 2, None), ("s", 3, None)], "k string, o int, v string")
     got = sorted((r.o, r.v) for r in forward_fill(df, ["k"], "o", ["v"], block=1).collect())
