@@ -690,3 +690,32 @@ def run_export(tables: Tables, run_id: int) -> dict[str, DataFrame] | None:
     return {"ranking": run_ranking(tables, run_id), "filters": filters, "weights": weights, "meta": meta}
 
 
+
+
+# --- documents by field ------------------------------------------------------------------------
+
+
+def document_fields(documents: DataFrame, key: str, column: str = "report_payload") -> DataFrame:
+    """(key, path, kind, value): every field of JSON documents, whatever they hold; ``value`` is a VARIANT.
+
+    Objects and arrays are opened level by level, as long as any is left: their
+    fields have paths such as ``card.ege_summary.last_year`` and ``items.0``.
+    A text that is no JSON gives one field ``$`` without a value; an empty object gives none.
+    """
+    spark = documents.sparkSession
+    kind = "schema_of_variant({0})"
+    nested = "(kind like 'OBJECT<%' or kind like 'ARRAY<%')"
+    level = documents.selectExpr(key, "'' as path", f"try_parse_json({column}) as value").withColumn("kind", F.expr(kind.format("value")))
+    found = level.where(f"not coalesce({nested}, false)").selectExpr(key, "'$' as path", "kind", "value")
+    level = level.where(nested)
+    while True:
+        opened = spark.sql(
+            f"select {key}, concat(path, if(path = '', '', '.'), coalesce(e.key, cast(e.pos as string))) as path, e.value as value "
+            "from {level}, lateral variant_explode_outer(value) as e where e.pos is not null",
+            level=level,
+        )
+        opened = materialize(opened.withColumn("kind", F.expr(kind.format("value"))))
+        found = found.unionByName(opened.where(f"not {nested}"))
+        level = opened.where(nested)
+        if level.isEmpty():
+            return found

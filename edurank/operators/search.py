@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edurank.functions.numeric import HAS_PEOPLE, exact_ratio
 from edurank.operators import division, facts
 from edurank.operators.schools import profile_names, schools_in_scope
 from edurank.plans.materialize import materialize
-from edurank.plans.paging import page_rows
+from edurank.plans.paging import page_rows, with_row_number
 from edurank.plans.params import Page, SchoolFilters
 from edurank.sources.store import Tables
 
@@ -94,9 +94,24 @@ def search_all(tables: Tables, filters: SchoolFilters) -> DataFrame:
     return describe(tables, matching_schools(tables, filters), None)
 
 
-def search_page(tables: Tables, filters: SchoolFilters, page: Page) -> DataFrame:
-    """One page in name order.  Summaries are computed for the page's schools only."""
-    order = (F.col("full_name").asc(), F.col("school_id").asc())
+def _by_name(language: str | None) -> tuple[Column, Column]:
+    """Names by their bytes, or by the rules of a language; the id as last tiebreak."""
+    name = F.col("full_name") if language is None else F.collate("full_name", language)
+    return name.asc(), F.col("school_id").asc()
+
+
+def in_name_order(tables: Tables, filters: SchoolFilters, language: str | None = None) -> DataFrame:
+    """All matches with their ``place`` in name order, from 1."""
+    return with_row_number(matching_schools(tables, filters), _by_name(language), "place")
+
+
+def search_page(tables: Tables, filters: SchoolFilters, page: Page, language: str | None = None) -> DataFrame:
+    """One page in name order.  Summaries are computed for the page's schools only.
+
+    Names sort by their bytes, or by the rules of a ``language`` (such as ``ru``:
+    letters whatever their case and accents first, then these).
+    """
+    order = _by_name(language)
     found = materialize(page_rows(matching_schools(tables, filters), order, page.offset, page.limit))
     wanted = F.broadcast(found.select("school_id"))  # at most one page
     return describe(tables, found, wanted).orderBy(*order)

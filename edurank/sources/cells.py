@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from edurank.functions import text
 from edurank.plans.joins import join_few_keys
+from edurank.plans.materialize import materialize
 
 CELL_SCHEMA = "file string, sheet string, row_idx int, col_idx int, value string"
 SHEET = ["file", "sheet"]
@@ -28,9 +30,63 @@ METRIC_WORDS = (
 DEFAULT_METRIC = "participants_cnt"
 
 
-def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(CELL_SCHEMA)
-    return reader.csv(path, header=True) if fmt == "csv" else reader.parquet(path)
+CORRUPT = "_corrupt"
+# Why a staged line is set aside, first match wins.
+REJECTS = (
+    ("unreadable", f"{CORRUPT} is not null"),
+    ("no sheet", "coalesce(file, '') = '' or coalesce(sheet, '') = ''"),
+    ("no place", "row_idx is null or col_idx is null or row_idx < 0 or col_idx < 0"),
+)
+
+
+@dataclass(frozen=True)
+class StagedCells:
+    """Cells of a folder, and what could not be taken: path, reason, and the line or cell."""
+
+    cells: DataFrame
+    rejects: DataFrame
+
+
+def read_cells(spark: SparkSession, path: str, fmt: str = "parquet", header: bool = True) -> DataFrame:
+    """Staged cells as they are, with the path of their file and, of a csv line that does not fit, the line."""
+    glob = {"pathGlobFilter": f"*.{fmt}", "recursiveFileLookup": True}
+    if fmt == "csv":
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "header": header, "escape": '"'}
+        rows = spark.read.schema(f"{CELL_SCHEMA}, {CORRUPT} string").options(**options, **glob).csv(path)
+    else:
+        rows = spark.read.schema(CELL_SCHEMA).options(**glob).parquet(path).withColumn(CORRUPT, F.lit(None).cast("string"))
+    return rows.select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def staged_cells(spark: SparkSession, folder: str, header: bool = True) -> StagedCells:
+    """Cells of all csv and Parquet files below a folder.
+
+    A line that does not fit, has no sheet or no place is set aside with its
+    reason, a file of which nothing could be read as a whole.  Of several cells
+    at one place the file that sorts last counts, and the others are set aside.  Empty
+    cells are left out.
+    """
+    rows = materialize(reduce(DataFrame.unionByName, (read_cells(spark, folder, f, header) for f in ("csv", "parquet"))))
+    reason = F.lit(None).cast("string")
+    for name, condition in reversed(REJECTS):
+        reason = F.when(F.expr(condition), name).otherwise(reason)
+    judged = rows.withColumn("reason", reason)
+    place = [*SHEET, "row_idx", "col_idx"]
+    good = judged.where("reason is null and value is not null").drop("reason", CORRUPT)
+    best = good.groupBy(*place).agg(F.expr("max(struct(path, value)) as best"), F.expr("count(*) as n"))
+    last = best.selectExpr(*place, "best.value as value")
+    doubled = best.where("n > 1").drop("n")
+    beaten = good.join(doubled, place).where("struct(path, value) <> best").select("path", F.lit("repeated cell").alias("reason"), _line(place))
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True).load(folder).where("path rlike '[.](csv|parquet)$' and length > 0")
+    # The listing spells paths like the readers' metadata does.
+    silent = listed.select("path").join(rows.select("path").distinct(), "path", "left_anti")
+    bad = judged.where("reason is not null").select("path", "reason", F.coalesce(CORRUPT, _line(place)).alias("line"))
+    whole = silent.select("path", F.lit("no readable line").alias("reason"), F.lit(None).cast("string").alias("line"))
+    return StagedCells(last, bad.unionByName(beaten).unionByName(whole))
+
+
+def _line(place: list[str]) -> Column:
+    return F.to_csv(F.struct(*place, "value")).alias("line")
 
 
 def header_text(cell: Column) -> Column:

@@ -95,18 +95,18 @@ def _top_parts(tables):
     return rating.rating_top_parts(rating.rate_schools(tables, *RATINGS["rate_program_scope"]))
 
 
-def _export_sql() -> str:
+def export_sql(columns: str = "*") -> str:
     head, select = rating_sql(*RATINGS["rate_program_scope"]).rsplit("\nselect ", 1)
     return (
-        f"{head}, top as (select {select}) select rank_pos, school_id, region_name, municipality_name, full_name, "
+        f"{head}, top as (select {select}), sheet as (select rank_pos, school_id, region_name, municipality_name, full_name, "
         "profile_names, cast(round_even(avg_graduates, 0) as bigint) as avg_graduates, avg_score_all, ege_years, "
         "last_year, programs_total, programs_matched, "
         "cast(round_even(potential_applicants_avg, 0) as bigint) as potential_applicants_avg, "
-        f"{round_even('threshold_share * 100e0', 2)} as threshold_share_pct, rating_score, matched_programs from top"
+        f"{round_even('threshold_share * 100e0', 2)} as threshold_share_pct, rating_score, matched_programs from top) select {columns} from sheet"
     )
 
 
-@register("rating_export", _export_sql())
+@register("rating_export", export_sql())
 def _rating_export(tables):
     filters, weights = RATINGS["rate_program_scope"]
     return rating.rating_export(rating.rate_schools(tables, filters, weights), filters)
@@ -495,32 +495,33 @@ def _cards(tables):
     )
 
 
-@register(
-    "card_export_sheets",
-    with_views(
-        "select 'profiles' as sheet, school_id, name as item, null::bigint as number from f_profile_link join f_profile using (profile_id) "
-        "union all select 'external_keys', school_id, source_name || ':' || external_key, null from f_external_key "
-        "union all select 'admission', school_id, cast(yr as varchar), applicants_cnt from f_admission "
-        "union all select 'prof_events', school_id, cast(year(event_date) as varchar), count(*) from f_event "
-        "semi join f_school using (school_id) group by school_id, year(event_date) "
-        "union all select 'ege_subjects', school_id, concat_ws(':', yr, y.kind, s.name), t.chosen_cnt from f_year y "
-        "left join f_stat t using (ege_school_year_id) left join f_subject s using (subject_id) "
-        "union all select 'ege_periods', school_id, concat_ws(':', yr, y.kind), graduates_total from f_year y "
-        "union all select 'school', s.school_id, m.name || ':' || full_name, m.region_id from f_school s join f_municipality m using (municipality_id)",
-        "f_school",
-        "f_municipality",
-        "f_profile",
-        "f_profile_link",
-        "f_external_key",
-        "f_admission",
-        "f_event",
-        "f_year",
-        "f_stat",
-        "f_subject",
-    ),
+CARD_SHEETS_SQL = (
+    "select 'profiles' as sheet, school_id, name as item, null::bigint as number from f_profile_link join f_profile using (profile_id) "
+    "union all select 'external_keys', school_id, source_name || ':' || external_key, null from f_external_key "
+    "union all select 'admission', school_id, cast(yr as varchar), applicants_cnt from f_admission "
+    "union all select 'prof_events', school_id, cast(year(event_date) as varchar), count(*) from f_event "
+    "semi join f_school using (school_id) group by school_id, year(event_date) "
+    "union all select 'ege_subjects', school_id, concat_ws(':', yr, y.kind, s.name), t.chosen_cnt from f_year y "
+    "left join f_stat t using (ege_school_year_id) left join f_subject s using (subject_id) "
+    "union all select 'ege_periods', school_id, concat_ws(':', yr, y.kind), graduates_total from f_year y "
+    "union all select 'school', s.school_id, m.name || ':' || full_name, m.region_id from f_school s join f_municipality m using (municipality_id)"
 )
-def _card_export(tables):
-    sheets = card.school_card_export(tables)
+CARD_VIEWS = (
+    "f_school",
+    "f_municipality",
+    "f_profile",
+    "f_profile_link",
+    "f_external_key",
+    "f_admission",
+    "f_event",
+    "f_year",
+    "f_stat",
+    "f_subject",
+)
+
+
+def card_items(sheets):
+    """One row per row of every sheet of a card."""
     items = {
         "profiles": ("profile_name", "cast(null as bigint)"),
         "external_keys": ("concat(source_name, ':', external_key)", "cast(null as bigint)"),
@@ -537,6 +538,11 @@ def _card_export(tables):
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 
+@register("card_export_sheets", with_views(CARD_SHEETS_SQL, *CARD_VIEWS))
+def _card_export(tables):
+    return card_items(card.school_card_export(tables))
+
+
 
 @register(
     "card_periods",

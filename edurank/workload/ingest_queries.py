@@ -357,20 +357,42 @@ def _aggregate(tables):
     return exam.sum_figures(figures, ["school_id", "subject_id"])
 
 
+# Spellings of a region's place in file names: whole, in other case, cut at both ends, with more around it, unknown.
+_SPELLINGS = {
+    "lower": "lower(r.name)",
+    "around": "concat('directories_', upper(r.name), '_', yr)",
+    "inner": "substr(r.name, 2, length(r.name) - 2)",
+    "first": "substr(r.name, 1, 2)",
+    "single": "substr(r.name, 1, 1)",
+    "two": "concat(r.name, ' и ', (select min(name) from f_region))",
+    "unknown": "concat('?', substr(r.name, 2, 3), '?')",
+}
+_SPELLED = " union ".join(
+    f"select {sql} as region from f_year join f_school using (school_id) join f_municipality m using (municipality_id) "
+    "join f_region r on r.region_id = m.region_id"
+    for sql in _SPELLINGS.values()
+)
+
+
 @register(
     "region_resolution",
     with_views(
-        "select distinct 'directories_' || r.name || '_' || yr as region, r.name as region_name from f_year "
-        "join f_school using (school_id) join f_municipality m using (municipality_id) join f_region r on r.region_id = m.region_id",
+        "select region, coalesce((select min(name) from f_region where lower(name) = lower(region)), "
+        "(select if(count(distinct name) = 1, min(name), null) from f_region "
+        "where contains(lower(name), lower(region)) or contains(lower(region), lower(name)))) as region_name from spelled where region <> ''",
         "f_region",
         "f_municipality",
         "f_school",
         "f_year",
+        ctes=[("spelled", _SPELLED)],
     ),
 )
 def _region_resolution(tables):
-    years = with_place(tables).join(tables["ege_school_year"].select("school_id", "year"), "school_id")
-    names = years.selectExpr("concat('directories_', region_name, '_', year) as region").distinct()
+    years = with_place(tables).join(tables["ege_school_year"].selectExpr("school_id", "year as yr"), "school_id")
+    first = tables["region"].select(F.min("name")).scalar()
+    named = years.withColumn("_first", first).selectExpr("region_name", "yr", "_first").distinct()
+    forms = [sql.replace("r.name", "region_name").replace("(select min(name) from f_region)", "_first") for sql in _SPELLINGS.values()]
+    names = named.selectExpr(f"explode(array({', '.join(forms)})) as region").distinct()
     return exam.resolve_regions(tables, names)
 
 
