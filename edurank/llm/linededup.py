@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import ascii_lower, encoded, maybe_among, portions, shares, table, text_bytes
+from edurank.llm.common import UPPER, encoded, maybe_among, portions, shares, table, text_bytes
 from edurank.llm.hashing import RangeHasher, mixed, word_ranges
 from edurank.plans.materialize import materialize
 
@@ -130,7 +130,8 @@ BUCKET = 8 << 20
 # Bits of the table of words that the second round asks for.
 WORD_BITS = 1 << 23
 
-_FIELDS = {"word": "<u8", "set": "<u8", "bits": "<u8", "own": "<u8", "line": "<u4", "size": "<u4", "place": "<u4"}
+# ``low`` and ``high`` are the parity bitmap.
+_FIELDS = {"word": "<u8", "set": "<u8", "low": "<u8", "high": "<u8", "own": "<u8", "line": "<u4", "size": "<u4", "place": "<u4"}
 
 
 def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, buckets: int, words: np.ndarray | None = None) -> DataFrame:
@@ -170,7 +171,9 @@ def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, bucket
                     continue
                 marks, _ = set_marks(found)
                 # Common words cancel out: no more bits differ than words do, also of long lines.
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (found["word"] & np.uint64(63)), found["first"])
+                bit = np.uint64(1) << (found["word"] & np.uint64(63))
+                upper = (found["word"] & np.uint64(64)) > 0
+                low, high = (np.bitwise_xor.reduceat(np.where(upper == side, bit, np.uint64(0)), found["first"]) for side in (False, True))
                 size = found["size"]
                 # A smaller set cannot reach the similarity with any other.
                 prefix = np.where((size + 1) * similarity <= size * 100, size - -(-size * similarity // 100) + 1, 0)
@@ -184,7 +187,7 @@ def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, bucket
                     continue
                 text = found["text"][row] + a
                 own = batch.column("own").to_numpy(zero_copy_only=False).view(np.uint64)[text]
-                fields = {"word": word, "set": marks.view(np.uint64)[row], "bits": bits[row], "own": own}
+                fields = {"word": word, "set": marks.view(np.uint64)[row], "low": low[row], "high": high[row], "own": own}
                 fields |= {"line": found["line"][row], "size": size[row], "place": place}
                 held.append((fields, ids.take(pa.array(text))))
                 if sum(len(x["word"]) for x, _ in held) >= HELD:
@@ -207,7 +210,8 @@ def _may_match(x: dict[str, np.ndarray], y: dict[str, np.ndarray], similarity: i
     fits = 100 * np.minimum(x["size"], y["size"]) >= similarity * np.maximum(x["size"], y["size"])
     fits &= x["rank"] != y["rank"]
     fits &= np.minimum(x["size"] - x["place"], y["size"] - y["place"]) >= need
-    return fits & (both - np.bitwise_count(x["bits"] ^ y["bits"]).astype(np.int64) >= 2 * need)
+    differ = np.bitwise_count(x["low"] ^ y["low"]).astype(np.int64) + np.bitwise_count(x["high"] ^ y["high"])
+    return fits & (both - differ >= 2 * need)
 
 
 class Holders:
@@ -312,24 +316,29 @@ def _word_bits(failed: DataFrame) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    """(y) of the pairs (x, y) of lines whose words have the similarity."""
-    ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
-    wanted = materialize(ends.groupBy(F.col("at.doc_id").alias("wanted_id"), F.col("at.own").alias("wanted_own")).agg(F.collect_set("at.line").alias("lines")))
-    words = F.expr("array_distinct(filter(split(line_text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''))")
-    near = maybe_among(rows, "own", wanted.select("wanted_own")).where("maybe").select("doc_id", "own", "text")
-    spoken = materialize(
-        near.join(wanted, (F.col("own") == F.col("wanted_own")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-        .select("doc_id", "own", "lines", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
-        .where(F.array_contains("lines", F.col("line")))
-        .select(F.struct("doc_id", "own", "line").alias("at"), ascii_lower(F.col("line_text")).alias("line_text"))
-        .select("at", words.alias("words"))
-        .dropDuplicates(["at"])
-    )
-    left = spoken.select(F.col("at").alias("x"), F.col("words").alias("xs"))
-    right = spoken.select(F.col("at").alias("y"), F.col("words").alias("ys"))
-    common = F.size(F.array_intersect("xs", "ys"))
-    judged = pairs.join(left, "x").join(right, "y").withColumn("common", common)
-    return judged.where(100 * F.col("common") >= similarity * (F.size("xs") + F.size("ys") - F.col("common"))).select("y").distinct()
+    """(y) of the pairs (x, y) of lines whose words have the similarity.
+
+    Texts are split where they are read, and only lines that a bit table does not
+    rule out are sent, as texts: words are made beside their partner.
+    """
+    ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at")))
+    wanted = materialize(ends.distinct().select("at", _spot("at").alias("spot")))
+    whole = maybe_among(rows, "own", wanted.select("at.own").distinct()).where("maybe").select("doc_id", "own", "text")
+    lines = whole.select("doc_id", "own", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
+    keyed = lines.select(F.struct("doc_id", "own", "line").alias("at"), "line_text").withColumn("spot", _spot("at"))
+    near = maybe_among(keyed, "spot", wanted.select("spot")).where("maybe").select("at", "line_text")
+    spoken = materialize(near.join(wanted.select("at"), "at", "left_semi").dropDuplicates(["at"]))
+    left = spoken.select(F.col("at").alias("x"), F.col("line_text").alias("xt"))
+    right = spoken.select(F.col("at").alias("y"), F.col("line_text").alias("yt"))
+    words = "array_distinct(filter(split({0}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''))"
+    met = pairs.join(left, "x").select("y", "xt").join(right, "y")
+    spelled = met.select("y", *(F.expr(words.format(f"translate({c}, '{UPPER}', '{UPPER.lower()}')")).alias(f"{c}w") for c in ("xt", "yt")))
+    judged = spelled.withColumn("common", F.size(F.array_intersect("xtw", "ytw")))
+    return judged.where(100 * F.col("common") >= similarity * (F.size("xtw") + F.size("ytw") - F.col("common"))).select("y").distinct()
+
+
+def _spot(at: str) -> Column:
+    return F.xxhash64(f"{at}.doc_id", f"{at}.own", f"{at}.line")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
