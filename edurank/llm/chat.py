@@ -6,7 +6,7 @@ and whether it asks.  The states are the roles, each at the first line of a turn
 or inside one.  Transitions and emissions are counted from transcripts whose
 roles are known; Viterbi recovers the most likely states.
 
-A conversation may be of any length: its pieces are cut into blocks, each block
+A conversation may be of any length: its pieces are numbered and cut into blocks, each block
 is summed up by a matrix of best scores between its states, and matrices are
 multiplied (in maximum and sum) level by level until one is left.  The way back
 down fixes the states at the borders, and blocks are decoded on their own.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from edurank.llm.common import fold, shares, table
 from edurank.plans.materialize import materialize
+from edurank.plans.ordered import forward_fill
+from edurank.plans.paging import with_row_number
 
 ROLES = ("system", "user", "assistant")
 # A role at the first line of a turn, then inside.
@@ -50,18 +52,38 @@ def read_line(line: str, blank: bool) -> tuple[int, str]:
     return ((kind * 2 + blank) * (len(_LENGTHS) + 1) + length) * 2 + said.rstrip().endswith("?"), said
 
 
-def read_piece(text: str | None) -> tuple[list[int], list[str]]:
-    """Codes and words of the lines of a piece that are not blank."""
-    codes, said, blank = [], [], False
+@dataclass(frozen=True)
+class Line:
+    """A line that is not blank: its code, itself, what follows its marker, and the blank lines before it."""
+
+    code: int
+    whole: str
+    said: str
+    blanks: tuple[str, ...]
+
+    def rendered(self, state: int) -> str:
+        """The line as it begins a turn, or inside one.
+
+        A marker goes where the turn of its own role begins; elsewhere it is text.
+        Blank lines before a turn separate it, inside a turn they belong to it.
+        """
+        if state >= len(ROLES):
+            return "\n".join((*self.blanks, self.whole))
+        marked = self.code // (CODES // 4) == state + 1
+        return f"<|{ROLES[state]}|>\n{self.said if marked else self.whole}"
+
+
+def read_piece(text: str | None) -> list[Line]:
+    """The lines of a piece that are not blank."""
+    lines, blanks = [], []
     for line in (text or "").split("\n"):
         if not line.strip():
-            blank = True
+            blanks.append(line)
             continue
-        code, words = read_line(line, blank)
-        codes.append(code)
-        said.append(words)
-        blank = False
-    return codes, said
+        code, said = read_line(line, bool(blanks))
+        lines.append(Line(code, line, said, tuple(blanks)))
+        blanks = []
+    return lines
 
 
 @dataclass(frozen=True)
@@ -109,46 +131,76 @@ class Markov:
         return states[::-1]
 
 
-def _pieces(df: DataFrame, conv: str, place: str, text: str, role: Column | None = None) -> DataFrame:
-    """Distinct pieces with ids, their block and the group of blocks a task works on."""
-    kept = df.where(F.col(conv).isNotNull() & F.col(place).isNotNull()).select(
-        F.col(conv).alias("conv"),
-        F.col(place).cast("bigint").alias("place"),
-        F.col(text).cast("string").alias("text"),
-        (F.lit(None).cast("string") if role is None else role.cast("string")).alias("role"),
+def _pieces(df: DataFrame, conv: str, place: str, text: str, role: Column | None = None) -> tuple[DataFrame, int]:
+    """Numbered pieces with their transcript, block and bucket, and the number of buckets.
+
+    ``conv`` names the transcript: a row without a conversation or a place is one
+    of its own.  Rows are numbered through all transcripts and cut into blocks by
+    their number, so neither places nor repeats make a block large.
+    """
+    named = F.col(conv).isNotNull() & F.col(place).isNotNull()
+    kept = materialize(
+        df.select(
+            # As texts: pandas has no whole numbers beside nulls.
+            F.col(conv).cast("string").alias("conv_id"),
+            F.col(place).cast("bigint").cast("string").alias("turn"),
+            F.col(place).cast("bigint").alias("place"),
+            F.col(text).cast("string").alias("text"),
+            (F.lit(None).cast("string") if role is None else role.cast("string")).alias("role"),
+            named.alias("named"),
+            F.monotonically_increasing_id().alias("id"),
+        )
     )
-    blocked = kept.distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
-    groups = shares(df.count(), GROUP)
-    return blocked.withColumn("bucket", F.pmod(F.xxhash64("conv", "block"), F.lit(groups)).cast("int"))
+    own = F.when(F.col("named"), F.concat(F.lit("c"), F.col("conv_id")))
+    told = kept.withColumn("conv", F.coalesce(own, F.concat(F.lit("r"), F.col("id").cast("string")))).drop("named")
+    numbered = with_row_number(told, [F.col(c) for c in ("conv", "place", "text", "id")], "n")
+    groups = shares(kept.count(), GROUP)
+    blocked = numbered.drop("id", "place").withColumn("block", F.floor(F.col("n") / BLOCK))
+    return blocked.withColumn("bucket", _bucket(groups)), groups
+
+
+def _bucket(groups: int) -> Column:
+    return F.pmod(F.xxhash64("conv", "block"), F.lit(groups)).cast("int")
 
 
 def _blocks(frame: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    ordered = frame.sort_values(["conv", "block", "place", "text"], kind="stable")
-    return iter(ordered.groupby(["conv", "block"], sort=False))
+    return iter(frame.sort_values(["conv", "block", "n"], kind="stable").groupby(["conv", "block"], sort=False))
 
 
 def fit(df: DataFrame, conv: str = "conv_id", place: str = "turn", text: str = "text", role: str = "role") -> Markov:
-    """Model of all pieces with known roles, each taken as one turn; steps are counted inside blocks."""
+    """Model of all pieces with known roles, each taken as one turn.
+
+    Steps are counted inside blocks; the one into a block comes from the last
+    line before it, which is handed on over blocks without a line.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        start, step, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CODES))
-        for (_, block), rows in _blocks(frame):
-            before = STATES if block == 0 else None
-            for text_, name in zip(rows["text"], rows["role"], strict=True):
-                for n, code in enumerate(read_piece(text_)[0]):
-                    state = ROLES.index(name) + len(ROLES) * (n > 0)
-                    emit[state, code] += 1
-                    if before == STATES:
-                        start[state] += 1
-                    elif before is not None:
+        step, emit, ends = np.zeros((STATES, STATES)), np.zeros((STATES, CODES)), []
+        for (name, block), rows in _blocks(frame):
+            first = before = None
+            for text_, own in zip(rows["text"], rows["role"], strict=True):
+                for n, line in enumerate(read_piece(text_)):
+                    state = ROLES.index(own) + len(ROLES) * (n > 0)
+                    emit[state, line.code] += 1
+                    if before is None:
+                        first = state
+                    else:
                         step[before, state] += 1
                     before = state
-        flat = np.concatenate((start, step.ravel(), emit.ravel()))
+            ends.append((name, block, first, before))
+        flat = np.concatenate((np.zeros(STATES), step.ravel(), emit.ravel()))
         used = np.flatnonzero(flat)
-        return pd.DataFrame({"cell": used, "n": flat[used]})
-
-    known = _pieces(df.where(F.col(role).isin(*ROLES)), conv, place, text, F.col(role))
-    cells = known.groupBy("bucket").applyInPandas(run, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+        out = pd.DataFrame(ends, columns=["conv", "block", "first", "last"]).astype({"first": "Int64", "last": "Int64"})
+        return pd.concat((out, pd.DataFrame({"cell": used, "n": flat[used]})))[["conv", "block", "first", "last", "cell", "n"]]
+
+    known, _ = _pieces(df.where(F.col(role).isin(*ROLES)), conv, place, text, F.col(role))
+    counted = materialize(known.groupBy("bucket").applyInPandas(run, "conv string, block bigint, first bigint, last bigint, cell bigint, n double"))
+    ends = counted.where("conv is not null").select("conv", "block", "first", "last")
+    handed = forward_fill(ends, ["conv"], "block", ["last"]).selectExpr("conv", "block + 1 as block", f"coalesce(last, {STATES}) as before")
+    borders = ends.where("first is not null").join(handed, ["conv", "block"], "left")
+    # Without a line before it, a block begins its transcript: the first cells are those of the start.
+    crossed = borders.selectExpr(f"if(coalesce(before, {STATES}) = {STATES}, first, {STATES} + before * {STATES} + first) as cell", "1D as n")
+    cells = counted.where("cell is not null").select("cell", "n").unionByName(crossed).groupBy("cell").agg(F.sum("n").alias("n"))
     flat = np.zeros(STATES + STATES**2 + STATES * CODES)
     for row in cells.collect():  # no more rows than the model has cells
         flat[row["cell"]] = row["n"]
@@ -225,48 +277,53 @@ def _borders(blocks: DataFrame, conv_type: str) -> DataFrame:
 
 
 def parse(df: DataFrame, model: Markov, conv: str = "conv_id", place: str = "turn", text: str = "text") -> DataFrame:
-    """One row per piece: conv_id, turn, role, n_lines, n_begun, rendered.
+    """One row per row of ``df``: conv_id, turn, role, n_lines, n_begun, rendered.
 
     ``role`` is that of the piece's first line, ``n_begun`` the turns that begin
-    in the piece.  In ``rendered`` each of them is headed by ``<|role|>``, lines
-    lose their speaker markers, and blank lines go; the pieces of a conversation
+    in the piece.  In ``rendered`` each of them is headed by ``<|role|>``, and its
+    first line loses a speaker marker of that role; blank lines before a turn and
+    at the end of a piece go, all other text stays.  The pieces of a conversation
     put together are its canonical form.  Pieces without a line (null, empty,
-    blank) are rendered empty with a null role.  Rows without a conversation or
-    a place belong to no transcript and are left out; equal rows count once;
-    pieces at one place follow each other in order of text.
+    blank) are rendered empty with a null role.  A row without a conversation or
+    a place is a transcript of its own; pieces at one place, repeated rows too, follow
+    each other in order of text.  Places may be any numbers.
     """
-    pieces = _pieces(df, conv, place, text)
-    conv_type = pieces.schema["conv"].dataType.simpleString()
+    pieces, groups = _pieces(df, conv, place, text)
+    conv_type = df.schema[conv].dataType.simpleString()
 
     def sum_up(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (name, block), rows in _blocks(frame):
-            codes = [c for t in rows["text"] for c in read_piece(t)[0]]
+            codes = [line.code for t in rows["text"] for line in read_piece(t)]
             if codes:
                 out.append((name, block, model.matrix(codes).tobytes()))
         return pd.DataFrame(out, columns=["conv", "block", "matrix"])
 
-    blocks = pieces.groupBy("bucket").applyInPandas(sum_up, f"conv {conv_type}, block bigint, matrix binary")
-    borders = _borders(blocks, conv_type).withColumn("bucket", F.pmod(F.xxhash64("conv", "block"), F.lit(shares(df.count(), GROUP))).cast("int"))
+    blocks = pieces.groupBy("bucket").applyInPandas(sum_up, "conv string, block bigint, matrix binary")
+    borders = _borders(blocks, "string").withColumn("bucket", _bucket(groups))
 
     def render(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         border = {(c, b): (x, y) for c, b, x, y in zip(known["conv"], known["block"], known["before"], known["last"], strict=True)}
-        out = []
+        ids, out = [], []
         for (name, block), rows in _blocks(frame):
             read = [read_piece(t) for t in rows["text"]]
-            codes = [c for own, _ in read for c in own]
+            codes = [line.code for own in read for line in own]
             states = model.decode(codes, *border[name, block]) if codes else []
             at = 0
-            for place_, (own, said) in zip(rows["place"], read, strict=True):
+            ids.append(rows[["conv_id", "turn"]])
+            for own in read:
                 mine = states[at : at + len(own)]
                 at += len(own)
-                lines = [f"<|{ROLES[s]}|>\n{line}" if s < len(ROLES) else line for s, line in zip(mine, said, strict=True)]
                 role = ROLES[mine[0] % len(ROLES)] if mine else None
-                out.append((name, place_, role, len(own), sum(s < len(ROLES) for s in mine), "\n".join(lines)))
-        return pd.DataFrame(out, columns=["conv_id", "turn", "role", "n_lines", "n_begun", "rendered"])
-
-    schema = f"conv_id {conv_type}, turn bigint, role string, n_lines bigint, n_begun bigint, rendered string"
-    return pieces.groupBy("bucket").cogroup(borders.groupBy("bucket")).applyInPandas(render, schema)
+                said = "\n".join(line.rendered(s) for line, s in zip(own, mine, strict=True))
+                out.append((role, len(own), sum(s < len(ROLES) for s in mine), said))
+        told = pd.DataFrame(out, columns=["role", "n_lines", "n_begun", "rendered"])
+        kept = pd.concat(ids, ignore_index=True) if ids else pd.DataFrame({"conv_id": [], "turn": []}, dtype=object)
+        return pd.concat((kept, told), axis=1)
+
+    schema = "conv_id string, turn string, role string, n_lines bigint, n_begun bigint, rendered string"
+    rendered = pieces.groupBy("bucket").cogroup(borders.groupBy("bucket")).applyInPandas(render, schema)
+    return rendered.withColumns({"conv_id": F.col("conv_id").cast(conv_type), "turn": F.col("turn").cast("bigint")})
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:

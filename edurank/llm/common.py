@@ -26,6 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column of that very name, whatever signs it holds."""
+    return F.col(_quoted(name))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct."""
+    return F.struct(*(column(c) for c in df.columns))
+
+
+def inside(row: str, name: str) -> Column:
+    """A field of a struct of :func:`as_row`."""
+    return F.col(f"{row}.{_quoted(name)}")
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % F.lit(folds)
@@ -106,7 +125,7 @@ def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def without_keys(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is not in ``gone`` (one column); a row with a null key stays."""
     gone = materialize(gone.select(F.col(gone.columns[0]).alias("_gone")).where("_gone is not null").distinct())
-    whole = df.select(F.struct(*df.columns).alias("_row"), key.alias("_key"))
+    whole = df.select(as_row(df).alias("_row"), key.alias("_key"))
     marked = maybe_among(whole, "_key", gone)
     doubtful = marked.where("maybe").join(gone, F.col("_key") == F.col("_gone"), "left_anti")
     return marked.where("not maybe").select("_row.*").unionByName(doubtful.select("_row.*"))

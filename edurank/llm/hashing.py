@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _WHITE = np.zeros(256, bool)
@@ -22,10 +24,11 @@ def mixed(value: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class RangeHasher:
-    """Hashes of byte ranges by prefix sums of a polynomial modulo 2**64.
+    """Hashes of byte ranges by prefix sums of a polynomial modulo 2**64, for features.
 
-    Equal byte strings have equal hashes wherever they lie; hashers with
-    different seeds are independent.
+    Equal byte strings have equal hashes wherever they lie.  Unequal ones may be
+    built to collide whatever the base, so this does not tell texts apart:
+    :class:`PrimeHasher` does.
     """
 
     def __init__(self, seed: int) -> None:
@@ -50,6 +53,71 @@ class RangeHasher:
         return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
 
 
+PRIME = (1 << 61) - 1
+_P, _HALF = np.uint64(PRIME), np.uint64((1 << 31) - 1)
+# Bytes whose sums stay within 64 bits.
+_EXACT = 1 << 24
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo 2**61 - 1."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of reduced numbers modulo 2**61 - 1, from 31-bit halves: 2**61 counts as 1."""
+    a_high, a_low, b_high, b_low = a >> np.uint64(31), a & _HALF, b >> np.uint64(31), b & _HALF
+    middle = a_low * b_high + a_high * b_low
+    upper = np.uint64(2) * a_high * b_high + (middle >> np.uint64(30))
+    return _reduced(upper + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a_low * b_low)
+
+
+class PrimeHasher:
+    """Hashes that tell byte ranges apart: polynomials modulo the prime 2**61 - 1, by prefix sums.
+
+    Equal byte strings have equal hashes wherever they lie.  Two unequal ones of
+    n bytes share theirs for at most n of the 2**61 bases; each seed has a base of its own.
+    """
+
+    def __init__(self, seed: int) -> None:
+        drawn = int.from_bytes(hashlib.blake2b(f"base {seed}".encode(), digest_size=8).digest(), "little")
+        self.base = (1 << 40) + drawn % (PRIME - (1 << 40))
+        self.inverses = np.ones(1, np.uint64)
+        self.low = self.high = np.empty(0, np.uint32)
+
+    def _grow(self, size: int) -> None:
+        if len(self.inverses) >= size:
+            return
+
+        def powers(base: int) -> np.ndarray:
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate((table, _times(table, np.uint64(pow(base, len(table), PRIME)))))
+            return table
+
+        table = powers(self.base)
+        self.low, self.high = (table & _HALF).astype(np.uint32), (table >> np.uint64(31)).astype(np.uint32)
+        self.inverses = powers(pow(self.base, -1, PRIME))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._grow(len(data) + 1)
+        symbols = data.astype(np.uint64) + np.uint64(1)
+        sums = np.zeros((2, len(data) + 1), np.uint64)
+        for out, half in zip(sums, (self.low, self.high), strict=True):
+            np.cumsum(symbols * half[: len(data)], out=out[1:])
+
+        def between(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            low, high = (_reduced(out[end] - out[start]) for out in sums)
+            return _reduced(_times(high, np.uint64(1 << 31)) + low)
+
+        value = between(starts, np.minimum(ends, starts + _EXACT))
+        for i in np.flatnonzero(ends - starts > _EXACT):
+            for start in range(int(starts[i]) + _EXACT, int(ends[i]), _EXACT):
+                value[i] = _reduced(value[i] + between(start, min(start + _EXACT, int(ends[i]))))
+        return mixed(_times(value, self.inverses[starts]))
+
+
 def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs without white space."""
     inside = np.concatenate(([False], ~white(data), [False]))

@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import UPPER, encoded, maybe_among, portions, shares, table, text_bytes
-from edurank.llm.hashing import RangeHasher, mixed, word_ranges
+from edurank.llm.common import UPPER, as_row, encoded, inside, maybe_among, portions, shares, table, text_bytes
+from edurank.llm.hashing import PrimeHasher, mixed, word_ranges
 from edurank.plans.materialize import materialize
 
 # Least Jaccard similarity of a match, in per cent.
@@ -42,7 +42,7 @@ class LineSets:
     """Distinct words of every line of some texts, as hashes."""
 
     def __init__(self) -> None:
-        self.hasher = RangeHasher(3)
+        self.hasher = PrimeHasher(3)
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(word hash, line number over all texts), in order of the texts."""
@@ -381,8 +381,15 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
     return named.where("_id is not null").unionByName(nameless.select("_own", "_id", "_mark", F.col("_lead").isNull().alias("_again")))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with the texts' remaining lines, and columns n_lines and n_removed.
+def dedup_lines(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    similarity: int = SIMILARITY,
+    lines_as: str | None = "n_lines",
+    removed_as: str | None = "n_removed",
+) -> DataFrame:
+    """``docs`` with the texts' remaining lines, and columns n_lines and n_removed, by other names or none if wanted.
 
     A line is split off by a line feed; its words are runs without ASCII white
     space, A-Z lowered, each counted once.  It is removed if any line before it,
@@ -398,22 +405,23 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("own").alias("gone_own"))
         .agg(F.collect_set("line").alias("gone_lines"))
     )
-    whole = docs.select(F.struct(*docs.columns).alias("_own"), F.col(doc_id).alias("_id"), _own(text).alias("_mark"))
+    whole = docs.select(as_row(docs).alias("_own"), F.col(doc_id).alias("_id"), _own(text).alias("_mark"))
     marked = maybe_among(_with_repeats(whole), "_mark", gone.select("gone_own"))
     same = (F.col("_mark") == F.col("gone_own")) & F.col("_id").eqNullSafe(F.col("gone_id"))
     touched = marked.where("maybe").join(gone, same, "left").select("_own", "_again", "gone_lines")
     others = marked.where("not maybe").select("_own", "_again", F.lit(None).cast(gone.schema["gone_lines"].dataType).alias("gone_lines"))
-    lines = F.split(f"_own.`{text}`", "\n")
+    lines = F.split(inside("_own", text), "\n")
     spoken = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
-    worded = F.when(F.col("_again") & F.col(f"_own.`{text}`").isNotNull(), spoken).otherwise(F.col("gone_lines"))
+    worded = F.when(F.col("_again") & inside("_own", text).isNotNull(), spoken).otherwise(F.col("gone_lines"))
     left = F.filter(lines, lambda _, i: ~F.array_contains("gone_lines", i))
-    own = F.col(f"_own.`{text}`")
+    own = inside("_own", text)
     changed = F.when(F.col("gone_lines").isNull(), own).otherwise(F.array_join(left, "\n"))
     count = F.when(own.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     removed = F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("bigint")
-    columns = [(changed if c == text else F.col(f"_own.`{c}`")).alias(c) for c in docs.columns]
+    columns = [(changed if c == text else inside("_own", c)).alias(c) for c in docs.columns]
     judged = touched.unionByName(others).select("_own", worded.alias("gone_lines"))
-    return judged.select(*columns, count.alias("n_lines"), removed.alias("n_removed"))
+    told = [value.alias(name) for value, name in ((count, lines_as), (removed, removed_as)) if name]
+    return judged.select(*columns, *told)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

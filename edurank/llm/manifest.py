@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edurank.llm.common import UPPER, table
+from edurank.llm.common import UPPER, column, table
 from edurank.plans.joins import join_few_keys
 from edurank.plans.materialize import materialize
 from edurank.plans.paging import with_row_number
@@ -25,11 +25,6 @@ FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
-def column(name: str) -> Column:
-    """A column of that very name, whatever signs it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def leaf_hash(values: Sequence[Column]) -> Column:
     """Digest of a row: per value ``-`` if null, else its UTF-8 byte count, a colon and the value."""
 

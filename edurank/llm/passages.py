@@ -3,12 +3,14 @@
 A window of words that recurs has the same smallest phrase (by hash) wherever it
 stands.  Blocks of documents first report the smallest phrases of their windows;
 only windows around phrases that recur anywhere are reported next, and those met
-twice are confirmed.  Each block then gets the phrases of its confirmed windows,
-compiles them into an Aho-Corasick automaton and streams its documents through
+twice are confirmed.  Each block is told its confirmed windows and their phrases,
+compiles the phrases into an Aho-Corasick automaton and streams its documents through
 it; the windows around each occurrence that are confirmed cover their words.
 
-Blocks and hash buckets are dealt evenly and have a bounded share of the text.
-A phrase or window is reported once by each block, however often it occurs.
+Blocks are dealt evenly.  A phrase or window is reported once by each block,
+however often it occurs, phrases to buckets by their own hash and windows by
+theirs: the many windows around one frequent phrase are spread over all buckets.
+Windows are told apart by two independent hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from edurank.llm.common import encoded, in_blocks, portions, shares, table, text_bytes
-from edurank.llm.hashing import RangeHasher, word_ranges
+from edurank.llm.hashing import PrimeHasher, word_ranges
 
 WINDOW = 35
 PHRASE = 8
@@ -51,7 +53,7 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 class Portion:
     """Words, phrases and windows of some documents."""
 
-    def __init__(self, texts: list[bytes], window: int, phrase: int, hasher: RangeHasher) -> None:
+    def __init__(self, texts: list[bytes], window: int, phrase: int, hasher: PrimeHasher) -> None:
         self.window, self.phrase = window, phrase
         self.data = np.frombuffer(b"\n".join(texts), np.uint8)
         self.starts, self.ends = word_ranges(self.data)
@@ -108,10 +110,9 @@ def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
 _ANCHORS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("marks", pa.binary()), ("many", pa.binary())])
 _FOUND = pa.schema([("block", pa.int32()), ("marks", pa.binary())])
 _WINDOWS = pa.schema(
-    [("block", pa.int32()), ("bucket", pa.int32()), ("one", pa.binary()), ("two", pa.binary()), ("many", pa.binary())]
-    + [("counts", pa.binary()), ("phrases", pa.binary())]
+    [("block", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("one", "two", "marks", "many"))]
 )
-_CONFIRMED = pa.schema([("block", pa.int32()), ("windows", pa.binary()), ("phrases", pa.binary())])
+_CONFIRMED = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("one", "two", "marks"))])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -122,7 +123,7 @@ def _anchor_report(texts: DataFrame, window: int, phrase: int, buckets: int) ->
     """Distinct smallest phrases of each block, and whether the block has them twice."""
 
     def run(group: pa.Table) -> pa.Table:
-        hasher, parts = RangeHasher(1), [_NONE]
+        hasher, parts = PrimeHasher(1), [_NONE]
         for part in _portions(group.column("text")):
             parts.append(Portion(part, window, phrase, hasher).anchors()[1])
         marks, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -155,14 +156,13 @@ def _recurring(report: DataFrame) -> DataFrame:
 
 
 def _window_report(texts: DataFrame, found: DataFrame, window: int, phrase: int, buckets: int) -> DataFrame:
-    """Distinct windows around recurring phrases of each block, ordered by phrase, and the phrases' words."""
+    """Distinct windows around recurring phrases of each block, with the phrase, and whether the block has them twice."""
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(replies) or not len(group):
             return _table([], _WINDOWS)
         known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column("marks").to_pylist()]))
-        hasher, first, second = RangeHasher(1), RangeHasher(2), RangeHasher(4)
-        spelled: dict[int, bytes] = {}
+        hasher, first, second = PrimeHasher(1), PrimeHasher(2), PrimeHasher(4)
         parts: list[tuple[np.ndarray, ...]] = []
         for texts in _portions(group.column("text")):
             part = Portion(texts, window, phrase, hasher)
@@ -171,68 +171,90 @@ def _window_report(texts: DataFrame, found: DataFrame, window: int, phrase: int,
             at = np.flatnonzero(part.whole & _members(part.least, known))
             ends = part.ends[at + window - 1]
             parts.append((part.least[at], first(part.data, part.starts[at], ends), second(part.data, part.starts[at], ends)))
-            places, marks = part.anchors()
-            marks, where = np.unique(marks, return_index=True)
-            for mark, place in zip(marks.tolist(), places[where].tolist(), strict=True):
-                if mark not in spelled:
-                    spelled[mark] = part.words(place, phrase)
         if not parts:
             return _table([], _WINDOWS)
         mark, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((two, one, mark))
+        order = np.lexsort((two, one))
         mark, one, two = mark[order], one[order], two[order]
-        new = np.ones(len(mark), bool)
-        new[1:] = (mark[1:] != mark[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        new = _changes(one, two)
         many = np.diff(np.append(np.flatnonzero(new), len(new))) > 1
         mark, one, two = mark[new], one[new], two[new]
-        block, rows = group.column("block")[0].as_py(), []
-        for bucket, places in _buckets(mark, buckets):
-            marks, counts = np.unique(mark[places], return_counts=True)
-            rows.append(
-                {
-                    "block": block,
-                    "bucket": bucket,
-                    "one": one[places].tobytes(),
-                    "two": two[places].tobytes(),
-                    "many": many[places].tobytes(),
-                    "counts": counts.astype(np.uint32).tobytes(),
-                    "phrases": b"\n".join([spelled[x] for x in marks.tolist()]),
-                }
-            )
+        block = group.column("block")[0].as_py()
+        columns = {"one": one, "two": two, "marks": mark, "many": many}
+        rows = [{"block": block, "bucket": bucket, **{c: x[at].tobytes() for c, x in columns.items()}} for bucket, at in _buckets(one, buckets)]
         return _table(rows, _WINDOWS)
 
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, _ddl(_WINDOWS))
 
 
+def _changes(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which of some ordered pairs differ from the one before."""
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return new
+
+
 def _confirmed(report: DataFrame) -> DataFrame:
-    """The windows of each block that start at two places of the corpus, and their phrases."""
+    """The windows of each block that start at two places of the corpus, and the hashes of their phrases."""
 
     def run(group: pa.Table) -> pa.Table:
-        one, two = ([np.frombuffer(x, np.uint64) for x in group.column(c).to_pylist()] for c in ("one", "two"))
+        one, two, mark = ([np.frombuffer(x, np.uint64) for x in group.column(c).to_pylist()] for c in ("one", "two", "marks"))
         many = np.concatenate([np.frombuffer(x, bool) for x in group.column("many").to_pylist()])
         a, b = np.concatenate(one), np.concatenate(two)
         order = np.lexsort((b, a))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        group_of = np.cumsum(new) - 1
+        group_of = np.cumsum(_changes(a[order], b[order])) - 1
         twice = np.bincount(group_of, weights=1.0 + many[order]) > 1
         flags = np.empty(len(a), bool)
         flags[order] = twice[group_of]
         rows, start = [], 0
-        columns = (group.column(c).to_pylist() for c in ("block", "counts", "phrases"))
-        for hashes, block, counts, phrases in zip(one, *columns, strict=True):
-            own = flags[start : start + len(hashes)]
-            start += len(hashes)
+        for x, y, m, block in zip(one, two, mark, group.column("block").to_pylist(), strict=True):
+            own = flags[start : start + len(x)]
+            start += len(x)
             if own.any():
-                ends = np.cumsum(np.frombuffer(counts, np.uint32), dtype=np.int64)
-                use = np.add.reduceat(own, np.concatenate(([0], ends[:-1])), dtype=np.int64) > 0
-                kept = [p for p, u in zip(phrases.split(b"\n"), use, strict=True) if u]
-                rows.append({"block": block, "windows": hashes[own].tobytes(), "phrases": b"\n".join(kept)})
+                rows.append({"block": block, "one": x[own].tobytes(), "two": y[own].tobytes(), "marks": np.unique(m[own]).tobytes()})
         return _table(rows, _CONFIRMED)
 
     return report.groupBy("bucket").applyInArrow(run, _ddl(_CONFIRMED))
 
 
+class Windows:
+    """Confirmed windows of a block, known by both of their hashes."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray) -> None:
+        order = np.lexsort((two, one))
+        self.one, self.two = one[order], two[order]
+        self.first, self.second = PrimeHasher(2), PrimeHasher(4)
+        cuts = np.flatnonzero(np.append(np.diff(self.one) != 0, True))
+        # How many windows share their first hash, at most: one, but for chance.
+        self.longest = int(np.diff(np.append(-1, cuts)).max()) if len(one) else 0
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which byte ranges are confirmed windows."""
+        out = np.zeros(len(starts), bool)
+        one = self.first(data, starts, ends)
+        open_ = np.flatnonzero(_members(one, self.one))
+        if not len(open_):
+            return out
+        two = self.second(data, starts[open_], ends[open_])
+        place = np.searchsorted(self.one, one[open_])
+        for step in range(self.longest):
+            at = np.minimum(place + step, len(self.one) - 1)
+            out[open_] |= (self.one[at] == one[open_]) & (self.two[at] == two)
+        return out
+
+
+def spelled_phrases(texts: pa.ChunkedArray, marks: np.ndarray, window: int, phrase: int) -> set[bytes]:
+    """The words of the smallest phrases of windows whose hashes are among ``marks``."""
+    hasher, found = PrimeHasher(1), set()
+    for portion in _portions(texts):
+        part = Portion(portion, window, phrase, hasher)
+        places, own = part.anchors()
+        known = _members(own, marks)
+        _, first = np.unique(own[known], return_index=True)
+        found.update(part.words(place, phrase) for place in places[known][first].tolist())
+    return found
+
+
 def automaton(phrases: set[bytes]) -> ahocorasick.Automaton:
     """Automaton of byte phrases, one character per byte, that tells their lengths."""
     found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -242,7 +264,7 @@ def automaton(phrases: set[bytes]) -> ahocorasick.Automaton:
     return found
 
 
-def covered(text: bytes, phrases: ahocorasick.Automaton, windows: np.ndarray, window: int, phrase: int, hasher: RangeHasher) -> np.ndarray:
+def covered(text: bytes, phrases: ahocorasick.Automaton, windows: Windows, window: int, phrase: int) -> np.ndarray:
     """Which words of a normal text lie in a confirmed window around an occurrence of a phrase."""
     data = np.frombuffer(text, np.uint8)
     starts, ends = word_ranges(data)
@@ -260,7 +282,7 @@ def covered(text: bytes, phrases: ahocorasick.Automaton, windows: np.ndarray, wi
     np.add.at(steps, np.maximum(place - (window - phrase), 0), 1)
     np.add.at(steps, place + 1, -1)
     at = np.flatnonzero(np.cumsum(steps)[: len(starts) - window + 1] > 0)
-    at = at[_members(hasher(data, starts[at], ends[at + window - 1]), windows)]
+    at = at[windows(data, starts[at], ends[at + window - 1])]
     cover = np.zeros(len(starts) + 1, np.int64)
     cover[at] += 1
     cover[at + window] -= 1
@@ -293,18 +315,17 @@ def remove_repeats(
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
-        hasher = RangeHasher(2)
-        windows, phrases = _NONE, set()
+        machine = windows = None
         if len(replies):
-            windows = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column("windows").to_pylist()]))
-            phrases = {p for x in replies.column("phrases").to_pylist() for p in x.split(b"\n")}
-        machine = automaton(phrases) if phrases else None
+            one, two, marks = (np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column(c).to_pylist()]) for c in ("one", "two", "marks"))
+            windows = Windows(one, two)
+            machine = automaton(spelled_phrases(group.column("text"), np.unique(marks), window, phrase))
         n_words, n_removed, marks, kept_texts = [], [], [], []
         for value in encoded(group.column("text").combine_chunks()):
             words = value.split()
             removed = 0
             if machine is not None and len(words) >= window:
-                gone = covered(b" ".join(words), machine, windows, window, phrase, hasher)
+                gone = covered(b" ".join(words), machine, windows, window, phrase)
                 removed = int(gone.sum())
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words)
             n_words.append(len(words))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import encoded, spans, table
+from edurank.llm.common import as_row, encoded, spans, table
 from edurank.llm.components import components, spanning_forest
 from edurank.plans.materialize import materialize
 
@@ -215,7 +215,7 @@ def keep_one(
         .count()
         .select("doc_id.kept_id", "doc_id.kept_own", "count")
     )
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), own.alias("_own"))
+    whole = docs.select(as_row(docs).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), own.alias("_own"))
     same = (F.col("_own") == F.col("kept_own")) & F.col("_id").eqNullSafe(F.col("kept_id"))
     once = whole.join(firsts.where("count = 1"), same, "left_semi")
     again = whole.join(firsts.where("count > 1"), same, "left_semi").dropDuplicates(["_id", "_text"])

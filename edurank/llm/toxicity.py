@@ -272,16 +272,19 @@ def score_toxicity(
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows of ``docs`` that are not rejected; every row is judged by its own text, whatever its id."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id=doc_id, text=text, lang=lang))
+    text_at, lang_at = docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column(text))
-            langs = batch.column(lang).to_pylist() if lang in batch.schema.names else [None] * len(texts)
+            texts = encoded(batch.column(text_at))
+            langs = [None] * len(texts) if lang_at is None else batch.column(lang_at).to_pylist()
             for a, b in portions([len(t) for t in texts], PORTION):
                 score, cuts = judged(sent.value, texts[a:b], langs[a:b])
                 yield batch.slice(a, b - a).filter(pa.array(score < cuts))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by place: their names may hold signs that Spark reads as paths.
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -50,6 +51,96 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+def plain_toxicity(model, text):
+    """Score by loops over words, widths and filters."""
+    words = "".join(c.lower() if c.isascii() else c for c in text)
+    words = [w.encode() for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", words) if w]
+
+    def vector(word):
+        rows = [zlib.crc32(word) % (toxicity.BUCKETS - 1) + 1]
+        for n in toxicity.STEMS:
+            if len(word) >= n:
+                mixed = (int.from_bytes(word[:n], "little") * 0x9E3779B97F4A7C15 + n * 0x632BE59BD9B4E019) % (1 << 64)
+                mixed = (mixed ^ (mixed >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                rows.append((mixed >> 40) % (toxicity.BUCKETS - 1) + 1)
+        return sum(model.embedding[r].astype(float) for r in rows)
+
+    vectors = [vector(w) for w in words]
+    logit, place = model.offset, 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(words)):
+                answer = float(model.bias[width][f])
+                for k in range(min(width, len(words) - i)):
+                    answer += float(vectors[i + k] @ model.filters[width][k][:, f].astype(float))
+                best = max(best, answer)
+            logit += best * float(model.output[place])
+            place += 1
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_toxicity_score_equals_plain_loops(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    own = [("one awfulness, two", "en"), ("", "de"), (None, None), ("...", "xx"), ("É ÉA Scheusal-ly x9 word1 word2", "de"), ("awful " * 30, "en")]
+    table = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(own)], "doc_id bigint, text string, lang string")
+    old, toxicity.fit = toxicity.fit, lambda *_, **__: model
+    try:
+        got = {r.doc_id: r for r in toxicity.score_toxicity(table, labels).collect()}
+    finally:
+        toxicity.fit = old
+    for i, (text, lang) in enumerate(own):
+        score = plain_toxicity(model, text or "")
+        assert abs(got[i].score - score) < 1e-5 and got[i].predicted == int(got[i].score >= 0.5)
+        assert got[i].threshold == model.thresholds.get(lang or "", 0.5) and got[i].rejected == (got[i].score >= got[i].threshold)
+
+
+def plain_quality(model, text):
+    """Logit by loops over passages and their words."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    mark = quality.RangeHasher(9)
+
+    def number(word):
+        own = np.frombuffer(re.sub(rb"[A-Z]", lambda m: m[0].lower(), word), np.uint8)
+        return int(mark(own, np.array([0]), np.array([len(own)]))[0])
+
+    kinds = [rb"[A-Z]", rb"[a-z]", rb"[0-9]", rb"[\x80-\xff]", rb"[.,]", rb"[!-+\-/:-@\[-`{-}]"]
+    states = []
+    for at in range(0, max(1, len(words)), quality.PASSAGE):
+        part = words[at : at + quality.PASSAGE]
+        x = np.zeros(quality.SHAPES + quality.WORD_BUCKETS)
+        if part:
+            joined, numbers = b"".join(part), [number(w) for w in part]
+            flags = [
+                [n > 0 and numbers[n] == numbers[n - 1] for n in range(len(part))],
+                [w[-1:] in b"!?" for w in part], [w[-1:] == b"." for w in part], [w == b"|" for w in part],
+                [w[:1].isupper() for w in part], [len(w) > 15 for w in part],
+            ]
+            found = [len(re.findall(k, joined)) / len(joined) for k in kinds] + [sum(f) / len(part) for f in flags]
+            found += [len(set(numbers)) / len(part), len(joined) / len(part) / 8, len(part) / quality.PASSAGE]
+            x[: len(found)] = found
+            for n in numbers:
+                x[quality.SHAPES + n % quality.WORD_BUCKETS] += 1 / len(part)
+        w = model.weights
+        h = np.tanh(((x - model.middle) / model.spread) @ w["encode"] + w["encode_bias"])
+        raw = sum(math.tanh(h @ w["tanh"][:, j]) / (1 + math.exp(-(h @ w["gate"][:, j]))) * w["attend"][j] for j in range(quality.ATTENTION))
+        states.append((raw, h))
+    total = sum(math.exp(raw) for raw, _ in states)
+    z = sum(math.exp(raw) / total * h for raw, h in states)
+    return float(z @ w["out"] + w["bias"][0] + model.offset)
+
+
+def test_quality_score_equals_plain_loops():
+    rng = random.Random(3)
+    texts = ["", " \n", "One two. three! | | Four? JUNK!! JUNK!!", "é" * 20 + " x1 -/- A", " ".join(rng.choice(["a", "Bb.", "c1,", "{x}", "日本"]) for _ in range(100))]
+    features, _ = quality.passage_features([t.encode() for t in texts], quality.RangeHasher(9))
+    model = quality.Model.fresh(features)
+    model.offset = 0.25
+    got = model.logits([t.encode() for t in texts], quality.RangeHasher(9))
+    assert np.allclose(got, [plain_quality(model, t) for t in texts], atol=1e-9)
+
+
 def test_classifiers_without_labels_or_rows(spark):
     docs, labels = labelled(spark, 20)
     none = labels.limit(0)
@@ -210,7 +301,7 @@ def test_transcripts(spark):
     model = chat.fit(lines)
     pieces = {}
     for r in lines.orderBy("conv_id", "turn").collect():
-        pieces.setdefault(r.conv_id, []).append((r.turn, chat.read_piece(r.text)[0]))
+        pieces.setdefault(r.conv_id, []).append((r.turn, [line.code for line in chat.read_piece(r.text)]))
     expected = {}
     for conv, own in pieces.items():
         codes = [c for _, part in own for c in part]
@@ -225,17 +316,63 @@ def test_transcripts(spark):
     assert np.mean([r.role == truth[r.conv_id, r.turn] for r in got]) > 0.9
 
 
+def plain_counts(rows):
+    """Start, step and emission counts over whole transcripts of (conv, turn, role, text)."""
+    start, step, emit = np.zeros(chat.STATES), np.zeros((chat.STATES, chat.STATES)), np.zeros((chat.STATES, chat.CODES))
+    talks = {}
+    for n, (conv, turn, role, text) in enumerate(rows):
+        key = (conv,) if conv is not None and turn is not None else ("alone", n)
+        talks.setdefault(key, []).append((turn or 0, text is not None, text or "", role))
+    for own in talks.values():
+        before = None
+        for _, _, text, role in sorted(own):
+            for n, line in enumerate(chat.read_piece(text)):
+                state = chat.ROLES.index(role) + 3 * (n > 0)
+                emit[state, line.code] += 1
+                if before is None:
+                    start[state] += 1
+                else:
+                    step[before, state] += 1
+                before = state
+    return start, step, emit
+
+
+def test_counts_of_the_model_cross_blocks(spark):
+    lines = chat.as_transcripts(spark.createDataFrame(turns(9, 5), "conv_id bigint, turn bigint, role string, text string"))
+    more = [(None, 3, "user", "Q: alone"), (4, None, "assistant", "a\nb"), (4, 2, "user", "twice?"), (4, 2, "user", "twice?")]
+    more += [(7, 100 + i, "user", None) for i in range(300)] + [(7, 900, "assistant", "after a gap"), (7, -5, "system", "first")]
+    both = lines.select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(more, "conv_id bigint, turn bigint, role string, text string"))
+    model = chat.fit(both)
+    plain = chat.Markov.counted(*plain_counts([tuple(r) for r in both.collect()]))
+    for got, expected in ((model.start, plain.start), (model.step, plain.step), (model.emit, plain.emit)):
+        assert np.array_equal(got, expected)
+
+
 def test_odd_transcripts(spark):
-    rows = [(1, 0, "user", "User: hi"), (1, 0, "user", "User: hi"), (1, 1, None, None), (1, 2, None, "\n \n"), (1, 70, None, "Bot: yes?\nmore"), (None, 1, "user", "x"), (2, None, "user", "x")]
+    rows = [(1, 0, "user", "User: hi"), (1, 0, "user", "User: hi"), (1, 1, None, None), (1, 2, None, "\n \n"), (1, 70, None, "Bot: yes?\nmore")]
+    rows += [(None, 1, "user", "User: x"), (None, 1, "user", "User: x"), (2, None, "user", "Bot: y"), (3, -1, None, "User: a"), (3, 5, None, "Bot: b"), (3, -(1 << 60), None, "System: c")]
+    rows += [(1 << 60, (1 << 60) + 1, None, "Bot: far")]
     talks = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     known = chat.as_transcripts(spark.createDataFrame(turns(12, 5), "conv_id bigint, turn bigint, role string, text string"))
-    got = {(r.conv_id, r.turn): r for r in chat.parse(talks, chat.fit(known)).collect()}
-    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 70)}
-    assert got[1, 0].rendered == "<|user|>\nhi" and got[1, 1].rendered == "" and got[1, 2].role is None
-    assert got[1, 70].rendered.startswith("<|assistant|>\nyes?\nmore")
+    model = chat.fit(known)
+    found = chat.parse(talks, model).collect()
+    corpus.same([(r.conv_id, r.turn) for r in found], [r[:2] for r in rows])
+    got = {(r.conv_id, r.turn): r for r in found}
+    # The repeat may go on with the turn; then its marker is text.
+    assert "<|user|>\nhi" in {r.rendered for r in found if r.turn == 0} <= {"<|user|>\nhi", "User: hi"}
+    assert got[1, 1].rendered == "" and got[1, 2].role is None
+    assert got[1, 70].rendered == "<|assistant|>\nyes?\nmore" and got[None, 1].rendered == "<|user|>\nx"
+    assert got[2, None].rendered == "<|assistant|>\ny" and got[3, 5].rendered == "<|assistant|>\nb"
+    assert got[3, -(1 << 60)].rendered == "<|system|>\nc" and got[1 << 60, (1 << 60) + 1].n_begun == 1
     assert chat.parse(talks.limit(0), chat.fit(talks.limit(0))).count() == 0
 
 
+def test_only_the_marker_of_a_begun_turn_goes():
+    first, second, third = chat.read_piece("\nUser: ask\n\n user: bob\na: 1")
+    assert first.rendered(1) == "<|user|>\nask" and first.rendered(2) == "<|assistant|>\nUser: ask"
+    assert second.rendered(4) == "\n user: bob" and third.rendered(5) == "a: 1"
+
+
 def test_thresholds_use_all_labelled_rows(spark):
     rng = random.Random(12)
     docs, labels = [], []

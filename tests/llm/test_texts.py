@@ -241,3 +241,58 @@ def test_proximity(spark):
     lead = {1: {0, 3}, 4: {0, 1, 2}}
     got = {(r.doc_id, r.pos) for r in found.collect()}
     assert {d for d, _ in got} == {1, 4} and all(p in lead[d] for d, p in got)
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    from edurank.llm.hashing import PrimeHasher, RangeHasher
+
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    starts, ends = np.array([0, 2048]), np.array([2048, 4096])
+    assert len(set(RangeHasher(3)(data, starts, ends).tolist())) == 1
+    assert all(len(set(PrimeHasher(i)(data, starts, ends).tolist())) == 2 for i in range(5))
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
+    assert [r.n_removed for r in linededup.dedup_lines(docs).collect()] == [0, 0]
+    shared = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {two}")], "doc_id bigint, text string")
+    assert [r.n_removed for r in passages.remove_repeats(docs).collect()] == [0, 0]
+
+
+def test_hashes_of_ranges(monkeypatch):
+    from edurank.llm import hashing
+
+    rng = random.Random(7)
+    data = bytes(rng.randrange(256) for _ in range(3000))
+    ranges = [(a, a + rng.randint(0, 60)) for a in (rng.randrange(2900) for _ in range(400))] + [(0, 3000), (5, 2900)]
+    starts, ends = (np.array(x) for x in zip(*ranges, strict=True))
+    hasher = hashing.PrimeHasher(2)
+
+    def plain(part: bytes) -> int:
+        value = sum((c + 1) * pow(hasher.base, i, hashing.PRIME) for i, c in enumerate(part)) % hashing.PRIME
+        return int(hashing.mixed(np.array([value], np.uint64))[0])
+
+    expected = [plain(data[a:b]) for a, b in ranges]
+    assert hasher(np.frombuffer(data, np.uint8), starts, ends).tolist() == expected
+    monkeypatch.setattr(hashing, "_EXACT", 64)
+    assert hasher(np.frombuffer(data, np.uint8), starts, ends).tolist() == expected
+
+
+def test_windows_around_one_phrase_are_spread(spark):
+    rng = random.Random(8)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    texts = []
+    for i in range(40):
+        before, behind = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2))
+        texts += [f"{before} {phrase} {behind}"] * (2 if i % 2 else 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    blocks = passages.in_blocks(docs, "doc_id", "text", 6)
+    found = passages._recurring(passages._anchor_report(blocks, 35, 8, 6))
+    report = passages._window_report(blocks, found, 35, 8, 6).toPandas()
+    per_bucket = report.groupby("bucket")["one"].apply(lambda x: sum(map(len, x)) // 8)
+    assert len(per_bucket) == 6 and per_bucket.max() < 2 * per_bucket.mean()
+    got = {r.doc_id: r.n_removed for r in passages.remove_repeats(docs, block_bytes=2000).collect()}
+    assert got == {i: (92 if texts.count(t) > 1 else 0) for i, t in enumerate(texts)}
