@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edurank.llm.common import table
+from edurank.llm.common import column, table
 from edurank.llm.contamination import drop_contaminated
 from edurank.llm.linededup import dedup_lines
 from edurank.llm.packing import pack
@@ -21,9 +21,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line matches; a document may become empty."""
-    done = dedup_lines(docs)
-    columns = [F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return done.select(*columns)
+    done = dedup_lines(docs, lines_as=None, removed_as=None)
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return done.select(*(F.length("text").cast(kind).alias(c) if c == "n_chars" else column(c) for c in docs.columns))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
