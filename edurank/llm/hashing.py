@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -53,6 +54,29 @@ class RangeHasher:
         return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
 
 
+# Longer words are hashed one by one.
+_SHORT = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, eight bytes of all ranges at a time; every step mixes what came before."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mixed(size.astype(np.uint64))
+    open_, at = np.flatnonzero((size > 0) & (size <= _SHORT)), 0
+    while len(open_):
+        left = size[open_] - at
+        part = eight[starts[open_] + at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[open_] = mixed(out[open_] ^ part)
+        open_, at = open_[left > 8], at + 8
+    for i in np.flatnonzero(size > _SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 PRIME = (1 << 61) - 1
 _P, _HALF = np.uint64(PRIME), np.uint64((1 << 31) - 1)
 # Bytes whose sums stay within 64 bits.
@@ -62,7 +86,7 @@ _EXACT = 1 << 24
 def _reduced(x: np.ndarray) -> np.ndarray:
     """Any 64-bit numbers modulo 2**61 - 1."""
     x = (x & _P) + (x >> np.uint64(61))
-    return np.where(x >= _P, x - _P, x)
+    return x - _P * (x >= _P)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edurank.llm.common import UPPER, as_row, encoded, inside, maybe_among, portions, shares, table, text_bytes
-from edurank.llm.hashing import PrimeHasher, mixed, word_ranges
+from edurank.llm.hashing import mixed, word_hashes, word_ranges
 from edurank.plans.materialize import materialize
 
 # Least Jaccard similarity of a match, in per cent.
@@ -36,29 +36,34 @@ SIMILARITY = 80
 COUNTERS, SLICES = 1 << 20, 64
 # Bytes of text worked on at once.
 PORTION = 1 << 20
+_RANK_BITS = 9
 
 
 class LineSets:
     """Distinct words of every line of some texts, as hashes."""
 
-    def __init__(self) -> None:
-        self.hasher = PrimeHasher(3)
-
-    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(word hash, line number over all texts), in order of the texts."""
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+        """(word hash, line number over all texts), in order of the texts, and the number of lines."""
         data = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
         starts, ends = word_ranges(data)
-        return self.hasher(data, starts, ends), np.searchsorted(np.flatnonzero(data == 10), starts)
-
-    def ordered(self, texts: list[bytes], counts: np.ndarray | None) -> dict[str, np.ndarray]:
-        """Distinct words of each line, the rarest first, and the start and size of each line that has words."""
-        word, line = self.words(texts)
-        every = word
-        key = word >> np.uint64(24)
-        if counts is not None:
-            key |= np.minimum(counts[(word >> np.uint64(44)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
-        order = np.lexsort((key, line))
-        word, line = word[order], line[order]
+        breaks = np.flatnonzero(data == 10)
+        return word_hashes(data, starts, ends), np.searchsorted(breaks, starts), len(breaks) + 1
+
+    def ordered(self, texts: list[bytes], ranks: np.ndarray | None) -> dict[str, np.ndarray]:
+        """Distinct words of each line, the rarest first, and the start and size of each line that has words.
+
+        Words of one rank follow each other in order of their hashes.
+        """
+        every, line, lines = self.words(texts)
+        rank = np.zeros(len(every), np.uint64) if ranks is None else ranks[(every >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
+        room = np.uint64(64 - _RANK_BITS - lines.bit_length())
+        key = ((line.astype(np.uint64) << np.uint64(_RANK_BITS)) | rank) << room | every >> (np.uint64(64) - room)
+        order = np.argsort(key)
+        word, key = every[order], key[order]
+        if ((key[1:] == key[:-1]) & (word[1:] != word[:-1])).any():  # the key has no room for all of the hash
+            order = np.lexsort((every, rank, line))
+            word = every[order]
+        line = line[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
         word, line = word[new], line[new]
@@ -111,7 +116,9 @@ def sets_and_counts(rows: DataFrame) -> DataFrame:
 
 
 def rarity(found: DataFrame) -> np.ndarray:
-    """Estimated number of occurrences of words, by the highest bits of their hash; a table of fixed size."""
+    """Rank of words by their estimated number of occurrences, in eighths of a doubling, by the highest bits of
+    their hash; a table of fixed size.
+    """
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<u8") for x in frame["counts"])
@@ -121,7 +128,7 @@ def rarity(found: DataFrame) -> np.ndarray:
     out = np.zeros((SLICES, COUNTERS // SLICES), np.uint64)
     for row in slices.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], "<u8")
-    return out.ravel()
+    return np.minimum(8 * np.log2(out.ravel() + 1.0), (1 << _RANK_BITS) - 1).astype(np.uint16)
 
 
 # Rows a task holds before it reports them, and bytes of text whose rows share a bucket.

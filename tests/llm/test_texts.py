@@ -281,6 +281,17 @@ def test_hashes_of_ranges(monkeypatch):
     assert hasher(np.frombuffer(data, np.uint8), starts, ends).tolist() == expected
 
 
+def test_hashes_of_words(monkeypatch):
+    from edurank.llm import hashing
+
+    words = sorted({b"", b"a", b"b", b"a\0", b"abcdefgh", b"abcdefghi", b"abcdefghabcdefgh", b"x" * 300, b"x" * 301, "日本語の言葉".encode(), thue_morse(2048, "a", "b").encode(), thue_morse(2048, "b", "a").encode()})
+    data = np.frombuffer(b" ".join(words * 3), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words * 3]) - 1
+    starts = ends - np.array([len(w) for w in words * 3])
+    found = hashing.word_hashes(data, starts, ends).reshape(3, -1)
+    assert (found == found[0]).all() and len(set(found[0].tolist())) == len(words)
+
+
 def test_windows_around_one_phrase_are_spread(spark):
     rng = random.Random(8)
     phrase = " ".join(f"p{i}" for i in range(12))
