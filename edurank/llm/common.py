@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 from collections.abc import Iterator, Sequence
@@ -96,6 +97,14 @@ def portions(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def release_memory() -> None:
+    """Give back what a task no longer uses: workers live on for other stages beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # Bits of the table that rules ids out, at most: 8 MB in rows of 64 bits.
 MOST_BITS = 1 << 26
 

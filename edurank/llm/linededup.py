@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import UPPER, as_row, encoded, inside, maybe_among, portions, shares, table, text_bytes
+from edurank.llm.common import UPPER, as_row, encoded, inside, maybe_among, portions, release_memory, shares, table, text_bytes
 from edurank.llm.hashing import mixed, word_hashes, word_ranges
 from edurank.plans.materialize import materialize
 
@@ -111,6 +111,7 @@ def sets_and_counts(rows: DataFrame) -> DataFrame:
             parts = [x.astype("<u8").tobytes() for x in total.reshape(SLICES, each)]
             none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+        release_memory()
 
     return rows.mapInArrow(run, f"set bigint, mark bigint, doc_id {kind}, own bigint, line int, slice int, counts binary")
 
@@ -201,6 +202,7 @@ def prefix_postings(rows: DataFrame, counts: np.ndarray, similarity: int, bucket
                     yield packed()
         if held:
             yield packed()
+        release_memory()
 
     arrays = ", ".join(f"{f} binary" for f in _FIELDS)
     return rows.mapInArrow(run, f"bucket int, {arrays}, ids array<{kind}>")
@@ -210,15 +212,16 @@ def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return ((word >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _may_match(x: dict[str, np.ndarray], y: dict[str, np.ndarray], similarity: int) -> np.ndarray:
-    """Length, positional and bitmap filter of two postings of one word."""
-    both = x["size"] + y["size"]
-    need = -(-similarity * both // (100 + similarity))
-    fits = 100 * np.minimum(x["size"], y["size"]) >= similarity * np.maximum(x["size"], y["size"])
-    fits &= x["rank"] != y["rank"]
-    fits &= np.minimum(x["size"] - x["place"], y["size"] - y["place"]) >= need
-    differ = np.bitwise_count(x["low"] ^ y["low"]).astype(np.int64) + np.bitwise_count(x["high"] ^ y["high"])
-    return fits & (both - differ >= 2 * need)
+def _matching(x: np.ndarray, y: np.ndarray, f: dict[str, np.ndarray], similarity: int) -> np.ndarray:
+    """Which rows of a bucket, paired with others, may match: length, positional and bitmap filter, each on what the last left."""
+    left, right = f["size"][x], f["size"][y]
+    use = np.flatnonzero(100 * np.minimum(left, right) >= similarity * np.maximum(left, right))
+    x, y, left, right = x[use], y[use], left[use], right[use]
+    need = -(-similarity * (left + right) // (100 + similarity))
+    fits = np.flatnonzero(np.minimum(left - f["place"][x], right - f["place"][y]) >= need)
+    use, x, y, spare = use[fits], x[fits], y[fits], (left + right - 2 * need)[fits]
+    differ = np.bitwise_count(f["low"][x] ^ f["low"][y]).astype(np.int64) + np.bitwise_count(f["high"][x] ^ f["high"][y])
+    return use[(differ <= spare) & (f["rank"][x] != f["rank"][y])]
 
 
 class Holders:
@@ -244,9 +247,6 @@ class Holders:
         self.fields = {f: x[order] if x.dtype.itemsize == 8 else x[order].astype(np.int64) for f, x in fields.items()} | {"rank": rank}
         self.ids = ids.take(pa.array(order))
 
-    def at(self, rows: np.ndarray) -> dict[str, np.ndarray]:
-        return {f: x[rows] for f, x in self.fields.items()}
-
     def lines(self, rows: np.ndarray) -> pa.StructArray:
         line = pa.array(self.fields["line"][rows].astype(np.int32))
         own = pa.array(self.fields["own"][rows].view(np.int64))
@@ -261,16 +261,16 @@ class Holders:
             back += 1
             open_ = open_[open_ >= back]
             open_ = open_[word[open_ - back] == word[open_]]
-            fits = _may_match(self.at(open_ - back), self.at(open_), similarity)
+            fits = _matching(open_ - back, open_, self.fields, similarity)
             out[open_[fits]] = open_[fits] - back
-            open_ = open_[~fits]
+            open_ = np.delete(open_, fits)
         y = np.flatnonzero(out >= 0)
         return out[y], y
 
     def earlier(self, y: int, similarity: int) -> np.ndarray:
         """All earlier rows of the same word that may match a row."""
         x = np.arange(np.searchsorted(self.fields["word"], self.fields["word"][y]), y)
-        return x[_may_match(self.at(x), self.at(np.array([y])), similarity)]
+        return x[_matching(x, np.full(len(x), y), self.fields, similarity)]
 
 
 def _end_type(postings: DataFrame) -> str:

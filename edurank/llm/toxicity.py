@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edurank.llm.common import encoded, fold, portions, table
+from edurank.llm.common import encoded, fold, portions, release_memory, table
 from edurank.llm.training import balanced_weight, cut_of_all, cuts_by_language, labelled_sample, score_counts
 
 FOLDS, HELD = 5, 0
@@ -281,6 +281,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             for a, b in portions([len(t) for t in texts], PORTION):
                 score, cuts = judged(sent.value, texts[a:b], langs[a:b])
                 yield batch.slice(a, b - a).filter(pa.array(score < cuts))
+        release_memory()
 
     # Columns go by place: their names may hold signs that Spark reads as paths.
     placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))

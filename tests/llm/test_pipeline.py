@@ -85,7 +85,7 @@ def test_every_stage_does_its_work(spark, tmp_path, monkeypatch):
     texts = [prose(30) + "\n" + prose(20) for _ in range(12)]
     texts += [prose(9) + " awfulness " + prose(9), "awfulness", f"{prose(15)}\n{shared}", f"{shared}\n{prose(25)}", f"{shared} tail\n{prose(12)}"]
     texts += [near, near.upper(), prose(12) + " " + bench + " " + prose(12), prose(4) + "\n" + bench.upper(), None, "", " \n ", texts[0]]
-    rows = [(i, t, ("en", "de", None)[i % 3], f"s{i % 2}", t and len(t), i, f"x{i}", "d", 1) for i, t in enumerate(texts)]
+    rows = [(i, t, ("en", "de", None)[i % 3], f"s{i % 2}", None if t is None else len(t), i, f"x{i}", "d", 1) for i, t in enumerate(texts)]
     rows += [(None, prose(40), "en", None, 1, None, None, None, None), (3, prose(33), None, None, None, 5, "t", "u", 2), (None, "awfulness", "en", None, 1, 1, "", "", 1)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_lines int, n_removed string, `a.b` string, `c``d` int"
     docs, labels = labelled(spark)
