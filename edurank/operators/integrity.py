@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,15 +70,14 @@ def _slots(table: str, columns: Iterable[str]) -> tuple[list[str], list[str]]:
     return [c for c in columns if c not in texts], texts
 
 
-def _claim(rule_id: int, role: int, table: str, columns: Iterable[str], given: str) -> Column:
+def _claim(rule_id: int, role: int, table: str, columns: Iterable[str], given: str) -> str:
     nums, texts = _slots(table, columns)
-    claim = F.struct(
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(role).alias("role"),
-        F.array(*(F.col(c).cast("bigint") for c in nums)).cast("array<bigint>").alias("nums"),
-        F.array(*map(F.col, texts)).cast("array<string>").alias("texts"),
+    values = ", ".join(f"cast({c} as bigint)" for c in nums)
+    claim = (
+        f"named_struct('rule_id', {rule_id}, 'role', {role}, 'nums', cast(array({values}) as array<bigint>), "
+        f"'texts', cast(array({', '.join(texts)}) as array<string>))"
     )
-    return F.when(F.expr(given), claim)
+    return f"if({given}, {claim}, null)"
 
 
 def _claims(rows: DataFrame, table: str, rules: Iterable[int], roles: Iterable[int]) -> DataFrame | None:
@@ -90,7 +89,7 @@ def _claims(rows: DataFrame, table: str, rules: Iterable[int], roles: Iterable[i
             found.append(_claim(i, rule.role, table, rule.columns, rule.given))
         if rule.parent and rule.parent[0] == table and OFFERED in roles:
             found.append(_claim(i, OFFERED, table, [rule.parent[1]], "true"))
-    return rows.select(F.inline(F.array_compact(F.array(*found)))) if found else None
+    return rows.selectExpr(f"inline(array_compact(array({', '.join(found)})))") if found else None
 
 
 def _union(parts: Iterable[DataFrame | None]) -> DataFrame | None:
@@ -104,25 +103,30 @@ def _counted(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*KEY).agg(*number)
 
 
-def _key_text(rule: Rule) -> Column:
-    nums, texts = _slots(rule.table, rule.columns)
-    parts = (F.get("nums", F.lit(nums.index(c))) if c in nums else F.get("texts", F.lit(texts.index(c))) for c in rule.columns)
-    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+# Parts of a key as text: whole numbers, then texts; a missing one is empty.
+_NUMS, _TEXTS = "transform(nums, n -> coalesce(cast(n as string), ''))", "transform(texts, t -> coalesce(t, ''))"
 
 
-def _violations(counted: DataFrame, rules: Iterable[int]) -> DataFrame:
+def _key_text() -> str:
+    """Key as text, its parts in order of the rule's columns (SQL text)."""
+    cases = []
+    for i, rule in enumerate(all_rules()):
+        nums, texts = _slots(rule.table, rule.columns)
+        if list(rule.columns) != nums + texts:
+            parts = (f"coalesce(cast(nums[{nums.index(c)}] as string), '')" if c in nums else f"coalesce(texts[{texts.index(c)}], '')" for c in rule.columns)
+            cases.append(f"when rule_id = {i} then concat_ws('|', {', '.join(parts)})")
+    return f"case {' '.join(cases)} else concat_ws('|', {_NUMS}, {_TEXTS}) end"
+
+
+def _violations(counted: DataFrame) -> DataFrame:
     """Keys held twice, used without a parent or broken, with their number of rows."""
-    lost = F.when(F.col("offered") == 0, F.col("used")).otherwise(0)
-    repeated = F.when(F.col("held") > 1, F.col("held")).otherwise(0)
-    broken = counted.withColumn("row_count", repeated + lost + F.col("broken")).where("row_count > 0")
+    broken = counted.selectExpr(*KEY, "if(held > 1, held, 0) + if(offered = 0, used, 0) + broken as row_count").where("row_count > 0")
 
-    def told(value) -> Column:
-        return reduce(lambda chain, i: chain.when(F.col("rule_id") == i, value(all_rules()[i])), rules, F.when(F.lit(False), F.lit("")))
+    def told(values: Iterable[str]) -> str:
+        return f"array({', '.join(repr(v) for v in values)})[rule_id]"
 
-    rules = list(rules)
-    return broken.select(
-        told(lambda r: F.lit(r.table)).alias("table_name"), told(lambda r: F.lit(r.name)).alias("rule"), told(_key_text).alias("row_key"), "row_count"
-    )
+    tables, names = zip(*((r.table, r.name) for r in all_rules()), strict=True)
+    return broken.selectExpr(f"{told(tables)} as table_name", f"{told(names)} as rule", f"{_key_text()} as row_key", "row_count")
 
 
 def check_integrity(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
@@ -135,7 +139,7 @@ def check_integrity(tables: Tables, names: Iterable[str] | None = None) -> DataF
     checked = set(names or SCHEMAS)
     rules = [i for i, r in enumerate(all_rules()) if r.table in checked]
     found = _union(_claims(tables[t], t, rules, (HELD, USED, OFFERED, BROKEN)) for t in SCHEMAS)
-    return _violations(_counted(found), rules)
+    return _violations(_counted(found))
 
 
 # --- integrity of a change -------------------------------------------------------------------
@@ -185,4 +189,4 @@ def check_change(tables: Tables, plan: ChangePlan) -> DataFrame:
         counted = _counted(claims.join(F.broadcast(wanted), list(KEY), "left_semi").unionByName(own.where(F.col("role") == BROKEN)))
     else:
         counted = _counted(claims.unionByName(own.where(F.col("role") == BROKEN))).join(wanted, list(KEY), "left_semi")
-    return _violations(counted, rules)
+    return _violations(counted)
