@@ -133,7 +133,7 @@ def rarity(found: DataFrame) -> np.ndarray:
 
 
 # Rows a task holds before it reports them, and bytes of text whose rows share a bucket.
-HELD = 400_000
+HELD = 150_000
 BUCKET = 8 << 20
 # Bits of the table of words that the second round asks for.
 WORD_BITS = 1 << 23

@@ -36,12 +36,12 @@ def default_vocabulary() -> str:
 class _Words(dict):
     """Token ids of a word, found on first use; the owner forgets all when too many are held."""
 
-    def __init__(self, find) -> None:
+    def __init__(self, find, most: int) -> None:
         super().__init__()
-        self.find = find
+        self.find, self.most = find, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         self[word] = ids = self.find(word)
         return ids
@@ -61,15 +61,15 @@ class Encoder:
     # Letters in this range are letters to every version of the character tables.
     _LAST_LETTER = "\u024f"
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         ((self.blank, _),) = self.spelled.pre_tokenize_str(" ")
-        self.pieces = _Words(self._piece)
-        self.first = _Words(lambda word: self._word("", word))
-        self.later = _Words(lambda word: self._word(" ", word))
+        self.pieces = _Words(self._piece, remembered)
+        self.first = _Words(lambda word: self._word("", word), remembered)
+        self.later = _Words(lambda word: self._word(" ", word), remembered)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():  # visible ASCII is spelled as itself
@@ -126,10 +126,12 @@ def pack(
     vocabulary: str | None = None,
     longest: int = MAX_LENGTH,
     with_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
-    ``longest`` is a power of two.  A null text counts as empty: one piece that
+    ``longest`` is a power of two, ``remembered`` the words of one kind a task
+    keeps the ids of.  A null text counts as empty: one piece that
     holds the end id.  Repeated rows are packed each; an empty table gives no
     piece; other columns are not read.  A sequence id is unique in the result
     and names the bucket in its highest bits.
@@ -142,7 +144,7 @@ def pack(
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+        encode, end = Encoder(path, remembered), np.array([END_ID], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         seen = [0] * longest.bit_length()
         for batch in batches:

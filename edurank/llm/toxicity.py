@@ -35,8 +35,8 @@ BATCH = 32
 RATE = 0.05
 # Share of the sample that is not learnt from; with all labelled rows beyond the sample it calibrates the thresholds.
 CALIBRATION = 5
-# Bytes of text scored at once.
-PORTION = 4 << 20
+# Bytes of text scored at once; beside other stages in one worker, fewer.
+PORTION, SMALL_PORTION = 4 << 20, 1 << 20
 
 _FOLDED = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -278,7 +278,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         for batch in batches:
             texts = encoded(batch.column(text_at))
             langs = [None] * len(texts) if lang_at is None else batch.column(lang_at).to_pylist()
-            for a, b in portions([len(t) for t in texts], PORTION):
+            for a, b in portions([len(t) for t in texts], SMALL_PORTION):
                 score, cuts = judged(sent.value, texts[a:b], langs[a:b])
                 yield batch.slice(a, b - a).filter(pa.array(score < cuts))
         release_memory()
