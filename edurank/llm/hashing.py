@@ -29,7 +29,7 @@ class RangeHasher:
 
     Equal byte strings have equal hashes wherever they lie.  Unequal ones may be
     built to collide whatever the base, so this does not tell texts apart:
-    :class:`PrimeHasher` does.
+    :func:`word_hashes` and :class:`SequenceHasher` do.
     """
 
     def __init__(self, seed: int) -> None:
@@ -58,29 +58,27 @@ class RangeHasher:
 _SHORT = 256
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte range, eight bytes of all ranges at a time; every step mixes what came before."""
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     size = ends - starts
-    out = mixed(size.astype(np.uint64))
+    out = mixed(size.astype(np.uint64), salt)
     open_, at = np.flatnonzero((size > 0) & (size <= _SHORT)), 0
     while len(open_):
         left = size[open_] - at
         part = eight[starts[open_] + at]
         short = left < 8
         part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
-        out[open_] = mixed(out[open_] ^ part)
+        out[open_] = mixed(out[open_] ^ part, salt)
         open_, at = open_[left > 8], at + 8
     for i in np.flatnonzero(size > _SHORT):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), salt)
     return out
 
 
 PRIME = (1 << 61) - 1
 _P, _HALF = np.uint64(PRIME), np.uint64((1 << 31) - 1)
-# Bytes whose sums stay within 64 bits.
-_EXACT = 1 << 24
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -97,21 +95,21 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduced(upper + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a_low * b_low)
 
 
-class PrimeHasher:
-    """Hashes that tell byte ranges apart: polynomials modulo the prime 2**61 - 1, by prefix sums.
+class SequenceHasher:
+    """Hashes of sequences of words: polynomials of the words' hashes modulo the prime 2**61 - 1, by prefix sums.
 
-    Equal byte strings have equal hashes wherever they lie.  Two unequal ones of
-    n bytes share theirs for at most n of the 2**61 bases; each seed has a base of its own.
+    Equal sequences have equal hashes wherever they stand.  Two unequal ones of n
+    words share theirs for at most n of the 2**61 bases, if no two words share a
+    hash; each seed has a base and hashes of words of its own.
     """
 
     def __init__(self, seed: int) -> None:
         drawn = int.from_bytes(hashlib.blake2b(f"base {seed}".encode(), digest_size=8).digest(), "little")
-        self.base = (1 << 40) + drawn % (PRIME - (1 << 40))
-        self.inverses = np.ones(1, np.uint64)
-        self.low = self.high = np.empty(0, np.uint32)
+        self.seed, self.base = seed, (1 << 40) + drawn % (PRIME - (1 << 40))
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _grow(self, size: int) -> None:
-        if len(self.inverses) >= size:
+        if len(self.powers) >= size:
             return
 
         def powers(base: int) -> np.ndarray:
@@ -120,26 +118,21 @@ class PrimeHasher:
                 table = np.concatenate((table, _times(table, np.uint64(pow(base, len(table), PRIME)))))
             return table
 
-        table = powers(self.base)
-        self.low, self.high = (table & _HALF).astype(np.uint32), (table >> np.uint64(31)).astype(np.uint32)
-        self.inverses = powers(pow(self.base, -1, PRIME))
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        symbols = data.astype(np.uint64) + np.uint64(1)
-        sums = np.zeros((2, len(data) + 1), np.uint64)
-        for out, half in zip(sums, (self.low, self.high), strict=True):
-            np.cumsum(symbols * half[: len(data)], out=out[1:])
-
-        def between(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-            low, high = (_reduced(out[end] - out[start]) for out in sums)
-            return _reduced(_times(high, np.uint64(1 << 31)) + low)
-
-        value = between(starts, np.minimum(ends, starts + _EXACT))
-        for i in np.flatnonzero(ends - starts > _EXACT):
-            for start in range(int(starts[i]) + _EXACT, int(ends[i]), _EXACT):
-                value[i] = _reduced(value[i] + between(start, min(start + _EXACT, int(ends[i]))))
-        return mixed(_times(value, self.inverses[starts]))
+        self.powers, self.inverses = powers(self.base), powers(pow(self.base, -1, PRIME))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of ``width`` consecutive words, of those that begin at the places ``at`` or at all."""
+        count = len(starts)
+        at = np.arange(max(0, count - width + 1)) if at is None else at
+        if not len(at):
+            return np.empty(0, np.uint64)
+        self._grow(count)
+        terms = _times(_reduced(word_hashes(data, starts, ends, self.seed)), self.powers[:count])
+        sums = np.zeros((2, count + 1), np.uint64)
+        np.cumsum(terms & _HALF, out=sums[0, 1:])
+        np.cumsum(terms >> np.uint64(31), out=sums[1, 1:])
+        low, high = (_reduced(out[at + width] - out[at]) for out in sums)
+        return mixed(_times(_reduced(_times(high, np.uint64(1 << 31)) + low), self.inverses[at]))
 
 
 def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

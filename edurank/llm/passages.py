@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from edurank.llm.common import encoded, in_blocks, portions, shares, table, text_bytes
-from edurank.llm.hashing import PrimeHasher, word_ranges
+from edurank.llm.hashing import SequenceHasher, word_ranges
 
 WINDOW = 35
 PHRASE = 8
@@ -53,7 +53,7 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 class Portion:
     """Words, phrases and windows of some documents."""
 
-    def __init__(self, texts: list[bytes], window: int, phrase: int, hasher: PrimeHasher) -> None:
+    def __init__(self, texts: list[bytes], window: int, phrase: int, hasher: SequenceHasher) -> None:
         self.window, self.phrase = window, phrase
         self.data = np.frombuffer(b"\n".join(texts), np.uint8)
         self.starts, self.ends = word_ranges(self.data)
@@ -61,8 +61,7 @@ class Portion:
         self.whole = np.empty(0, bool)
         if len(self.starts) >= window:
             self.whole = text[: len(text) - window + 1] == text[window - 1 :]
-            marks = hasher(self.data, self.starts[: len(text) - phrase + 1], self.ends[phrase - 1 :])
-            self.marks = marks
+            self.marks = marks = hasher(self.data, self.starts, self.ends, phrase)
             # Windows across documents have no phrase; the largest number stands for none.
             self.least = np.where(self.whole, _sliding(marks, window - phrase + 1, np.minimum), np.uint64(2**64 - 1))
 
@@ -123,7 +122,7 @@ def _anchor_report(texts: DataFrame, window: int, phrase: int, buckets: int) ->
     """Distinct smallest phrases of each block, and whether the block has them twice."""
 
     def run(group: pa.Table) -> pa.Table:
-        hasher, parts = PrimeHasher(1), [_NONE]
+        hasher, parts = SequenceHasher(1), [_NONE]
         for part in _portions(group.column("text")):
             parts.append(Portion(part, window, phrase, hasher).anchors()[1])
         marks, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -162,15 +161,15 @@ def _window_report(texts: DataFrame, found: DataFrame, window: int, phrase: int,
         if not len(replies) or not len(group):
             return _table([], _WINDOWS)
         known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column("marks").to_pylist()]))
-        hasher, first, second = PrimeHasher(1), PrimeHasher(2), PrimeHasher(4)
+        hasher, first, second = SequenceHasher(1), SequenceHasher(2), SequenceHasher(4)
         parts: list[tuple[np.ndarray, ...]] = []
         for texts in _portions(group.column("text")):
             part = Portion(texts, window, phrase, hasher)
             if not part.whole.any():
                 continue
             at = np.flatnonzero(part.whole & _members(part.least, known))
-            ends = part.ends[at + window - 1]
-            parts.append((part.least[at], first(part.data, part.starts[at], ends), second(part.data, part.starts[at], ends)))
+            place = (part.data, part.starts, part.ends, window, at)
+            parts.append((part.least[at], first(*place), second(*place)))
         if not parts:
             return _table([], _WINDOWS)
         mark, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -223,29 +222,29 @@ class Windows:
     def __init__(self, one: np.ndarray, two: np.ndarray) -> None:
         order = np.lexsort((two, one))
         self.one, self.two = one[order], two[order]
-        self.first, self.second = PrimeHasher(2), PrimeHasher(4)
+        self.first, self.second = SequenceHasher(2), SequenceHasher(4)
         cuts = np.flatnonzero(np.append(np.diff(self.one) != 0, True))
         # How many windows share their first hash, at most: one, but for chance.
         self.longest = int(np.diff(np.append(-1, cuts)).max()) if len(one) else 0
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Which byte ranges are confirmed windows."""
-        out = np.zeros(len(starts), bool)
-        one = self.first(data, starts, ends)
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
+        """Which of the places ``at`` begin a confirmed window."""
+        out = np.zeros(len(at), bool)
+        one = self.first(data, starts, ends, window, at)
         open_ = np.flatnonzero(_members(one, self.one))
         if not len(open_):
             return out
-        two = self.second(data, starts[open_], ends[open_])
+        two = self.second(data, starts, ends, window, at[open_])
         place = np.searchsorted(self.one, one[open_])
         for step in range(self.longest):
-            at = np.minimum(place + step, len(self.one) - 1)
-            out[open_] |= (self.one[at] == one[open_]) & (self.two[at] == two)
+            spot = np.minimum(place + step, len(self.one) - 1)
+            out[open_] |= (self.one[spot] == one[open_]) & (self.two[spot] == two)
         return out
 
 
 def spelled_phrases(texts: pa.ChunkedArray, marks: np.ndarray, window: int, phrase: int) -> set[bytes]:
     """The words of the smallest phrases of windows whose hashes are among ``marks``."""
-    hasher, found = PrimeHasher(1), set()
+    hasher, found = SequenceHasher(1), set()
     for portion in _portions(texts):
         part = Portion(portion, window, phrase, hasher)
         places, own = part.anchors()
@@ -282,7 +281,7 @@ def covered(text: bytes, phrases: ahocorasick.Automaton, windows: Windows, windo
     np.add.at(steps, np.maximum(place - (window - phrase), 0), 1)
     np.add.at(steps, place + 1, -1)
     at = np.flatnonzero(np.cumsum(steps)[: len(starts) - window + 1] > 0)
-    at = at[windows(data, starts[at], ends[at + window - 1])]
+    at = at[windows(data, starts, ends, window, at)]
     cover = np.zeros(len(starts) + 1, np.int64)
     cover[at] += 1
     cover[at + window] -= 1

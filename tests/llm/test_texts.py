@@ -248,13 +248,13 @@ def thue_morse(n: int, a: str, b: str) -> str:
 
 
 def test_words_made_to_collide_are_told_apart(spark):
-    from edurank.llm.hashing import PrimeHasher, RangeHasher
+    from edurank.llm.hashing import RangeHasher, word_hashes
 
     one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
     data = np.frombuffer((one + two).encode(), np.uint8)
     starts, ends = np.array([0, 2048]), np.array([2048, 4096])
     assert len(set(RangeHasher(3)(data, starts, ends).tolist())) == 1
-    assert all(len(set(PrimeHasher(i)(data, starts, ends).tolist())) == 2 for i in range(5))
+    assert all(len(set(word_hashes(data, starts, ends, i).tolist())) == 2 for i in range(5))
     docs = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
     assert [r.n_removed for r in linededup.dedup_lines(docs).collect()] == [0, 0]
     shared = " ".join(f"w{i}" for i in range(34))
@@ -262,26 +262,32 @@ def test_words_made_to_collide_are_told_apart(spark):
     assert [r.n_removed for r in passages.remove_repeats(docs).collect()] == [0, 0]
 
 
-def test_hashes_of_ranges(monkeypatch):
+def test_hashes_of_sequences():
     from edurank.llm import hashing
 
     rng = random.Random(7)
-    data = bytes(rng.randrange(256) for _ in range(3000))
-    ranges = [(a, a + rng.randint(0, 60)) for a in (rng.randrange(2900) for _ in range(400))] + [(0, 3000), (5, 2900)]
-    starts, ends = (np.array(x) for x in zip(*ranges, strict=True))
-    hasher = hashing.PrimeHasher(2)
-
-    def plain(part: bytes) -> int:
-        value = sum((c + 1) * pow(hasher.base, i, hashing.PRIME) for i, c in enumerate(part)) % hashing.PRIME
+    words = [rng.choice([b"a", b"bc", b"longer-than-eight", b"x" * 300]) for _ in range(500)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends = hashing.word_ranges(data)
+    hasher = hashing.SequenceHasher(2)
+    own = hashing.word_hashes(data, starts, ends, 2).tolist()
+
+    def plain(part: list[int]) -> int:
+        value = sum(h * pow(hasher.base, i, hashing.PRIME) for i, h in enumerate(part)) % hashing.PRIME
         return int(hashing.mixed(np.array([value], np.uint64))[0])
 
-    expected = [plain(data[a:b]) for a, b in ranges]
-    assert hasher(np.frombuffer(data, np.uint8), starts, ends).tolist() == expected
-    monkeypatch.setattr(hashing, "_EXACT", 64)
-    assert hasher(np.frombuffer(data, np.uint8), starts, ends).tolist() == expected
+    for width in (1, 35, 500):
+        expected = [plain(own[i : i + width]) for i in range(501 - width)]
+        assert hasher(data, starts, ends, width).tolist() == expected
+        at = np.array([0, (500 - width) // 2])
+        assert hasher(data, starts, ends, width, at).tolist() == [expected[i] for i in at]
+    # Patterns that defeat polynomials modulo powers of two.
+    one, two = (np.frombuffer(" ".join(thue_morse(2048, *x)).encode(), np.uint8) for x in ("ab", "ba"))
+    marks = [hasher(x, *hashing.word_ranges(x), 2048)[0] for x in (one, two)]
+    assert marks[0] != marks[1]
 
 
-def test_hashes_of_words(monkeypatch):
+def test_hashes_of_words():
     from edurank.llm import hashing
 
     words = sorted({b"", b"a", b"b", b"a\0", b"abcdefgh", b"abcdefghi", b"abcdefghabcdefgh", b"x" * 300, b"x" * 301, "日本語の言葉".encode(), thue_morse(2048, "a", "b").encode(), thue_morse(2048, "b", "a").encode()})
