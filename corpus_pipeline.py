@@ -13,8 +13,6 @@ from edurank.llm.simhash import BITS, SHINGLE, keep_one
 from edurank.llm.toxicity import drop_toxic
 from edurank.plans.materialize import materialize
 
-REMEMBERED = 100_000
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
@@ -39,8 +37,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of binary lengths; workers that other stages used remember fewer words."""
-    return pack(docs, remembered=REMEMBERED)
+    """Token pieces of binary lengths."""
+    return pack(docs)
 
 
 STAGES = [

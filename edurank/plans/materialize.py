@@ -15,7 +15,7 @@ _dropped = 0
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by the session; a scratch folder only where none is named, on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder and folder.startswith("file:/tmp/") and not spark.sparkContext.master.startswith("local"):
+    if folder and folder.startswith(("file:/tmp/", "file:///tmp/")) and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{folder} is a folder of one machine; set spark.checkpoint.dir to a shared one")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
