@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edurank.functions import text
 from edurank.plans.change import ChangePlan
-from edurank.plans.materialize import materialize
+from edurank.plans.materialize import dealt, materialize
 from edurank.plans.ordered import forward_fill
 from edurank.sources.cells import (
     SHEET,
@@ -57,7 +57,7 @@ def directory_rows(cells: DataFrame) -> DataFrame:
     """Cleaned directory rows: region (from the file name), municipality, school, profile cell."""
     roles = {"municipality": "mun_col", "school": "school_col", "profile": "profile_col"}
     rows = body_rows(cells, directory_layout(cells), roles)
-    filled = forward_fill(rows, SHEET, "row_idx", ["municipality", "school"])
+    filled = dealt(forward_fill(rows, SHEET, "row_idx", ["municipality", "school"]), *SHEET, "row_idx")
 
     def plain(name: str) -> Column:
         value = text.squeeze(F.col(name))
@@ -86,7 +86,7 @@ def _grown(tables: Tables, table: str, fresh: DataFrame, key: str, order: list[s
 
 def _keyed_schools(places: DataFrame, schools: DataFrame) -> DataFrame:
     """Schools with the keys of the directory comparison."""
-    return schools.join(places, "municipality_id").select(
+    return dealt(schools, *schools.columns).join(places, "municipality_id").select(
         *schools.columns,
         "region_id",
         text.municipality_key(F.col("municipality")).alias("municipality_key"),
@@ -178,7 +178,7 @@ def load_school_directory(tables: Tables, cells: DataFrame) -> ChangePlan:
     school_ids = find_schools(places, wanted, schools)
 
     tokens = (
-        located.withColumn("name", F.explode(text.profile_tokens(F.col("profile_raw"))))
+        dealt(located, *located.columns).withColumn("name", F.explode(text.profile_tokens(F.col("profile_raw"))))
         .join(school_ids, ["municipality_id", "full_name"])
         .select("school_id", "name")
         .distinct()
