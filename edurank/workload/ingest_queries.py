@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edurank.functions import text
 from edurank.ingest import directory, exam, programs
 from edurank.operators.schools import with_place
+from edurank.plans.joins import join_few_keys
 from edurank.plans.materialize import dealt, materialize
 from edurank.plans.ordered import forward_fill
 from edurank.sources import seeds
@@ -214,9 +215,10 @@ def _long_rows(tables):
     ),
 )
 def _wide_long(tables):
+    names = seeds.subject_seed(tables.spark).select("subject_id", "name")
+    # A subject holds a fixed part of all rows: joined by its key, few tasks would take them.
     wide = (
-        tables["ege_school_subject_stat"]
-        .join(seeds.subject_seed(tables.spark).select("subject_id", "name"), "subject_id")
+        join_few_keys(tables["ege_school_subject_stat"], names, ["subject_id"], F.col("ege_school_year_id"))
         .groupBy("ege_school_year_id")
         .agg(
             *(
