@@ -81,25 +81,24 @@ def exam_cells(tables) -> DataFrame:
         "inline(array(struct(0 as col_idx, municipality as value), struct(1 as col_idx, full_name as value), "
         "struct(2 as col_idx, concat(graduates_total, ',0') as value)))",
     )
+    # One join for both kinds: a row becomes the cell of a plan, or the cells of its metrics.
     stats = tables["ege_school_subject_stat"].join(
         periods.select("ege_school_year_id", "file", "sheet", "kind", "row_idx"), "ege_school_year_id"
     )
-    plan = stats.where("kind = 'plan'").selectExpr(
-        "file", "sheet", "row_idx", "cast(2 + subject_id as int) as col_idx", "cast(chosen_cnt as string) as value"
-    )
+    plan = "struct(cast(2 + subject_id as int) as col_idx, cast(chosen_cnt as string) as value)"
     metrics = ", ".join(
         f"struct(cast(3 + 5 * (subject_id - 1) + {j} as int) as col_idx, "
         + (f"replace(cast({m} as string), '.', ',')" if m == "avg_score" else f"cast({m} as string)")
         + " as value)"
         for j, m in enumerate(_METRIC_TITLES)
     )
-    actual = stats.where("kind = 'actual'").selectExpr("file", "sheet", "row_idx", f"inline(array({metrics}))")
+    figures = stats.selectExpr("file", "sheet", "row_idx", f"inline(if(kind = 'plan', array({plan}), array({metrics})))")
     sheets = periods.select("file", "sheet", "kind").distinct()
     headers = None
     for kind in ("plan", "actual"):
         rows = sheets.where(F.col("kind") == kind).selectExpr("file", "sheet", _stack(_exam_header(kind)))
         headers = rows if headers is None else headers.unionByName(rows)
-    return names.unionByName(plan).unionByName(actual).unionByName(headers)
+    return names.unionByName(figures).unionByName(headers)
 
 
 _EXAM_VIEWS = ("f_region", "f_municipality", "f_school", "f_year", "f_stat")

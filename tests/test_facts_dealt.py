@@ -57,3 +57,11 @@ def test_tasks_grow_with_the_rows(spark, folder, monkeypatch):
 def test_subjects_are_not_a_key_of_tasks(spark, folder):
     plan = plan_of(ingest_queries._wide_long(views.domain(spark, folder)))
     assert "hashpartitioning(subject_id" not in plan
+
+
+def test_exam_cells_read_the_facts_once(spark, folder):
+    cells = ingest_queries.exam_cells(views.domain(spark, folder))
+    scans = re.findall(r"FileScan parquet \[[^\]]*l_partkey", plan_of(cells).split("== Initial Plan ==")[0])
+    assert len(scans) == 1
+    kinds = {r.sheet.split()[0] for r in cells.where("row_idx >= 10 and col_idx > 2").collect()}
+    assert kinds == {"plan", "actual"}
