@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,24 +65,48 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], starts
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, their counts, place of each key among them)."""
-    codes, found = pd.factorize(keys)
-    order = np.argsort(found)
-    rank = np.empty(len(found), np.int64)
-    rank[order] = np.arange(len(found))
-    return found[order], np.bincount(codes, minlength=len(found))[order], rank[codes]
+def _edges(keys: np.ndarray) -> np.ndarray:
+    """Where each different one of sorted keys begins."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Words of a text with A-Z lowered, then the end."""
-    return [*text.lower().split(), END_WORD]
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, their counts)."""
+    keys = np.sort(keys)
+    edges = _edges(keys)
+    return keys[edges], np.diff(np.append(edges, len(keys)))
 
 
-def word_counts(texts: list[bytes]) -> dict[bytes, int]:
-    words = [w for t in texts for w in split_words(t)]
-    codes, found = pd.factorize(np.array(words, object))
-    return dict(zip(found.tolist(), np.bincount(codes, minlength=len(found)).tolist(), strict=True))
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, sums of their counts) of several sorted runs, one after the other."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    edges = _edges(keys)
+    return keys[edges], np.add.reduceat(counts[order], edges) if len(edges) else counts
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts with A-Z lowered, their number in each text); the ends are left out."""
+    # Seen as text without a check, so that broken bytes are kept as they are.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    words, cuts = lists.flatten(), lists.offsets.to_numpy()
+    # A blank at either end of a text gives an empty word.
+    real = pc.binary_length(words).to_numpy() > 0
+    before = np.concatenate(([0], np.cumsum(real)))
+    return words.view(pa.binary()).filter(pa.array(real)), np.diff(before[cuts - cuts[0]])
+
+
+def word_counts(texts: list[bytes]) -> pa.Table:
+    """(word, n) of the different words of texts and of their ends."""
+    found = pc.value_counts(split_words(texts)[0])
+    ends = [END_WORD] if texts else []
+    words = pa.chunked_array([found.field("values"), pa.array(ends, pa.binary())])
+    return pa.table({"word": words, "n": pa.chunked_array([found.field("counts"), pa.array([len(texts)] * len(ends), pa.int64())])})
+
+
+def _words_summed(counts: list[pa.Table]) -> pa.Table:
+    """(word, n) of several such tables, each word once."""
+    return pa.concat_tables(counts).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -106,7 +131,8 @@ def word_shard(words: list[bytes], shards: int) -> np.ndarray:
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places in their order)."""
-    order = np.argsort(shard, kind="stable")
+    few = not len(shard) or shard.max() < 1 << 16
+    order = np.argsort(shard.astype(np.uint16) if few else shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
     for places in np.split(order, cuts) if len(order) else ():
         yield int(shard[places[0]]), places
@@ -128,31 +154,37 @@ class _Tally:
 
     def __init__(self) -> None:
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.words: dict[bytes, int] = {}
+        self.words: list[pa.Table] = []
         self.held = 0
+        self.held_words = 0
 
     def add(self, texts: list[bytes]) -> None:
-        keys, counts, _ = _counted(grams(texts)[0])
+        keys, counts = _counted(grams(texts)[0])
         self.grams.append((keys, counts))
         self.held += len(keys)
         if len(self.grams) > 8 and self.held > 1 << 22:
             self.grams = [self.total()]
             self.held = len(self.grams[0][0])
-        for word, n in word_counts(texts).items():
-            self.words[word] = self.words.get(word, 0) + n
+        self.words.append(word_counts(texts))
+        self.held_words += len(self.words[-1])
+        if len(self.words) > 8 and self.held_words > 1 << 19:
+            self.words = [_words_summed(self.words)]
+            self.held_words = len(self.words[0])
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.grams:
             return _NONE, np.empty(0, np.int64)
-        keys, places = np.unique(np.concatenate([k for k, _ in self.grams]), return_inverse=True)
-        return keys, np.bincount(places, np.concatenate([c for _, c in self.grams]), len(keys)).astype(np.int64)
+        return _summed(np.concatenate([k for k, _ in self.grams]), np.concatenate([c for _, c in self.grams]))
 
     def rows(self, shards: int) -> Iterator[dict]:
         keys, counts = self.total()
         for shard, at in _by_shard(gram_shard(keys, shards)):
             yield {"shard": shard, "kind": "gram", "keys": _packed(keys[at]), "counts": counts[at].astype("<u4").tobytes()}
-        words = list(self.words)
-        numbers = np.fromiter(self.words.values(), np.int64, len(words))
+        if not self.words:
+            return
+        table = _words_summed(self.words)
+        words = table.column("word").to_numpy().tolist()
+        numbers = table.column("n").to_numpy()
         for shard, at in _by_shard(word_shard(words, shards)):
             own = b"\n".join([words[i] for i in at.tolist()])
             yield {"shard": shard, "kind": "word", "keys": own, "counts": numbers[at].astype("<u4").tobytes()}
@@ -165,14 +197,15 @@ HELD = 3 << 20
 def _added(group: pa.Table) -> pa.Table:
     """One row for all counts of a shard."""
     kind, shard = group.column("kind")[0].as_py(), group.column("shard")[0].as_py()
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()]).astype(np.float64)
+    counts = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()]).astype(np.int64)
     if kind == "gram":
-        keys, places = np.unique(np.concatenate([_unpacked(x) for x in group.column("keys").to_pylist()]), return_inverse=True)
+        keys, sums = _summed(np.concatenate([_unpacked(x) for x in group.column("keys").to_pylist()]), counts)
         packed = _packed(keys)
     else:
-        places, found = pd.factorize(np.array([w for x in group.column("keys").to_pylist() for w in x.split(b"\n")], object))
-        keys, packed = found, b"\n".join(found.tolist())
-    sums = np.bincount(places, counts, len(keys)).astype("<i8")
+        places, keys = pd.factorize(np.array([w for x in group.column("keys").to_pylist() for w in x.split(b"\n")], object))
+        packed = b"\n".join(keys.tolist())
+        sums = np.bincount(places, counts, len(keys))
+    sums = sums.astype("<i8")
     row = {"shard": shard, "kind": kind, "keys": packed, "counts": sums.tobytes(), "total": int(sums.sum()), "distinct": len(keys)}
     return pa.Table.from_pylist([row], schema=_MODEL)
 
@@ -199,7 +232,7 @@ def pretrain(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD) -> T
             whole = encoded(batch.column("text"))
             for a, b in portions([len(t) + 1 for t in whole], PORTION):
                 tally.add(whole[a:b])
-                if tally.held + len(tally.words) > HELD:
+                if tally.held + tally.held_words > HELD:
                     yield from pa.Table.from_pylist(list(tally.rows(n_shards)), schema=_COUNTS).to_batches()
                     tally = _Tally()
         yield from pa.Table.from_pylist(list(tally.rows(n_shards)), schema=_COUNTS).to_batches()
@@ -341,26 +374,29 @@ def score(docs: DataFrame, trie: Trie, doc_id: str = "doc_id", text: str = "text
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(group):
             return pa.Table.from_arrays([group.column("doc_id").combine_chunks(), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
-        keys, logs, counts = [_NONE], [np.empty(0)], {}
+        keys, logs, known_words, counts = [_NONE], [np.empty(0)], [], []
         for kind, own, values in zip(*(replies.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
             numbers = np.frombuffer(values, "<f8")
             if kind == "gram":
                 keys.append(_unpacked(own))
                 logs.append(numbers)
             else:
-                counts.update(zip(own.split(b"\n"), numbers.tolist(), strict=True))
-        key, log = np.concatenate(keys), np.concatenate(logs)
-        order = np.argsort(key)
-        key, log = key[order], log[order]
+                known_words += own.split(b"\n")
+                counts.append(numbers)
+        key, log, count = pd.Index(np.concatenate(keys)), np.concatenate(logs), np.concatenate(counts)
+        ends = count[known_words.index(END_WORD)]
+        known_words = pa.array(known_words, pa.binary())
         whole = encoded(group.column("text").combine_chunks())
         scores, tokens, known, base = [], [], [], []
         for a, b in portions([len(t) + 1 for t in whole], PORTION):
             found, starts = grams(whole[a:b])
-            distinct, _, places = _counted(found)
-            scores.append(np.add.reduceat(log[np.searchsorted(key, distinct)][places], starts))
-            words = [split_words(t) for t in whole[a:b]]
-            sizes = np.fromiter(map(len, words), np.int64, b - a)
-            seen = np.fromiter((counts[w] for own in words for w in own), np.float64, sizes.sum())
+            scores.append(np.add.reduceat(log[key.get_indexer(found)], starts))
+            words, sizes = split_words(whole[a:b])
+            words = words.dictionary_encode()
+            place = pc.index_in(words.dictionary, value_set=known_words).to_numpy()
+            # The end of each text follows its words.
+            seen = np.insert(count[place][words.indices.to_numpy()], np.cumsum(sizes), ends)
+            sizes = sizes + 1
             at = np.cumsum(sizes) - sizes
             tokens.append(sizes)
             known.append(np.add.reduceat(seen > 0, at, dtype=np.int64))
