@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from edurank.functions import text
 from edurank.operators.schools import with_place
+from edurank.plans.materialize import dealt, materialize
 from edurank.plans.paging import with_row_number
 from edurank.sources.store import Tables
 
@@ -19,7 +20,7 @@ GROUP_KEYS = ["region_id", "municipality_key", "code_key", "school_name_norm"]
 
 def keyed_schools(tables: Tables, region: str | None = None) -> DataFrame:
     """Schools with the four parts of their duplicate key; nameless ones are left out."""
-    schools = with_place(tables)
+    schools = dealt(with_place(tables))
     if region is not None:
         schools = schools.where(text.region_norm(F.col("region_name")) == text.region_norm(F.lit(region)))
     return schools.select(
@@ -67,9 +68,9 @@ def merge_map(tables: Tables, region: str | None = None, limit_groups: int = 0)
     """(old_school_id, new_school_id) for every duplicate, optionally of the first groups only.
 
     The join is on the full group key; a group holding a large part of all schools
-    is one hot key on the many side only, which adaptive skew joins split.
+    is one hot key on the many side only, which adaptive skew joins split.  Names are cleaned once.
     """
-    keyed = keyed_schools(tables, region)
+    keyed = materialize(keyed_schools(tables, region).select("school_id", "is_active", "region_name", *GROUP_KEYS))
     groups = _groups(keyed)
     if limit_groups > 0:
         groups = groups.orderBy(*GROUP_KEYS, "keep_school_id").limit(limit_groups)

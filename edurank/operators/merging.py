@@ -8,7 +8,7 @@ the unique place while they are copied; ``preserve_keys`` keeps them instead.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,24 @@ FIGURES = {
 }
 
 
+class _OnUse(Mapping):
+    """New contents of tables, each worked out when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = conform(self._makers[name](), name)
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def rekey(rows: DataFrame, ids: DataFrame, column: str, old: str, new: str) -> DataFrame:
     """Rows with ``column`` replaced where the map knows it.
 
@@ -53,7 +71,10 @@ def rekey(rows: DataFrame, ids: DataFrame, column: str, old: str, new: str) -> D
 
 
 def collapse(rekeyed: DataFrame, keys: Sequence[str], figures: Sequence[str], identity: str | None) -> DataFrame:
-    """One row per key among touched rows: largest figures, other columns of the kept or first row."""
+    """One row per key among touched rows: largest figures, other columns of the kept or first row.
+
+    Touched rows and others are read apart, so rows that are costly to work out should be written first.
+    """
     plain = [c for c in rekeyed.columns if not c.startswith("_")]
     others = [c for c in plain if c not in keys and c not in figures]
     rank = f"struct(_moved, _old, {identity or '0'} as _id)"
@@ -75,7 +96,7 @@ def merged_years(tables: Tables, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A year only the duplicate had keeps its id.
     """
-    rekeyed = rekey(tables["ege_school_year"], ids, "school_id", "old_school_id", "new_school_id")
+    rekeyed = materialize(rekey(tables["ege_school_year"], ids, "school_id", "old_school_id", "new_school_id"))
     keys = ["school_id", "year", "kind"]
     merged = collapse(rekeyed, keys, FIGURES["ege_school_year"], "ege_school_year_id")
     survivors = merged.selectExpr(*keys, "ege_school_year_id as new_id")
@@ -92,13 +113,13 @@ def merged_years(tables: Tables, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merged_stats(tables: Tables, year_ids: DataFrame) -> DataFrame:
     """Subject statistics under the merged school years."""
     name = "ege_school_subject_stat"
-    rekeyed = rekey(tables[name], year_ids, "ege_school_year_id", "old_id", "new_id")
+    rekeyed = materialize(rekey(tables[name], year_ids, "ege_school_year_id", "old_id", "new_id"))
     return collapse(rekeyed, ["ege_school_year_id", "subject_id"], FIGURES[name], f"{name}_id")
 
 
 def merged_admissions(tables: Tables, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Admission rows after the merge and the (old, new) map of their ids."""
-    rekeyed = rekey(tables["school_admission_stat"], ids, "school_id", "old_school_id", "new_school_id")
+    rekeyed = materialize(rekey(tables["school_admission_stat"], ids, "school_id", "old_school_id", "new_school_id"))
     keys = ["school_id", "year"]
     merged = collapse(rekeyed, keys, FIGURES["school_admission_stat"], "adm_stat_id")
     id_map = (
@@ -136,53 +157,58 @@ def merge_duplicate_schools(
     year_ids = materialize(year_ids)
     admissions, admission_ids = merged_admissions(tables, ids)
     admission_ids = materialize(admission_ids)
-    details = rekey(tables["school_admission_detail"], admission_ids, "adm_stat_id", "old_id", "new_id")
-    filters = tables["analytics_request_filter"]
-    filter_keys = [c for c in filters.columns if c != "filter_id"]
-    school_filters = rekey(
-        filters.where("school_id is not null"), ids, "school_id", "old_school_id", "new_school_id"
-    )
-    changed = {
-        "school": kept_only("school"),
-        "school_profile_link": first_only("school_profile_link", ["school_id", "profile_id"]),
-        "school_external_key": (
-            first_only("school_external_key", ["school_id", "source_name"], "ext_key_id")
-            if preserve_keys
-            else kept_only("school_external_key")
-        ),
-        "ege_school_year": years,
-        "ege_school_subject_stat": merged_stats(tables, year_ids),
-        "school_admission_stat": admissions,
-        "school_admission_detail": collapse(
-            details, ["adm_stat_id", "program_id"], FIGURES["school_admission_detail"], "detail_id"
-        ),
-        "prof_event": moved("prof_event"),
-        "analytics_run_school": first_only("analytics_run_school", ["run_id", "school_id"]),
-        "analytics_school_card": first_only("analytics_school_card", ["run_id", "school_id"], "card_id"),
-        "analytics_school_metric_value": collapse(
-            moved("analytics_school_metric_value"),
-            ["run_id", "school_id", "metric_code"],
-            FIGURES["analytics_school_metric_value"],
-            None,
-        ),
-        "analytics_school_rating": (
-            first_only("analytics_school_rating", ["run_id", "school_id"])
-            if preserve_keys
-            else kept_only("analytics_school_rating")
-        ),
-        "analytics_school_selection": first_only("analytics_school_selection", ["request_id", "school_id"]),
-        "analytics_school_report": moved("analytics_school_report"),
+
+    def merged_details() -> DataFrame:
+        details = rekey(tables["school_admission_detail"], admission_ids, "adm_stat_id", "old_id", "new_id")
+        return collapse(details, ["adm_stat_id", "program_id"], FIGURES["school_admission_detail"], "detail_id")
+
+    def merged_metrics() -> DataFrame:
+        name = "analytics_school_metric_value"
+        return collapse(moved(name), ["run_id", "school_id", "metric_code"], FIGURES[name], None)
+
+    def merged_filters() -> DataFrame:
+        filters = tables["analytics_request_filter"]
+        filter_keys = [c for c in filters.columns if c != "filter_id"]
+        school_filters = rekey(
+            filters.where("school_id is not null"), ids, "school_id", "old_school_id", "new_school_id"
+        )
         # grouping treats null columns of a filter row as equal, as its unique rule does
-        "analytics_request_filter": collapse(school_filters, filter_keys, [], "filter_id").unionByName(
+        return collapse(school_filters, filter_keys, [], "filter_id").unionByName(
             filters.where("school_id is null"), allowMissingColumns=True
-        ),
-    }
-    changed = {name: conform(df, name) for name, df in changed.items()}
+        )
+
+    changed = _OnUse(
+        {
+            "school": lambda: kept_only("school"),
+            "school_profile_link": lambda: first_only("school_profile_link", ["school_id", "profile_id"]),
+            "school_external_key": lambda: (
+                first_only("school_external_key", ["school_id", "source_name"], "ext_key_id")
+                if preserve_keys
+                else kept_only("school_external_key")
+            ),
+            "ege_school_year": lambda: years,
+            "ege_school_subject_stat": lambda: merged_stats(tables, year_ids),
+            "school_admission_stat": lambda: admissions,
+            "school_admission_detail": merged_details,
+            "prof_event": lambda: moved("prof_event"),
+            "analytics_run_school": lambda: first_only("analytics_run_school", ["run_id", "school_id"]),
+            "analytics_school_card": lambda: first_only("analytics_school_card", ["run_id", "school_id"], "card_id"),
+            "analytics_school_metric_value": merged_metrics,
+            "analytics_school_rating": lambda: (
+                first_only("analytics_school_rating", ["run_id", "school_id"])
+                if preserve_keys
+                else kept_only("analytics_school_rating")
+            ),
+            "analytics_school_selection": lambda: first_only("analytics_school_selection", ["request_id", "school_id"]),
+            "analytics_school_report": lambda: moved("analytics_school_report"),
+            "analytics_request_filter": merged_filters,
+        }
+    )
     reports = {"merge_map": ids, "year_map": year_ids, "admission_map": admission_ids}
     return ChangePlan(changed, reports, base=tables.version, touched=_touched(changed, ids, year_ids, admission_ids))
 
 
-def _touched(changed: Mapping[str, DataFrame], ids: DataFrame, years: DataFrame, admissions: DataFrame) -> dict[str, tuple[str, DataFrame]]:
+def _touched(names: Iterable[str], ids: DataFrame, years: DataFrame, admissions: DataFrame) -> dict[str, tuple[str, DataFrame]]:
     """Schools, school years and admission rows that were moved or moved to, per table."""
 
     def either(pairs: DataFrame) -> DataFrame:
@@ -190,10 +216,10 @@ def _touched(changed: Mapping[str, DataFrame], ids: DataFrame, years: DataFrame,
 
     others = {"ege_school_subject_stat": ("ege_school_year_id", either(years)), "school_admission_detail": ("adm_stat_id", either(admissions))}
     schools = ("school_id", either(ids))
-    return {name: others.get(name, schools) for name in changed}
+    return {name: others.get(name, schools) for name in names}
 
 
 def remaining_duplicates(tables: Tables, plan: ChangePlan) -> DataFrame:
     """Merged schools that would still be present; empty after a complete merge."""
     old = plan.reports["merge_map"].selectExpr("old_school_id as school_id")
-    return plan.preview(tables)["school"].join(old, "school_id", "left_semi")
+    return plan.tables["school"].join(old, "school_id", "left_semi")
