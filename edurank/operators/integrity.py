@@ -9,7 +9,7 @@ made for the violations alone.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame
@@ -176,6 +176,8 @@ def check_change(tables: Tables, plan: ChangePlan) -> DataFrame:
     about other keys are dropped where they are read, and tables that no such key
     can be in are not read at all.
     """
+    # Read for the changed rows and again for the keys of all rows.
+    plan = replace(plan, tables={name: materialize(df) for name, df in plan.tables.items()})
     changes = changed_rows(tables, plan)
     after = plan.preview(tables)
     rules = [i for i, r in enumerate(all_rules()) if r.table in changes or (r.parent and r.parent[0] in changes)]
