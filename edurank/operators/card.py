@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from edurank.functions.numeric import exact_avg, round_even
 from edurank.operators.schools import with_place
 from edurank.plans.joins import join_few_keys
+from edurank.plans.materialize import materialize
 from edurank.sources.store import Tables
 
 COUNTERS = ("participants_cnt", "not_passed_cnt", "high_80_99_cnt", "score_100_cnt", "chosen_cnt")
@@ -103,8 +104,8 @@ def card_subject_rows(tables: Tables, wanted: DataFrame | None = None) -> DataFr
     )
 
 
-def card_periods(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
-    """Totals per period over its subjects, with the plain mean of their averages."""
+def card_periods(tables: Tables, wanted: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
+    """Totals per period over its subjects, with the plain mean of their averages; ``subjects`` are :func:`card_subject_rows`."""
     totals = {
         "participants_total": "participants_cnt",
         "not_passed_total": "not_passed_cnt",
@@ -115,7 +116,7 @@ def card_periods(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     known = "case when subject_id is not null then {} end"
     mean = exact_avg(known.format("avg_score"), 12)
     return (
-        card_subject_rows(tables, wanted)
+        (card_subject_rows(tables, wanted) if subjects is None else subjects)
         .groupBy("school_id", "year", "kind", "graduates_total")
         .agg(
             F.expr("count(subject_id) as subjects_cnt"),
@@ -189,7 +190,8 @@ def school_card_export(tables: Tables, school_ids=None) -> dict[str, DataFrame]:
     if school_ids is not None:
         wanted = tables["school"].where(F.col("school_id").isin(*school_ids)).select("school_id")
     header = card_header(tables, wanted)
-    subjects = card_subject_rows(tables, wanted)
+    # Two sheets are made of these rows, and both are sorted, which reads them twice.
+    subjects = materialize(card_subject_rows(tables, wanted))
     return {
         "school": header.select(
             "school_id",
@@ -202,7 +204,7 @@ def school_card_export(tables: Tables, school_ids=None) -> dict[str, DataFrame]:
         ),
         "profiles": header.select("school_id", F.explode("profiles").alias("profile_name")),
         "external_keys": card_external_keys(tables, wanted).orderBy("school_id", "source_name"),
-        "ege_periods": card_periods(tables, wanted).orderBy("school_id", F.desc("year"), F.desc("kind")),
+        "ege_periods": card_periods(tables, wanted, subjects).orderBy("school_id", F.desc("year"), F.desc("kind")),
         "ege_subjects": subjects.select(
             "school_id",
             "year",
