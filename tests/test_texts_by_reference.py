@@ -91,3 +91,29 @@ def test_masks_join_programs_last(spark, monkeypatch):
 
     queries._division_masks(domain(spark, "/root/testdata/sf0.001"))
     assert copied and not [c for c in copied if {"reached", "program_id"} <= c]
+
+
+def test_many_long_texts_lie_together(spark, monkeypatch):
+    """Beyond a size rows are dealt by their text: no row is sorted or shuffled with it, and a task holds few texts."""
+    from edurank.plans import texts as module
+
+    monkeypatch.setattr(module, "TASK_BYTES", 4_000_000)
+    rows = spark.range(20_000).selectExpr("if(id % 9 = 0, null, id) as k", "if(id % 11 = 0, null, repeat(cast(id % 4 as string), 1000)) as t", "map('a', id) as m")
+    rows = rows.unionByName(rows.where("k < 50"))
+    marked, found = by_reference(rows, "t", ["k"])
+    short = marked.drop("t")
+    expected = sorted(map(str, marked.select("k", "t", "m").collect()))
+    for limit in (1 << 20, 0):
+        long = attach_texts(short, found, REF, [F.col("k")], limit, laid_bytes=1 << 20)
+        nodes, todo = [], [long._jdf.queryExecution().executedPlan().inputPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            nodes.append(node.nodeName())
+        wide = [columns for columns in shuffled(long) if {"k", "_text"} <= columns]
+        assert not wide and "Exchange" in nodes
+        assert sorted(map(str, long.selectExpr("k", "_text as t", "m").collect())) == expected
+        per_task = long.groupBy(F.spark_partition_id()).agg(F.countDistinct("_text").alias("n")).collect()
+        assert sum(r.n for r in per_task) <= 3 * 4 + 4  # at most the splits of each text
+    # Rows with maps can be dealt by salts, too, and stay in order below the size.
+    assert [r.k for r in attach_texts(short, found, REF, [F.col("k")], 0, laid_bytes=1 << 40).collect()] == [r.k for r in rows.orderBy("k").collect()]
