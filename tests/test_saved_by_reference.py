@@ -20,3 +20,13 @@ def test_saved_by_reference(small):  # noqa: F811
     cut = lambda tables: runs.report_payloads(tables, 1, "me").selectExpr("school_id", "payload.card", "payload.rating")
     assert same(cut(log), cut(other)) and same(runs.run_ranking(log, 1), runs.run_ranking(other, 1))
     assert other.with_tables({"school": small["school"]}).shared and not other.with_tables({"analytics_school_card": log["analytics_school_card"]}).shared
+
+
+def test_counts_do_not_make_documents(small):  # noqa: F811
+    """Metric values that come twice make no document; the listing of runs needs none."""
+    saved = runs.save_rating(small, SCOPE, RatingWeights(), rating.rate_by_reference(small, SCOPE, RatingWeights()), "me")
+    log = saved.plan.preview(small)
+    twice = log.with_tables({"analytics_school_metric_value": log["analytics_school_metric_value"].unionAll(log["analytics_school_metric_value"])})
+    _, plan = runs.create_reports(twice, 1, "me")
+    listed = runs.rating_runs(plan.preview(twice)).collect()
+    assert [r.reports_cnt for r in listed] == [log["analytics_run_school"].count()]
